@@ -106,10 +106,9 @@ def claim_order() -> list[Column]:
     return [F.col(c) for c in CLAIM_ORDER]
 
 
-def claim_feed(spark: SparkSession, folder: str, all_configs: bool = False) -> DataFrame:
-    """One claim per lineitem that names GPUs, with the columns that order them. A third of the
-    configurations stays unclaimed unless ``all_configs``."""
-    rows = table(spark, folder, "lineitem").selectExpr(
+def claim_columns(lineitem: DataFrame) -> DataFrame:
+    """A claim per lineitem that names GPUs, with the columns that order them."""
+    return lineitem.selectExpr(
         "concat('type-', l_partkey % 40) AS job_id",
         "CAST(l_linenumber % 5 AS INT) AS a40",
         "CAST(l_suppkey % 3 AS INT) AS l40s",
@@ -124,9 +123,12 @@ def claim_feed(spark: SparkSession, folder: str, all_configs: bool = False) -> D
         "l_extendedprice AS _price",
         "l_quantity AS _quantity",
     ).where("a40 + l40s > 0")
-    if not all_configs:
-        rows = rows.where("(_partkey % 40 + a40 + l40s) % 3 <> 0")
-    return rows
+
+
+def claim_feed(spark: SparkSession, folder: str, all_configs: bool = False) -> DataFrame:
+    """Every claim made. A third of the configurations stays unclaimed unless ``all_configs``."""
+    rows = claim_columns(table(spark, folder, "lineitem"))
+    return rows if all_configs else rows.where("(_partkey % 40 + a40 + l40s) % 3 <> 0")
 
 
 def with_config(rows: DataFrame) -> DataFrame:

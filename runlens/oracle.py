@@ -173,6 +173,25 @@ COMMANDS = """fx_commands AS (
    CASE WHEN outcome IN ('not_found', 'conflict') THEN status_before WHEN cmd = 'stop' THEN 'PREEMPTED' ELSE 'QUEUED' END AS status_after
   FROM outcomes)"""
 
+def plan(claims: str) -> str:
+    return f"""WITH {FREE}, {claims}, {configs()}, {WAITING_TYPES}, {STANDARD}, {fits('p', 'fx_configs', 'f.is_for_profiling')},
+    rem AS (
+     SELECT t.job_id, c.config_key, p.node_id, row_number() OVER (PARTITION BY t.job_id ORDER BY c.n_gpus, c.config_key) - 1 AS pos
+     FROM waiting_types t CROSS JOIN fx_configs c LEFT JOIN p ON p.config_key = c.config_key
+     WHERE NOT EXISTS (SELECT 1 FROM fx_claims k WHERE k.job_id = t.job_id AND k.config_key = c.config_key)),
+    stuck AS (SELECT job_id, min(pos) AS k FROM rem WHERE node_id IS NULL GROUP BY job_id),
+    made AS (SELECT instance_id, count(*) AS n FROM fx_claims GROUP BY instance_id),
+    w AS (SELECT j.id, j.job_id, coalesce(m.n, 0) < 1 AS open, row_number() OVER (
+      PARTITION BY j.job_id, coalesce(m.n, 0) < 1 ORDER BY j.created_at, j.id) - 1 AS r
+     FROM fx_jobs j LEFT JOIN made m ON m.instance_id = j.id WHERE {WAITING})
+    SELECT w.id, w.job_id, CASE WHEN m.pos IS NOT NULL THEN 'profiling' ELSE 'standard' END AS mode,
+     CASE WHEN m.pos IS NOT NULL THEN m.config_key ELSE s.config_key END AS config_key,
+     CASE WHEN m.pos IS NOT NULL THEN m.node_id ELSE s.node_id END AS node_id, m.pos IS NOT NULL AS is_profiling_run
+    FROM w LEFT JOIN stuck k ON k.job_id = w.job_id
+    LEFT JOIN rem m ON w.open AND m.job_id = w.job_id AND m.pos = least(w.r, coalesce(k.k, w.r))
+    LEFT JOIN standard s ON s.job_id = w.job_id"""
+
+
 DASH = "'—'"
 
 ORACLES: dict[str, str] = {
@@ -235,22 +254,7 @@ ORACLES: dict[str, str] = {
         SELECT t.job_id, s.config_key, s.node_id FROM fx_types t LEFT JOIN standard s ON s.job_id = t.job_id""",
     "results_by_duration": f"""WITH {CLAIMS} SELECT job_id, config_key, node_id, duration_seconds,
          CAST(row_number() OVER (PARTITION BY job_id ORDER BY duration_seconds NULLS LAST, config_key) AS INT) AS place FROM fx_claims""",
-    "plan_round": f"""WITH {FREE}, {CLAIMS}, {configs()}, {WAITING_TYPES}, {STANDARD}, {fits('p', 'fx_configs', 'f.is_for_profiling')},
-        rem AS (
-         SELECT t.job_id, c.config_key, p.node_id, row_number() OVER (PARTITION BY t.job_id ORDER BY c.n_gpus, c.config_key) - 1 AS pos
-         FROM waiting_types t CROSS JOIN fx_configs c LEFT JOIN p ON p.config_key = c.config_key
-         WHERE NOT EXISTS (SELECT 1 FROM fx_claims k WHERE k.job_id = t.job_id AND k.config_key = c.config_key)),
-        stuck AS (SELECT job_id, min(pos) AS k FROM rem WHERE node_id IS NULL GROUP BY job_id),
-        made AS (SELECT instance_id, count(*) AS n FROM fx_claims GROUP BY instance_id),
-        w AS (SELECT j.id, j.job_id, coalesce(m.n, 0) < 1 AS open, row_number() OVER (
-          PARTITION BY j.job_id, coalesce(m.n, 0) < 1 ORDER BY j.created_at, j.id) - 1 AS r
-         FROM fx_jobs j LEFT JOIN made m ON m.instance_id = j.id WHERE {WAITING})
-        SELECT w.id, w.job_id, CASE WHEN m.pos IS NOT NULL THEN 'profiling' ELSE 'standard' END AS mode,
-         CASE WHEN m.pos IS NOT NULL THEN m.config_key ELSE s.config_key END AS config_key,
-         CASE WHEN m.pos IS NOT NULL THEN m.node_id ELSE s.node_id END AS node_id, m.pos IS NOT NULL AS is_profiling_run
-        FROM w LEFT JOIN stuck k ON k.job_id = w.job_id
-        LEFT JOIN rem m ON w.open AND m.job_id = w.job_id AND m.pos = least(w.r, coalesce(k.k, w.r))
-        LEFT JOIN standard s ON s.job_id = w.job_id""",
+    "plan_round": plan(CLAIMS),
     "plan_standard": f"""WITH {FREE}, {CLAIMS}, {STANDARD}
         SELECT j.id, j.job_id, 'standard' AS mode, s.config_key, s.node_id, false AS is_profiling_run
         FROM fx_jobs j LEFT JOIN standard s ON s.job_id = j.job_id WHERE {WAITING}""",
@@ -393,4 +397,35 @@ ORACLES: dict[str, str] = {
          / count(*), 6)::DOUBLE AS accuracy FROM embeddings GROUP BY label""",
     "timeouts": f"""WITH {RUNS}, e AS (SELECT *, (epoch_us(ended_at) - epoch_us(started_at)) / 1e6 AS elapsed FROM fx_runs)
         SELECT run_id, started_at, ended_at, round(elapsed, 3) AS elapsed_seconds FROM e WHERE elapsed > 29 * 24 * 3600""",
+    "stream_epoch_lines": """SELECT 'job-' || user_id AS run_id, event_id AS line_no, 1 + event_id % 500 AS epoch,
+         CAST(500 AS BIGINT) AS total FROM events WHERE event_type <> 'error'""",
+    "stream_latest_progress": """SELECT 'job-' || user_id AS run_id, arg_max(1 + event_id % 500, (ts, event_id)) || '/500' AS progress
+        FROM events WHERE event_type <> 'error' GROUP BY user_id""",
+    "stream_run_duration": """WITH m AS (SELECT 'job-' || user_id AS run_id, ts, event_id, 1 + event_id % 500 AS epoch,
+          row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type <> 'error'),
+        d AS (SELECT run_id, count(*) AS n_marks, (epoch_us(max(ts)) - epoch_us(min(ts) FILTER (WHERE n = 2))) / 1e6 AS span,
+          arg_max(epoch, n) AS last FROM m GROUP BY run_id),
+        e AS (SELECT 'job-' || c_custkey AS run_id, (1 + c_custkey % 20) * 3600.0 AS wall FROM customer)
+        SELECT coalesce(e.run_id, d.run_id) AS run_id, CASE WHEN e.run_id IS NULL THEN 'timeout' ELSE 'ended' END AS outcome,
+         coalesce(d.n_marks, 0) AS n_marks,
+         round(CASE WHEN d.n_marks >= 3 THEN d.span / (d.n_marks - 2) * d.last ELSE e.wall END, 2)::DOUBLE AS duration_seconds
+        FROM e FULL JOIN d ON d.run_id = e.run_id""",
+    "stream_status_counts": f"""WITH {JOBS}, c AS (SELECT 'job-' || user_id AS id, arg_max(CASE event_type WHEN 'error' THEN 'FAILED'
+          WHEN 'purchase' THEN 'SUCCEEDED' WHEN 'click' THEN 'RUNNING' ELSE 'QUEUED' END, (ts, event_id)) AS status FROM events GROUP BY user_id),
+        j AS (SELECT coalesce(c.status, f.status) AS status FROM fx_jobs f LEFT JOIN c ON c.id = f.id)
+        SELECT count(*) AS total, count(*) FILTER (WHERE status = 'QUEUED') AS queued,
+         count(*) FILTER (WHERE status = 'PROFILING') AS profiling, count(*) FILTER (WHERE status = 'RUNNING') AS running,
+         count(*) FILTER (WHERE status IN ('SUCCEEDED', 'FAILED')) AS completed FROM j""",
+    "stream_dispatches": """SELECT DISTINCT 'job-' || l_orderkey AS id, l_linenumber % 2 AS attempt FROM lineitem""",
+    "stream_replan": plan(f"""{CLAIMS.replace("fx_claims AS", "old_claims AS")}, r AS (
+         SELECT job_id, a40, l40s, node_id, l_quantity * 7 AS duration_seconds,
+          row_number() OVER (PARTITION BY job_id, a40, l40s ORDER BY l_quantity, {FEED_ORDER}) AS rn FROM fx_feed WHERE duration_seconds IS NULL),
+        fx_claims AS (SELECT k.job_id, k.a40, k.l40s, k.config_key, k.instance_id, k.created_at,
+          CASE WHEN k.duration_seconds IS NULL AND r.job_id IS NOT NULL THEN r.node_id ELSE k.node_id END AS node_id,
+          coalesce(k.duration_seconds, r.duration_seconds) AS duration_seconds
+         FROM old_claims k LEFT JOIN r ON r.rn = 1 AND r.job_id = k.job_id AND r.a40 = k.a40 AND r.l40s = k.l40s)"""),
+    "restart_recovery": f"""WITH {JOBS}, live AS (SELECT 'run-' || substr('job-' || o_orderkey, 1, 8) AS name FROM orders WHERE o_orderkey % 3 = 0)
+        SELECT id, 'fail' AS action FROM fx_jobs
+        WHERE status IN ('RUNNING', 'PROFILING') AND 'run-' || substr(id, 1, 8) NOT IN (SELECT name FROM live)
+        UNION ALL SELECT id, 'dispatch' FROM fx_jobs WHERE status = 'QUEUED'""",
 }

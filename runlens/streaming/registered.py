@@ -1 +1,142 @@
-QUERIES = {}
+"""Streaming operators run over the tables as files that arrive."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from runlens import fixtures as fx
+from runlens.session import new_folder
+from runlens.streaming import jobs as job_streams
+from runlens.streaming import logs
+from runlens.streaming.sinks import newest_rows, start, start_to_folder
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def query(function):
+    QUERIES[function.__name__] = function
+    return function
+
+
+@contextmanager
+def _rocksdb(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, logs.ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, before)
+
+
+def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    schema = fx.table(spark, sf, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Log lines as they arrive; their epoch comes from the event's own number."""
+    return _stream(spark, sf, "events").selectExpr(
+        "concat('job-', user_id) AS run_id",
+        "event_id AS line_no",
+        "CAST(ts AS TIMESTAMP) AS ts",
+        "CASE WHEN event_type = 'error' THEN 'Checkpoint saved'"
+        " ELSE concat('Epoch ', 1 + event_id % 500, '/500 - Loss: ', CAST(value AS DECIMAL(12,2))) END AS line",
+    )
+
+
+def _folders(spark: SparkSession, name: str) -> tuple[str, str]:
+    base = new_folder(spark, name)
+    return f"{base}/rows", f"{base}/checkpoint"
+
+
+@query
+def stream_epoch_lines(spark, sf):
+    """T-01."""
+    rows, checkpoint = _folders(spark, "epoch-lines")
+    start_to_folder(logs.epoch_stream(_lines(spark, sf)), rows, checkpoint).awaitTermination()
+    return spark.read.parquet(rows).select("run_id", "line_no", "epoch", "total")
+
+
+@query
+def stream_latest_progress(spark, sf):
+    """T-02."""
+    rows, checkpoint = _folders(spark, "progress")
+    start_to_folder(logs.latest_progress_stream(_lines(spark, sf)), rows, checkpoint, "update").awaitTermination()
+    latest = newest_rows(spark.read.parquet(rows), ["run_id"], [F.col("ts"), F.col("line_no")])
+    return latest.select("run_id", "progress")
+
+
+@query
+def stream_run_duration(spark, sf):
+    """T-03, T-04. A run per customer ends; a run that only logs goes over the limit."""
+    rows, checkpoint = _folders(spark, "durations")
+    ends = _stream(spark, sf, "customer").selectExpr(
+        "concat('job-', c_custkey) AS run_id",
+        "TIMESTAMP '2024-01-01 00:00:00' AS started_at",
+        "TIMESTAMP '2024-01-01 00:00:00' + make_dt_interval(0, 1 + c_custkey % 20) AS ended_at",
+    )
+    events = logs.run_events(logs.epoch_stream(_lines(spark, sf)), ends)
+    with _rocksdb(spark):
+        start_to_folder(logs.run_duration_stream(events), rows, checkpoint).awaitTermination()
+    durations = spark.read.parquet(rows).select("run_id", "outcome", "n_marks", "duration_seconds")
+    return durations.withColumn("duration_seconds", F.round("duration_seconds", 2))
+
+
+def _changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Status changes of jobs, several per job, from events."""
+    return _stream(spark, sf, "events").selectExpr(
+        "concat('job-', user_id) AS id",
+        "CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'purchase' THEN 'SUCCEEDED' WHEN 'click' THEN 'RUNNING'"
+        " ELSE 'QUEUED' END AS status",
+        "ts",
+        "event_id",
+    )
+
+
+@query
+def stream_status_counts(spark, sf):
+    """T-06, T-07."""
+    rows, checkpoint = _folders(spark, "changes")
+    newest = [F.col("ts"), F.col("event_id")]
+    start(_changes(spark, sf), job_streams.upsert_handler(rows, newest), checkpoint).awaitTermination()
+    return job_streams.live_status_counts(fx.jobs(spark, sf), spark.read.parquet(rows), newest, fx.now())
+
+
+@query
+def stream_dispatches(spark, sf):
+    """T-08. Lineitems of an order are repeated dispatches of it."""
+    rows, checkpoint = _folders(spark, "dispatches")
+    dispatches = _stream(spark, sf, "lineitem").selectExpr(
+        "concat('job-', l_orderkey) AS id", "l_linenumber % 2 AS attempt", "CAST(l_shipdate AS TIMESTAMP) AS ts"
+    )
+    start_to_folder(job_streams.distinct_dispatches(dispatches), rows, checkpoint).awaitTermination()
+    return spark.read.parquet(rows).select("id", "attempt")
+
+
+@query
+def stream_replan(spark, sf):
+    """T-05. Measured claims arrive and the waiting jobs are planned again."""
+    rows, checkpoint = _folders(spark, "replan")
+    results = _stream(spark, sf, "lineitem").where("l_returnflag = 'N'")
+    results = fx.with_config(fx.claim_columns(results)).withColumn("duration_seconds", F.col("_quantity") * 7)
+
+    def tables(session: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+        return fx.jobs(session, sf), fx.claims(session, sf), fx.nodes(session, sf)
+
+    order = [F.col("_quantity"), *fx.claim_order()]
+    start(results, job_streams.replan_handler(tables, rows, order), checkpoint).awaitTermination()
+    return spark.read.parquet(f"{rows}/plan").drop("batch")
+
+
+@query
+def restart_recovery(spark, sf):
+    """T-09."""
+    live = fx.table(spark, sf, "orders").where("o_orderkey % 3 = 0").selectExpr(
+        "concat('run-', substr(concat('job-', o_orderkey), 1, 8)) AS name"
+    )
+    return job_streams.recovery(fx.jobs(spark, sf), live)
