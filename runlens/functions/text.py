@@ -27,15 +27,35 @@ def format_duration(seconds: Column | str) -> Column:
 
 
 def progress(line: Column | str) -> tuple[Column, Column]:
-    """F-04. (epoch, total) of the first progress mark in the line, NULL when there is none."""
-    return _group(line, C.PROGRESS_PATTERN, 1).try_cast("bigint"), _group(line, C.PROGRESS_PATTERN, 2).try_cast("bigint")
+    """F-04. (epoch, total) of the first progress mark in the line, NULL when there is none.
+
+    The line is searched once; the numbers are taken from the short match.
+    """
+    mark = F.regexp_substr(_col(line), F.lit(C.PROGRESS_PATTERN))
+    numbers = F.ltrim(F.substring(mark, len("Epoch") + 1, 64))
+    return (
+        F.regexp_substr(numbers, F.lit(r"^\d+")).try_cast("bigint"),
+        F.substring_index(numbers, "/", -1).try_cast("bigint"),
+    )
 
 
 def epoch_line(line: Column | str) -> Column:
-    """F-05. Struct (epoch, total, loss, accuracy, seconds) of an epoch summary line."""
-    kinds = {"epoch": "bigint", "total": "bigint", "loss": "double", "accuracy": "double", "seconds": "double"}
-    fields = [_group(line, C.EPOCH_LINE_PATTERN, i).try_cast(k).alias(n) for i, (n, k) in enumerate(kinds.items(), 1)]
-    return F.struct(*fields)
+    """F-05. Struct (epoch, total, loss, accuracy, seconds) of an epoch summary line, NULL fields
+    on other lines. The line is searched once and the match cut at its separators."""
+    parts = F.split(F.regexp_substr(_col(line), F.lit(C.EPOCH_LINE_PATTERN)), " - ")
+
+    def after(index: int, skip: str, drop: int = 0) -> Column:
+        text = F.get(parts, F.lit(index))
+        return F.substring(text, F.lit(len(skip) + 1), F.length(text) - len(skip) - drop)
+
+    epochs = after(0, "Epoch ")
+    return F.struct(
+        F.substring_index(epochs, "/", 1).try_cast("bigint").alias("epoch"),
+        F.substring_index(epochs, "/", -1).try_cast("bigint").alias("total"),
+        after(1, "Loss: ").try_cast("double").alias("loss"),
+        after(2, "Acc: ", 1).try_cast("double").alias("accuracy"),
+        after(3, "", 1).try_cast("double").alias("seconds"),
+    )
 
 
 def line_time(line: Column | str) -> Column:

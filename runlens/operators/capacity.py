@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.operators.filters import active_jobs
+from runlens.plans.ordered import join_unique
 
 
 def gpu_usage(jobs: DataFrame) -> DataFrame:
@@ -76,11 +77,12 @@ def node_status(nodes: DataFrame, jobs: DataFrame, with_ids: bool = False) -> Da
 def node_current_jobs(nodes: DataFrame, jobs: DataFrame) -> DataFrame:
     """J-01, one row per node and active job; an idle node has one row with no job."""
     running = active_jobs(jobs).select(F.col("assigned_node").alias("node_id"), F.col("id").alias("current_job_id"))
-    return nodes.join(running, "node_id", "left").select(
-        "node_id",
-        F.when(F.col("current_job_id").isNull(), "idle").otherwise("busy").alias("status"),
-        "current_job_id",
+    known = nodes.select("node_id", F.lit("busy").alias("status"))
+    busy = join_unique(running, known, ["node_id"], how="inner").select("node_id", "status", "current_job_id")
+    idle = nodes.join(running.select("node_id").distinct(), "node_id", "left_anti").select(
+        "node_id", F.lit("idle").alias("status"), F.lit(None).cast("string").alias("current_job_id")
     )
+    return busy.unionByName(idle)
 
 
 def node_counts(status: DataFrame) -> DataFrame:
@@ -101,4 +103,4 @@ def node_gpu_total(nodes: DataFrame) -> DataFrame:
 def route_jobs(jobs: DataFrame, nodes: DataFrame) -> DataFrame:
     """J-09. Worker address of each job's node; NULL means the job runs locally."""
     targets = nodes.select(F.col("node_id").alias("assigned_node"), F.col("worker_url").alias("target_url"))
-    return jobs.join(targets, "assigned_node", "left").select("id", "assigned_node", "target_url")
+    return join_unique(jobs.select("id", "assigned_node"), targets, ["assigned_node"])

@@ -36,7 +36,7 @@ def complete_claims(claims: DataFrame, results: DataFrame, order: list[Column])
 
 def release_claims(claims: DataFrame, failed: DataFrame) -> DataFrame:
     """K-03. Drop claims in flight of failed profiling runs, so that they can be retried."""
-    in_flight = failed.select(*KEY).withColumn("_open", F.lit(True))
+    in_flight = failed.select(*KEY).distinct().withColumn("_open", F.lit(True))
     match = (
         (claims["job_id"] == in_flight["job_id"])
         & (claims["config_key"] == in_flight["config_key"])

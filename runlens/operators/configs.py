@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions import config_key, config_total
+from runlens.plans.ordered import DEFAULT, HotGroups, join_unique
+from runlens.schemas import GPU_CONFIG
 
 
 def enumerate_configs(nodes: DataFrame, profiling_only: bool = False) -> DataFrame:
@@ -31,13 +33,22 @@ def enumerate_configs(nodes: DataFrame, profiling_only: bool = False) -> DataFra
     )
 
     def count(r: Column, i: Column) -> Column:
-        return F.floor(F.col("code") / F.get("steps", i)) % (r["gpu_count"] + 1)
+        return F.call_function("div", F.col("code"), F.get("steps", i)) % (r["gpu_count"] + 1)
 
     parts = F.transform("layout", lambda r, i: F.struct(r["gpu_type"], count(r, i).cast("int").alias("n")))
-    config = F.map_from_entries(F.filter(parts, lambda p: p["n"] > 0))
-    configs = codes.select(config.alias("gpu_config"))
-    configs = configs.select("gpu_config", config_key("gpu_config").alias("config_key"))
-    return configs.dropDuplicates(["config_key"]).withColumn("n_gpus", config_total("gpu_config"))
+    return _keyed(codes.select(F.filter(parts, lambda p: p["n"] > 0).alias("parts")).distinct())
+
+
+def _keyed(parts: DataFrame) -> DataFrame:
+    """Configurations from their sorted entries. Arrays, unlike maps, can be grouped."""
+    configs = parts.select(F.map_from_entries("parts").alias("gpu_config"))
+    return configs.withColumns({"config_key": config_key("gpu_config"), "n_gpus": config_total("gpu_config")})
+
+
+def distinct_configs(df: DataFrame) -> DataFrame:
+    """The distinct ``gpu_config`` values, with ``config_key`` and ``n_gpus``."""
+    wanted = df.where(F.col("gpu_config").isNotNull())
+    return _keyed(wanted.select(F.array_sort(F.map_entries("gpu_config")).alias("parts")).distinct())
 
 
 def valid_configs(nodes: DataFrame, production: str = "all") -> DataFrame:
@@ -77,7 +88,7 @@ def best_fit(configs: DataFrame, node_free: DataFrame, profiling_only: bool = Fa
         .agg(F.min(F.struct("node_pos", "node_id")).alias("node"))
     )
     offered = layouts.select("node", F.inline("layout"))
-    distinct = configs.dropDuplicates(["config_key"]).select("config_key", "gpu_config")
+    distinct = distinct_configs(configs).select("config_key", "gpu_config")
     needed = distinct.select(
         "config_key", F.size("gpu_config").alias("n_types"), F.explode("gpu_config").alias("gpu_type", "needed")
     )
@@ -92,11 +103,17 @@ def best_fit(configs: DataFrame, node_free: DataFrame, profiling_only: bool = Fa
     return distinct.join(fits, "config_key", "left").select("config_key", "fit.node_id", "fit.surplus")
 
 
+def fit_requests(requests: DataFrame, node_free: DataFrame, profiling_only: bool = False) -> DataFrame:
+    """J-03 for rows with a ``gpu_config`` and ``config_key``: add ``node_id`` and ``surplus``."""
+    return join_unique(requests, best_fit(requests, node_free, profiling_only), ["config_key"])
+
+
 def profiled_configs(claims: DataFrame, completed_only: bool = False) -> DataFrame:
     """A-05. Distinct configurations claimed per job type, or only those measured."""
     if completed_only:
         claims = claims.where(F.col("duration_seconds").isNotNull())
-    return claims.select("job_id", "config_key", "gpu_config").dropDuplicates(["job_id", "config_key"])
+    keys = claims.select("job_id", "config_key").distinct()
+    return keys.withColumn("gpu_config", F.from_json("config_key", GPU_CONFIG))
 
 
 def config_list(configs: DataFrame, *extra: str) -> Column:
@@ -186,14 +203,16 @@ def best_config(claims: DataFrame) -> DataFrame:
     return best.select("job_id", "best.config_key", "best.duration_seconds", "best.node_id")
 
 
-def available_config(types: DataFrame, claims: DataFrame, node_free: DataFrame) -> DataFrame:
+def available_config(
+    types: DataFrame, claims: DataFrame, node_free: DataFrame, hot: HotGroups = DEFAULT
+) -> DataFrame:
     """J-05. Per type the first measured configuration some node can run now, profiling nodes
     included; order: fewest GPUs, then key. NULL when nothing fits."""
     measured = profiled_configs(claims, completed_only=True)
-    fit = best_fit(measured, node_free).where(F.col("node_id").isNotNull())
+    fit = best_fit(measured, node_free).select("config_key", "node_id")
+    fitting = join_unique(measured, fit, ["config_key"], hot).where(F.col("node_id").isNotNull())
     first = (
-        measured.withColumn("n_gpus", config_total("gpu_config"))
-        .join(fit, "config_key")
+        fitting.withColumn("n_gpus", config_total("gpu_config"))
         .groupBy("job_id")
         .agg(F.min(F.struct("n_gpus", "config_key", "node_id")).alias("first"))
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from runlens import constants as C
 from runlens.functions import container_name, is_active, is_resumable
 from runlens.operators.filters import active_jobs
-from runlens.plans.ordered import DEFAULT, HotGroups, previous, running_sum, with_ordered
+from runlens.plans.ordered import DEFAULT, HotGroups, join_unique, previous, running_sum, with_ordered
 
 
 def patch_jobs(jobs: DataFrame, changes: DataFrame, now: Column, newest: list[Column] | None = None) -> DataFrame:
@@ -72,7 +72,7 @@ def apply_commands(
         {"_prev": previous("cmd"), "_stops": running_sum("_is_stop"), "_resumes": running_sum("_is_resume")},
         hot,
     )
-    known = ordered.join(jobs.select("id", F.col("status").alias("_first")), "id", "left")
+    known = join_unique(ordered, jobs.select("id", F.col("status").alias("_first")), ["id"], hot)
     first, prev = F.col("_first"), F.col("_prev")
     never_stopped = F.col("_stops") - F.col("_is_stop") == 0
     never_resumed = F.col("_resumes") - F.col("_is_resume") == 0
@@ -146,7 +146,7 @@ def orphaned_jobs(
     """J-08. Active jobs (of one node) whose container (``live.name``) is gone; they have failed."""
     running = active_jobs(jobs).where(F.col("assigned_node") == node) if node else jobs.where(is_active())
     expected = running.withColumn("expected_container", container_name(prefix=prefix))
-    live = live.select(F.col("name").alias("expected_container"))
+    live = live.select(F.col("name").alias("expected_container")).distinct()
     return expected.join(live, "expected_container", "left_anti").select(
         "id", "expected_container", F.col("status").alias("old_status"), F.lit(C.FAILED).alias("status")
     )

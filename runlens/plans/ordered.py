@@ -1,4 +1,4 @@
-"""Ordered computations per group that stay parallel when one group is huge.
+"""Ordered computations and joins per group that stay parallel when one group is huge.
 
 A plain window sends every row of a group to one task. Here the largest groups are cut into
 chunks of consecutive rows, the window runs per (group, chunk), and each chunk is corrected
@@ -35,6 +35,10 @@ class HotGroups:
     chunks: int = 128
 
 
+DEFAULT = HotGroups()
+SAMPLE_ROWS = 16_384
+
+
 @dataclass(frozen=True)
 class Ordered:
     """One computed column: ``kind`` is row_number, previous, running_max or running_sum."""
@@ -59,8 +63,6 @@ def running_sum(column: str) -> Ordered:
     return Ordered("running_sum", column)
 
 
-DEFAULT = HotGroups()
-SAMPLE_ROWS = 16_384
 
 
 def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], renamed: Sequence[str]) -> Column:
@@ -70,17 +72,53 @@ def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], renamed: Seque
     return condition
 
 
-def cut_hot_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: HotGroups = DEFAULT) -> DataFrame:
-    """Add ``_chunk``: 0 for ordinary groups, a rising number along the first ``order`` column
-    for hot ones, and ``_is_hot``."""
-    names = [f"_hot_{i}" for i in range(len(keys))]
-    largest = (
+def largest_groups(df: DataFrame, keys: Sequence[str], names: Sequence[str], hot: HotGroups) -> DataFrame:
+    """The hot groups' keys, as ``names``, with their ``_rows``: at most ``max_groups`` rows."""
+    return (
         df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)])
         .agg(F.count(F.lit(1)).alias("_rows"))
         .where(F.col("_rows") >= hot.min_rows)
         .orderBy(F.desc("_rows"), *names)
         .limit(hot.max_groups)
     )
+
+
+def join_unique(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], hot: HotGroups = DEFAULT, how: str = "left"
+) -> DataFrame:
+    """Left (or inner) join to a table with one row per key, when some keys may hold much of
+    ``left``.
+
+    Rows of hot keys meet their one partner in a broadcast of at most ``max_groups`` rows and are
+    then spread evenly; all others join as usual. NULL keys match nothing and may be hot too.
+    Spark splits skewed joins itself, but not where an aggregate gives one side of the join.
+    """
+    keys = list(keys)
+    added = [c for c in right.columns if c not in keys]
+    names = [f"_hot_{i}" for i in range(len(keys))]
+    partners = right.select(*[F.col(k).alias(f"_to_{i}") for i, k in enumerate(keys)], F.struct(*added).alias("_row"))
+    same = [F.col(n) == F.col(f"_to_{i}") for i, n in enumerate(names)]
+    largest = largest_groups(left, keys, names, hot)
+    found = largest.join(partners, same, "left").select(
+        *names, F.lit(True).alias("_is_hot"), F.col("_row").alias("_hot_row")
+    )
+    marked = left.join(F.broadcast(found), _same(left, found, keys, names), "left").drop(*names)
+    hashable = [f.name for f in left.schema if "map<" not in f.dataType.simpleString()]
+    spread = F.when(F.col("_is_hot"), 1 + F.pmod(F.xxhash64(*hashable), F.lit(hot.max_groups)))
+    marked = marked.withColumn("_part", F.coalesce(spread, F.lit(0).cast("bigint")))
+    cold = partners.withColumn("_with", F.lit(0).cast("bigint"))
+    match = [F.col("_part") == F.col("_with"), *[F.col(k) == F.col(f"_to_{i}") for i, k in enumerate(keys)]]
+    joined = marked.join(cold, match, "left").withColumn("_row", F.coalesce("_hot_row", "_row"))
+    if how == "inner":
+        joined = joined.where(F.col("_row").isNotNull())
+    return joined.select(*left.columns, *[F.col("_row")[c].alias(c) for c in added])
+
+
+def cut_hot_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: HotGroups = DEFAULT) -> DataFrame:
+    """Add ``_chunk``: 0 for ordinary groups, a rising number along the first ``order`` column
+    for hot ones, and ``_is_hot``."""
+    names = [f"_hot_{i}" for i in range(len(keys))]
+    largest = largest_groups(df, keys, names, hot)
     narrow = df.select(*keys, F.col(order[0]).alias("_at"), F.xxhash64(*order).alias("_spread"))
     places = F.sequence(F.lit(1), F.lit(hot.chunks - 1))
     cuts = (

@@ -22,7 +22,7 @@ from runlens.operators.capacity import gpu_usage, node_free
 from runlens.operators.claims import claims_per_instance
 from runlens.operators.configs import available_config, best_fit, open_configs, valid_configs
 from runlens.operators.filters import waiting
-from runlens.plans.ordered import DEFAULT, HotGroups, row_number, with_ordered
+from runlens.plans.ordered import DEFAULT, HotGroups, join_unique, row_number, with_ordered
 
 
 def plan_round(
@@ -34,9 +34,9 @@ def plan_round(
 ) -> DataFrame:
     """P-01. (id, job_id, mode, config_key, node_id, is_profiling_run) per waiting job.
 
-    Fit is decided per configuration and not per job, types per type; only the rank (W-06) and
-    the final join run over the jobs. A type with very many waiting jobs is ranked in chunks,
-    and its rows of the final join are split by Spark's skew handling.
+    Fit is decided per configuration and what is left to profile per type; only the rank (W-06)
+    and the final join run over the jobs. A type with very many waiting jobs is ranked in
+    chunks and spread over the final join.
     """
     free = node_free(nodes, gpu_usage(jobs))
     queue = claims_per_instance(waiting(jobs).select("id", "job_id", "created_at"), claims)
@@ -53,7 +53,7 @@ def plan_round(
     rem = open_configs(types, placed, claims, "fit_node").withColumn(
         "k", F.nullif(F.array_position(F.transform("rem", lambda c: c["fit_node"].isNull()), True), F.lit(0)) - 1
     )
-    standard = available_config(types, claims, free).select(
+    standard = available_config(types, claims, free, hot).select(
         "job_id", F.col("config_key").alias("std_key"), F.col("node_id").alias("std_node")
     )
     by_type = rem.join(standard, "job_id")
@@ -62,7 +62,7 @@ def plan_round(
     profile = F.col("_open") & (index < F.size("rem"))
     chosen = F.get("rem", index.cast("int"))
     return (
-        ranked.join(by_type, "job_id", "left")
+        join_unique(ranked, by_type, ["job_id"], hot)
         .withColumn("is_profiling_run", F.coalesce(profile, F.lit(False)))
         .select(
             "id",
@@ -75,11 +75,11 @@ def plan_round(
     )
 
 
-def plan_standard(jobs: DataFrame, claims: DataFrame, nodes: DataFrame) -> DataFrame:
+def plan_standard(jobs: DataFrame, claims: DataFrame, nodes: DataFrame, hot: HotGroups = DEFAULT) -> DataFrame:
     """P-02. Every waiting job as a standard run, on its type's first available configuration."""
     free = node_free(nodes, gpu_usage(jobs))
     queue = waiting(jobs).select("id", "job_id")
-    found = available_config(queue, claims, free)
-    return queue.join(found, "job_id", "left").select(
+    found = available_config(queue, claims, free, hot)
+    return join_unique(queue, found, ["job_id"], hot).select(
         "id", "job_id", F.lit("standard").alias("mode"), "config_key", "node_id", F.lit(False).alias("is_profiling_run")
     )

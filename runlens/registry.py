@@ -166,8 +166,8 @@ def config_cost(spark, sf):
 def best_fit(spark, sf):
     """J-03, for the configuration each waiting job asks for."""
     requests = filters.waiting(fx.jobs(spark, sf)).select("id", "config_key", F.col("assigned_gpu_config").alias("gpu_config"))
-    fit = configs.best_fit(requests, _free(spark, sf))
-    return requests.join(fit, "config_key", "left").select("id", "config_key", "node_id", "surplus")
+    fit = configs.fit_requests(requests, _free(spark, sf))
+    return fit.select("id", "config_key", "node_id", "surplus")
 
 
 @query
