@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions import config_key, config_total
-from runlens.plans.ordered import DEFAULT, HotGroups, join_unique
+from runlens.plans.ordered import join_unique
 from runlens.schemas import GPU_CONFIG
 
 
@@ -67,8 +67,9 @@ def valid_configs(nodes: DataFrame, production: str = "all") -> DataFrame:
     return profiling.join(others.select("config_key"), "config_key", "left_semi")
 
 
-def best_fit(configs: DataFrame, node_free: DataFrame, profiling_only: bool = False) -> DataFrame:
-    """J-03. (config_key, node_id, surplus) per distinct configuration; NULL node if none fits.
+def fitting_configs(configs: DataFrame, node_free: DataFrame, profiling_only: bool = False) -> DataFrame:
+    """(config_key, n_gpus, surplus, node_pos, node_id) for those of the distinct ``configs`` that
+    fit on some node, with the node they fit best.
 
     A node fits when it has enough of every required type. The tightest fit wins, then the
     node listed first. Nodes with the same free GPUs compete only by their place, so they are
@@ -88,19 +89,28 @@ def best_fit(configs: DataFrame, node_free: DataFrame, profiling_only: bool = Fa
         .agg(F.min(F.struct("node_pos", "node_id")).alias("node"))
     )
     offered = layouts.select("node", F.inline("layout"))
-    distinct = distinct_configs(configs).select("config_key", "gpu_config")
-    needed = distinct.select(
-        "config_key", F.size("gpu_config").alias("n_types"), F.explode("gpu_config").alias("gpu_type", "needed")
+    needed = configs.select(
+        "config_key",
+        "n_gpus",
+        F.size("gpu_config").alias("n_types"),
+        F.explode("gpu_config").alias("gpu_type", "needed"),
     )
-    fits = (
+    return (
         needed.join(offered, (needed["gpu_type"] == offered["gpu_type"]) & (offered["free"] >= needed["needed"]))
-        .groupBy("config_key", "n_types", "node")
+        .groupBy("config_key", "n_gpus", "n_types", "node")
         .agg(F.count(F.lit(1)).alias("n_met"), F.sum(F.col("free") - F.col("needed")).alias("surplus"))
         .where(F.col("n_met") == F.col("n_types"))
-        .groupBy("config_key")
+        .groupBy("config_key", "n_gpus")
         .agg(F.min(F.struct("surplus", "node.node_pos", "node.node_id")).alias("fit"))
+        .select("config_key", "n_gpus", "fit.*")
     )
-    return distinct.join(fits, "config_key", "left").select("config_key", "fit.node_id", "fit.surplus")
+
+
+def best_fit(configs: DataFrame, node_free: DataFrame, profiling_only: bool = False) -> DataFrame:
+    """J-03. (config_key, node_id, surplus) per distinct configuration; NULL node if none fits."""
+    distinct = distinct_configs(configs)
+    fits = fitting_configs(distinct, node_free, profiling_only)
+    return distinct.select("config_key").join(fits, "config_key", "left").select("config_key", "node_id", "surplus")
 
 
 def fit_requests(requests: DataFrame, node_free: DataFrame, profiling_only: bool = False) -> DataFrame:
@@ -126,23 +136,52 @@ def config_list(configs: DataFrame, *extra: str) -> Column:
     return configs.agg(F.array_sort(F.collect_list(entry))).scalar()
 
 
-def open_configs(types: DataFrame, configs: DataFrame, claims: DataFrame, *extra: str) -> DataFrame:
-    """Per job type the array ``rem`` of its un-profiled configurations, smallest first.
+def type_claims(types: DataFrame, claims: DataFrame) -> DataFrame:
+    """Per job type the configurations ``claimed`` and those ``measured``.
 
     A type has one claim per configuration, so the arrays stay as short as the configuration
     list, and repeated claims are merged before the shuffle.
     """
-    claimed = claims.groupBy("job_id").agg(F.collect_set("config_key").alias("_claimed"))
+    measured = F.when(F.col("duration_seconds").isNotNull(), F.col("config_key"))
+    held = claims.groupBy("job_id").agg(
+        F.collect_set("config_key").alias("claimed"), F.collect_set(measured).alias("measured")
+    )
+    none = F.array().cast("array<string>")
     return (
         types.select("job_id")
         .distinct()
-        .join(claimed, "job_id", "left")
-        .withColumn("_claimed", F.coalesce("_claimed", F.array().cast("array<string>")))
-        .withColumn("_all", config_list(configs, *extra))
-        .select("job_id", F.filter("_all", lambda c: ~F.array_contains("_claimed", c["config_key"])).alias("rem"))
+        .join(held, "job_id", "left")
+        .select("job_id", F.coalesce("claimed", none).alias("claimed"), F.coalesce("measured", none).alias("measured"))
     )
 
 
+def open_list(valid: str) -> Column:
+    """The entries of the list column ``valid`` whose configuration is not in ``claimed``."""
+    claimed = F.col("claimed")
+    return F.filter(valid, lambda c: ~F.array_contains(claimed, c["config_key"]))
+
+
+def fit_list(node_free: DataFrame) -> Column:
+    """Every configuration some node can run now, with that node, smallest first.
+
+    What fits on a node is one of the configurations the nodes can hold, so those are matched
+    once, and a job type only looks its own up in the list.
+    """
+    return config_list(fitting_configs(enumerate_configs(node_free), node_free), "node_id")
+
+
+def first_measured(fits: str) -> Column:
+    """The first entry of the list column ``fits`` whose configuration is in ``measured``."""
+    measured = F.col("measured")
+    return F.get(F.filter(fits, lambda c: F.array_contains(measured, c["config_key"])), F.lit(0))
+
+
+def open_configs(types: DataFrame, configs: DataFrame, claims: DataFrame) -> DataFrame:
+    """Per job type the array ``rem`` of its un-profiled configurations, smallest first."""
+    held = type_claims(types, claims).withColumn("_valid", config_list(configs))
+    return held.select("job_id", open_list("_valid").alias("rem"))
+
+
 def unprofiled_configs(types: DataFrame, configs: DataFrame, claims: DataFrame) -> DataFrame:
     """J-04. (job_id, n_gpus, config_key) for every valid configuration without a claim."""
     return open_configs(types, configs, claims).select("job_id", F.inline("rem"))
@@ -203,22 +242,9 @@ def best_config(claims: DataFrame) -> DataFrame:
     return best.select("job_id", "best.config_key", "best.duration_seconds", "best.node_id")
 
 
-def available_config(
-    types: DataFrame, claims: DataFrame, node_free: DataFrame, hot: HotGroups = DEFAULT
-) -> DataFrame:
+def available_config(types: DataFrame, claims: DataFrame, node_free: DataFrame) -> DataFrame:
     """J-05. Per type the first measured configuration some node can run now, profiling nodes
     included; order: fewest GPUs, then key. NULL when nothing fits."""
-    measured = profiled_configs(claims, completed_only=True)
-    fit = best_fit(measured, node_free).select("config_key", "node_id")
-    fitting = join_unique(measured, fit, ["config_key"], hot).where(F.col("node_id").isNotNull())
-    first = (
-        fitting.withColumn("n_gpus", config_total("gpu_config"))
-        .groupBy("job_id")
-        .agg(F.min(F.struct("n_gpus", "config_key", "node_id")).alias("first"))
-    )
-    return (
-        types.select("job_id")
-        .distinct()
-        .join(first, "job_id", "left")
-        .select("job_id", "first.config_key", "first.node_id")
-    )
+    held = type_claims(types, claims).withColumn("_fits", fit_list(node_free))
+    found = held.select("job_id", first_measured("_fits").alias("first"))
+    return found.select("job_id", "first.config_key", "first.node_id")

@@ -72,7 +72,7 @@ def apply_commands(
         {"_prev": previous("cmd"), "_stops": running_sum("_is_stop"), "_resumes": running_sum("_is_resume")},
         hot,
     )
-    known = join_unique(ordered, jobs.select("id", F.col("status").alias("_first")), ["id"], hot)
+    known = join_unique(ordered, jobs.select("id", F.col("status").alias("_first")), ["id"], hot, counted=commands)
     first, prev = F.col("_first"), F.col("_prev")
     never_stopped = F.col("_stops") - F.col("_is_stop") == 0
     never_resumed = F.col("_resumes") - F.col("_is_resume") == 0

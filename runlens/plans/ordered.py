@@ -84,42 +84,48 @@ def largest_groups(df: DataFrame, keys: Sequence[str], names: Sequence[str], hot
 
 
 def join_unique(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], hot: HotGroups = DEFAULT, how: str = "left"
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    hot: HotGroups = DEFAULT,
+    how: str = "left",
+    counted: DataFrame | None = None,
 ) -> DataFrame:
-    """Left (or inner) join to a table with one row per key, when some keys may hold much of
+    """Left or inner join to a table with one row per key, when some keys may hold much of
     ``left``.
 
-    Rows of hot keys meet their one partner in a broadcast of at most ``max_groups`` rows and are
-    then spread evenly; all others join as usual. NULL keys match nothing and may be hot too.
-    Spark splits skewed joins itself, but not where an aggregate gives one side of the join.
+    Rows of a hot key are spread over ``chunks`` parts, and its one partner is repeated for each
+    part. NULL keys match nothing and may be hot too. Spark splits skewed joins itself, but not
+    where an aggregate gives one side of the join. ``counted`` may be a cheaper frame to count
+    the keys in; it need only hold every hot key.
     """
     keys = list(keys)
-    added = [c for c in right.columns if c not in keys]
     names = [f"_hot_{i}" for i in range(len(keys))]
-    partners = right.select(*[F.col(k).alias(f"_to_{i}") for i, k in enumerate(keys)], F.struct(*added).alias("_row"))
-    same = [F.col(n) == F.col(f"_to_{i}") for i, n in enumerate(names)]
-    largest = largest_groups(left, keys, names, hot)
-    found = largest.join(partners, same, "left").select(
-        *names, F.lit(True).alias("_is_hot"), F.col("_row").alias("_hot_row")
-    )
-    marked = left.join(F.broadcast(found), _same(left, found, keys, names), "left").drop(*names)
+    largest = largest_groups(left if counted is None else counted, keys, names, hot).drop("_rows")
+    largest = F.broadcast(largest.withColumn("_is_hot", F.lit(True)))
     hashable = [f.name for f in left.schema if "map<" not in f.dataType.simpleString()]
-    spread = F.when(F.col("_is_hot"), 1 + F.pmod(F.xxhash64(*hashable), F.lit(hot.max_groups)))
-    marked = marked.withColumn("_part", F.coalesce(spread, F.lit(0).cast("bigint")))
-    cold = partners.withColumn("_with", F.lit(0).cast("bigint"))
-    match = [F.col("_part") == F.col("_with"), *[F.col(k) == F.col(f"_to_{i}") for i, k in enumerate(keys)]]
-    joined = marked.join(cold, match, "left").withColumn("_row", F.coalesce("_hot_row", "_row"))
-    if how == "inner":
-        joined = joined.where(F.col("_row").isNotNull())
-    return joined.select(*left.columns, *[F.col("_row")[c].alias(c) for c in added])
+    spread = F.when(F.col("_is_hot"), F.pmod(F.xxhash64(*hashable), F.lit(hot.chunks)))
+    first = F.lit(0).cast("bigint")
+    one = left.join(largest, _same(left, largest, keys, names), "left").withColumn("_part", F.coalesce(spread, first))
+    parts = F.when(F.col("_is_hot"), F.sequence(first, F.lit(hot.chunks - 1).cast("bigint"))).otherwise(F.array(first))
+    other = right.join(largest, _same(right, largest, keys, names), "left").withColumn("_part", F.explode(parts))
+    return one.drop("_is_hot", *names).join(other.drop("_is_hot", *names), [*keys, "_part"], how).drop("_part")
 
 
-def cut_hot_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: HotGroups = DEFAULT) -> DataFrame:
+def cut_hot_groups(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    hot: HotGroups = DEFAULT,
+    counted: DataFrame | None = None,
+) -> DataFrame:
     """Add ``_chunk``: 0 for ordinary groups, a rising number along the first ``order`` column
-    for hot ones, and ``_is_hot``."""
+    for hot ones, and ``_is_hot``. Groups are counted and cut by the rows of ``counted``, if
+    given."""
+    source = df if counted is None else counted
     names = [f"_hot_{i}" for i in range(len(keys))]
-    largest = largest_groups(df, keys, names, hot)
-    narrow = df.select(*keys, F.col(order[0]).alias("_at"), F.xxhash64(*order).alias("_spread"))
+    largest = largest_groups(source, keys, names, hot)
+    narrow = source.select(*keys, F.col(order[0]).alias("_at"), F.xxhash64(*order).alias("_spread"))
     places = F.sequence(F.lit(1), F.lit(hot.chunks - 1))
     cuts = (
         narrow.join(F.broadcast(largest), _same(narrow, largest, keys, names))
@@ -156,14 +162,17 @@ def with_ordered(
     order: Sequence[str],
     columns: dict[str, Ordered],
     hot: HotGroups = DEFAULT,
+    cut_by: tuple[DataFrame, Sequence[str]] | None = None,
 ) -> DataFrame:
     """Add the ordered ``columns`` to ``df``, grouped by ``keys`` and ascending by ``order``.
 
     ``order`` must give every row of a group its own place, and its first column must be a
-    number, date or time.
+    number, date or time. ``cut_by`` may name a frame, and some of the keys, that are cheaper
+    to find hot groups in: cuts made for a larger group serve every group within it.
     """
     keys, order = list(keys), list(order)
-    chunked = cut_hot_groups(df, keys, order, hot)
+    counted, cut_keys = cut_by or (df, keys)
+    chunked = cut_hot_groups(df, cut_keys, order, hot, counted)
     names = [f"_of_{i}" for i in range(len(keys))]
 
     local = Window.partitionBy(*keys, "_chunk").orderBy(*order)

@@ -20,7 +20,16 @@ from pyspark.sql import functions as F
 from runlens import constants as C
 from runlens.operators.capacity import gpu_usage, node_free
 from runlens.operators.claims import claims_per_instance
-from runlens.operators.configs import available_config, best_fit, open_configs, valid_configs
+from runlens.operators.configs import (
+    available_config,
+    config_list,
+    first_measured,
+    fit_list,
+    fitting_configs,
+    open_list,
+    type_claims,
+    valid_configs,
+)
 from runlens.operators.filters import waiting
 from runlens.plans.ordered import DEFAULT, HotGroups, join_unique, row_number, with_ordered
 
@@ -39,37 +48,40 @@ def plan_round(
     chunks and spread over the final join.
     """
     free = node_free(nodes, gpu_usage(jobs))
-    queue = claims_per_instance(waiting(jobs).select("id", "job_id", "created_at"), claims)
-    may_profile = F.col("n_claims") < limit
+    queued = waiting(jobs).select("id", "job_id", "created_at")
     # One scan for both kinds of job: those that may not profile rank in a group of their own.
     ranked = with_ordered(
-        queue.withColumn("_open", may_profile), ["job_id", "_open"], ["created_at", "id"], {"r": row_number()}, hot
+        claims_per_instance(queued, claims).withColumn("_open", F.col("n_claims") < limit),
+        ["job_id", "_open"],
+        ["created_at", "id"],
+        {"r": row_number()},
+        hot,
+        cut_by=(queued, ["job_id"]),
     ).withColumn("r", F.col("r") - 1)
 
     configs = valid_configs(nodes)
-    fit = best_fit(configs, free, profiling_only=True).select("config_key", F.col("node_id").alias("fit_node"))
-    placed = configs.select("config_key", "n_gpus").join(fit, "config_key")
-    types = waiting(jobs).select("job_id").distinct()
-    rem = open_configs(types, placed, claims, "fit_node").withColumn(
-        "k", F.nullif(F.array_position(F.transform("rem", lambda c: c["fit_node"].isNull()), True), F.lit(0)) - 1
+    fits = fitting_configs(configs, free, profiling_only=True).select("config_key", F.col("node_id").alias("fit_node"))
+    placed = configs.select("config_key", "n_gpus").join(fits, "config_key", "left")
+    blocked = F.array_position(F.transform("rem", lambda c: c["fit_node"].isNull()), True)
+    by_type = (
+        type_claims(queued, claims)
+        .withColumns({"_valid": config_list(placed, "fit_node"), "_fits": fit_list(free)})
+        .select("job_id", open_list("_valid").alias("rem"), first_measured("_fits").alias("std"))
+        .withColumn("k", F.nullif(blocked, F.lit(0)) - 1)
     )
-    standard = available_config(types, claims, free, hot).select(
-        "job_id", F.col("config_key").alias("std_key"), F.col("node_id").alias("std_node")
-    )
-    by_type = rem.join(standard, "job_id")
 
     index = F.least("r", "k")
     profile = F.col("_open") & (index < F.size("rem"))
     chosen = F.get("rem", index.cast("int"))
     return (
-        join_unique(ranked, by_type, ["job_id"], hot)
+        join_unique(ranked, by_type, ["job_id"], hot, counted=queued)
         .withColumn("is_profiling_run", F.coalesce(profile, F.lit(False)))
         .select(
             "id",
             "job_id",
             F.when(F.col("is_profiling_run"), "profiling").otherwise("standard").alias("mode"),
-            F.when(F.col("is_profiling_run"), chosen["config_key"]).otherwise(F.col("std_key")).alias("config_key"),
-            F.when(F.col("is_profiling_run"), chosen["fit_node"]).otherwise(F.col("std_node")).alias("node_id"),
+            F.when(F.col("is_profiling_run"), chosen["config_key"]).otherwise(F.col("std.config_key")).alias("config_key"),
+            F.when(F.col("is_profiling_run"), chosen["fit_node"]).otherwise(F.col("std.node_id")).alias("node_id"),
             "is_profiling_run",
         )
     )
@@ -79,7 +91,7 @@ def plan_standard(jobs: DataFrame, claims: DataFrame, nodes: DataFrame, hot: Hot
     """P-02. Every waiting job as a standard run, on its type's first available configuration."""
     free = node_free(nodes, gpu_usage(jobs))
     queue = waiting(jobs).select("id", "job_id")
-    found = available_config(queue, claims, free, hot)
+    found = available_config(queue, claims, free)
     return join_unique(queue, found, ["job_id"], hot).select(
         "id", "job_id", F.lit("standard").alias("mode"), "config_key", "node_id", F.lit(False).alias("is_profiling_run")
     )
