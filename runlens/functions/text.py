@@ -32,10 +32,9 @@ def progress(line: Column | str) -> tuple[Column, Column]:
     The line is searched once; the numbers are taken from the short match.
     """
     mark = F.regexp_substr(_col(line), F.lit(C.PROGRESS_PATTERN))
-    numbers = F.ltrim(F.substring(mark, len("Epoch") + 1, 64))
     return (
-        F.regexp_substr(numbers, F.lit(r"^\d+")).try_cast("bigint"),
-        F.substring_index(numbers, "/", -1).try_cast("bigint"),
+        F.regexp_substr(mark, F.lit(r"\d+")).try_cast("bigint"),
+        F.substring_index(mark, "/", -1).try_cast("bigint"),
     )
 
 
