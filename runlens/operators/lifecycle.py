@@ -78,11 +78,11 @@ def apply_commands(
     never_resumed = F.col("_resumes") - F.col("_is_resume") == 0
     movable = first.isin(*C.STOPPABLE, *C.RESUMABLE)
     before = (
-        F.when(~movable | prev.isNull(), first)
+        F.when(first.isNull() | ~movable | prev.isNull(), first)
         .when((prev == "stop") & (first == C.FAILED) & never_resumed, first)
         .when(prev == "stop", F.lit(C.PREEMPTED))
         .when(is_active(first) & never_stopped, first)
-        .otherwise(F.when(first.isNotNull(), F.lit(C.QUEUED)))
+        .otherwise(F.lit(C.QUEUED))
     )
     state, cmd = F.col("status_before"), F.col("cmd")
     stop, resume = cmd == "stop", cmd == "resume"

@@ -157,7 +157,7 @@ VALIDITY = f"""checked AS (
   coalesce(epochs_total < 1, false) AS bad_epochs, coalesce(profiling_epochs_no < 1, false) AS bad_profiling FROM fx_jobs)"""
 
 COMMANDS = """fx_commands AS (
- SELECT 'job-' || user_id AS id, event_id AS seq,
+ SELECT CASE WHEN user_id % 25 = 3 THEN 'ghost-' ELSE 'job-' END || user_id AS id, event_id AS seq,
   CASE WHEN event_type IN ('signup', 'purchase') THEN 'resume' ELSE 'stop' END AS cmd FROM events),
  listed AS (SELECT id, list(cmd ORDER BY seq) AS cmds FROM fx_commands GROUP BY id),
  step AS (SELECT c.id, c.seq, c.cmd, j.status, l.cmds, row_number() OVER (PARTITION BY c.id ORDER BY c.seq) AS n

@@ -22,7 +22,11 @@ def epoch_stream(lines: DataFrame) -> DataFrame:
 
 
 def distinct_lines(lines: DataFrame, key: str = "line_no", delay: str = "1 hour") -> DataFrame:
-    """Drop lines sent again, known by their id. Repeated epoch numbers are not duplicates."""
+    """Drop lines sent again, known by their id. Repeated epoch numbers are not duplicates.
+
+    Write the result with ``start_to_table`` and read that as the stream of the operators below:
+    a query can have one watermark only.
+    """
     return lines.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["run_id", key])
 
 
@@ -168,7 +172,8 @@ def run_duration_stream(
 ) -> DataFrame:
     """T-03, T-04. One row per run when it ends, or when the limit passes without an end.
 
-    ``events`` comes from ``run_events``. The session needs the RocksDB state store.
+    ``events`` comes from ``run_events`` over streams without a watermark. The session needs the
+    RocksDB state store.
     """
     combined = events.mapInPandas(_combine_batches, SUMMARY).withWatermark("ts", delay)
     closed = combined.groupBy("run_id").transformWithStateInPandas(

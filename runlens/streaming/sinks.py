@@ -42,6 +42,13 @@ def start_to_folder(
     return start(stream, lambda rows, batch: write_batch(rows, folder, batch), checkpoint, mode, every)
 
 
+def start_to_table(stream: DataFrame, folder: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Start an append stream into Parquet files that another stream can read, each row once."""
+    writer = stream.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
+    return writer.start()
+
+
 def newest_rows(updates: DataFrame, keys: list[str], newest: list[Column]) -> DataFrame:
     """The current row per key of a folder of updates. Combined before the shuffle, so a key
     updated very often costs no more than another."""
