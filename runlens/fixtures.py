@@ -161,7 +161,10 @@ def log(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events").select(
         "event_id", "ts", "user_id", "value", (F.col("event_type") == "error").alias("_other")
     )
-    numbered = with_ordered(events, ["user_id", "_other"], ["ts", "event_id"], {"_epoch": row_number()})
+    cut_by = (table(spark, folder, "events"), ["user_id"])
+    numbered = with_ordered(
+        events, ["user_id", "_other"], ["ts", "event_id"], {"_epoch": row_number()}, cut_by=cut_by
+    )
     return numbered.selectExpr(
         "event_id",
         "event_id AS line_no",
@@ -173,6 +176,13 @@ def log(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def log_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Run, time and number of every line of fx_log, without the line."""
+    return table(spark, folder, "events").selectExpr(
+        "concat('job-', user_id) AS run_id", "ts", "event_id AS line_no"
+    )
+
+
 def restarting_log(spark: SparkSession, folder: str) -> DataFrame:
     """fx_log with a restart wherever it has a checkpoint line."""
     start = F.when(F.col("line") == "Checkpoint saved", "Starting training from epoch 0 to 500")

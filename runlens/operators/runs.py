@@ -10,7 +10,16 @@ from pyspark.sql import functions as F
 
 from runlens import constants as C
 from runlens.functions import attempt_start, epoch_line, progress
-from runlens.plans.ordered import DEFAULT, HotGroups, previous, row_number, running_max, running_sum, with_ordered
+from runlens.plans.ordered import (
+    DEFAULT,
+    HotGroups,
+    Ordered,
+    previous,
+    row_number,
+    running_max,
+    running_sum,
+    with_ordered,
+)
 
 ORDER = ["ts", "line_no"]
 
@@ -44,10 +53,18 @@ def latest_progress(log: DataFrame) -> DataFrame:
     return last.select("run_id", text.alias("progress"))
 
 
-def epoch_intervals(epochs: DataFrame, hot: HotGroups = DEFAULT) -> DataFrame:
+def _by_run(
+    rows: DataFrame, columns: dict[str, Ordered], hot: HotGroups, log: DataFrame | None
+) -> DataFrame:
+    """Columns ordered within each run. Lines of ``log``, when it is given, are counted to find
+    the very long runs; that spares parsing every line once more for it."""
+    return with_ordered(rows, ["run_id"], ORDER, columns, hot, cut_by=(rows if log is None else log, ["run_id"]))
+
+
+def epoch_intervals(epochs: DataFrame, hot: HotGroups = DEFAULT, log: DataFrame | None = None) -> DataFrame:
     """W-01. Seconds between consecutive epochs; the first interval of a run is its warm-up."""
     steps = {"_n": row_number(), "_prev": previous("ts")}
-    ordered = with_ordered(epochs, ["run_id"], ORDER, steps, hot).where(F.col("_n") > 1)
+    ordered = _by_run(epochs, steps, hot, log).where(F.col("_n") > 1)
     return ordered.select(
         "run_id",
         "line_no",
@@ -103,18 +120,18 @@ def run_duration(epochs: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
-def best_so_far(metrics: DataFrame, hot: HotGroups = DEFAULT) -> DataFrame:
+def best_so_far(metrics: DataFrame, hot: HotGroups = DEFAULT, log: DataFrame | None = None) -> DataFrame:
     """W-04. Best accuracy of the run up to each epoch."""
-    best = with_ordered(metrics, ["run_id"], ORDER, {"best_accuracy": running_max("accuracy")}, hot)
+    best = _by_run(metrics, {"best_accuracy": running_max("accuracy")}, hot, log)
     return best.select("run_id", "line_no", "epoch", "accuracy", "best_accuracy")
 
 
-def attempts(log: DataFrame, hot: HotGroups = DEFAULT) -> DataFrame:
+def attempts(log: DataFrame, hot: HotGroups = DEFAULT, counted: DataFrame | None = None) -> DataFrame:
     """W-05. Number of the attempt each line belongs to: every (re)start begins a new one, and
     lines before the first start have 0."""
     first, _ = attempt_start("line")
     marked = log.withColumn("_start", F.when(first.isNotNull(), 1).otherwise(0))
-    return with_ordered(marked, ["run_id"], ORDER, {"attempt": running_sum("_start")}, hot).drop("_start")
+    return _by_run(marked, {"attempt": running_sum("_start")}, hot, counted).drop("_start")
 
 
 def attempt_progress(segmented: DataFrame) -> DataFrame:

@@ -353,6 +353,15 @@ ORACLES: dict[str, str] = {
     "release_claims": f"""WITH {JOBS}, {CLAIMS} SELECT job_id, config_key, duration_seconds FROM fx_claims k
         WHERE NOT (k.duration_seconds IS NULL AND EXISTS (SELECT 1 FROM fx_jobs j
          WHERE j.status = 'FAILED' AND j.job_id = k.job_id AND j.a40 = k.a40 AND j.l40s = k.l40s))""",
+    "stored_jobs": f"""WITH {JOBS} SELECT id, job_id, status, coalesce(priority, 3) AS priority, coalesce(epochs_total, 20) AS epochs_total,
+         coalesce(profiling_epochs_no, 3) AS profiling_epochs_no, {key()} AS config_key FROM fx_jobs""",
+    "stored_claims": f"WITH {CLAIMS} SELECT job_id, config_key, node_id, duration_seconds FROM fx_claims",
+    "stored_submissions": f"""WITH {JOBS}, {VALIDITY} SELECT job_id, image, priority,
+         NOT (bad_image OR bad_priority OR late OR bad_epochs) AS is_valid, count(*) AS n, count(script_path) AS n_scripts,
+         CAST(sum(batch_size) AS BIGINT) AS batches FROM checked GROUP BY 1, 2, 3, 4""",
+    "stored_run_logs": f"""WITH {LOG}, h AS (SELECT *, md5(run_id) AS m FROM fx_log), l AS (SELECT event_id, line,
+          substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-' || substr(m, 17, 4) || '-' || substr(m, 21, 12) AS job_id FROM h)
+        SELECT job_id, line FROM l WHERE job_id IN (SELECT job_id FROM l WHERE event_id % 2 = 0)""",
     "parse_progress": rf"""WITH {LOG} SELECT event_id,
          CAST(nullif(regexp_extract(line, 'Epoch\s+(\d+)/(\d+)', 1), '') AS BIGINT) AS epoch,
          CAST(nullif(regexp_extract(line, 'Epoch\s+(\d+)/(\d+)', 2), '') AS BIGINT) AS total FROM fx_log""",

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from runlens import fixtures as fx
 from runlens import functions as fn
+from runlens import sources
 from runlens.operators import capacity, claims, configs, costs, filters, lifecycle, listing, runs, submissions
 from runlens.plans import placement
+from runlens.session import new_folder
 from runlens.streaming import registered as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -433,6 +435,61 @@ def release_claims(spark, sf):
     return left.select("job_id", "config_key", "duration_seconds")
 
 
+# Stored tables
+
+
+@query
+def stored_jobs(spark, sf):
+    """R-03, R-09. The jobs written and read back, with defaults for missing values."""
+    path = new_folder(spark, "jobs")
+    rows = fx.jobs(spark, sf).withColumns(
+        {c: F.col(c).cast("timestamp") for c in ("created_at", "updated_at", "deadline")}
+    )
+    sources.append_rows(rows.drop("config_key"), path, partition_by="status")
+    return sources.read_jobs(spark, path).select(
+        "id", "job_id", "status", "priority", "epochs_total", "profiling_epochs_no", "config_key"
+    )
+
+
+@query
+def stored_claims(spark, sf):
+    """R-04."""
+    path = new_folder(spark, "claims")
+    rows = fx.claims(spark, sf).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    sources.append_rows(rows.drop("config_key"), path)
+    return sources.read_claims(spark, path).select("job_id", "config_key", "node_id", "duration_seconds")
+
+
+@query
+def stored_submissions(spark, sf):
+    """R-08. Submissions written as they are posted."""
+    path = new_folder(spark, "submissions")
+    posted = fx.submissions(spark, sf).select(
+        "job_id", F.col("image").alias("dockerImage"), F.col("script_path").alias("scriptPath"), "command",
+        F.col("priority").alias("Priority"), F.date_format("deadline", "yyyy-MM-dd'T'HH:mm:ss'+05:00'").alias("deadline"),
+        F.col("batch_size").alias("batchSize"), F.col("epochs_total").alias("epochsTotal"),
+    )
+    posted.write.json(path)
+    checked = submissions.validate_submissions(sources.read_submissions(spark, path), fx.now().cast("timestamp"))
+    by = ["job_id", "image", "priority", "is_valid"]
+    return checked.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.count("script_path").alias("n_scripts"), F.sum("batch_size").alias("batches")
+    )
+
+
+@query
+def stored_run_logs(spark, sf):
+    """R-05, R-06, R-07. Logs written to a folder per job and read back for some of the jobs."""
+    path = new_folder(spark, "logs")
+    hashed = F.md5("run_id")
+    parts = [F.substring(hashed, start, size) for start, size in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    log = fx.log(spark, sf).withColumn("job_id", F.concat_ws("-", *parts))
+    sources.write_run_logs(log, path)
+    known = log.where("event_id % 2 = 0").select(F.col("job_id").alias("id"))
+    lines = sources.read_run_logs(spark, f"{path}/*/*.txt", jobs=known, max_bytes=None)
+    return lines.select("job_id", "line")
+
+
 # Run logs
 
 
@@ -459,7 +516,7 @@ def latest_progress(spark, sf):
 @query
 def epoch_intervals(spark, sf):
     """W-01."""
-    steps = runs.epoch_intervals(runs.epoch_marks(fx.log(spark, sf)))
+    steps = runs.epoch_intervals(runs.epoch_marks(fx.log(spark, sf)), log=fx.log_lines(spark, sf))
     return steps.withColumn("interval_seconds", F.round("interval_seconds", 3))
 
 
@@ -473,19 +530,20 @@ def run_duration(spark, sf):
 @query
 def best_so_far(spark, sf):
     """W-04."""
-    return runs.best_so_far(runs.epoch_metrics(fx.log(spark, sf)))
+    return runs.best_so_far(runs.epoch_metrics(fx.log(spark, sf)), log=fx.log_lines(spark, sf))
 
 
 @query
 def attempts(spark, sf):
     """W-05."""
-    return runs.attempts(fx.restarting_log(spark, sf)).select("event_id", "run_id", "attempt")
+    segmented = runs.attempts(fx.restarting_log(spark, sf), counted=fx.log_lines(spark, sf))
+    return segmented.select("event_id", "run_id", "attempt")
 
 
 @query
 def attempt_progress(spark, sf):
     """W-05, last progress of each attempt."""
-    return runs.attempt_progress(runs.attempts(fx.restarting_log(spark, sf)))
+    return runs.attempt_progress(runs.attempts(fx.restarting_log(spark, sf), counted=fx.log_lines(spark, sf)))
 
 
 @query

@@ -100,6 +100,25 @@ def _combine(rows: pd.DataFrame) -> pd.DataFrame:
     return out.reset_index()
 
 
+def _ordered(*times: int | None) -> list[int]:
+    return sorted(t for t in times if t is not None)
+
+
+def _merge(one: dict[str, Any], other: dict[str, Any]) -> dict[str, Any]:
+    """The summary of two summaries of a run."""
+    early = _ordered(one["first_us"], one["second_us"], other["first_us"], other["second_us"])
+    place = lambda s: (s["last_us"] is not None, s["last_us"] or 0, s["last_line_no"] or 0)
+    last = max(one, other, key=place)
+    return {
+        "n_marks": (one["n_marks"] or 0) + (other["n_marks"] or 0),
+        "first_us": early[0] if early else None,
+        "second_us": early[1] if len(early) > 1 else None,
+        **{f: last[f] for f in ("last_us", "last_line_no", "last_epoch")},
+        "started_us": min(_ordered(one["started_us"], other["started_us"]), default=None),
+        "ended_us": max(_ordered(one["ended_us"], other["ended_us"]), default=None),
+    }
+
+
 def _typed(rows: pd.DataFrame) -> pd.DataFrame:
     numbers = [c for c in rows.columns if c not in ("run_id", "ts")]
     return rows.astype(dict.fromkeys(numbers, "Int64"))
@@ -124,43 +143,39 @@ class RunDurations(StatefulProcessor):
         self.handle = handle
         self.run = handle.getValueState("run", STATE)
 
-    def _read(self) -> dict[str, Any]:
-        stored = self.run.get() if self.run.exists() else None
-        return dict(zip(FIELDS, stored, strict=True)) if stored else dict.fromkeys(FIELDS)
+    def _read(self) -> dict[str, Any] | None:
+        stored = self.run.get()
+        return dict(zip(FIELDS, stored, strict=True)) if stored else None
 
     def _result(self, key: tuple, state: dict[str, Any], outcome: str) -> pd.DataFrame:
         names = ["n_marks", "second_us", "last_us", "last_epoch", "started_us", "ended_us"]
         values = {name: pd.array([state[name]], dtype="Int64") for name in names}
         return pd.DataFrame({"run_id": [key[0]], "outcome": [outcome], **values})
 
-    def _wake_at(self, micros: int) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(micros // 1000)
-
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        state = self._read()
-        if state["closed"]:
+        before = self._read()
+        if before and before["closed"]:
             return
-        parts = [_typed(part[["run_id", "ts", *FIELDS[:-1]]]) for part in rows]
-        if state["n_marks"] is not None:
-            parts.append(_typed(pd.DataFrame([{"run_id": key[0], "ts": None, **{f: state[f] for f in FIELDS[:-1]}}])))
-        merged = _combine(pd.concat(parts)).iloc[0]
-        state = {f: None if pd.isna(merged[f]) else int(merged[f]) for f in FIELDS[:-1]}
-        ended = state["ended_us"] is not None
-        self.run.update(tuple(state[f] for f in FIELDS[:-1]) + (ended,))
-        if ended:
-            # Kept, as closed, until the limit: a late line must not open the run again.
-            self._wake_at(state["ended_us"] + self.limit_us)
+        state = before or dict.fromkeys(FIELDS)
+        for part in rows:
+            for values in part[FIELDS[:-1]].itertuples(index=False, name=None):
+                state = _merge(state, dict(zip(FIELDS, (None if pd.isna(v) else int(v) for v in values), strict=False)))
+        state["closed"] = state["ended_us"] is not None
+        self.run.update(tuple(state[f] for f in FIELDS))
+        # A closed run is kept until the limit: a late line must not open it again.
+        begun = _ordered(state["started_us"], state["first_us"])
+        wake = (state["ended_us"] if state["closed"] else begun[0]) + self.limit_us
+        if before:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+        self.handle.registerTimer(wake // 1000)
+        if state["closed"]:
             yield self._result(key, state, "ended")
-            return
-        begun = [t for t in (state["started_us"], state["first_us"]) if t is not None]
-        self._wake_at(min(begun) + self.limit_us)
 
     def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         state = self._read()
         self.run.clear()
-        if state["n_marks"] is not None and not state["closed"]:
+        if state and not state["closed"]:
             yield self._result(key, state, "timeout")
 
     def close(self) -> None:
