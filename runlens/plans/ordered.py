@@ -112,6 +112,16 @@ def join_unique(
     return one.drop("_is_hot", *names).join(other.drop("_is_hot", *names), [*keys, "_part"], how).drop("_part")
 
 
+def _number_passed(cuts: str, value: Column, chunks: int) -> Column:
+    """How many of the ascending ``cuts`` the value has reached, by halving the range."""
+    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range(chunks.bit_length()))])
+
+    def take(passed: Column, step: Column) -> Column:
+        return passed + F.when(F.get(cuts, passed + step - 1) <= value, step).otherwise(0)
+
+    return F.aggregate(steps, F.lit(0), take)
+
+
 def cut_hot_groups(
     df: DataFrame,
     keys: Sequence[str],
@@ -140,7 +150,7 @@ def cut_hot_groups(
         )
     )
     marked = df.join(F.broadcast(cuts), _same(df, cuts, keys, names), "left")
-    passed = F.size(F.filter("_cuts", lambda cut: cut <= F.col(order[0])))
+    passed = _number_passed("_cuts", F.col(order[0]), hot.chunks)
     return (
         marked.withColumn("_chunk", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(passed))
         .withColumn("_is_hot", F.col("_cuts").isNotNull())
@@ -190,9 +200,11 @@ def with_ordered(
             parts.carried[carry] = F.sum(total).over(earlier)
             parts.joined[name] = F.col(here) + F.coalesce(carry, F.lit(0))
         elif spec.kind == "previous":
-            # Boxed, so that a NULL on the last row is carried as a value.
+            # Boxed, so that a NULL on the last row is carried as a value. The last row has the
+            # greatest first order column; only other columns must be looked up on that row.
+            last = F.max(spec.column) if spec.column == order[0] else F.max_by(spec.column, F.struct(*order))
             parts.within[here] = F.lag(spec.column).over(local)
-            parts.totals[total] = F.max_by(F.struct(F.col(spec.column).alias("v")), F.struct(*order))
+            parts.totals[total] = F.struct(last.alias("v"))
             parts.carried[carry] = F.lag(total).over(by_chunk)
             parts.joined[name] = F.when(F.col("_local_row") == 1, F.col(carry)["v"]).otherwise(F.col(here))
         elif spec.kind == "running_max":
