@@ -25,8 +25,8 @@ PROFILING_CONFIGS_PER_JOB = 1
 # Patterns and sizes.
 IMAGE_PATTERN = r"^[a-zA-Z0-9][a-zA-Z0-9._/:@-]*$"
 UUID_PATTERN = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
-PROGRESS_PATTERN = r"Epoch\s+(\d+)/(\d+)"
-EPOCH_LINE_PATTERN = r"Epoch (\d+)/(\d+) - Loss: ([0-9.eE+-]+|nan|inf) - Acc: ([0-9.]+)% - ([0-9.]+)s"
+PROGRESS_PATTERN = r"Epoch\s+(\d+/\d+)"
+EPOCH_LINE_PATTERN = r"Epoch (\d+/\d+ - Loss: (?:[0-9.eE+-]+|nan|inf) - Acc: [0-9.]+% - [0-9.]+)s"
 LINE_TIME_PATTERN = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})"
 ATTEMPT_PATTERN = r"Starting training from epoch (\d+) to (\d+)"
 SHORT_ID_LENGTH = 8

@@ -16,6 +16,8 @@ from runlens.functions.text import (
     attempt_start,
     epoch_line,
     format_duration,
+    has_progress,
+    is_epoch_line,
     is_uuid,
     line_time,
     mask_credentials,
@@ -31,7 +33,9 @@ __all__ = [
     "epoch_line",
     "format_duration",
     "format_gpu_config",
+    "has_progress",
     "is_active",
+    "is_epoch_line",
     "is_first_run",
     "is_resumable",
     "is_runnable",

@@ -31,32 +31,38 @@ def progress(line: Column | str) -> tuple[Column, Column]:
 
     The line is searched once; the numbers are taken from the short match.
     """
-    mark = F.regexp_substr(_col(line), F.lit(C.PROGRESS_PATTERN))
-    return (
-        F.regexp_substr(mark, F.lit(r"\d+")).try_cast("bigint"),
-        F.substring_index(mark, "/", -1).try_cast("bigint"),
-    )
+    mark = F.regexp_extract(_col(line), C.PROGRESS_PATTERN, 1)
+    return F.substring_index(mark, "/", 1).try_cast("bigint"), F.substring_index(mark, "/", -1).try_cast("bigint")
+
+
+def has_progress(line: Column | str) -> Column:
+    """The line has a progress mark. Filter on this before ``progress``: it is the cheaper test."""
+    return _col(line).rlike(C.PROGRESS_PATTERN)
 
 
 def epoch_line(line: Column | str) -> Column:
     """F-05. Struct (epoch, total, loss, accuracy, seconds) of an epoch summary line, NULL fields
-    on other lines. The line is searched once and the match cut at its separators."""
-    parts = F.split(F.regexp_substr(_col(line), F.lit(C.EPOCH_LINE_PATTERN)), " - ")
+    on other lines. The line is searched once and the match cut at its labels."""
+    found = F.regexp_extract(_col(line), C.EPOCH_LINE_PATTERN, 1)
 
-    def after(index: int, skip: str, drop: int = 0) -> Column:
-        text = F.get(parts, F.lit(index))
-        return F.substring(text, F.lit(len(skip) + 1), F.length(text) - len(skip) - drop)
+    def between(start: str, end: str) -> Column:
+        return F.substring_index(F.substring_index(found, end, 1), start, -1)
 
-    epochs = after(0, "Epoch ")
+    epochs = F.substring_index(found, " - ", 1)
     return F.struct(
         F.substring_index(epochs, "/", 1).try_cast("bigint").alias("epoch"),
         F.substring_index(epochs, "/", -1).try_cast("bigint").alias("total"),
-        after(1, "Loss: ").try_cast("double").alias("loss"),
-        after(2, "Acc: ", 1).try_cast("double").alias("accuracy"),
-        after(3, "", 1).try_cast("double").alias("seconds"),
+        between("Loss: ", " - Acc: ").try_cast("double").alias("loss"),
+        between("Acc: ", "%").try_cast("double").alias("accuracy"),
+        F.substring_index(found, " - ", -1).try_cast("double").alias("seconds"),
     )
 
 
+def is_epoch_line(line: Column | str) -> Column:
+    """The line is an epoch summary. Filter on this before ``epoch_line``."""
+    return _col(line).rlike(C.EPOCH_LINE_PATTERN)
+
+
 def line_time(line: Column | str) -> Column:
     """F-05. The leading time of a log line (whole seconds)."""
     return F.to_timestamp(_group(line, C.LINE_TIME_PATTERN, 1), "yyyy-MM-dd HH:mm:ss")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens import constants as C
-from runlens.functions import attempt_start, epoch_line, progress
+from runlens.functions import attempt_start, epoch_line, has_progress, is_epoch_line, progress
 from runlens.plans.ordered import (
     DEFAULT,
     HotGroups,
@@ -34,13 +34,13 @@ def epoch_marks(log: DataFrame) -> DataFrame:
     """Lines that report progress, with ``epoch`` and ``total``. The line itself is dropped, so
     what is shuffled later is narrow."""
     epoch, total = progress("line")
-    marked = log.select("run_id", "line_no", "ts", epoch.alias("epoch"), total.alias("total"))
-    return marked.where(F.col("epoch").isNotNull())
+    marked = log.where(has_progress("line"))
+    return marked.select("run_id", "line_no", "ts", epoch.alias("epoch"), total.alias("total"))
 
 
 def epoch_metrics(log: DataFrame) -> DataFrame:
     """Epoch summary lines as columns."""
-    rows = log.select("run_id", "line_no", "ts", epoch_line("line").alias("m")).where("m.epoch IS NOT NULL")
+    rows = log.where(is_epoch_line("line")).select("run_id", "line_no", "ts", epoch_line("line").alias("m"))
     return rows.select("run_id", "line_no", "ts", "m.*")
 
 

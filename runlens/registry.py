@@ -503,8 +503,9 @@ def parse_progress(spark, sf):
 @query
 def epoch_lines(spark, sf):
     """F-05."""
-    rows = fx.log(spark, sf).select("event_id", fn.epoch_line("line").alias("m"), fn.line_time("line").alias("at"))
-    return rows.where("m.epoch IS NOT NULL").select("event_id", "m.*", F.col("at").cast("timestamp_ntz").alias("logged_at"))
+    summaries = fx.log(spark, sf).where(fn.is_epoch_line("line"))
+    rows = summaries.select("event_id", fn.epoch_line("line").alias("m"), fn.line_time("line").alias("at"))
+    return rows.select("event_id", "m.*", F.col("at").cast("timestamp_ntz").alias("logged_at"))
 
 
 @query
