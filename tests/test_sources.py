@@ -98,3 +98,20 @@ def test_new_version_of_a_table(spark, tmp_path):
     table = jobs(spark, {"id": "a"})
     stored = sources.write_version(table, str(tmp_path / "v1"))
     assert stored.columns == table.columns and stored.count() == 1
+
+
+def test_status_filters_reach_the_scan(spark, tmp_path):
+    from runlens.operators.filters import waiting
+
+    path = str(tmp_path / "jobs")
+    sources.append_rows(jobs(spark, {"id": "a"}, {"id": "b", "status": "RUNNING"}).drop("config_key"), path)
+    found = waiting(sources.read_jobs(spark, path)).select("id", "created_at")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(status,QUEUED)" in plan and "IsNull(assigned_node)" in plan
+    assert "ReadSchema: struct<id:string,status:string,created_at:timestamp,assigned_node:string>" in plan
+    assert rows(found, "id") == [("a",)]
+
+    split = str(tmp_path / "split")
+    sources.append_rows(sources.read_jobs(spark, path).drop("config_key"), split, partition_by="status")
+    plan = waiting(sources.read_jobs(spark, split))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(status" in plan
