@@ -21,7 +21,8 @@ def format_duration(seconds: Column | str) -> Column:
     """F-03. ``2m 5.50s``, or ``5.50s`` below a minute."""
     s = _col(seconds)
     minutes = F.floor(s / 60)
-    rest = F.format_string("%.2fs", s % 60)
+    # Halves are rounded up on the binary value.
+    rest = F.format_string("%.2fs", F.floor(s % 60 * 100 + 0.5) / 100)
     text = F.when(minutes > 0, F.concat(minutes.cast("string"), F.lit("m "), rest)).otherwise(rest)
     return F.when(s.isNotNull(), text)
 

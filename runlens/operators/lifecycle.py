@@ -39,7 +39,7 @@ def delete_jobs(
 ) -> tuple[DataFrame, DataFrame]:
     """K-05. Jobs and claims without the jobs in ``ids``; ``claims_by`` names the claim column
     that holds the job's id."""
-    gone = ids.select("id")
+    gone = ids.select("id").distinct()
     return jobs.join(gone, "id", "left_anti"), claims.join(gone, claims[claims_by] == gone["id"], "left_anti")
 
 

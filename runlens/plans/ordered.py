@@ -6,8 +6,8 @@ with what the chunks before it add up to.
 
 * Which groups: the ``max_groups`` largest of those with at least ``min_rows`` rows. Any group
   left whole is either small, or holds less than ``1 / max_groups`` of all rows.
-* Where to cut: at quantiles of the first order column, read off about ``SAMPLE_ROWS`` rows of
-  the group. The cuts only steer the distribution of work; the results are exact wherever they
+* Where to cut: at quantiles of the full order, ties included, read off about ``SAMPLE_ROWS`` rows
+  of the group. The cuts only steer the distribution of work; the results are exact wherever they
   fall. The rows are chosen by hash and sorted, so every evaluation of the plan, a retried
   task's included, cuts in the same places.
 * What is broadcast: cuts and corrections, at most ``max_groups`` x (``chunks`` + 1) rows,
@@ -129,13 +129,13 @@ def cut_hot_groups(
     hot: HotGroups = DEFAULT,
     counted: DataFrame | None = None,
 ) -> DataFrame:
-    """Add ``_chunk``: 0 for ordinary groups, a rising number along the first ``order`` column
-    for hot ones, and ``_is_hot``. Groups are counted and cut by the rows of ``counted``, if
+    """Add ``_chunk``: 0 for ordinary groups, a rising number along ``order`` for hot ones, and
+    ``_is_hot``. Groups are counted and cut by the rows of ``counted``, if
     given."""
     source = df if counted is None else counted
     names = [f"_hot_{i}" for i in range(len(keys))]
     largest = largest_groups(source, keys, names, hot)
-    narrow = source.select(*keys, F.col(order[0]).alias("_at"), F.xxhash64(*order).alias("_spread"))
+    narrow = source.select(*keys, F.struct(*order).alias("_at"), F.xxhash64(*order).alias("_spread"))
     places = F.sequence(F.lit(1), F.lit(hot.chunks - 1))
     cuts = (
         narrow.join(F.broadcast(largest), _same(narrow, largest, keys, names))
@@ -150,7 +150,7 @@ def cut_hot_groups(
         )
     )
     marked = df.join(F.broadcast(cuts), _same(df, cuts, keys, names), "left")
-    passed = _number_passed("_cuts", F.col(order[0]), hot.chunks)
+    passed = _number_passed("_cuts", F.struct(*order), hot.chunks)
     return (
         marked.withColumn("_chunk", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(passed))
         .withColumn("_is_hot", F.col("_cuts").isNotNull())
@@ -176,8 +176,7 @@ def with_ordered(
 ) -> DataFrame:
     """Add the ordered ``columns`` to ``df``, grouped by ``keys`` and ascending by ``order``.
 
-    ``order`` must give every row of a group its own place, and its first column must be a
-    number, date or time. ``cut_by`` may name a frame, and some of the keys, that are cheaper
+    ``order`` must give every row of a group its own place. ``cut_by`` may name a frame, and some of the keys, that are cheaper
     to find hot groups in: cuts made for a larger group serve every group within it.
     """
     keys, order = list(keys), list(order)

@@ -38,7 +38,7 @@ def shared_folder(spark: SparkSession) -> str:
     A cluster names it in ``spark.checkpoint.dir``. Only a local master may fall back to a
     folder of its own: on a cluster a machine-local folder would be lost with its machine.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")

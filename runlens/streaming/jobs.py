@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +12,7 @@ from runlens.operators.filters import missed_queued
 from runlens.operators.lifecycle import orphaned_jobs, patch_jobs
 from runlens.operators.listing import status_counts
 from runlens.plans.placement import plan_round
+from runlens.streaming.arrivals import first_arrivals
 from runlens.streaming.sinks import BatchHandler, batch_folder, newest_rows, write_batch
 
 Tables = Callable[[SparkSession], tuple[DataFrame, DataFrame, DataFrame]]
@@ -41,27 +41,9 @@ def live_status_counts(jobs: DataFrame, changes: DataFrame, newest: list[Column]
     return status_counts(current_jobs(jobs, changes, newest, now))
 
 
-ATTEMPT = ["id", "attempt"]
-
-
-def _first_of_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first row per attempt of each Arrow batch."""
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        others = [c for c in table.column_names if c not in ATTEMPT]
-        first = table.group_by(ATTEMPT, use_threads=False).aggregate([(c, "first") for c in others])
-        named = first.rename_columns([c.removesuffix("_first") if c not in ATTEMPT else c for c in first.column_names])
-        yield from named.select(table.column_names).cast(table.schema).to_batches()
-
-
 def distinct_dispatches(dispatches: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """T-08. The first dispatch of each attempt (id, attempt, ts); repeats are dropped.
-
-    Repeats are dropped inside each input batch first: Spark's own operator sends every row to
-    the task of its key, and a job dispatched over and over would end up in one.
-    """
-    thinned = dispatches.select(*ATTEMPT, "ts").mapInArrow(_first_of_batch, dispatches.select(*ATTEMPT, "ts").schema)
-    return thinned.withWatermark("ts", delay).dropDuplicatesWithinWatermark(ATTEMPT)
+    """T-08. The first dispatch of each attempt (id, attempt, ts); repeats are dropped."""
+    return first_arrivals(dispatches.select("id", "attempt", "ts"), ["id", "attempt"], delay)
 
 
 def replan_handler(tables: Tables, folder: str, order: list[Column], limit: int = 1) -> BatchHandler:

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from runlens import constants as C
 from runlens.operators.runs import ORDER, epoch_marks
+from runlens.streaming.arrivals import first_arrivals
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -27,7 +28,7 @@ def distinct_lines(lines: DataFrame, key: str = "line_no", delay: str = "1 hour"
     Write the result with ``start_to_table`` and read that as the stream of the operators below:
     a query can have one watermark only.
     """
-    return lines.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["run_id", key])
+    return first_arrivals(lines, ["run_id", key], delay)
 
 
 def latest_progress_stream(lines: DataFrame) -> DataFrame:

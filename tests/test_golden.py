@@ -268,7 +268,18 @@ def test_epoch_line(spark):
 
 
 @pytest.mark.parametrize(
-    ("seconds", "text"), [(5.5, "5.50s"), (59.0, "59.00s"), (60.0, "1m 0.00s"), (125.5, "2m 5.50s"), (None, None)]
+    ("seconds", "text"),
+    [
+        (5.5, "5.50s"),
+        (59.0, "59.00s"),
+        (60.0, "1m 0.00s"),
+        (125.5, "2m 5.50s"),
+        (0.125, "0.13s"),
+        (1.005, "1.00s"),
+        (59.999, "60.00s"),
+        (7325.0, "122m 5.00s"),
+        (None, None),
+    ],
 )
 def test_format_duration(spark, seconds, text):
     assert spark.createDataFrame([(seconds,)], "s double").select(fn.format_duration("s")).first()[0] == text

@@ -65,6 +65,14 @@ def test_hot_groups_are_cut_evenly(skewed):
     assert all(chunk == 0 for (key, chunk) in sizes if key not in ("hot", None))
 
 
+def test_a_hot_group_with_one_time_is_cut_too(spark):
+    tied = spark.range(600).select("id", F.lit("k").alias("key"), F.lit(7).alias("at"))
+    cut = cut_hot_groups(tied, ["key"], ["at", "id"], CUT)
+    assert sorted(r["count"] for r in cut.groupBy("_chunk").count().collect()) == [120] * 5
+    found = with_ordered(tied, ["key"], ["at", "id"], {"n": row_number(), "before": previous("id")}, CUT)
+    assert found.where("n <> id + 1 OR before <> id - 1 OR (before IS NULL AND id > 0)").count() == 0
+
+
 def test_cuts_of_a_wider_group_serve_the_groups_in_it(skewed):
     halves = skewed.withColumn("half", F.col("id") % 2)
     ours = with_ordered(
