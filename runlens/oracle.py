@@ -216,6 +216,7 @@ ORACLES: dict[str, str] = {
     "routing": f"""WITH {NODES}, {JOBS} SELECT j.id, j.assigned_node, n.worker_url AS target_url
         FROM fx_jobs j LEFT JOIN fx_nodes n ON n.node_id = j.assigned_node""",
     "valid_configs": f"WITH {NODES}, {configs()} SELECT config_key, n_gpus, {label()} AS label FROM fx_configs",
+    "config_listing": f"WITH {NODES}, {configs()} SELECT n_gpus, config_key FROM fx_configs ORDER BY n_gpus, config_key",
     "production_configs": f"WITH {NODES}, {configs('c', 'true')} SELECT config_key, n_gpus FROM c",
     "shared_configs": f"""WITH {NODES}, {configs('p')}, {configs('o', 'NOT n.is_for_profiling')}
         SELECT config_key, n_gpus FROM p INTERSECT SELECT config_key, n_gpus FROM o""",
@@ -255,6 +256,9 @@ ORACLES: dict[str, str] = {
     "results_by_duration": f"""WITH {CLAIMS} SELECT job_id, config_key, node_id, duration_seconds,
          CAST(row_number() OVER (PARTITION BY job_id ORDER BY duration_seconds NULLS LAST, config_key) AS INT) AS place FROM fx_claims""",
     "plan_round": plan(CLAIMS),
+    "claims_after_plan": f"""WITH {CLAIMS}, planned AS ({plan(CLAIMS)})
+        SELECT job_id, config_key, instance_id, node_id, duration_seconds, created_at FROM fx_claims
+        UNION ALL SELECT job_id, config_key, id, node_id, NULL, {NOW_SQL} FROM planned WHERE is_profiling_run AND node_id IS NOT NULL""",
     "plan_standard": f"""WITH {FREE}, {CLAIMS}, {STANDARD}
         SELECT j.id, j.job_id, 'standard' AS mode, s.config_key, s.node_id, false AS is_profiling_run
         FROM fx_jobs j LEFT JOIN standard s ON s.job_id = j.job_id WHERE {WAITING}""",

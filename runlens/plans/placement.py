@@ -14,7 +14,7 @@ of the job among those of its type still allowed to profile:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens import constants as C
@@ -32,6 +32,7 @@ from runlens.operators.configs import (
 )
 from runlens.operators.filters import waiting
 from runlens.plans.ordered import DEFAULT, HotGroups, join_unique, row_number, with_ordered
+from runlens.schemas import GPU_CONFIG
 
 
 def plan_round(
@@ -87,6 +88,20 @@ def plan_round(
     )
 
 
+def planned_claims(plan: DataFrame, now: Column) -> DataFrame:
+    """The claims a plan makes, for K-01: one per profiling run that got a node."""
+    made = plan.where(F.col("is_profiling_run") & F.col("node_id").isNotNull())
+    return made.select(
+        "job_id",
+        F.col("id").alias("instance_id"),
+        F.from_json("config_key", GPU_CONFIG).alias("gpu_config"),
+        "config_key",
+        "node_id",
+        F.lit(None).cast("double").alias("duration_seconds"),
+        now.alias("created_at"),
+    )
+
+
 def plan_standard(jobs: DataFrame, claims: DataFrame, nodes: DataFrame, hot: HotGroups = DEFAULT) -> DataFrame:
     """P-02. Every waiting job as a standard run, on its type's first available configuration."""
     free = node_free(nodes, gpu_usage(jobs))

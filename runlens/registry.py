@@ -89,6 +89,12 @@ def valid_configs(spark, sf):
     return found.select("config_key", "n_gpus", fn.format_gpu_config("gpu_config").alias("label"))
 
 
+@query
+def config_listing(spark, sf):
+    """O-04, in the order configurations are profiled."""
+    return listing.by_size(_configs(spark, sf)).select("n_gpus", "config_key")
+
+
 @query
 def production_configs(spark, sf):
     """C-01 over every node."""
@@ -203,6 +209,15 @@ def plan_round(spark, sf):
     return placement.plan_round(fx.jobs(spark, sf), fx.claims(spark, sf), fx.nodes(spark, sf))
 
 
+@query
+def claims_after_plan(spark, sf):
+    """P-01, K-01. The claims once those the plan makes are in."""
+    held = fx.claims(spark, sf)
+    made = placement.planned_claims(placement.plan_round(fx.jobs(spark, sf), held, fx.nodes(spark, sf)), fx.now())
+    merged = claims.merge_claims(held, made, [F.col("instance_id")])
+    return merged.select("job_id", "config_key", "instance_id", "node_id", "duration_seconds", "created_at")
+
+
 @query
 def plan_standard(spark, sf):
     """P-02."""

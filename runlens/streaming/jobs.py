@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.operators.claims import complete_claims
+from runlens.operators.claims import complete_claims, merge_claims
 from runlens.operators.filters import missed_queued
 from runlens.operators.lifecycle import orphaned_jobs, patch_jobs
 from runlens.operators.listing import status_counts
-from runlens.plans.placement import plan_round
+from runlens.plans.placement import plan_round, planned_claims
 from runlens.streaming.arrivals import first_arrivals
 from runlens.streaming.sinks import BatchHandler, batch_folder, newest_rows, write_batch
 
@@ -46,20 +47,40 @@ def distinct_dispatches(dispatches: DataFrame, delay: str = "1 hour") -> DataFra
     return first_arrivals(dispatches.select("id", "attempt", "ts"), ["id", "attempt"], delay)
 
 
-def replan_handler(tables: Tables, folder: str, order: list[Column], limit: int = 1) -> BatchHandler:
+def _stored(spark: SparkSession, folder: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(folder)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def replan_handler(
+    tables: Tables, folder: str, order: list[Column], limit: int = 1, now: Column | None = None
+) -> BatchHandler:
     """T-05. After each batch of measured claims, complete them and plan the waiting jobs again.
 
     ``tables`` loads (jobs, claims, nodes) as they are now. The plan of a batch goes to
-    ``folder/plan/batch=n``, the claims it was made on to ``folder/claims/batch=n``. The claims
-    are written first and read back, so plan and claims agree whatever arrives meanwhile.
+    ``folder/plan/batch=n``, and the claims after it, those the plan makes included, to
+    ``folder/claims/batch=n``. A batch starts from the claims of the one before and from new ones
+    in ``tables``, so running it again after a failure gives the same. Each step is written and
+    read back, so the next one neither repeats it nor sees other data.
     """
+    made_at = F.current_timestamp() if now is None else now
 
     def handle(results: DataFrame, batch: int) -> None:
         spark = results.sparkSession
         jobs, claims, nodes = tables(spark)
-        write_batch(complete_claims(claims, results, order), f"{folder}/claims", batch)
-        completed = spark.read.schema(claims.schema).parquet(batch_folder(f"{folder}/claims", batch))
+        before = _stored(spark, batch_folder(f"{folder}/claims", batch - 1))
+        if before is not None:
+            claims = merge_claims(before, claims, [F.col("created_at"), F.col("instance_id")])
+        write_batch(complete_claims(claims, results, order), f"{folder}/completed", batch)
+        completed = spark.read.parquet(batch_folder(f"{folder}/completed", batch))
         write_batch(plan_round(jobs, completed, nodes, limit), f"{folder}/plan", batch)
+        plan = spark.read.parquet(batch_folder(f"{folder}/plan", batch))
+        made = planned_claims(plan, made_at)
+        write_batch(merge_claims(completed, made, [F.col("instance_id")]), f"{folder}/claims", batch)
 
     return handle
 

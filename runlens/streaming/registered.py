@@ -129,7 +129,8 @@ def stream_replan(spark, sf):
         return fx.jobs(session, sf), fx.claims(session, sf), fx.nodes(session, sf)
 
     order = [F.col("_quantity"), *fx.claim_order()]
-    start(results, job_streams.replan_handler(tables, rows, order), checkpoint).awaitTermination()
+    handler = job_streams.replan_handler(tables, rows, order, now=fx.now())
+    start(results, handler, checkpoint).awaitTermination()
     return spark.read.parquet(f"{rows}/plan").drop("batch")
 
 

@@ -58,6 +58,15 @@ def test_enumeration_per_node(spark, sizes, count):
     assert found.count() == count == found.select("config_key").distinct().count()
 
 
+def test_config_orders(spark):
+    found = configs.valid_configs(nodes(spark, ("a", True, {"B": 2, "A": 1})))
+    assert [r["config_key"] for r in listing.by_size(found).collect()] == [
+        '{"A":1}', '{"B":1}', '{"A":1,"B":1}', '{"B":2}', '{"A":1,"B":2}',
+    ]
+    keys_only = [r["config_key"] for r in listing.by_config_key(found).collect()]
+    assert keys_only == sorted(keys_only)
+
+
 # Best fit
 
 

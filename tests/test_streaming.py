@@ -183,23 +183,35 @@ def test_repeated_dispatches_are_dropped(spark, tmp_path):
     assert rows(spark.read.parquet(folder), "id", "attempt") == [("x", 1), ("x", 2), ("y", 1)]
 
 
-def test_replan_on_completion(spark, tmp_path):
-    waiting = jobs(spark, {"id": "i1"}, {"id": "i2", "created_at": NOW + timedelta(seconds=1)})
-    held = claims(spark, ("t", {"A": 1}, None, "i1"), ("t", {"A": 2}, None, "x"))
-    frame = nodes(spark, ("p", True, {"A": 2}))
-    done = [{"job_id": "t", "config_key": '{"A":1}', "node_id": "p", "duration_seconds": 5.0, "seq": 1}]
-    write_json(tmp_path / "in", "a", done)
-    stream = read_json(spark, tmp_path / "in", "job_id string, config_key string, node_id string, duration_seconds double, seq long")
+def test_replan_builds_on_the_batch_before_and_can_be_repeated(spark, tmp_path):
+    waiting = jobs(spark, *[{"id": f"i{n}", "created_at": NOW + timedelta(seconds=n)} for n in range(1, 4)])
+    held = claims(spark, ("t", {"A": 1}, None, "i1"))
+    frame = nodes(spark, ("p", True, {"A": 3}))
+    schema = "job_id string, config_key string, node_id string, duration_seconds double, seq long"
+    first = [("t", '{"A":1}', "p", 5.0, 1)]
+    second = [("t", '{"A":2}', "p", 4.0, 2), ("t", '{"A":1}', "p", 9.0, 3)]
+    for name, batch in (("a", first), ("b", second)):
+        fields = ("job_id", "config_key", "node_id", "duration_seconds", "seq")
+        write_json(tmp_path / "in", name, [dict(zip(fields, r, strict=True)) for r in batch])
     folder = str(tmp_path / "rows")
-    handler = job_streams.replan_handler(lambda _: (waiting, held, frame), folder, [F.col("seq")])
-    start(stream, handler, str(tmp_path / "c")).awaitTermination()
-    plan = spark.read.parquet(batch_folder(f"{folder}/plan", 0))
-    assert rows(plan, "id", "mode", "config_key", "node_id") == [
-        ("i1", "standard", '{"A":1}', "p"),
-        ("i2", "standard", '{"A":1}', "p"),
-    ]
-    stored = spark.read.parquet(batch_folder(f"{folder}/claims", 0))
-    assert rows(stored, "config_key", "duration_seconds") == [('{"A":1}', 5.0), ('{"A":2}', None)]
+    handler = job_streams.replan_handler(lambda _: (waiting, held, frame), folder, [F.col("seq")], now=F.lit(NOW))
+    start(read_json(spark, tmp_path / "in", schema), handler, str(tmp_path / "c")).awaitTermination()
+
+    def plan(batch):
+        return rows(spark.read.parquet(batch_folder(f"{folder}/plan", batch)), "id", "mode", "config_key", "node_id")
+
+    def stored(batch):
+        kept = spark.read.parquet(batch_folder(f"{folder}/claims", batch))
+        return rows(kept, "config_key", "instance_id", "duration_seconds")
+
+    # i1 has used its claim up; i2 and i3 take what is left to profile.
+    one = '{"A":1}'
+    assert plan(0) == [("i1", "standard", one, "p"), ("i2", "profiling", '{"A":2}', "p"), ("i3", "profiling", '{"A":3}', "p")]
+    assert stored(0) == [(one, "i1", 5.0), ('{"A":2}', "i2", None), ('{"A":3}', "i3", None)]
+    for _ in range(2):
+        assert [p[1:] for p in plan(1)] == [("standard", one, "p")] * 3
+        assert stored(1) == [(one, "i1", 5.0), ('{"A":2}', "i2", 4.0), ('{"A":3}', "i3", None)]
+        handler(spark.createDataFrame(second, schema), 1)
 
 
 def test_recovery_runs_once_per_start_and_the_stream_goes_on(spark, tmp_path):
