@@ -34,8 +34,7 @@ def _rocksdb(spark: SparkSession) -> Iterator[None]:
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    schema = fx.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(fx.TABLES[name]).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
