@@ -24,6 +24,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 
 @dataclass(frozen=True)
@@ -228,7 +229,12 @@ def with_ordered(
 
     scanned = chunked.withColumns(parts.within)
     match = _same(scanned, carried, keys, names) & (scanned["_chunk"] == carried["_before"])
-    return scanned.join(F.broadcast(carried), match, "left").select(
+    # Keys beyond those the cuts were made by multiply the corrections. Three values of a boolean
+    # keep them bounded; with any other such key it is left to Spark to look at their size.
+    finer = [f for f in df.schema if f.name in keys and f.name not in cut_keys]
+    if all(isinstance(f.dataType, BooleanType) for f in finer):
+        carried = F.broadcast(carried)
+    return scanned.join(carried, match, "left").select(
         *[scanned[c] for c in df.columns], *[c.alias(n) for n, c in parts.joined.items()]
     )
 
