@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.operators.filters import active_jobs
-from runlens.plans.ordered import join_unique
+from runlens.plans.ordered import DEFAULT, HotGroups, join_unique, row_number, with_ordered
 
 
 def gpu_usage(jobs: DataFrame) -> DataFrame:
@@ -50,28 +50,37 @@ def remaining_capacity(nodes: DataFrame, usage: DataFrame) -> DataFrame:
     return node_free(nodes, usage).select("node_id", F.inline("capacity"))
 
 
-def node_status(nodes: DataFrame, jobs: DataFrame, with_ids: bool = False) -> DataFrame:
-    """J-01. Every node with ``busy`` or ``idle`` and the number of its active jobs.
-
-    ``with_ids`` adds ``current_job_ids`` as one array per node, for a display of nodes whose
-    GPUs bound the jobs on them. ``node_current_jobs`` gives the same ids row by row and has
-    no such bound.
-    """
-    aggregates = [F.count(F.lit(1)).alias("_n")]
-    if with_ids:
-        aggregates.append(F.array_sort(F.collect_list("id")).alias("current_job_ids"))
-    running = active_jobs(jobs).groupBy(F.col("assigned_node").alias("node_id")).agg(*aggregates)
+def node_status(nodes: DataFrame, jobs: DataFrame) -> DataFrame:
+    """J-01. Every node with ``busy`` or ``idle`` and the number of its active jobs."""
+    running = active_jobs(jobs).groupBy(F.col("assigned_node").alias("node_id")).agg(F.count(F.lit(1)).alias("_n"))
     count = F.coalesce("_n", F.lit(0).cast("bigint"))
-    status = (
+    return (
         nodes.join(running, "node_id", "left")
         .withColumn("n_current_jobs", count)
         .withColumn("status", F.when(count > 0, "busy").otherwise("idle"))
         .drop("_n")
     )
-    if with_ids:
-        none = F.array().cast("array<string>")
-        status = status.withColumn("current_job_ids", F.coalesce("current_job_ids", none))
-    return status
+
+
+def node_job_ids(nodes: DataFrame, jobs: DataFrame, page_size: int = 1000, hot: HotGroups = DEFAULT) -> DataFrame:
+    """J-01 with ``current_job_ids``, the sorted ids of each node's active jobs, in pages.
+
+    A node with up to ``page_size`` jobs has the one page 0, empty when it is idle. A larger one
+    has more pages, so that no row holds a list without bound.
+    """
+    running = active_jobs(jobs).select(F.col("assigned_node").alias("node_id"), "id")
+    placed = with_ordered(running, ["node_id"], ["id"], {"_place": row_number()}, hot)
+    pages = (
+        placed.withColumn("page", F.floor((F.col("_place") - 1) / page_size))
+        .groupBy("node_id", "page")
+        .agg(F.sort_array(F.collect_list("id")).alias("current_job_ids"))
+    )
+    return nodes.join(pages, "node_id", "left").select(
+        *nodes.columns,
+        F.coalesce("page", F.lit(0).cast("bigint")).alias("page"),
+        F.when(F.col("page").isNull(), "idle").otherwise("busy").alias("status"),
+        F.coalesce("current_job_ids", F.array().cast("array<string>")).alias("current_job_ids"),
+    )
 
 
 def node_current_jobs(nodes: DataFrame, jobs: DataFrame) -> DataFrame:

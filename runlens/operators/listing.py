@@ -75,8 +75,11 @@ def job_listing(jobs: DataFrame) -> DataFrame:
     )
 
 
-def status_counts(jobs: DataFrame) -> DataFrame:
-    """A-01. One row of totals; finished means succeeded or failed."""
+def status_counts(jobs: DataFrame, newest: int | None = None) -> DataFrame:
+    """A-01. One row of totals, over all jobs or the ``newest`` ones; completed means succeeded
+    or failed."""
+    if newest is not None:
+        jobs = jobs.orderBy(F.desc("created_at"), "id").limit(newest)
 
     def count(*statuses: str) -> Column:
         return F.count_if(F.col("status").isin(*statuses))

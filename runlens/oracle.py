@@ -202,6 +202,11 @@ ORACLES: dict[str, str] = {
     "node_current_jobs": f"""WITH {NODES}, {JOBS}
         SELECT n.node_id, CASE WHEN j.id IS NULL THEN 'idle' ELSE 'busy' END AS status, j.id AS current_job_id
         FROM fx_nodes n LEFT JOIN fx_jobs j ON j.assigned_node = n.node_id AND {ACTIVE}""",
+    "node_job_ids": f"""WITH {NODES}, {JOBS}, p AS (SELECT assigned_node AS node_id, id,
+          (row_number() OVER (PARTITION BY assigned_node ORDER BY id) - 1) // 5 AS page FROM fx_jobs WHERE {ACTIVE})
+        SELECT n.node_id, coalesce(p.page, 0) AS page, CASE WHEN count(p.id) > 0 THEN 'busy' ELSE 'idle' END AS status,
+         coalesce(string_agg(p.id, ',' ORDER BY p.id), '') AS current_job_ids
+        FROM fx_nodes n LEFT JOIN p ON p.node_id = n.node_id GROUP BY 1, 2""",
     "node_counts": f"""WITH {NODES}, {JOBS}, s AS (
          SELECT n.node_id, EXISTS (SELECT 1 FROM fx_jobs WHERE assigned_node = n.node_id AND {ACTIVE}) AS busy FROM fx_nodes n)
         SELECT count(*) AS total, count(*) FILTER (WHERE busy) AS busy, count(*) FILTER (WHERE NOT busy) AS idle FROM s""",

@@ -49,6 +49,13 @@ def node_current_jobs(spark, sf):
     return capacity.node_current_jobs(fx.nodes(spark, sf), fx.jobs(spark, sf))
 
 
+@query
+def node_job_ids(spark, sf):
+    """J-01 with lists of ids, in pages."""
+    pages = capacity.node_job_ids(fx.nodes(spark, sf), fx.jobs(spark, sf), page_size=5)
+    return pages.select("node_id", "page", "status", F.array_join("current_job_ids", ",").alias("current_job_ids"))
+
+
 @query
 def node_counts(spark, sf):
     """A-02."""

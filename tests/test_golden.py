@@ -133,11 +133,12 @@ def test_node_status(spark):
         {"id": "j1", "status": "PROFILING", "assigned_node": "a"},
         {"id": "j3", "status": "QUEUED", "assigned_node": "b"},
     )
-    status = capacity.node_status(frame, busy, with_ids=True)
-    assert rows(status, "node_id", "status", "n_current_jobs", "current_job_ids") == [
-        ("a", "busy", 2, ["j1", "j2"]),
-        ("b", "idle", 0, []),
-    ]
+    status = capacity.node_status(frame, busy)
+    assert rows(status, "node_id", "status", "n_current_jobs") == [("a", "busy", 2), ("b", "idle", 0)]
+    listed = capacity.node_job_ids(frame, busy)
+    assert rows(listed, "node_id", "status", "current_job_ids") == [("a", "busy", ["j1", "j2"]), ("b", "idle", [])]
+    paged = capacity.node_job_ids(frame, busy, page_size=1)
+    assert rows(paged, "node_id", "page", "current_job_ids") == [("a", 0, ["j1"]), ("a", 1, ["j2"]), ("b", 0, [])]
     assert rows(capacity.node_current_jobs(frame, busy)) == [
         ("a", "busy", "j1"),
         ("a", "busy", "j2"),
@@ -556,6 +557,7 @@ def test_listings(spark):
     assert [r["id"] for r in listing.newest_page(listed, 3, 1).collect()] == ["j5", "j1", "j4"]
     assert [r["id"] for r in filters.waiting_jobs(listed).collect()] == ["j0", "j3"]
     assert tuple(listing.status_counts(listed).first()) == (6, 2, 0, 1, 2)
+    assert tuple(listing.status_counts(listed, newest=2).first()) == (2, 0, 0, 0, 1)
     assert rows(listing.representative_jobs(listed), "job_id", "id") == [("t0", "j0"), ("t1", "j1")]
     assert rows(filters.search_status(listed, "EU"), "id") == [("j0",), ("j3",)]
     view = listing.table_view(listed, "status", descending=True, page=1, page_size=2)
