@@ -80,6 +80,21 @@ def test_run_logs(spark, tmp_path):
     assert rows(sources.read_run_logs(spark, paths, jobs=jobs(spark, {"id": B}))) == everything[4:]
 
 
+def test_large_logs_are_numbered_across_splits(spark, tmp_path):
+    folder = tmp_path / A
+    folder.mkdir()
+    (folder / "output.log").write_text("".join(f"line {n}\n" for n in range(1, 20_001)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 20_000)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        lines = sources.read_run_logs(spark, f"{tmp_path}/*/output.log", jobs=jobs(spark, {"id": A}), max_bytes=None)
+        assert spark.read.text(str(folder)).rdd.getNumPartitions() > 5
+        assert lines.where("line <> concat('line ', line_no)").count() == 0 and lines.count() == 20_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_log_sink_appends_in_order(spark, tmp_path):
     path = str(tmp_path / "logs")
     for start in (0, 100):
