@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def _entries(config: Column | str) -> Column:
-    return F.array_sort(F.map_entries(config))
+    return F.sort_array(F.map_entries(config))
 
 
 def config_key(config: Column | str) -> Column:

@@ -20,7 +20,7 @@ def enumerate_configs(nodes: DataFrame, profiling_only: bool = False) -> DataFra
     if profiling_only:
         nodes = nodes.where("is_for_profiling")
     layouts = nodes.select(
-        F.array_sort(F.filter("resources", lambda r: r["gpu_count"] > 0)).alias("layout")
+        F.sort_array(F.filter("resources", lambda r: r["gpu_count"] > 0)).alias("layout")
     ).where(F.size("layout") > 0)
     one = F.array(F.lit(1).cast("bigint"))
     steps = F.aggregate(
@@ -48,7 +48,7 @@ def _keyed(parts: DataFrame) -> DataFrame:
 def distinct_configs(df: DataFrame) -> DataFrame:
     """The distinct ``gpu_config`` values, with ``config_key`` and ``n_gpus``."""
     wanted = df.where(F.col("gpu_config").isNotNull())
-    return _keyed(wanted.select(F.array_sort(F.map_entries("gpu_config")).alias("parts")).distinct())
+    return _keyed(wanted.select(F.sort_array(F.map_entries("gpu_config")).alias("parts")).distinct())
 
 
 def valid_configs(nodes: DataFrame, production: str = "all") -> DataFrame:
@@ -79,7 +79,7 @@ def fitting_configs(configs: DataFrame, node_free: DataFrame, profiling_only: bo
     """
     if profiling_only:
         node_free = node_free.where("is_for_profiling")
-    free = F.array_sort(
+    free = F.sort_array(
         F.transform(F.filter("capacity", lambda c: c["free"] > 0), lambda c: F.struct(c["gpu_type"], c["free"]))
     )
     layouts = (
@@ -133,7 +133,7 @@ def config_list(configs: DataFrame, *extra: str) -> Column:
     row without a join.
     """
     entry = F.struct("n_gpus", "config_key", *extra)
-    return configs.agg(F.array_sort(F.collect_list(entry))).scalar()
+    return configs.agg(F.sort_array(F.collect_list(entry))).scalar()
 
 
 def type_claims(types: DataFrame, claims: DataFrame) -> DataFrame:

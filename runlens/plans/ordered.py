@@ -142,7 +142,7 @@ def cut_hot_groups(
         narrow.join(F.broadcast(largest), _same(narrow, largest, keys, names))
         .where(F.pmod("_spread", F.greatest(F.floor(F.col("_rows") / SAMPLE_ROWS), F.lit(1))) == 0)
         .groupBy(*names)
-        .agg(F.array_sort(F.collect_list("_at")).alias("_seen"))
+        .agg(F.sort_array(F.collect_list("_at")).alias("_seen"))
         .select(
             *names,
             F.array_distinct(
