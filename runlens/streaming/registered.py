@@ -34,7 +34,8 @@ def _rocksdb(spark: SparkSession) -> Iterator[None]:
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.readStream.schema(fx.TABLES[name]).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """The table as a stream of files. The pattern stands for one file or a folder of them."""
+    return spark.readStream.schema(fx.TABLES[name]).parquet(f"{sf}/{name}.parquet*")
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
