@@ -117,10 +117,6 @@ def nodes(spark: SparkSession, folder: str) -> DataFrame:
 CLAIM_ORDER = ["created_at", "_orderkey", "_linenumber", "_partkey", "_suppkey", "_price"]
 
 
-def claim_order() -> list[Column]:
-    return [F.col(c) for c in CLAIM_ORDER]
-
-
 def claim_columns(lineitem: DataFrame) -> DataFrame:
     """A claim per lineitem that names GPUs, with the columns that order them."""
     return lineitem.selectExpr(
@@ -161,7 +157,7 @@ def claims(spark: SparkSession, folder: str) -> DataFrame:
     feed, group = claim_feed(spark, folder), ["job_id", "a40", "l40s"]
     earliest = feed.groupBy(*group).agg(F.min("created_at").alias("created_at"))
     candidates = feed.join(F.broadcast(earliest), [*group, "created_at"], "left_semi")
-    first = first_by(candidates, group, claim_order())
+    first = first_by(candidates, group, CLAIM_ORDER)
     return with_config(first).select(
         "job_id", "instance_id", "gpu_config", "config_key", "node_id", "duration_seconds", "created_at"
     )

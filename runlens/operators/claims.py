@@ -6,24 +6,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.plans.ordered import first_by
+from runlens.schemas import GPU_CONFIG
 
 KEY = ["job_id", "config_key"]
+Order = list[str | Column]
 
 
-def merge_claims(existing: DataFrame, new: DataFrame, order: list[Column]) -> DataFrame:
+def merge_claims(existing: DataFrame, new: DataFrame, order: Order) -> DataFrame:
     """K-01. Add claims whose (type, configuration) is not taken; the first of ``new`` wins."""
     return existing.unionByName(admitted_claims(existing, new, order), allowMissingColumns=True)
 
 
-def admitted_claims(existing: DataFrame, new: DataFrame, order: list[Column]) -> DataFrame:
-    """The rows of ``new`` that K-01 adds."""
-    return first_by(new, KEY, order).join(existing.select(*KEY), KEY, "left_anti")
+def admitted_claims(existing: DataFrame, new: DataFrame, order: Order) -> DataFrame:
+    """The rows of ``new`` that K-01 adds. The configuration follows from its key, so it is not
+    carried along."""
+    first = first_by(new.drop("gpu_config"), KEY, order).join(existing.select(*KEY), KEY, "left_anti")
+    if "gpu_config" in new.columns:
+        first = first.withColumn("gpu_config", F.from_json("config_key", GPU_CONFIG))
+    return first
 
 
-def complete_claims(claims: DataFrame, results: DataFrame, order: list[Column]) -> DataFrame:
+def complete_claims(claims: DataFrame, results: DataFrame, order: Order) -> DataFrame:
     """K-02. Set duration and node of claims in flight; a later result of the same claim, and
     a result of a completed one, is ignored."""
-    found = first_by(results, KEY, order).select(*KEY, F.struct("node_id", "duration_seconds").alias("_result"))
+    found = first_by(results.drop("gpu_config"), KEY, order).select(*KEY, F.struct("node_id", "duration_seconds").alias("_result"))
     taken = F.col("duration_seconds").isNull() & F.col("_result").isNotNull()
 
     def updated(name: str) -> Column:

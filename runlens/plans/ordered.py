@@ -239,12 +239,17 @@ def with_ordered(
     )
 
 
-def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """The first row of each group under ``order``, which must leave no ties.
 
     A minimum is combined inside each input task before the shuffle, so a hot group costs no
-    more than a cold one. NULLs in ``order`` come first.
+    more than a cold one. NULLs in ``order`` come first. Columns ordered by are named where
+    possible: they are then carried once, as the order, and not again with the row.
     """
-    payload = [c for c in df.columns if c not in keys]
-    row = F.struct(F.struct(*order).alias("_order"), F.struct(*payload).alias("_row"))
-    return df.groupBy(*keys).agg(F.min_by(row["_row"], row["_order"]).alias("_first")).select(*keys, "_first.*")
+    named = [c for c in order if isinstance(c, str) and c not in keys]
+    payload = [c for c in df.columns if c not in keys and c not in named]
+    place = F.struct(*order)
+    first = df.groupBy(*keys).agg(F.min(place).alias("_order"), F.min_by(F.struct(*payload), place).alias("_row"))
+    return first.select(
+        *[F.col(c) if c in keys else F.col("_order" if c in named else "_row")[c].alias(c) for c in df.columns]
+    )

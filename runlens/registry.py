@@ -221,7 +221,7 @@ def claims_after_plan(spark, sf):
     """P-01, K-01. The claims once those the plan makes are in."""
     held = fx.claims(spark, sf)
     made = placement.planned_claims(placement.plan_round(fx.jobs(spark, sf), held, fx.nodes(spark, sf)), fx.now())
-    merged = claims.merge_claims(held, made, [F.col("instance_id")])
+    merged = claims.merge_claims(held, made, ["instance_id"])
     return merged.select("job_id", "config_key", "instance_id", "node_id", "duration_seconds", "created_at")
 
 
@@ -435,7 +435,7 @@ def clear_jobs(spark, sf):
 def merge_claims(spark, sf):
     """K-01, the whole feed against the claims there are."""
     new = fx.with_config(fx.claim_feed(spark, sf, all_configs=True))
-    merged = claims.merge_claims(fx.claims(spark, sf), new, fx.claim_order())
+    merged = claims.merge_claims(fx.claims(spark, sf), new, fx.CLAIM_ORDER)
     return merged.select("job_id", "config_key", "instance_id", "node_id", "duration_seconds", "created_at")
 
 
@@ -445,7 +445,7 @@ def complete_claims(spark, sf):
     results = fx.with_config(fx.claim_feed(spark, sf).where("duration_seconds IS NULL")).withColumn(
         "duration_seconds", F.col("_quantity") * 7
     )
-    done = claims.complete_claims(fx.claims(spark, sf), results, [F.col("_quantity"), *fx.claim_order()])
+    done = claims.complete_claims(fx.claims(spark, sf), results, ["_quantity", *fx.CLAIM_ORDER])
     return done.select("job_id", "config_key", "instance_id", "node_id", "duration_seconds")
 
 

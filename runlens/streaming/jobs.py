@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.operators.claims import complete_claims, merge_claims
+from runlens.operators.claims import Order, complete_claims, merge_claims
 from runlens.operators.filters import missed_queued
 from runlens.operators.lifecycle import orphaned_jobs, patch_jobs
 from runlens.operators.listing import status_counts
@@ -57,7 +57,7 @@ def _stored(spark: SparkSession, folder: str) -> DataFrame | None:
 
 
 def replan_handler(
-    tables: Tables, folder: str, order: list[Column], limit: int = 1, now: Column | None = None
+    tables: Tables, folder: str, order: Order, limit: int = 1, now: Column | None = None
 ) -> BatchHandler:
     """T-05. After each batch of measured claims, complete them and plan the waiting jobs again.
 
@@ -74,13 +74,13 @@ def replan_handler(
         jobs, claims, nodes = tables(spark)
         before = _stored(spark, batch_folder(f"{folder}/claims", batch - 1))
         if before is not None:
-            claims = merge_claims(before, claims, [F.col("created_at"), F.col("instance_id")])
+            claims = merge_claims(before, claims, ["created_at", "instance_id"])
         write_batch(complete_claims(claims, results, order), f"{folder}/completed", batch)
         completed = spark.read.parquet(batch_folder(f"{folder}/completed", batch))
         write_batch(plan_round(jobs, completed, nodes, limit), f"{folder}/plan", batch)
         plan = spark.read.parquet(batch_folder(f"{folder}/plan", batch))
         made = planned_claims(plan, made_at)
-        write_batch(merge_claims(completed, made, [F.col("instance_id")]), f"{folder}/claims", batch)
+        write_batch(merge_claims(completed, made, ["instance_id"]), f"{folder}/claims", batch)
 
     return handle
 

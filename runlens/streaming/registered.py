@@ -128,7 +128,7 @@ def stream_replan(spark, sf):
     def tables(session: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
         return fx.jobs(session, sf), fx.claims(session, sf), fx.nodes(session, sf)
 
-    order = [F.col("_quantity"), *fx.claim_order()]
+    order = ["_quantity", *fx.CLAIM_ORDER]
     handler = job_streams.replan_handler(tables, rows, order, now=fx.now())
     start(results, handler, checkpoint).awaitTermination()
     return spark.read.parquet(f"{rows}/plan").drop("batch")
