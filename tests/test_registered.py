@@ -4,9 +4,11 @@ import pytest
 from oracle_check import connect, differences
 
 from __spark_entry__ import entry, oracle_sql, queries
+from runlens.oracle import ORACLES
+from runlens.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = queries(), oracle_sql()
+SQL = ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +18,7 @@ def duck():
 
 def test_every_query_has_sql():
     assert set(SQL) == set(QUERIES)
+    assert QUERIES.items() <= queries().items() and SQL.items() <= oracle_sql().items()
 
 
 def test_entry(spark):
