@@ -118,7 +118,7 @@ def slices(
 ) -> Iterator[Words]:
     """The words of a column of texts, in slices of about ``most`` bytes; a longer text is a slice of its own.
 
-    ``lower`` folds A to Z.
+    ``lower`` folds A to Z in the hashes; the bytes stay as they are.
     """
     texts = texts_of(column)
     if not len(texts):
@@ -132,11 +132,11 @@ def slices(
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1)
         data = everything[offsets[first] : offsets[last]]
         bounds = offsets[first : last + 1] - offsets[first]
-        yield _words(first, _LOWER[data] if lower else data, bounds, separate)
+        yield _words(first, data, bounds, separate, _LETTERS[_LOWER] if lower else _LETTERS)
         first = last
 
 
-def _words(first: int, data: np.ndarray, offsets: np.ndarray, separate: np.ndarray) -> Words:
+def _words(first: int, data: np.ndarray, offsets: np.ndarray, separate: np.ndarray, letters: np.ndarray) -> Words:
     inside = np.zeros(len(data) + 1, bool)
     inside[:-1] = ~separate[data]
     begins = np.zeros(len(data) + 1, bool)
@@ -146,5 +146,5 @@ def _words(first: int, data: np.ndarray, offsets: np.ndarray, separate: np.ndarr
     ends = inside[:-1] & (~inside[1:] | begins[1:])
     starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
     row = np.searchsorted(offsets, starts, "right") - 1
-    hashes = _run_hash(_LETTERS[data], starts, ends)
+    hashes = _run_hash(letters[data], starts, ends)
     return Words(first, len(offsets) - 1, data, offsets, starts, ends, row, hashes)
