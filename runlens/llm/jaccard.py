@@ -140,7 +140,8 @@ def _partners(s: int, most: int, percent: int) -> list[int]:
 
 def boundary(small: DataFrame, most: int = MOST_SMALL, percent: int = PERCENT) -> int:
     """The size up to which enumerating subsets costs less than scanning lists; ``small`` has size and elements."""
-    listed = small.select("size", F.explode(F.slice("elements", F.lit(1), prefix(F.col("size"), percent).cast("int"))).alias("e"))
+    length = F.expr(f"cast(size - ({percent} * size + 99) div 100 + 1 as int)")
+    listed = small.select("size", F.explode(F.slice("elements", F.lit(1), length)).alias("e"))
     lists = listed.groupBy("e", "size").count()
     length = lists.groupBy("e").agg(F.sum("count").alias("length"))
     scans = lists.join(length, "e").groupBy("size").agg(F.sum(F.col("count") * F.col("length")).alias("cost"))
