@@ -12,9 +12,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runlens.llm.words import mix
+
 #: About so many entries meet in one group.
 GROUP_ENTRIES = 250_000
 LEAST_BITS = 6
@@ -125,16 +128,85 @@ def flat(table: pa.Table, name: str) -> np.ndarray:
     return np.concatenate(chunks) if chunks else np.empty(0, np.int64)
 
 
-def meet(sent: DataFrame, rule: Rule, parts: int) -> DataFrame:
-    """Apply the rule to every key among all owners that were sent: rows of FOUND."""
+def meet(sent: DataFrame, rule: Rule, parts: int, bits: int) -> DataFrame:
+    """Apply the rule to every key among all owners that were sent: rows of FOUND.
+
+    Buckets from ``1 << bits`` on hold what batches settled by themselves, one for each part; it passes through.
+    """
 
     def settle(group: pa.Table) -> pa.Table:
-        owners, places = known((flat(group, "keys"), flat(group, "owners"), flat(group, "places")), rule)
+        bucket, owners, places = group["bucket"][0].as_py(), flat(group, "owners"), flat(group, "places")
+        if bucket >> bits == 0:
+            owners, places = known((flat(group, "keys"), owners, places), rule)
         return pa.Table.from_batches([found_batch(owners, places, parts)])
 
     return sent.groupBy("bucket").applyInArrow(settle, FOUND)
 
 
+def settled_batch(found: pa.RecordBatch, bits: int, keys: pa.DataType) -> pa.RecordBatch:
+    """A batch of FOUND as rows that ``meet`` passes through."""
+    bucket = pc.add(found["part"], pa.scalar(1 << bits, pa.int32()))
+    none = pa.nulls(len(found), pa.list_(keys))
+    return pa.RecordBatch.from_arrays([bucket, none, found["owners"], found["places"]], ["bucket", "keys", "owners", "places"])
+
+
+class Bitmap:
+    """A set of numbers by hash, of fixed size: it may hold more than was put in, never less."""
+
+    def __init__(self, bits: int, data: bytes | None = None):
+        self.bits = bits
+        self.data = np.zeros(1 << bits >> 3, np.uint8) if data is None else np.frombuffer(data, np.uint8)
+
+    def _at(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = mix(values.view(np.uint64)) >> np.uint64(64 - self.bits)
+        return (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)
+
+    def add(self, values: np.ndarray) -> None:
+        place, bit = self._at(values)
+        np.bitwise_or.at(self.data, place, bit)
+
+    def has(self, values: np.ndarray) -> np.ndarray:
+        place, bit = self._at(values)
+        return (self.data[place] & bit) != 0
+
+
+#: A bitmap has at most 16 MB; eight of them come to the driver.
+LEAST_BITMAP, MOST_BITMAP = 20, 27
+
+
+def bitmap_bits(values: float) -> int:
+    return int(min(MOST_BITMAP, max(LEAST_BITMAP, np.ceil(np.log2(max(values, 1))) + 4)))
+
+
+def bitmap_of(frame: DataFrame, bits: int) -> Bitmap:
+    """A bitmap of the first column, numbers or arrays of them: built in tasks, joined on the driver."""
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Bitmap(bits)
+        for batch in batches:
+            column = batch.column(0)
+            column = column.flatten() if pa.types.is_list(column.type) else column
+            own.add(column.to_numpy(zero_copy_only=False).astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([own.data.tobytes()])], ["bitmap"])
+
+    out = Bitmap(bits)
+    for row in frame.coalesce(8).mapInArrow(fill, "bitmap binary").collect():
+        out.data |= np.frombuffer(row["bitmap"], np.uint8)
+    return out
+
+
+def among(frame: DataFrame, bitmap: Bitmap, inside: bool = True) -> DataFrame:
+    """The rows whose doc_id is in the bitmap, or those whose doc_id is not."""
+    shared_map = frame.sparkSession.sparkContext.broadcast((bitmap.bits, bitmap.data.tobytes()))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = Bitmap(*shared_map.value)
+        for batch in batches:
+            yield batch.filter(pa.array(marks.has(batch["doc_id"].to_numpy(zero_copy_only=False)) == inside))
+
+    return frame.mapInArrow(pick, frame.schema)
+
+
 def concatenated(chunks: list[Entries]) -> Entries:
     if not chunks:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)

@@ -7,8 +7,11 @@ brings both into the cover, so two equal windows share an anchor at the same off
 document holds then extend: the windows around them, and no others, are hashed whole and compared.
 
 1. Anchors of all documents meet by hash; a document learns which of its anchors others have too.
-2. Texts meet their shared anchors by id. Documents without any are done. The others hash the windows around them.
-3. Those windows meet by hash; a document learns which of them a smaller id has too, and drops their words.
+2. Texts that hold a shared anchor meet their anchors by id and hash the windows around them.
+3. Those windows meet by hash; a document learns which of them a smaller id has too.
+4. Texts that hold such a window meet them by id and drop their words. All others are done where they are.
+
+A bitmap of fixed size says which texts need to travel in steps 2 and 4; one that travels in vain only costs its way.
 
 Anchors are matched on 32 bits of hash within a group of about 250,000; a false match only costs a comparison.
 Windows are matched on 64 bits within groups that a second hash names.
@@ -32,8 +35,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from runlens.llm import repeats
+from runlens.llm.components import written
 from runlens.llm.words import Words, slices
-from runlens.session import new_folder
 
 WINDOW = 13
 PERIOD = 7
@@ -42,6 +45,15 @@ PART_BYTES = 8 << 20
 #: A word takes about so many bytes: only used to choose how many groups there are.
 WORD_BYTES = 6
 
+_SENT = pa.schema(
+    [
+        ("bucket", pa.int32()),
+        ("keys", pa.list_(pa.int64())),
+        ("owners", pa.list_(pa.int64())),
+        ("places", pa.list_(pa.int32())),
+    ]
+)
+
 RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
 
 
@@ -90,7 +102,7 @@ def shared_anchors(docs: DataFrame, bits: int, parts: int, window: int = WINDOW,
 
     sent = docs.select("doc_id", "text").mapInArrow(send, repeats.NARROW)
     settled = docs.select("doc_id", "text").mapInArrow(settle, repeats.FOUND)
-    return repeats.meet(sent, repeats.shared, parts).union(settled)
+    return repeats.meet(sent, repeats.shared, parts, bits).union(settled)
 
 
 class _Marks:
@@ -184,32 +196,25 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
     bits = repeats.bits_for(size / WORD_BYTES)
     named = plain.where("doc_id is not null")
     anchors = shared_anchors(named, repeats.bits_for(share * size / WORD_BYTES), parts, window, period)
-    staged = f"{result}{'' if carry else ', text string'}, {repeats.ENTRIES}, kind string"
-    final, wide = _arrow(result), _arrow(staged)
-
-    def extend(texts: pa.Table, found: pa.Table) -> pa.Table:
-        """Finish the documents without shared anchors; hash the windows around the anchors of the others."""
-        if not len(texts):
-            return wide.empty_table()
-        marks, ids = _Marks(found), texts["doc_id"].combine_chunks().to_numpy()
-        cut, entries, names, pending = list(slices(texts["text"])), [], [], np.zeros(len(texts), bool)
-        for words in cut:
-            around = np.flatnonzero(_spread(marks.on(ids, words), words.row, period - 1, 0))
-            around = around[around + window <= words.bounds()[words.row[around] + 1]]
-            pending[words.first + words.row[around]] = True
-            owners, places = ids[words.first + words.row[around]], _places(words)[around].astype(np.int32)
-            entries.append((words.window_hashes(around, window, 1), owners, places))
-            names.append(words.window_hashes(around, window, 2))
-        nothing = [np.zeros(len(w.row), bool) for w in cut]
-        done = _results(wide, texts, cut, nothing, carry).filter(pa.array(~pending))
-        out, sent = [_labelled(done, "done")], repeats.concatenated(entries)
-        if len(sent[0]):
-            some = texts.filter(pa.array(pending))
-            out.append(_labelled(_filled(wide, **{c: some[c].combine_chunks() for c in some.column_names if c in wide.names}), "open"))
+    final = _arrow(result)
+    everywhere = plain.agg(F.count("doc_id")).first()[0]
+
+    def around(texts: pa.Table, found: pa.Table) -> pa.Table:
+        """Hash the windows around shared anchors, and settle what one group of texts can."""
+        out = [_SENT.empty_table()]
+        if len(texts) and len(found):
+            marks, ids = _Marks(found), texts["doc_id"].combine_chunks().to_numpy()
+            entries, names = [], []
+            for words in slices(texts["text"]):
+                at = np.flatnonzero(_spread(marks.on(ids, words), words.row, period - 1, 0))
+                at = at[at + window <= words.bounds()[words.row[at] + 1]]
+                owners, places = ids[words.first + words.row[at]], _places(words)[at].astype(np.int32)
+                entries.append((words.window_hashes(at, window, 1), owners, places))
+                names.append(words.window_hashes(at, window, 2))
+            sent = repeats.concatenated(entries)
             known = repeats.found_batch(*repeats.known(sent, repeats.later), parts)
-            out.append(_labelled(_filled(wide, bucket=known["part"], owners=known["owners"], places=known["places"]), "known"))
-            batch = repeats.sent_batch(sent, bits, np.concatenate(names))
-            out.append(_labelled(_filled(wide, **{c: batch[c] for c in batch.schema.names}), "sent"))
+            batches = repeats.sent_batch(sent, bits, np.concatenate(names)), repeats.settled_batch(known, bits, pa.int64())
+            out += [pa.Table.from_batches([b]).cast(_SENT) for b in batches]
         return pa.concat_tables(out)
 
     def finish(texts: pa.Table, found: pa.Table) -> pa.Table:
@@ -226,23 +231,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
             cut = list(slices(table["text"]))
             yield from _results(final, table, cut, [np.zeros(len(w.row), bool) for w in cut], carry).to_batches()
 
-    folder = new_folder(spark, "substrings")
-    texts = repeats.by_part(named, "doc_id", parts).groupBy("_part")
-    met = texts.cogroup(anchors.groupBy("part")).applyInArrow(extend, staged)
-    met.write.partitionBy("kind").parquet(folder)
-    stored = spark.read.schema(staged).parquet(folder)
-    sent = stored.where("kind = 'sent'").select("bucket", "keys", "owners", "places")
-    known = stored.where("kind = 'known'").select(F.col("bucket").alias("part"), "owners", "places")
-    later = repeats.meet(sent, repeats.later, parts).union(known)
-    opened = repeats.by_part(stored.where("kind = 'open'").select(plain.columns), "doc_id", parts).groupBy("_part")
-    finished = opened.cogroup(later.groupBy("part")).applyInArrow(finish, result)
-    done = stored.where("kind = 'done'").select(finished.columns)
-    return done.union(finished).union(plain.where("doc_id is null").mapInArrow(whole, result))
-
-
-def _labelled(table: pa.Table, kind: str) -> pa.Table:
-    at = table.schema.get_field_index("kind")
-    return table.set_column(at, table.schema.field(at), pa.array([kind] * len(table), pa.string()))
+    marks = repeats.bitmap_bits(everywhere)
+    anchors = written(spark, anchors, "anchors")
+    holders = repeats.among(named.select("doc_id", "text"), repeats.bitmap_of(anchors.select("owners"), marks))
+    holders = repeats.by_part(holders, "doc_id", parts).groupBy("_part")
+    sent = holders.cogroup(anchors.groupBy("part")).applyInArrow(around, repeats.ENTRIES)
+    later = written(spark, repeats.meet(sent, repeats.later, parts, bits), "later")
+    held = repeats.bitmap_of(later.select("owners"), marks)
+    changed = repeats.by_part(repeats.among(named, held), "doc_id", parts).groupBy("_part")
+    changed = changed.cogroup(later.groupBy("part")).applyInArrow(finish, result)
+    same = repeats.among(named, held, inside=False).union(plain.where("doc_id is null"))
+    return changed.union(same.mapInArrow(whole, result))
 
 
 def _arrow(ddl: str) -> pa.Schema:
