@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import chat, decontaminate, jaccard, mixing, substrings, toxicity
+from runlens.llm import chat, decontaminate, importance, jaccard, mixing, quality, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base figures of every document, and whether the cascade of rules keeps it."""
+    return quality.assess(table(spark, sf_dir, "documents"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document once the passages that smaller ids have too are gone."""
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
@@ -57,13 +62,22 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's importance for the good ones, and whether the draw keeps it."""
+    docs = table(spark, sf_dir, "documents")
+    good, share = importance.good_texts(docs, table(spark, sf_dir, "labels"))
+    return importance.resample(docs, good, share)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_quality_rules": op2_quality_rules,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_source_mixing": op9_source_mixing,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {}
