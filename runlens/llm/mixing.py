@@ -8,7 +8,8 @@
    the shard has takes all of it and goes on; the last pass takes the blocks that come first in seeded order.
 
 A shard is a part of its source by hash, of about ``SHARD_ROWS`` documents while there are few, and at most
-1 / ``MOST_SHARDS`` of the source when there are many, so no task holds a source.
+1 / ``MOST_SHARDS`` of the source when there are many, so no task holds a source. Only tables of one row per
+source, and of one row per shard of a source, are ordered as a whole.
 
 Highest quotients without a queue: start from the rounded shares. They miss the number of seats by at most half the
 number of parties, which shifts each party by at most its share of twice that number; so few further quotients of
@@ -27,7 +28,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.llm.components import written
-from runlens.plans.ordered import row_number, running_sum, with_ordered
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -50,20 +50,19 @@ def n_words(text: Column | str) -> Column:
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE) -> DataFrame:
     """(source, source_size, n_docs, target): ``sizes`` has source, source_size and n_docs, one row per source."""
     spark = sizes.sparkSession
-    sources = sizes.withColumn("_all", F.lit(0)).withColumn("_null", F.col("source").isNull().cast("int"))
-    sources = with_ordered(sources, ["_all"], ["_null", "source"], {"_rank": row_number()})
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("_rank") - 1, F.lit(len(weights))) + 1).cast("int"))
-    sources = sources.withColumn("weight", weight.cast("double")).withColumn("_most", MOST_PASSES * F.col("source_size"))
+    # One row per source: windows over all of them hold names and numbers only.
+    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
+    weight = F.element_at(F.array(*map(F.lit, weights)), F.pmod(rank - 1, F.lit(len(weights))) + 1)
+    sources = sizes.withColumn("_rank", rank).withColumn("weight", weight.cast("double"))
+    sources = sources.withColumn("_most", (MOST_PASSES * F.col("source_size")).cast("double"))
     sources = written(spark, sources.withColumn("_ratio", F.col("_most") / F.col("weight")), "sources")
-    whole = sources.agg(F.sum("source_size").alias("s"), F.sum("weight").alias("w")).first()
-    total, weight_sum = share * (whole["s"] or 0), whole["w"] or 0.0
-    # Sources in the order in which a rising water level reaches their limit.
-    columns = {"_full": running_sum("_most"), "_heavy": running_sum("weight")}
-    rising = with_ordered(sources, ["_all"], ["_ratio", "_rank"], columns)
-    left = weight_sum - F.col("_heavy") + F.col("weight")
-    level = (total - F.col("_full") + F.col("_most")) / left
-    reached = rising.select("_ratio", level.alias("_level")).where("_level <= _ratio").agg(F.min_by("_level", "_ratio").alias("x"))
-    x = reached.first()["x"] or 0.0
+    total = share * (sources.agg(F.sum("source_size")).first()[0] or 0)
+    # Sources in the order in which a rising water level reaches their limit: those before are full.
+    rising = Window.orderBy("_ratio", "_rank")
+    full = F.coalesce(F.sum("_most").over(rising.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    left = F.sum("weight").over(rising.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    levels = sources.select("_ratio", ((total - full) / left).alias("_level"))
+    x = levels.where("_level <= _ratio").agg(F.min_by("_level", "_ratio")).first()[0] or 0.0
     target = F.least(F.col("_most").cast("double"), F.col("weight") * F.lit(x))
     return sources.select("source", "source_size", "n_docs", target.alias("target"))
 
@@ -73,13 +72,11 @@ def apportion(parties: DataFrame, group: Sequence[str], party: Sequence[str]) ->
 
     Ties go to the smaller ``party``. Groups without weight get no seats.
     """
-    totals = parties.groupBy(*group).agg(
-        F.sum("weight").alias("_w"), F.count(F.lit(1)).alias("_n"), F.first("seats").alias("_seats")
-    )
-    start = F.when(F.col("_w") > 0, F.floor(F.col("weight") * F.col("_seats") / F.col("_w") + 0.5)).otherwise(0)
-    base = parties.join(totals, list(group)).withColumn("_start", start.cast("bigint"))
-    missing = base.groupBy(*group).agg((F.first("_seats") - F.sum("_start")).alias("_missing"))
-    base = base.join(missing, list(group))
+    own = Window.partitionBy(*group)
+    base = parties.withColumn("_w", F.sum("weight").over(own)).withColumn("_n", F.count(F.lit(1)).over(own))
+    start = F.when(F.col("_w") > 0, F.floor(F.col("weight") * F.col("seats") / F.col("_w") + 0.5)).otherwise(0)
+    base = base.withColumn("_start", start.cast("bigint"))
+    base = base.withColumn("_missing", F.col("seats") - F.sum("_start").over(own))
     reach = (F.ceil(F.col("weight") * F.col("_n") / F.col("_w")) + 1).cast("bigint")
     more = F.col("_missing") > 0
     steps = F.when(
@@ -109,9 +106,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     # A source's name may be null: from here on a source is its hash, checked to be its own below.
     key = F.struct(F.col("source").isNull(), F.coalesce("source", F.lit("")))
     parties = aimed.withColumn("_source", F.md5(F.to_json(key))).withColumn("weight", F.col("target"))
-    parties = parties.withColumn("seats", F.lit(round(total / block))).withColumn("_all", F.lit(0))
+    parties = parties.withColumn("seats", F.lit(round(total / block)))
     n_shards = F.greatest(F.lit(1), F.least(F.lit(MOST_SHARDS), F.ceil(F.col("n_docs") / SHARD_ROWS))).cast("int")
-    quotas = apportion(parties, ["_all"], ["_source"]).withColumn("_shards", n_shards)
+    quotas = apportion(parties, [], ["_source"]).withColumn("_shards", n_shards)
     quotas = written(spark, quotas.select("_source", "source_size", "target", "quota", "_shards"), "quotas")
 
     placed = sized.withColumn("_source", F.md5(F.to_json(key))).join(quotas, "_source")
