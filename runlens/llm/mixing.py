@@ -95,10 +95,16 @@ def apportion(parties: DataFrame, group: Sequence[str], party: Sequence[str]) ->
     return base.join(change, [*group, *party], "left").withColumn("quota", quota).select(*parties.columns, "quota")
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every row of (doc_id, source, text)."""
+def mix(
+    docs: DataFrame,
+    weights: Sequence[float] = WEIGHTS,
+    share: float = SHARE,
+    seed: int = SEED,
+    carry: Sequence[str] = (),
+) -> DataFrame:
+    """doc_id, size, source_size, target and taken of every row of (doc_id, source, text), and the columns in ``carry``."""
     spark = docs.sparkSession
-    sized = written(spark, docs.select("doc_id", "source", n_words("text").alias("size")), "sized")
+    sized = written(spark, docs.select("doc_id", "source", n_words("text").alias("size"), *carry), "sized")
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     aimed = written(spark, targets(by_source, weights, share), "targets")
     total = aimed.agg(F.sum("target")).first()[0] or 0.0
@@ -137,10 +143,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
 
     placed = placed.join(shards.select("_source", "_shard", "_passes"), ["_source", "_shard"], "left")
     placed = placed.withColumn("_row", F.monotonically_increasing_id())
-    return _taken(written(spark, placed, "placed"), chosen, block)
+    return _taken(written(spark, placed, "placed"), chosen, block, carry)
 
 
-def _taken(placed: DataFrame, chosen: DataFrame, block: int) -> DataFrame:
+def _taken(placed: DataFrame, chosen: DataFrame, block: int, carry: Sequence[str]) -> DataFrame:
     """Words each document gives: its whole passes, and what of it lies in chosen blocks."""
     begin = F.col("_end") - F.col("size")
     spans = placed.where("size > 0").select(
@@ -154,4 +160,34 @@ def _taken(placed: DataFrame, chosen: DataFrame, block: int) -> DataFrame:
     inside = F.least(F.col("_end"), (F.col("_block") + 1) * block) - F.greatest(F.col("_begin"), F.col("_block") * block)
     partly = spans.join(chosen, ["_source", "_shard", "_block"]).groupBy("_row").agg(F.sum(inside).alias("_partly"))
     taken = F.coalesce(F.col("_passes"), F.lit(0)) * F.col("size") + F.coalesce("_partly", F.lit(0))
-    return placed.join(partly, "_row", "left").select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return placed.join(partly, "_row", "left").select("doc_id", "size", "source_size", "target", taken.alias("taken"), *carry)
+
+
+def copies(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, seed: int = SEED) -> DataFrame:
+    """The mix itself: a row of docs for every time it is taken, the last one cut to the words that are left of its share.
+
+    Adds mix_copy (from 1), mix_words, mix_source_size and mix_target; ``n_chars``, where docs has it, follows the text.
+    """
+    spark = docs.sparkSession
+    held = written(spark, docs.withColumn("_held", F.monotonically_increasing_id()), "held")
+    shares = mix(held, weights, share, seed, carry=["_held"]).where("taken > 0")
+    shares = shares.select("_held", F.col("size").alias("_size"), "taken", "source_size", "target")
+    copy = F.explode(F.sequence(F.lit(1).cast("bigint"), F.ceil(F.col("taken") / F.col("_size")).cast("bigint")))
+    shares = shares.withColumn("mix_copy", copy)
+    words = F.least(F.col("_size"), F.col("taken") - (F.col("mix_copy") - 1) * F.col("_size"))
+    shares = shares.select(
+        "_held",
+        "mix_copy",
+        words.alias("mix_words"),
+        (words < F.col("_size")).alias("_cut"),
+        F.col("source_size").alias("mix_source_size"),
+        F.col("target").alias("mix_target"),
+    )
+    out = held.join(shares, "_held")
+    pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    text = F.when(F.col("_cut"), F.array_join(F.slice(pieces, F.lit(1), F.col("mix_words").cast("int")), "")).otherwise(F.col("text"))
+    out = out.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.drop("_held", "_cut")

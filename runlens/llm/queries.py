@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import chat, decontaminate, importance, jaccard, mixing, pages, quality, substrings, toxicity
+from runlens.llm import chat, decontaminate, fixity, importance, jaccard, mixing, pages, quality, substrings, toxicity
+from runlens.llm.components import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,39 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"))
 
 
+def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records, audited against a replica with records changed, cut short and lost.
+
+    The replica is derived from the pages: by page id, some records lose their last byte, some have one replaced, and
+    some are missing.
+    """
+    records = written(spark, fixity.warc_records(table(spark, sf_dir, "pages")), "records")
+    page, record = F.col("page_id"), F.col("record")
+    head, tail = F.substring(record, 1, 20), F.substring(record, 22, 1 << 30)
+    spoilt = F.when(page % 97 == 5, F.concat(head, F.unhex(F.lit("00")), tail))
+    spoilt = spoilt.when(page % 89 == 3, F.substring(record, F.lit(1), (F.col("length") - 1).cast("int")))
+    replica = records.where(page % 101 != 7).withColumn("record", spoilt.otherwise(record))
+    found = fixity.audit(records, replica)
+    return found.join(records.select("file", "offset", "length", "page_id"), ["file", "offset"])
+
+
+OP3_SQL = """
+WITH records AS (
+    SELECT page_id, page_id // 1000 AS file,
+        strlen('WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:'
+            || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+            || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10))
+            + strlen(coalesce(html, '')) + 4 AS length
+    FROM pages
+), placed AS (
+    SELECT *, sum(length) OVER (PARTITION BY file ORDER BY page_id) - length AS start FROM records
+)
+SELECT file, CAST(start AS BIGINT) AS "offset", length, page_id,
+    CASE WHEN page_id % 101 = 7 THEN 'missing' ELSE 'changed' END AS kind
+FROM placed WHERE page_id % 101 = 7 OR page_id % 97 = 5 OR page_id % 89 = 3
+"""
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document once the passages that smaller ids have too are gone."""
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
@@ -77,6 +111,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
+    "op3_warc_fixity": op3_warc_fixity,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_html_extraction": op6_html_extraction,
@@ -86,4 +121,6 @@ QUERIES = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_warc_fixity": OP3_SQL,
+}
