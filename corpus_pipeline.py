@@ -9,6 +9,10 @@ from runlens.session import new_folder
 
 STAGES = [
     ("toxicity", stages.without_toxic),
+    ("n-gram Jaccard join", stages.without_near_copies),
+    ("substring dedup", stages.without_repeats),
+    ("benchmark decontamination", stages.without_benchmark),
+    ("mixing sources to target weights", stages.mixed),
 ]
 
 #: The stages learn, hash and draw by seed; tests compare them with plain Python instead.
