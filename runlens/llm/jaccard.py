@@ -13,6 +13,10 @@ in different ways:
 
 The boundary between small and large is the size at which subsets become dearer than lists, by the counts of both.
 
+Before whole texts travel, a pair passes a bound: each set has a bitmap of about as many bits as elements, in which every
+element flips one bit. Two sets differ in as many elements at least as their bitmaps differ in bits, so a pair whose bitmaps are too
+far apart cannot link.
+
 Sets that are equal become one class before any of this, so exact copies cost nothing further. Frequent shingles
 are found by counts over all documents and marked in a bitmap of fixed size; they come last in the order that says
 which shingles list a set. The marks steer the work only: any order gives the same links.
@@ -84,6 +88,26 @@ class Sets:
         return mix(sums[self.bounds[1:]] - sums[self.bounds[:-1]] + self.sizes.astype(np.uint64))
 
 
+    def flips(self) -> list[bytes]:
+        """Each row's bitmap: its elements flip the bits that their leading bits name."""
+        bits = np.maximum(6, np.ceil(np.log2(np.maximum(self.sizes, 1))).astype(np.int64))
+        ends = np.cumsum(1 << bits)
+        hashes = mix(self.values ^ keys(1, 3)) >> (64 - bits[self.rows]).astype(np.uint64)
+        flipped = np.bincount((ends - (1 << bits))[self.rows] + hashes.astype(np.int64), minlength=int(ends[-1])) & 1
+        packed = np.packbits(flipped.astype(np.uint8)).tobytes()
+        return [packed[end - (1 << k) >> 3 : end >> 3] for end, k in zip(ends.tolist(), bits.tolist(), strict=True)]
+
+
+def may_link(flips_a: bytes, size_a: int, flips_b: bytes, size_b: int, percent: int = PERCENT) -> bool:
+    """Whether the bitmaps of two sets leave room for a link."""
+    a, b = (np.unpackbits(np.frombuffer(x, np.uint8)) for x in (flips_a, flips_b))
+    while len(a) > len(b):
+        a = a[::2] ^ a[1::2]
+    while len(b) > len(a):
+        b = b[::2] ^ b[1::2]
+    return (size_a + size_b - int((a ^ b).sum())) // 2 >= overlap(size_a, size_b, percent)
+
+
 def _frequent(docs: DataFrame, size: int, bits: int, frequent: int) -> np.ndarray:
     """A bitmap of the shingles that many documents hold, by leading bits."""
 
@@ -128,10 +152,12 @@ def _signed(docs: DataFrame, size: int, most_small: int) -> DataFrame:
                     pa.array(sets.signature(2).view(np.int64)),
                     pa.array(sets.sizes),
                     pa.array(elements, pa.list_(pa.int64())),
+                    pa.array(sets.flips(), pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sign", "sign2", "size", "elements"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sign", "sign2", "size", "elements", "flips"])
 
-    return docs.mapInArrow(sign, "doc_id bigint, sign bigint, sign2 bigint, size bigint, elements array<bigint>")
+    schema = "doc_id bigint, sign bigint, sign2 bigint, size bigint, elements array<bigint>, flips binary"
+    return docs.mapInArrow(sign, schema)
 
 
 def _partners(s: int, most: int, percent: int) -> list[int]:
@@ -249,8 +275,27 @@ def _chunks(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[int, i
         first = last
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _close(pairs: DataFrame, flips: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their bitmaps leave room for."""
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = (batch[c].to_pylist() for c in ("flips_a", "size_a", "flips_b", "size_b"))
+            keep = pa.array([may_link(*pair, percent) for pair in zip(*sides, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch[c].filter(keep) for c in "ab"], ["a", "b"])
+
+    a, b = (flips.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("flips").alias(f"flips_{x}")) for x in "ab")
+    return pairs.join(b, "b").join(a, "a").mapInArrow(bound, "a bigint, b bigint")
+
+
+def _linked(pairs: DataFrame, flips: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the threshold."""
+    spark = pairs.sparkSession
+    pairs = written(spark, _close(pairs, flips, percent), "close")
+    ends = pairs.select("a").union(pairs.select("b"))
+    marks = repeats.bitmap_of(ends, repeats.bitmap_bits(2 * pairs.count()))
+    texts = repeats.among(docs.where("doc_id is not null"), marks).select(F.col("doc_id").alias("node"), "text")
+    texts = written(spark, texts.dropDuplicates(["node"]), "texts")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,16 +344,16 @@ def jaccard_join(
     lists = _lists(text, bitmap, MARK_BITS, bits, least, shingle, percent).distinct()
     lists = lists.join(members.select("sign", "size", "node"), ["sign", "size"]).select("list", "node", "size")
     lists = written(spark, lists, "lists")
-    named = written(spark, lists.select("node").distinct(), "listed")
-    texts = docs.join(named, docs["doc_id"] == named["node"], "left_semi").dropDuplicates(["doc_id"])
-    texts = written(spark, texts.select(F.col("doc_id").alias("node"), "text"), "texts")
+    flips = signed.select(F.col("doc_id").alias("node"), "size", "flips")
+    flips = flips.join(lists.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    flips = written(spark, flips, "flips")
 
     heads = written(spark, lists.groupBy("list").agg(F.min(F.struct("size", "node")).alias("head")), "heads")
     near = f"{percent} * greatest(size, other) <= 100 * least(size, other) and greatest(size, other) > {limit}"
     first = lists.join(heads, "list").select("node", "size", F.col("head.node").alias("b"), F.col("head.size").alias("other"))
     first = first.where("node <> b").where(near).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"))
     first = written(spark, first.distinct(), "pairs")
-    links.append(_linked(first, texts, shingle, percent))
+    links.append(_linked(first, flips, docs, shingle, percent))
     found = links[0] if len(links) == 1 else links[0].union(links[1])
     found = written(spark, found, "links")
     grouped = written(spark, components(found), "components")
@@ -321,11 +366,11 @@ def jaccard_join(
     other = mixed.select("list", F.col("node").alias("b"), F.col("size").alias("other"), F.col("component").alias("other_component"))
     rest = mixed.join(other, "list").where("node > b and component <> other_component").where(near)
     rest = rest.select(F.col("node").alias("a"), "b").distinct().join(first, ["a", "b"], "left_anti")
-    more = written(spark, _linked(written(spark, rest, "pairs"), texts, shingle, percent), "links")
+    more = written(spark, _linked(written(spark, rest, "pairs"), flips, docs, shingle, percent), "links")
     if not more.isEmpty():
         grouped = written(spark, components(found.union(more)), "components")
 
     classes = members.join(grouped, "node", "left").select(*same, F.coalesce("component", "node").alias("component"))
-    placed = signed.join(classes, same, "left")
+    placed = signed.select("doc_id", *same).join(classes, same, "left")
     own_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return placed.select("doc_id", F.col("size").alias("n_shingles"), own_id.alias("component_id"))

@@ -123,3 +123,20 @@ def test_overlap_is_what_the_threshold_asks_for():
             if least is not None:
                 assert jaccard.overlap(s, t) == least
     assert np.all(jaccard.prefix(np.arange(1, 200)) >= 1)
+
+
+def test_bitmaps_never_rule_a_link_out():
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(rng.sample(base, rng.randrange(1, 60)) if k % 3 else base[: rng.randrange(20, 60)]) for k in range(80)]
+    (words_,) = slices(pa.array(texts))
+    sets = jaccard.Sets(words_, 1)
+    flips, plain = sets.flips(), [set(t.split()) for t in texts]
+    ruled_out = 0
+    for i in range(80):
+        for j in range(i):
+            both, either = len(plain[i] & plain[j]), len(plain[i] | plain[j])
+            possible = jaccard.may_link(flips[i], int(sets.sizes[i]), flips[j], int(sets.sizes[j]))
+            assert possible or 100 * both < 80 * either
+            ruled_out += not possible
+    assert ruled_out > 1000
