@@ -9,7 +9,8 @@ further level ``FANOUT`` of the one below; above the highest range level, files
 FANOUT children, and a range of BLOCK bytes a bounded number of records, so no group grows with the data, also
 where one file holds a third of it.
 
-Defined cases: a null page id counts as -1, null html and urls as empty; several records at one offset are one leaf, of their
+Defined cases: a null page id counts as -1, null html and urls as empty, a
+null record has a hash of its own; several records at one offset are one leaf, of their
 smallest and greatest hash and their number; equal replicas, and two empty ones, give no rows; a replica that lacks a
 whole branch differs in every record of it. Extra columns play no part.
 """
@@ -60,7 +61,7 @@ def warc_records(pages: DataFrame, per_file: int = PAGES_PER_FILE) -> DataFrame:
 
 def leaves(records: DataFrame) -> DataFrame:
     """Level 0: one node per file and offset."""
-    digest = records.select("file", "offset", F.sha2("record", 256).alias("hash"))
+    digest = records.select("file", "offset", F.coalesce(F.sha2("record", 256), F.lit("null")).alias("hash"))
     leaf = digest.groupBy("file", "offset").agg(F.min("hash").alias("a"), F.max("hash").alias("b"), F.count(F.lit(1)).alias("n"))
     several = F.sha2(F.concat_ws(",", "a", "b", F.col("n").cast("string")), 256)
     hash_ = F.when(F.col("n") == 1, F.col("a")).otherwise(several)
