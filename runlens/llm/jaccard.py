@@ -7,9 +7,9 @@ in different ways:
   equality. Sharing one is the proof of a link, so the members of a subset link to its smallest, without a pair more.
 * Large sets scan inverted lists. A set is listed under its rarest shingles only, just enough that two linked sets
   must share one. Lists with one set in them end in their bucket. The others link in two passes: first every set
-  is compared with the smallest of each of its lists, and what links becomes one component; then only sets of one
-  list that are still in different components are compared. No link is lost: a pair that is left out is in one
-  component already.
+  is compared with one head of each of its lists, and what links becomes one component; then only sets of one
+  list that are still in different components are compared. Both leave out a pair when too few elements follow the shared one
+  in their orders. No link is lost: a linked pair is in one component already, or meets under the first element it shares.
 
 The boundary between small and large is the size at which subsets become dearer than lists, by the counts of both.
 
@@ -54,6 +54,9 @@ FREQUENT = 64
 LEAST_COUNT = 3
 
 
+NARROW = "bucket int, keys array<int>, owners array<bigint>, places array<bigint>"
+
+
 def overlap(s: int, t: int, percent: int = PERCENT) -> int:
     """What sets of these sizes must share to link."""
     return -(-percent * (s + t) // (100 + percent))
@@ -208,7 +211,7 @@ def _subset_links(small: DataFrame, most: int, percent: int) -> DataFrame:
 
 
 def _lists(docs: DataFrame, bitmap, mark_bits: int, bits: int, least: int, size: int, percent: int) -> DataFrame:
-    """(list, sign, size) of the sets of at least ``least`` elements in lists with more than one set."""
+    """(list, sign, size, place) of the sets of at least ``least`` elements in lists with more than one set."""
 
     def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[repeats.Entries]:
         marks = np.frombuffer(bitmap.value, np.uint8)
@@ -222,7 +225,8 @@ def _lists(docs: DataFrame, bitmap, mark_bits: int, bits: int, least: int, size:
             place = np.arange(len(rows)) - sets.bounds[rows]
             listed = (place < prefix(sets.sizes[rows], percent)) & (sets.sizes[rows] >= least)
             rows, values = rows[listed], sets.values[order][listed]
-            return mix(values), sets.signature(1).view(np.int64)[rows], sets.sizes[rows].astype(np.int32)
+            # Size of the set and place of the element in its order, in one number.
+            return mix(values), sets.signature(1).view(np.int64)[rows], sets.sizes[rows] << 32 | place[listed]
 
         for batch in batches:
             for found in repeats.gathered(entries(words) for words in slices(batch["text"], lower=True)):
@@ -242,8 +246,8 @@ def _lists(docs: DataFrame, bitmap, mark_bits: int, bits: int, least: int, size:
         keys_ = (np.uint64(bucket) << np.uint64(32)) | short
         return pa.Table.from_batches([_listed(keys_, repeats.flat(group, "owners"), repeats.flat(group, "places"))])
 
-    schema = "list bigint, sign bigint, size bigint"
-    sent = docs.mapInArrow(send, repeats.NARROW).groupBy("bucket").applyInArrow(meet, schema)
+    schema = "list bigint, sign bigint, size bigint, place bigint"
+    sent = docs.mapInArrow(send, NARROW).groupBy("bucket").applyInArrow(meet, schema)
     return sent.union(docs.mapInArrow(settle, schema))
 
 
@@ -261,8 +265,9 @@ def _listed(keys_: np.ndarray, owners: np.ndarray, places: np.ndarray) -> pa.Rec
     """The entries of keys with several owners, one row each."""
     order, least, most = repeats.by_key(keys_, owners)
     order = order[least != most]
-    columns = [pa.array(keys_[order].view(np.int64)), pa.array(owners[order], pa.int64()), pa.array(places[order], pa.int64())]
-    return pa.RecordBatch.from_arrays(columns, ["list", "sign", "size"])
+    places = places[order]
+    columns = [keys_[order].view(np.int64), owners[order], places >> 32, places & 0xFFFFFFFF]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["list", "sign", "size", "place"])
 
 
 def _chunks(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -342,16 +347,26 @@ def jaccard_join(
     least = -(-percent * (limit + 1) // 100)
     bits = repeats.bits_for(elements * (100 - percent) / 100)
     lists = _lists(text, bitmap, MARK_BITS, bits, least, shingle, percent).distinct()
-    lists = lists.join(members.select("sign", "size", "node"), ["sign", "size"]).select("list", "node", "size")
+    lists = lists.join(members.select("sign", "size", "node"), ["sign", "size"]).select("list", "node", "size", "place")
     lists = written(spark, lists, "lists")
     flips = signed.select(F.col("doc_id").alias("node"), "size", "flips")
     flips = flips.join(lists.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     flips = written(spark, flips, "flips")
 
-    heads = written(spark, lists.groupBy("list").agg(F.min(F.struct("size", "node")).alias("head")), "heads")
-    near = f"{percent} * greatest(size, other) <= 100 * least(size, other) and greatest(size, other) > {limit}"
-    first = lists.join(heads, "list").select("node", "size", F.col("head.node").alias("b"), F.col("head.size").alias("other"))
-    first = first.where("node <> b").where(near).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"))
+    # What two sets can still share from this element of their orders on must do for a link.
+    near = (
+        f"{percent} * greatest(size, other) <= 100 * least(size, other) and greatest(size, other) > {limit} and "
+        f"(100 + {percent}) * least(size - place, other - other_place) >= {percent} * (size + other)"
+    )
+    # A list's head is the set that shares the longest lists: of a group of near copies, the one they come from.
+    length = written(spark, lists.groupBy("list").agg(F.count(F.lit(1)).alias("length")), "lengths")
+    weight = lists.join(length, "list").groupBy("node").agg(F.sum("length").alias("weight"))
+    weight = written(spark, weight, "weights")
+    ranked = lists.join(weight, "node").select("list", F.struct("weight", F.negative("size"), "node", "size", "place").alias("head"))
+    heads = written(spark, ranked.groupBy("list").agg(F.max("head").alias("head")), "heads")
+    other = [F.col("head.node").alias("b"), F.col("head.size").alias("other"), F.col("head.place").alias("other_place")]
+    first = lists.join(heads, "list").select("node", "size", "place", *other).where("node <> b").where(near)
+    first = first.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"))
     first = written(spark, first.distinct(), "pairs")
     links.append(_linked(first, flips, docs, shingle, percent))
     found = links[0] if len(links) == 1 else links[0].union(links[1])
@@ -359,11 +374,12 @@ def jaccard_join(
     grouped = written(spark, components(found), "components")
 
     now = lists.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    now = written(spark, now.select("list", "node", "size", "component"), "lists")
+    now = written(spark, now.select("list", "node", "size", "place", "component"), "lists")
     mixed = now.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     mixed = now.join(written(spark, mixed.select("list"), "mixed"), "list", "left_semi")
     mixed = written(spark, mixed, "mixed-lists")
-    other = mixed.select("list", F.col("node").alias("b"), F.col("size").alias("other"), F.col("component").alias("other_component"))
+    renamed = {"node": "b", "size": "other", "place": "other_place", "component": "other_component"}
+    other = mixed.withColumnsRenamed(renamed)
     rest = mixed.join(other, "list").where("node > b and component <> other_component").where(near)
     rest = rest.select(F.col("node").alias("a"), "b").distinct().join(first, ["a", "b"], "left_anti")
     more = written(spark, _linked(written(spark, rest, "pairs"), flips, docs, shingle, percent), "links")

@@ -116,7 +116,7 @@ def sent_batch(entries: Entries, bits: int, names: np.ndarray | None = None) ->
             pa.array(found, pa.int32()),
             _lists(cuts, keys.view(np.int64) if names is not None else keys, pa.int64() if names is not None else pa.int32()),
             _lists(cuts, owners[order], pa.int64()),
-            _lists(cuts, places[order], pa.int32()),
+            _lists(cuts, places[order], pa.from_numpy_dtype(places.dtype)),
         ],
         ["bucket", "keys", "owners", "places"],
     )
