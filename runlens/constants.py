@@ -20,6 +20,7 @@ PRIORITY_MIN, PRIORITY_MAX = 1, 5
 DEFAULT_EPOCHS_TOTAL = 20
 DEFAULT_PROFILING_EPOCHS = 3
 DEFAULT_JOB_TYPE = "unknown"
+BROKEN_SUBMISSION = "not a JSON object"
 PROFILING_CONFIGS_PER_JOB = 1
 
 # Patterns and sizes.

@@ -226,10 +226,10 @@ def batches(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def commands(spark: SparkSession, folder: str) -> DataFrame:
-    """Stop and resume commands, one per event, some to unknown jobs; the newest of a job has the
+    """Stop and resume commands, one per event, some to unknown jobs and some unknown; the newest of a job has the
     highest number."""
     return table(spark, folder, "events").selectExpr(
         "concat(CASE WHEN user_id % 25 = 3 THEN 'ghost-' ELSE 'job-' END, user_id) AS id",
         "event_id AS seq",
-        "CASE WHEN event_type IN ('signup', 'purchase') THEN 'resume' ELSE 'stop' END AS cmd",
+        "CASE WHEN event_type IN ('signup', 'purchase') THEN 'resume' WHEN event_id % 10 = 7 THEN 'pause' ELSE 'stop' END AS cmd",
     )

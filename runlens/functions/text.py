@@ -20,9 +20,13 @@ def _group(text: Column | str, pattern: str, index: int) -> Column:
 def format_duration(seconds: Column | str) -> Column:
     """F-03. ``2m 5.50s``, or ``5.50s`` below a minute."""
     s = _col(seconds)
-    minutes = F.floor(s / 60)
-    # Halves are rounded up on the binary value.
-    rest = F.format_string("%.2fs", F.floor(s % 60 * 100 + 0.5) / 100)
+    minutes, rest = F.floor(s / 60), s % 60
+    # Rounded on the binary value, exact halves up. Where the product with 100 comes out at a half, it may have been
+    # rounded itself: the three sums are exact and tell on which side of the half the value is.
+    whole = F.floor(rest * 100)
+    half = whole + F.lit(0.5)
+    up = (rest * 100 > half) | ((rest * 100 == half) & ((rest * 64 - half) + rest * 32 + rest * 4 >= 0))
+    rest = F.format_string("%.2fs", (whole + F.when(up, 1).otherwise(0)) / 100)
     text = F.when(minutes > 0, F.concat(minutes.cast("string"), F.lit("m "), rest)).otherwise(rest)
     return F.when(s.isNotNull(), text)
 

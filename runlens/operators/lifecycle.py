@@ -11,17 +11,22 @@ from runlens.operators.filters import active_jobs
 from runlens.plans.ordered import DEFAULT, HotGroups, join_unique, previous, running_sum, with_ordered
 
 
+def _by_value(rows: DataFrame, columns: list[str]) -> list[Column]:
+    """An order of rows by all of these columns; maps, which have none, by their text."""
+    kinds = dict(rows.dtypes)
+    return [F.to_json(c) if kinds[c].startswith("map") else F.col(c) for c in columns]
+
+
 def patch_jobs(jobs: DataFrame, changes: DataFrame, now: Column, newest: list[Column] | None = None) -> DataFrame:
     """K-04. Set the columns of ``changes`` (NULLs too) and ``updated_at`` on the jobs it names.
 
-    With ``newest`` several changes of a job may be given; the greatest under it is applied.
+    Of several changes of a job the greatest under ``newest`` is applied, or the one with the greatest
+    values where no order is given. Every job keeps its one row.
     """
     columns = [c for c in changes.columns if c in jobs.columns and c not in ("id", "updated_at")]
     values = F.struct(*[F.col(c) for c in columns])
-    if newest:
-        latest = changes.groupBy("id").agg(F.max_by(values, F.struct(*newest)).alias("_new"))
-    else:
-        latest = changes.select("id", values.alias("_new"))
+    order = F.struct(*(newest or _by_value(changes, columns)))
+    latest = changes.groupBy("id").agg(F.max_by(values, order).alias("_new"))
     hit = F.col("_new").isNotNull()
 
     def updated(name: str) -> Column:
@@ -57,7 +62,19 @@ def apply_commands(
     needs no fold over the earlier ones. It follows from the job's first state, the previous
     command, and whether the command that ends that first state has come yet: a stop does for
     a running job, a resume for a failed one. A job sent very many commands is handled in chunks.
+    Any other command is refused (400) whatever the state, which it does not change or read.
     """
+    known_commands = F.coalesce(F.col("cmd").isin("stop", "resume"), F.lit(False))
+    refused = commands.where(~known_commands).select(
+        "id",
+        "seq",
+        "cmd",
+        F.lit(None).cast("string").alias("status_before"),
+        F.lit(None).cast("string").alias("status_after"),
+        F.lit("unknown_command").alias("outcome"),
+        F.lit(400).alias("code"),
+    )
+    commands = commands.where(known_commands)
     counted = commands.select(
         "id",
         "seq",
@@ -103,6 +120,7 @@ def apply_commands(
         .withColumn("code", code)
         .withColumn("status_after", after)
         .select("id", "seq", "cmd", "status_before", "status_after", "outcome", "code")
+        .union(refused)
     )
 
 
@@ -113,13 +131,17 @@ def commanded_jobs(jobs: DataFrame, outcomes: DataFrame, now: Column) -> DataFra
     return patch_jobs(jobs, changes, now, newest=[F.col("seq")])
 
 
-def resolve_outcomes(jobs: DataFrame, exits: DataFrame, now: Column) -> DataFrame:
+def resolve_outcomes(
+    jobs: DataFrame, exits: DataFrame, now: Column, newest: list[Column] | None = None
+) -> DataFrame:
     """K-08. Jobs after their runs (id, exit_code) ended, with ``replan`` on those to plan again.
 
-    A stopped job stays stopped. A finished profiling run goes back to the queue without a
+    Of several exits of a job the greatest under ``newest`` counts, or the one with the highest code, so a
+    report that is sent twice changes nothing and a failure is not lost. A stopped job stays stopped. A finished profiling run goes back to the queue without a
     node and keeps its old exit code, which says that no full run has ended yet.
     """
-    ended = exits.select("id", F.col("exit_code").alias("_exit"))
+    order = F.struct(*(newest or [F.col("exit_code")]))
+    ended = exits.where("exit_code is not null").groupBy("id").agg(F.max_by("exit_code", order).alias("_exit"))
     code, hit = F.col("_exit"), F.col("_exit").isNotNull()
     stopped = F.col("status") == C.PREEMPTED
     profiled = hit & ~stopped & (code == 0) & F.col("is_profiling_run")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,18 +11,27 @@ from runlens import constants as C
 from runlens.functions import format_gpu_config, short_id, status_rank
 
 
-def newest_page(jobs: DataFrame, limit: int = C.PAGE_SIZE, offset: int = 0) -> DataFrame:
-    """O-01. One page of jobs, newest first."""
+def newest_page(
+    jobs: DataFrame, limit: int = C.PAGE_SIZE, offset: int = 0, after: tuple[datetime, str] | None = None
+) -> DataFrame:
+    """O-01. One page of jobs, newest first.
+
+    ``after`` is the (created_at, id) of the last job of the page before: later pages then cost no more than the
+    first. ``offset`` counts rows instead, all of which every task keeps; it is for the first pages.
+    """
     if not 1 <= limit <= C.PAGE_SIZE_MAX:
         raise ValueError(f"limit must be between 1 and {C.PAGE_SIZE_MAX}")
     if offset < 0:
         raise ValueError("offset must not be negative")
+    if after is not None:
+        at, last = F.lit(after[0]), F.lit(after[1])
+        jobs = jobs.where((F.col("created_at") < at) | ((F.col("created_at") == at) & (F.col("id") > last)))
     return jobs.orderBy(F.desc("created_at"), "id").offset(offset).limit(limit)
 
 
 def by_duration(claims: DataFrame) -> DataFrame:
-    """O-03. Fastest result first, runs in flight last."""
-    return claims.orderBy(F.asc_nulls_last("duration_seconds"), "config_key")
+    """O-03. Fastest result first, runs in flight last; equal ones by configuration, then type."""
+    return claims.orderBy(F.asc_nulls_last("duration_seconds"), "config_key", "job_id")
 
 
 def by_config_key(configs: DataFrame) -> DataFrame:
@@ -43,12 +54,14 @@ def table_view(
     page_size: int = C.TABLE_PAGE_SIZE,
     tie_break: str = "id",
 ) -> DataFrame:
-    """O-05. One page of a table, sorted by any column and filtered on another."""
+    """O-05. One page of a table, sorted by any column and filtered on another.
+
+    ``tie_break`` gives every row a place of its own, also where no column is sorted by, so pages never overlap.
+    """
     if filter_column and filter_text:
         df = df.where(F.lower(F.col(filter_column).cast("string")).contains(filter_text.lower()))
-    if sort_by:
-        df = df.orderBy(F.desc(sort_by) if descending else F.asc(sort_by), tie_break)
-    return df.offset(page * page_size).limit(page_size)
+    chosen = [F.desc(sort_by) if descending else F.asc(sort_by)] if sort_by else []
+    return df.orderBy(*chosen, tie_break).offset(page * page_size).limit(page_size)
 
 
 def _shown(value: Column) -> Column:

@@ -27,12 +27,17 @@ def _submission_errors(now: Column, deadline: Column) -> Column:
 
 
 def validate_submissions(submissions: DataFrame, now: Column) -> DataFrame:
-    """S-01. Add ``errors`` and ``is_valid``.
+    """S-01. Add ``errors`` and ``is_valid``. ``type_errors`` of R-08, where there are any, are among the errors.
 
     A deadline is compared by its clock time read as UTC, whatever zone it was written in.
     """
     wall = F.col("deadline_wall" if "deadline_wall" in submissions.columns else "deadline")
-    checked = submissions.withColumn("errors", _submission_errors(now, wall))
+    errors = _submission_errors(now, wall)
+    if "type_errors" in submissions.columns:
+        # Of a line that is no JSON object nothing else can be said.
+        broken = F.array_contains("type_errors", C.BROKEN_SUBMISSION)
+        errors = F.when(broken, F.col("type_errors")).otherwise(F.concat("type_errors", errors))
+    checked = submissions.withColumn("errors", errors)
     return checked.withColumn("is_valid", F.size("errors") == 0)
 
 

@@ -67,6 +67,11 @@ LOG = """fx_log AS (
     row_number() OVER (PARTITION BY user_id, event_type = 'error' ORDER BY ts, event_id) || '/500 - Loss: ' ||
     CAST(value AS DECIMAL(12,2)) || ' - Acc: ' || CAST(event_id % 100 AS DECIMAL(5,2)) || '% - 1.00s' END AS line FROM events)"""
 
+STORED_LOG = f"""{LOG}, h AS (SELECT *, md5(run_id) AS m FROM fx_log), l AS (SELECT event_id, line,
+ row_number() OVER (PARTITION BY run_id ORDER BY ts, event_id) AS line_no,
+ substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-' || substr(m, 17, 4) || '-' || substr(m, 21, 12) AS job_id
+ FROM h)"""
+
 MARKS = f"""{LOG}, marks AS (
  SELECT run_id, event_id AS line_no, ts, CAST(regexp_extract(line, 'Epoch\\s+(\\d+)/(\\d+)', 1) AS BIGINT) AS epoch,
   CAST(regexp_extract(line, 'Epoch\\s+(\\d+)/(\\d+)', 2) AS BIGINT) AS total
@@ -158,19 +163,20 @@ VALIDITY = f"""checked AS (
 
 COMMANDS = """fx_commands AS (
  SELECT CASE WHEN user_id % 25 = 3 THEN 'ghost-' ELSE 'job-' END || user_id AS id, event_id AS seq,
-  CASE WHEN event_type IN ('signup', 'purchase') THEN 'resume' ELSE 'stop' END AS cmd FROM events),
+  CASE WHEN event_type IN ('signup', 'purchase') THEN 'resume' WHEN event_id % 10 = 7 THEN 'pause' ELSE 'stop' END AS cmd FROM events),
  listed AS (SELECT id, list(cmd ORDER BY seq) AS cmds FROM fx_commands GROUP BY id),
  step AS (SELECT c.id, c.seq, c.cmd, j.status, l.cmds, row_number() OVER (PARTITION BY c.id ORDER BY c.seq) AS n
   FROM fx_commands c JOIN listed l ON l.id = c.id LEFT JOIN fx_jobs j ON j.id = c.id),
  state AS (SELECT id, seq, cmd, CASE WHEN status IS NOT NULL THEN list_reduce(list_prepend(status, cmds[1:n-1]),
    lambda s, c: CASE WHEN c = 'stop' AND s IN ('QUEUED', 'RUNNING', 'PROFILING') THEN 'PREEMPTED'
     WHEN c = 'resume' AND s IN ('PREEMPTED', 'FAILED') THEN 'QUEUED' ELSE s END) END AS status_before FROM step),
- outcomes AS (SELECT *, CASE WHEN status_before IS NULL THEN 'not_found'
+ outcomes AS (SELECT * REPLACE (CASE WHEN cmd <> 'pause' THEN status_before END AS status_before), CASE WHEN cmd = 'pause' THEN 'unknown_command'
+   WHEN status_before IS NULL THEN 'not_found'
    WHEN cmd = 'stop' AND status_before = 'QUEUED' THEN 'stopped'
    WHEN cmd = 'stop' AND status_before IN ('RUNNING', 'PROFILING') THEN 'stop_requested'
    WHEN cmd = 'resume' AND status_before IN ('PREEMPTED', 'FAILED') THEN 'resume_requested' ELSE 'conflict' END AS outcome FROM state),
- commanded AS (SELECT *, CASE outcome WHEN 'not_found' THEN 404 WHEN 'conflict' THEN 409 ELSE 202 END AS code,
-   CASE WHEN outcome IN ('not_found', 'conflict') THEN status_before WHEN cmd = 'stop' THEN 'PREEMPTED' ELSE 'QUEUED' END AS status_after
+ commanded AS (SELECT *, CASE outcome WHEN 'unknown_command' THEN 400 WHEN 'not_found' THEN 404 WHEN 'conflict' THEN 409 ELSE 202 END AS code,
+   CASE WHEN outcome IN ('unknown_command', 'not_found', 'conflict') THEN status_before WHEN cmd = 'stop' THEN 'PREEMPTED' ELSE 'QUEUED' END AS status_after
   FROM outcomes)"""
 
 def plan(claims: str) -> str:
@@ -222,9 +228,14 @@ ORACLES: dict[str, str] = {
         FROM fx_jobs j LEFT JOIN fx_nodes n ON n.node_id = j.assigned_node""",
     "valid_configs": f"WITH {NODES}, {configs()} SELECT config_key, n_gpus, {label()} AS label FROM fx_configs",
     "config_listing": f"WITH {NODES}, {configs()} SELECT n_gpus, config_key FROM fx_configs ORDER BY n_gpus, config_key",
+    "configs_by_key": f"""WITH {NODES}, {configs()}
+        SELECT config_key, n_gpus, CAST(row_number() OVER (ORDER BY config_key) AS INT) AS place FROM fx_configs""",
     "production_configs": f"WITH {NODES}, {configs('c', 'true')} SELECT config_key, n_gpus FROM c",
     "shared_configs": f"""WITH {NODES}, {configs('p')}, {configs('o', 'NOT n.is_for_profiling')}
         SELECT config_key, n_gpus FROM p INTERSECT SELECT config_key, n_gpus FROM o""",
+    "restricted_configs": f"""WITH {NODES}, {configs('p')}, o AS (
+         SELECT max(a40) AS most FROM fx_nodes WHERE NOT is_for_profiling)
+        SELECT config_key, n_gpus FROM p, o WHERE l40s = 0 AND a40 <= most""",
     "unprofiled_configs": f"WITH {REM} SELECT job_id, n_gpus, config_key FROM rem",
     "next_config": f"WITH {REM} SELECT job_id, config_key, n_gpus FROM rem WHERE rn = 1",
     "profiled_configs": f"WITH {CLAIMS} SELECT DISTINCT job_id, config_key FROM fx_claims",
@@ -243,6 +254,12 @@ ORACLES: dict[str, str] = {
          coalesce(b.config_key = c.config_key, false) AS is_best
         FROM fx_types t CROSS JOIN fx_configs c LEFT JOIN fx_claims k ON k.job_id = t.job_id AND k.config_key = c.config_key
         LEFT JOIN best b ON b.job_id = t.job_id""",
+    "durations": """WITH d AS (SELECT l_orderkey, l_linenumber,
+          ((l_orderkey * 7 + l_linenumber * 1250 + l_partkey * 31) % 900000) / 10000.0::DOUBLE AS s FROM lineitem),
+        r AS (SELECT *, floor(s / 60) AS m, s % 60 AS rest FROM d)
+        SELECT l_orderkey, l_linenumber, CASE WHEN m > 0 THEN CAST(m AS BIGINT) || 'm ' ELSE '' END ||
+         CASE WHEN rest * 8 = floor(rest * 8) AND CAST(rest * 8 AS BIGINT) % 2 = 1
+          THEN printf('%.2fs', (floor(rest * 100) + 1) / 100) ELSE printf('%.2fs', rest) END AS duration FROM r""",
     "energy_cost": f"""WITH {CLAIMS}, {COSTS}, {PARTS}
         SELECT p.job_id, p.config_key, p.gpu_type, p.n_gpus, c.eur_per_hour
         FROM parts p LEFT JOIN fx_costs c ON c.gpu_type = p.gpu_type AND c.n_gpus = p.n_gpus""",
@@ -254,6 +271,9 @@ ORACLES: dict[str, str] = {
         WHERE p.duration_seconds IS NOT NULL GROUP BY 1, 2, 3""",
     "best_fit": f"""WITH {FREE}, w AS (SELECT id, a40, l40s, {key()} AS config_key FROM fx_jobs WHERE {WAITING}), {fits('f', 'w')}
         SELECT w.id, w.config_key, f.node_id, f.surplus FROM w LEFT JOIN f ON f.config_key = w.config_key""",
+    "best_fit_large": f"""WITH {FREE}, w0 AS (SELECT 'job-' || o_orderkey AS id, CAST(1 + o_custkey % 7 AS INT) AS a40,
+         CAST(o_orderkey % 4 AS INT) AS l40s FROM orders), w AS (SELECT *, {key()} AS config_key FROM w0), {fits('f', 'w')}
+        SELECT w.id, w.config_key, f.node_id, f.surplus FROM w LEFT JOIN f ON f.config_key = w.config_key""",
     "best_fit_profiling": f"""WITH {FREE}, {configs()}, {fits('f', 'fx_configs', 'f.is_for_profiling')}
         SELECT c.config_key, f.node_id, f.surplus FROM fx_configs c LEFT JOIN f ON f.config_key = c.config_key""",
     "available_config": f"""WITH {FREE}, {CLAIMS}, {TYPES}, {STANDARD}
@@ -343,10 +363,14 @@ ORACLES: dict[str, str] = {
         SELECT j.id, c.progress, CASE WHEN c.id IS NULL THEN j.exit_code ELSE c.exit_code END AS exit_code,
          CASE WHEN c.id IS NULL THEN j.created_at ELSE {NOW_SQL} END AS updated_at
         FROM fx_jobs j LEFT JOIN c ON c.id = j.id AND c.rn = 1""",
+    "patch_unordered": f"""WITH {JOBS}, c AS (SELECT 'job-' || l_orderkey AS id, max(struct_pack(
+          p := l_linenumber || '/9', e := CAST(l_suppkey % 2 AS INT))) AS v FROM lineitem GROUP BY l_orderkey)
+        SELECT j.id, c.v.p AS progress, CASE WHEN c.id IS NULL THEN j.exit_code ELSE c.v.e END AS exit_code
+        FROM fx_jobs j LEFT JOIN c ON c.id = j.id""",
     "delete_jobs": f"WITH {JOBS} SELECT id, status FROM fx_jobs WHERE status <> 'SUCCEEDED'",
     "delete_job_claims": f"""WITH {JOBS}, {CLAIMS} SELECT job_id, config_key, instance_id FROM fx_claims k
         WHERE NOT EXISTS (SELECT 1 FROM fx_jobs j WHERE j.id = k.instance_id AND j.status = 'SUCCEEDED')""",
-    "clear_jobs": f"WITH {JOBS} SELECT id, status FROM fx_jobs WHERE false",
+    "clear_jobs": "SELECT count(*) AS n_before, CAST(0 AS BIGINT) AS n_after FROM orders",
     "merge_claims": f"""WITH {CLAIMS}, n AS (SELECT *, {key()} AS config_key,
           row_number() OVER (PARTITION BY job_id, a40, l40s ORDER BY {FEED_ORDER}) AS rn FROM fx_feed)
         SELECT job_id, config_key, instance_id, node_id, duration_seconds, created_at FROM fx_claims
@@ -365,12 +389,30 @@ ORACLES: dict[str, str] = {
     "stored_jobs": f"""WITH {JOBS} SELECT id, job_id, status, coalesce(priority, 3) AS priority, coalesce(epochs_total, 20) AS epochs_total,
          coalesce(profiling_epochs_no, 3) AS profiling_epochs_no, {key()} AS config_key FROM fx_jobs""",
     "stored_claims": f"WITH {CLAIMS} SELECT job_id, config_key, node_id, duration_seconds FROM fx_claims",
-    "stored_submissions": f"""WITH {JOBS}, {VALIDITY} SELECT job_id, image, priority,
-         NOT (bad_image OR bad_priority OR late OR bad_epochs) AS is_valid, count(*) AS n, count(script_path) AS n_scripts,
-         CAST(sum(batch_size) AS BIGINT) AS batches FROM checked GROUP BY 1, 2, 3, 4""",
-    "stored_run_logs": f"""WITH {LOG}, h AS (SELECT *, md5(run_id) AS m FROM fx_log), l AS (SELECT event_id, line,
-          substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-' || substr(m, 17, 4) || '-' || substr(m, 21, 12) AS job_id FROM h)
-        SELECT job_id, line FROM l WHERE job_id IN (SELECT job_id FROM l WHERE event_id % 2 = 0)""",
+    "stored_inventory": f"""WITH {NODES} SELECT node_id, row_number() OVER (ORDER BY node_pos) - 1 AS node_pos, is_for_profiling,
+         round(cost, 6) AS cost, worker_url, CAST(a40 + l40s AS INT) AS total_gpus FROM fx_nodes""",
+    "priced_configs": f"""WITH {CLAIMS}, {COSTS}, {PARTS}
+        SELECT p.job_id, p.config_key, p.duration_seconds,
+         round(CASE WHEN count(c.eur_per_hour) = count(*) THEN sum(c.eur_per_hour) END, 6) AS eur_per_hour,
+         round(CASE WHEN count(c.eur_per_hour) = count(*) THEN p.duration_seconds / 3600 * sum(c.eur_per_hour) END, 6) AS cost_eur
+        FROM parts p LEFT JOIN fx_costs c ON c.gpu_type = p.gpu_type AND c.n_gpus = p.n_gpus
+        WHERE p.duration_seconds IS NOT NULL GROUP BY 1, 2, 3""",
+    "stored_submissions": """WITH p AS (SELECT o_orderkey % 60 AS k, 'type-' || (o_custkey % 40) AS t FROM orders),
+        c AS (SELECT CASE WHEN k NOT IN (1, 16) THEN t END AS job_id,
+         CASE WHEN k IN (2, 16) THEN NULL WHEN k = 3 THEN '../evil' ELSE 'img:v1' END AS image,
+         CASE WHEN k IN (6, 7, 9, 16) THEN NULL WHEN k = 4 THEN 0 WHEN k = 5 THEN 6 WHEN k = 8 THEN 4 ELSE 3 END AS priority,
+         CASE k WHEN 1 THEN 'job_id is required' WHEN 2 THEN 'image is required' WHEN 3 THEN 'invalid image name'
+          WHEN 4 THEN 'priority out of range' WHEN 5 THEN 'priority out of range' WHEN 6 THEN 'priority has the wrong type'
+          WHEN 7 THEN 'priority has the wrong type' WHEN 10 THEN 'deadline has the wrong type' WHEN 11 THEN 'deadline in the past'
+          WHEN 13 THEN 'epochs_total below 1' WHEN 14 THEN 'epochs_total has the wrong type'
+          WHEN 15 THEN 'command has the wrong type' WHEN 16 THEN 'not a JSON object' ELSE '' END AS errors,
+         CASE WHEN k NOT IN (15, 16) THEN 2 END AS n FROM p)
+        SELECT job_id, image, CAST(priority AS INT) AS priority, errors = '' AS is_valid, errors, count(*) AS n,
+         CAST(sum(n) AS BIGINT) AS n_words FROM c GROUP BY 1, 2, 3, 4, 5""",
+    "stored_run_logs": f"""WITH {STORED_LOG} SELECT job_id, line_no, line FROM l
+        WHERE job_id IN (SELECT job_id FROM l WHERE line_no = 1 AND event_id % 2 = 0)""",
+    "guarded_run_logs": f"""WITH {STORED_LOG}, s AS (SELECT job_id, count(*) AS n, sum(strlen(line) + 1) AS bytes FROM l GROUP BY job_id)
+        SELECT job_id, CASE WHEN bytes <= 600 THEN n ELSE 0 END AS n_lines, bytes <= 600 AS is_kept FROM s""",
     "parse_progress": rf"""WITH {LOG} SELECT event_id,
          CAST(nullif(regexp_extract(line, 'Epoch\s+(\d+)/(\d+)', 1), '') AS BIGINT) AS epoch,
          CAST(nullif(regexp_extract(line, 'Epoch\s+(\d+)/(\d+)', 2), '') AS BIGINT) AS total FROM fx_log""",
@@ -423,7 +465,7 @@ ORACLES: dict[str, str] = {
           row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type <> 'error'),
         d AS (SELECT run_id, count(*) AS n_marks, (epoch_us(max(ts)) - epoch_us(min(ts) FILTER (WHERE n = 2))) / 1e6 AS span,
           arg_max(epoch, n) AS last FROM m GROUP BY run_id),
-        e AS (SELECT 'job-' || c_custkey AS run_id, (1 + c_custkey % 20) * 3600.0 AS wall FROM customer)
+        e AS (SELECT 'job-' || c_custkey AS run_id, (1 + c_custkey % 20) * 3600.0 AS wall FROM customer WHERE c_custkey % 5 <> 0)
         SELECT coalesce(e.run_id, d.run_id) AS run_id, CASE WHEN e.run_id IS NULL THEN 'timeout' ELSE 'ended' END AS outcome,
          coalesce(d.n_marks, 0) AS n_marks,
          round(CASE WHEN d.n_marks >= 3 THEN d.span / (d.n_marks - 2) * d.last ELSE e.wall END, 2)::DOUBLE AS duration_seconds

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runlens import fixtures as fx
@@ -12,6 +12,7 @@ from runlens import functions as fn
 from runlens import sources
 from runlens.operators import capacity, claims, configs, costs, filters, lifecycle, listing, runs, submissions
 from runlens.plans import placement
+from runlens.plans.ordered import row_number, with_ordered
 from runlens.session import new_folder
 from runlens.streaming import registered as streams
 
@@ -102,6 +103,13 @@ def config_listing(spark, sf):
     return listing.by_size(_configs(spark, sf)).select("n_gpus", "config_key")
 
 
+@query
+def configs_by_key(spark, sf):
+    """O-04, in the order configurations are listed."""
+    ranked = _configs(spark, sf).withColumn("place", F.row_number().over(Window.orderBy("config_key")))
+    return listing.by_config_key(ranked).select("config_key", "n_gpus", "place")
+
+
 @query
 def production_configs(spark, sf):
     """C-01 over every node."""
@@ -114,6 +122,16 @@ def shared_configs(spark, sf):
     return configs.valid_configs(fx.nodes(spark, sf), production="non_profiling").select("config_key", "n_gpus")
 
 
+@query
+def restricted_configs(spark, sf):
+    """C-02 where production nodes lack a GPU type that profiling nodes have: its configurations go."""
+    lacking = F.when(F.col("is_for_profiling"), F.col("resources")).otherwise(
+        F.filter("resources", lambda r: r["gpu_type"] == "A40")
+    )
+    nodes = fx.nodes(spark, sf).withColumn("resources", lacking)
+    return configs.valid_configs(nodes, production="non_profiling").select("config_key", "n_gpus")
+
+
 @query
 def unprofiled_configs(spark, sf):
     """J-04, for the types with waiting jobs."""
@@ -161,6 +179,14 @@ def config_grid(spark, sf):
     )
 
 
+@query
+def durations(spark, sf):
+    """F-03, for durations with fractions, halves of the last digit among them."""
+    seconds = "((l_orderkey * 7 + l_linenumber * 1250 + l_partkey * 31) % 900000) / 10000.0D AS seconds"
+    rows = fx.table(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", seconds)
+    return rows.select("l_orderkey", "l_linenumber", fn.format_duration("seconds").alias("duration"))
+
+
 @query
 def energy_cost(spark, sf):
     """J-07, for each type and count of the claims."""
@@ -185,6 +211,16 @@ def best_fit(spark, sf):
     return fit.select("id", "config_key", "node_id", "surplus")
 
 
+@query
+def best_fit_large(spark, sf):
+    """J-03 with requests that no node can hold."""
+    wanted = fx.table(spark, sf, "orders").selectExpr(
+        "concat('job-', o_orderkey) AS id", "CAST(1 + o_custkey % 7 AS INT) AS a40", "CAST(o_orderkey % 4 AS INT) AS l40s"
+    )
+    fit = configs.fit_requests(fx.with_config(wanted), _free(spark, sf))
+    return fit.select("id", "config_key", "node_id", "surplus")
+
+
 @query
 def best_fit_profiling(spark, sf):
     """J-03, valid configurations on profiling nodes."""
@@ -200,8 +236,6 @@ def available_config(spark, sf):
 @query
 def results_by_duration(spark, sf):
     """O-03. A type has one result per configuration, so its window stays small."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("job_id").orderBy(F.asc_nulls_last("duration_seconds"), "config_key")
     ranked = fx.claims(spark, sf).withColumn("place", F.row_number().over(order))
     return listing.by_duration(ranked).select("job_id", "config_key", "node_id", "duration_seconds", "place")
@@ -378,11 +412,11 @@ def commanded_jobs(spark, sf):
 
 @query
 def run_outcomes(spark, sf):
-    """K-08."""
+    """K-08, every exit reported twice."""
     exits = fx.table(spark, sf, "orders").where("o_orderkey % 10 <> 0").selectExpr(
         "concat('job-', o_orderkey) AS id", "CAST(o_custkey % 3 AS INT) AS exit_code"
     )
-    ended = lifecycle.resolve_outcomes(fx.jobs(spark, sf), exits, fx.now())
+    ended = lifecycle.resolve_outcomes(fx.jobs(spark, sf), exits.union(exits), fx.now())
     return ended.select("id", "status", "exit_code", "is_profiling_run", "assigned_node", "config_key", "updated_at", "replan")
 
 
@@ -409,6 +443,16 @@ def patch_jobs(spark, sf):
     return patched.select("id", "progress", "exit_code", "updated_at")
 
 
+@query
+def patch_unordered(spark, sf):
+    """K-04, changes of a job sent twice and in no order: the greatest values are set."""
+    changes = fx.table(spark, sf, "lineitem").selectExpr(
+        "concat('job-', l_orderkey) AS id", "concat(l_linenumber, '/9') AS progress", "CAST(l_suppkey % 2 AS INT) AS exit_code"
+    )
+    patched = lifecycle.patch_jobs(fx.jobs(spark, sf), changes.union(changes), fx.now())
+    return patched.select("id", "progress", "exit_code")
+
+
 @query
 def delete_jobs(spark, sf):
     """K-05, the jobs left."""
@@ -427,8 +471,14 @@ def delete_job_claims(spark, sf):
 
 @query
 def clear_jobs(spark, sf):
-    """K-06."""
-    return lifecycle.clear(fx.jobs(spark, sf)).select("id", "status")
+    """K-06. The stored jobs before and after a new version without rows."""
+    path = new_folder(spark, "cleared")
+    before = sources.write_version(fx.jobs(spark, sf).select("id", "status"), f"{path}/v1")
+    after = sources.write_version(lifecycle.clear(before), f"{path}/v2")
+    both = before.withColumn("version", F.lit("before")).union(after.withColumn("version", F.lit("after")))
+    return both.agg(
+        F.count_if(F.col("version") == "before").alias("n_before"), F.count_if(F.col("version") == "after").alias("n_after")
+    )
 
 
 @query
@@ -482,34 +532,89 @@ def stored_claims(spark, sf):
     return sources.read_claims(spark, path).select("job_id", "config_key", "node_id", "duration_seconds")
 
 
+@query
+def stored_inventory(spark, sf):
+    """R-01. The inventory written as a settings file and read back."""
+    path = new_folder(spark, "inventory")
+    node = F.struct(
+        "node_pos",
+        F.col("node_id").alias("id"),
+        F.col("is_for_profiling").alias("isForProfiling"),
+        "cost",
+        F.col("worker_url").alias("workerUrl"),
+        "resources",
+    )
+    listed = F.transform(F.array_sort(F.collect_list(node)), lambda n: n.dropFields("node_pos"))
+    fx.nodes(spark, sf).agg(F.to_json(listed).alias("value")).write.text(path)
+    nodes = capacity.node_gpu_total(sources.read_nodes(spark, f"{path}/*.txt"))
+    return nodes.select("node_id", "node_pos", "is_for_profiling", F.round("cost", 6).alias("cost"), "worker_url", "total_gpus")
+
+
+@query
+def priced_configs(spark, sf):
+    """R-02, A-12. The price list written as a settings file, read back, and put on the measured configurations."""
+    path = new_folder(spark, "prices")
+    by_count = F.map_from_entries(F.collect_list(F.struct(F.col("n_gpus").cast("string"), "eur_per_hour")))
+    by_type = fx.costs(spark).groupBy("gpu_type").agg(by_count.alias("prices"))
+    listed = F.map_from_entries(F.collect_list(F.struct("gpu_type", "prices")))
+    by_type.agg(F.to_json(listed).alias("value")).write.text(path)
+    priced = costs.config_cost(fx.claims(spark, sf), sources.read_gpu_costs(spark, f"{path}/*.txt"))
+    return priced.withColumns({"eur_per_hour": F.round("eur_per_hour", 6), "cost_eur": F.round("cost_eur", 6)})
+
+
 @query
 def stored_submissions(spark, sf):
-    """R-08. Submissions written as they are posted."""
+    """R-08, S-01. Submissions written as they are posted: some with values of the wrong type or out of range, without
+    an image or a type, and some lines that are no JSON."""
     path = new_folder(spark, "submissions")
-    posted = fx.submissions(spark, sf).select(
-        "job_id", F.col("image").alias("dockerImage"), F.col("script_path").alias("scriptPath"), "command",
-        F.col("priority").alias("Priority"), F.date_format("deadline", "yyyy-MM-dd'T'HH:mm:ss'+05:00'").alias("deadline"),
-        F.col("batch_size").alias("batchSize"), F.col("epochs_total").alias("epochsTotal"),
-    )
-    posted.write.json(path)
-    checked = submissions.validate_submissions(sources.read_submissions(spark, path), fx.now().cast("timestamp"))
-    by = ["job_id", "image", "priority", "is_valid"]
-    return checked.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.count("script_path").alias("n_scripts"), F.sum("batch_size").alias("batches")
+    posted = fx.table(spark, sf, "orders").selectExpr(
+        "o_orderkey % 60 AS k",
+        "CASE WHEN o_orderkey % 60 = 1 THEN NULL ELSE concat('type-', o_custkey % 40) END AS job_id",
+        "CASE WHEN o_orderkey % 60 = 2 THEN NULL WHEN o_orderkey % 60 = 3 THEN '../evil' ELSE 'img:v1' END AS image",
+        """CASE o_orderkey % 60 WHEN 4 THEN '0' WHEN 5 THEN '6' WHEN 6 THEN '"high"' WHEN 7 THEN '4.5' WHEN 8 THEN '4.0'
+             WHEN 9 THEN 'null' ELSE '3' END AS priority""",
+        """CASE o_orderkey % 60 WHEN 10 THEN '"tomorrow"' WHEN 11 THEN '"1990-01-01T00:00:00+05:00"'
+             WHEN 12 THEN '"1999-01-01T00:00:00Z"' ELSE 'null' END AS deadline""",
+        "CASE o_orderkey % 60 WHEN 13 THEN '0' WHEN 14 THEN '[1]' ELSE '20' END AS epochs",
+        "CASE o_orderkey % 60 WHEN 15 THEN '\"python x\"' ELSE '[\"python\", \"x\"]' END AS command",
     )
+    line = """concat('{"job_id": ', coalesce(concat('"', job_id, '"'), 'null'), ', "dockerImage": ',
+        coalesce(concat('"', image, '"'), 'null'), ', "Priority": ', priority, ', "deadline": ', deadline,
+        ', "epochsTotal": ', epochs, ', "command": ', command, if(k = 16, '', '}'))"""
+    posted.selectExpr(f"{line} AS value").write.text(path)
+    checked = submissions.validate_submissions(sources.read_submissions(spark, path), fx.now().cast("timestamp"))
+    by = ["job_id", "image", "priority", "is_valid", F.array_join("errors", "; ").alias("errors")]
+    return checked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("command")).cast("bigint").alias("n_words"))
 
 
-@query
-def stored_run_logs(spark, sf):
-    """R-05, R-06, R-07. Logs written to a folder per job and read back for some of the jobs."""
+def _stored_logs(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
+    """fx_log with ids for its jobs and lines numbered per job, appended to folders in two parts."""
     path = new_folder(spark, "logs")
     hashed = F.md5("run_id")
     parts = [F.substring(hashed, start, size) for start, size in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
-    log = fx.log(spark, sf).withColumn("job_id", F.concat_ws("-", *parts))
-    sources.write_run_logs(log, path)
-    known = log.where("event_id % 2 = 0").select(F.col("job_id").alias("id"))
-    lines = sources.read_run_logs(spark, f"{path}/*/*.txt", jobs=known, max_bytes=None)
-    return lines.select("job_id", "line")
+    log = fx.log(spark, sf).drop("line_no").withColumn("job_id", F.concat_ws("-", *parts))
+    log = with_ordered(log, ["job_id"], ["ts", "event_id"], {"line_no": row_number()})
+    for append, part in enumerate((F.col("line_no") <= 3, F.col("line_no") > 3)):
+        sources.write_run_logs(log.where(part), path, append)
+    return log, path
+
+
+@query
+def stored_run_logs(spark, sf):
+    """R-05, R-07. Logs appended twice to a folder per job and read back in order for some of the jobs."""
+    log, path = _stored_logs(spark, sf)
+    known = log.where("line_no = 1 and event_id % 2 = 0").select(F.col("job_id").alias("id"))
+    return sources.read_run_logs(spark, path, jobs=known).select("job_id", "line_no", "line")
+
+
+@query
+def guarded_run_logs(spark, sf):
+    """R-06. Which logs a limit keeps and which it refuses, and how many lines are read."""
+    _, path = _stored_logs(spark, sf)
+    limit = 600
+    kept = sources.read_run_logs(spark, path, max_bytes=limit).groupBy("job_id").agg(F.count(F.lit(1)).alias("n_lines"))
+    refused = sources.refused_logs(spark, path, limit).select("job_id", F.lit(0).cast("bigint").alias("n_lines"))
+    return kept.withColumn("is_kept", F.lit(True)).union(refused.withColumn("is_kept", F.lit(False)))
 
 
 # Run logs

@@ -81,19 +81,25 @@ GPU_COSTS = T.StructType(
     ]
 )
 
-# As posted; read_submissions renames the columns.
+# As posted, every field as text: a value of the wrong type can then be told from a missing one. read_submissions
+# converts and renames the columns.
+BROKEN_LINE = "_broken"
 SUBMISSIONS_FILE = T.StructType(
     [
-        T.StructField("job_id", T.StringType()),
-        T.StructField("dockerImage", T.StringType()),
-        T.StructField("scriptPath", T.StringType()),
-        T.StructField("directoryToMount", T.StringType()),
-        T.StructField("command", T.ArrayType(T.StringType())),
-        T.StructField("Priority", T.IntegerType()),
-        T.StructField("deadline", T.StringType()),
-        T.StructField("batchSize", T.IntegerType()),
-        T.StructField("profilingEpochsNo", T.IntegerType()),
-        T.StructField("epochsTotal", T.IntegerType()),
+        T.StructField(name, T.StringType())
+        for name in (
+            "job_id",
+            "dockerImage",
+            "scriptPath",
+            "directoryToMount",
+            "command",
+            "Priority",
+            "deadline",
+            "batchSize",
+            "profilingEpochsNo",
+            "epochsTotal",
+            BROKEN_LINE,
+        )
     ]
 )
 

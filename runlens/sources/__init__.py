@@ -1,6 +1,7 @@
 """Readers and writers."""
 
 from runlens.sources.readers import (
+    log_sizes,
     number_lines,
     read_claims,
     read_gpu_costs,
@@ -8,6 +9,7 @@ from runlens.sources.readers import (
     read_nodes,
     read_run_logs,
     read_submissions,
+    refused_logs,
     with_config_key,
     with_job_defaults,
 )
@@ -15,6 +17,7 @@ from runlens.sources.writers import append_rows, write_run_logs, write_version
 
 __all__ = [
     "append_rows",
+    "log_sizes",
     "number_lines",
     "read_claims",
     "read_gpu_costs",
@@ -22,6 +25,7 @@ __all__ = [
     "read_nodes",
     "read_run_logs",
     "read_submissions",
+    "refused_logs",
     "with_config_key",
     "with_job_defaults",
     "write_run_logs",

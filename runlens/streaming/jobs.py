@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +12,7 @@ from runlens.operators.filters import missed_queued
 from runlens.operators.lifecycle import orphaned_jobs, patch_jobs
 from runlens.operators.listing import status_counts
 from runlens.plans.placement import plan_round, planned_claims
-from runlens.streaming.arrivals import first_arrivals
+from runlens.streaming.arrivals import first_arrivals_handler, stored
 from runlens.streaming.sinks import BatchHandler, batch_folder, newest_rows, write_batch
 
 Tables = Callable[[SparkSession], tuple[DataFrame, DataFrame, DataFrame]]
@@ -42,18 +41,9 @@ def live_status_counts(jobs: DataFrame, changes: DataFrame, newest: list[Column]
     return status_counts(current_jobs(jobs, changes, newest, now))
 
 
-def distinct_dispatches(dispatches: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """T-08. The first dispatch of each attempt (id, attempt, ts); repeats are dropped."""
-    return first_arrivals(dispatches.select("id", "attempt", "ts"), ["id", "attempt"], delay)
-
-
-def _stored(spark: SparkSession, folder: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(folder)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+def dispatch_handler(folder: str) -> BatchHandler:
+    """T-08. Store the first dispatch of each attempt (id, attempt, ts), however late it comes; repeats are dropped."""
+    return first_arrivals_handler(folder, ["id", "attempt"])
 
 
 def replan_handler(
@@ -72,7 +62,7 @@ def replan_handler(
     def handle(results: DataFrame, batch: int) -> None:
         spark = results.sparkSession
         jobs, claims, nodes = tables(spark)
-        before = _stored(spark, batch_folder(f"{folder}/claims", batch - 1))
+        before = stored(spark, batch_folder(f"{folder}/claims", batch - 1))
         if before is not None:
             claims = merge_claims(before, claims, ["created_at", "instance_id"])
         write_batch(complete_claims(claims, results, order), f"{folder}/completed", batch)

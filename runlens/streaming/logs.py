@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from runlens import constants as C
-from runlens.operators.runs import ORDER, epoch_marks
-from runlens.streaming.arrivals import first_arrivals
+from runlens.operators.runs import ORDER, epoch_marks, run_duration
+from runlens.streaming.arrivals import first_arrivals_handler
+from runlens.streaming.sinks import BatchHandler
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -22,13 +23,12 @@ def epoch_stream(lines: DataFrame) -> DataFrame:
     return epoch_marks(lines)
 
 
-def distinct_lines(lines: DataFrame, key: str = "line_no", delay: str = "1 hour") -> DataFrame:
-    """Drop lines sent again, known by their id. Repeated epoch numbers are not duplicates.
+def distinct_lines_handler(folder: str, key: str = "line_no") -> BatchHandler:
+    """Store each line once, known by its id, however late it first comes. Repeated epoch numbers are not duplicates.
 
-    Write the result with ``start_to_table`` and read that as the stream of the operators below:
-    a query can have one watermark only.
+    The folder can be read as the stream of the operators below.
     """
-    return first_arrivals(lines, ["run_id", key], delay)
+    return first_arrivals_handler(folder, ["run_id", key])
 
 
 def latest_progress_stream(lines: DataFrame) -> DataFrame:
@@ -202,3 +202,17 @@ def run_duration_stream(
     steady = (F.col("last_us") - F.col("second_us")) / 1e6 / F.when(enough, F.col("n_marks") - 2) * F.col("last_epoch")
     wall = (F.col("ended_us") - F.col("started_us")) / 1e6
     return closed.select("run_id", "outcome", "n_marks", F.coalesce(steady, wall).alias("duration_seconds"))
+
+
+def corrected_durations(closed: DataFrame, marks: DataFrame, ends: DataFrame) -> DataFrame:
+    """T-03. The results of ``run_duration_stream`` with the runs computed again (A-09) of which lines came behind the watermark.
+
+    ``marks`` are all epoch lines stored so far, ``ends`` the runs with their start and end. Only runs whose number of
+    lines differs are read again.
+    """
+    counted = marks.groupBy("run_id").agg(F.count(F.lit(1)).alias("_all"))
+    late = closed.join(counted, "run_id").where(F.col("_all") != F.col("n_marks")).select("run_id", "outcome")
+    runs = late.join(ends, "run_id", "left").select("run_id", "started_at", "ended_at")
+    again = run_duration(marks.join(late, "run_id", "left_semi"), runs).join(late, "run_id")
+    kept = closed.join(late, "run_id", "left_anti")
+    return kept.unionByName(again.select(*[F.col(c).cast(t).alias(c) for c, t in closed.dtypes]))

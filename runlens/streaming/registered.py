@@ -33,14 +33,26 @@ def _rocksdb(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(PROVIDER, before)
 
 
-def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """The table as a stream of files. The pattern stands for one file or a folder of them."""
-    return spark.readStream.schema(fx.TABLES[name]).parquet(f"{sf}/{name}.parquet*")
+#: The column whose order a table's files follow.
+TIMES = {"events": "ts", "lineitem": "l_shipdate", "customer": "c_custkey"}
+FILES = 3
 
 
-def _lines(spark: SparkSession, sf: str) -> DataFrame:
+def _stream(spark: SparkSession, sf: str, name: str, repeated: bool = False, files: int = FILES) -> DataFrame:
+    """The table as files by time, one micro-batch each. With ``repeated``, the rows of every seventh second or key come
+    once more in a last file: late, and in no order."""
+    folder = new_folder(spark, f"arrivals-{name}")
+    rows, time = fx.table(spark, sf, name), TIMES[name]
+    rows.repartitionByRange(files, time).write.parquet(folder)
+    if repeated:
+        again = rows.where(F.pmod(F.xxhash64(time), F.lit(7)) == 0).orderBy(F.rand(3)).coalesce(1)
+        again.write.mode("append").parquet(folder)
+    return spark.readStream.schema(fx.TABLES[name]).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _lines(spark: SparkSession, sf: str, repeated: bool = False, files: int = FILES) -> DataFrame:
     """Log lines as they arrive; their epoch comes from the event's own number."""
-    return _stream(spark, sf, "events").selectExpr(
+    return _stream(spark, sf, "events", repeated, files).selectExpr(
         "concat('job-', user_id) AS run_id",
         "event_id AS line_no",
         "CAST(ts AS TIMESTAMP) AS ts",
@@ -66,21 +78,21 @@ def stream_epoch_lines(spark, sf):
 def stream_latest_progress(spark, sf):
     """T-02."""
     rows, checkpoint = _folders(spark, "progress")
-    start_to_folder(logs.latest_progress_stream(_lines(spark, sf)), rows, checkpoint, "update").awaitTermination()
+    start_to_folder(logs.latest_progress_stream(_lines(spark, sf, repeated=True)), rows, checkpoint, "update").awaitTermination()
     latest = newest_rows(spark.read.parquet(rows), ["run_id"], [F.col("ts"), F.col("line_no")])
     return latest.select("run_id", "progress")
 
 
 @query
 def stream_run_duration(spark, sf):
-    """T-03, T-04. A run per customer ends; a run that only logs goes over the limit."""
+    """T-03, T-04. Runs of customers that end, and runs that only log and go over the limit."""
     rows, checkpoint = _folders(spark, "durations")
-    ends = _stream(spark, sf, "customer").selectExpr(
+    ends = _stream(spark, sf, "customer", files=1).where("c_custkey % 5 <> 0").selectExpr(
         "concat('job-', c_custkey) AS run_id",
         "TIMESTAMP '2024-01-01 00:00:00' AS started_at",
         "TIMESTAMP '2024-01-01 00:00:00' + make_dt_interval(0, 1 + c_custkey % 20) AS ended_at",
     )
-    events = logs.run_events(logs.epoch_stream(_lines(spark, sf)), ends)
+    events = logs.run_events(logs.epoch_stream(_lines(spark, sf, files=1)), ends)
     with _rocksdb(spark):
         start_to_folder(logs.run_duration_stream(events), rows, checkpoint).awaitTermination()
     durations = spark.read.parquet(rows).select("run_id", "outcome", "n_marks", "duration_seconds")
@@ -89,7 +101,7 @@ def stream_run_duration(spark, sf):
 
 def _changes(spark: SparkSession, sf: str) -> DataFrame:
     """Status changes of jobs, several per job, from events."""
-    return _stream(spark, sf, "events").selectExpr(
+    return _stream(spark, sf, "events", repeated=True).selectExpr(
         "concat('job-', user_id) AS id",
         "CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'purchase' THEN 'SUCCEEDED' WHEN 'click' THEN 'RUNNING'"
         " ELSE 'QUEUED' END AS status",
@@ -109,12 +121,12 @@ def stream_status_counts(spark, sf):
 
 @query
 def stream_dispatches(spark, sf):
-    """T-08. Lineitems of an order are repeated dispatches of it."""
+    """T-08. Lineitems of an order are repeated dispatches of it, some first ones come late, and some come twice."""
     rows, checkpoint = _folders(spark, "dispatches")
-    dispatches = _stream(spark, sf, "lineitem").selectExpr(
+    dispatches = _stream(spark, sf, "lineitem", repeated=True).selectExpr(
         "concat('job-', l_orderkey) AS id", "l_linenumber % 2 AS attempt", "CAST(l_shipdate AS TIMESTAMP) AS ts"
     )
-    start_to_folder(job_streams.distinct_dispatches(dispatches), rows, checkpoint).awaitTermination()
+    start(dispatches, job_streams.dispatch_handler(rows), checkpoint).awaitTermination()
     return spark.read.parquet(rows).select("id", "attempt")
 
 
@@ -122,7 +134,7 @@ def stream_dispatches(spark, sf):
 def stream_replan(spark, sf):
     """T-05. Measured claims arrive and the waiting jobs are planned again."""
     rows, checkpoint = _folders(spark, "replan")
-    results = _stream(spark, sf, "lineitem").where("l_returnflag = 'N'")
+    results = _stream(spark, sf, "lineitem", files=1).where("l_returnflag = 'N'")
     results = fx.with_config(fx.claim_columns(results)).withColumn("duration_seconds", F.col("_quantity") * 7)
 
     def tables(session: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -104,9 +104,55 @@ def test_log_sink_appends_in_order(spark, tmp_path):
             F.concat(F.lit("Epoch "), "id", F.lit("/200")).alias("line"),
         )
         sources.write_run_logs(lines.repartition(4), path)
-    back = sources.read_run_logs(spark, f"{path}/*/*.txt")
-    assert back.groupBy("job_id").count().count() == 2 and back.count() == 200
-    assert back.where("line_no > 1").count() > 0
+    back = {(r["job_id"], r["line_no"], r["line"]) for r in sources.read_run_logs(spark, path).collect()}
+    assert back == {(A if n % 2 == 0 else B, n // 2 + 1, f"Epoch {n}/200") for n in range(200)}
+
+
+def test_appends_and_chunks_keep_their_order(spark, tmp_path):
+    """Appends that number their lines anew come one after the other, and chunks in the order of their lines."""
+    path = str(tmp_path / "logs")
+    for append, name in enumerate("ab"):
+        lines = spark.range(250).select(
+            F.lit(A).alias("job_id"), (F.col("id") + 1).alias("line_no"), F.concat(F.lit(name), "id").alias("line")
+        )
+        sources.write_run_logs(lines.repartition(7), path, append=append, chunk=40)
+    back = [r["line"] for r in sources.read_run_logs(spark, path).orderBy("line_no").collect()]
+    assert back == [f"{name}{n}" for name in "ab" for n in range(250)]
+
+
+def test_no_log_is_refused_in_silence(spark, tmp_path):
+    """The limit counts all files of a log, and what is above it is named."""
+    path = str(tmp_path / "logs")
+    for append in range(3):
+        lines = spark.createDataFrame([(A, 1, "x" * 30), (B, 1, "y")], "job_id string, line_no bigint, line string")
+        sources.write_run_logs(lines, path, append=append)
+    (tmp_path / "logs" / f"job_id={B}" / "notes.txt").write_text("no log")
+    assert sources.read_run_logs(spark, path).count() == 6
+    assert rows(sources.refused_logs(spark, path, 60)) == [(A, 93)]
+    assert rows(sources.read_run_logs(spark, path, max_bytes=60)) == [(B, n, "y") for n in (1, 2, 3)]
+    assert rows(sources.log_sizes(spark, path)) == [(A, 93), (B, 6)]
+
+
+def test_wrong_types_are_errors(spark, tmp_path):
+    path = tmp_path / "posted.json"
+    base = {"job_id": "t", "dockerImage": "i"}
+    cases = [
+        ({"deadline": "tomorrow"}, ["deadline has the wrong type"]),
+        ({"Priority": "high"}, ["priority has the wrong type"]),
+        ({"Priority": 4.5}, ["priority has the wrong type"]),
+        ({"Priority": 4.0}, []),
+        ({"Priority": 6}, ["priority out of range"]),
+        ({"command": "python x"}, ["command has the wrong type"]),
+        ({"command": ["python", "x"]}, []),
+        ({"epochsTotal": 99999999999}, ["epochs_total has the wrong type"]),
+        ({"epochsTotal": 0}, ["epochs_total below 1"]),
+        ({"job_id": None}, ["job_id is required"]),
+    ]
+    path.write_text("\n".join([*(json.dumps(base | c) for c, _ in cases), '{"job_id": "t"', "[]"]))
+    checked = validate_submissions(sources.read_submissions(spark, str(path)), F.lit(datetime(2026, 1, 1, tzinfo=UTC)))
+    found = [r["errors"] for r in checked.coalesce(1).collect()]
+    assert found[: len(cases)] == [e for _, e in cases]
+    assert found[len(cases)] == ["not a JSON object"]
 
 
 def test_new_version_of_a_table(spark, tmp_path):

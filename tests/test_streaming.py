@@ -14,7 +14,7 @@ from runlens import schemas
 from runlens.operators import runs
 from runlens.streaming import jobs as job_streams
 from runlens.streaming import logs
-from runlens.streaming.sinks import batch_folder, newest_rows, start, start_to_folder, start_to_table
+from runlens.streaming.sinks import batch_folder, newest_rows, start, start_to_folder
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,8 +70,10 @@ def test_progress_stream_equals_batch(spark, arrivals, tmp_path):
 
 def test_epoch_stream_equals_batch(spark, arrivals, tmp_path):
     folder = str(tmp_path / "rows")
-    once = logs.distinct_lines(lines(spark, arrivals), delay="60 days")
-    start_to_folder(logs.epoch_stream(once), folder, str(tmp_path / "c")).awaitTermination()
+    once = str(tmp_path / "once")
+    start(lines(spark, arrivals), logs.distinct_lines_handler(once), str(tmp_path / "c0")).awaitTermination()
+    clean = spark.readStream.schema(lines(spark, arrivals).schema).parquet(once)
+    start_to_folder(logs.epoch_stream(clean), folder, str(tmp_path / "c")).awaitTermination()
     expected = runs.epoch_marks(fx.log(spark, SF))
     assert rows(spark.read.parquet(folder), "line_no", "epoch") == rows(expected, "line_no", "epoch")
 
@@ -88,9 +90,8 @@ def test_durations_equal_batch_for_shuffled_and_repeated_lines(spark, arrivals,
         write_json(ends, f"part-{i:02}", stops if i == 19 else [])
     ended = read_json(spark, ends, "run_id string, started_at timestamp, ended_at timestamp")
     once = str(tmp_path / "once")
-    distinct = logs.distinct_lines(lines(spark, arrivals), delay="60 days")
-    start_to_table(distinct, once, str(tmp_path / "c0")).awaitTermination()
-    clean = spark.readStream.schema(distinct.schema).option("maxFilesPerTrigger", 3).parquet(once)
+    start(lines(spark, arrivals), logs.distinct_lines_handler(once), str(tmp_path / "c0")).awaitTermination()
+    clean = spark.readStream.schema(lines(spark, arrivals).schema).option("maxFilesPerTrigger", 3).parquet(once)
     events = logs.run_events(logs.epoch_stream(clean), ended)
     folder = str(tmp_path / "rows")
     long = 90 * 24 * 3600
@@ -179,10 +180,40 @@ def test_repeated_dispatches_are_dropped(spark, tmp_path):
     write_json(tmp_path / "in", "b", sent[:2])
     stream = read_json(spark, tmp_path / "in", "id string, attempt int, ts timestamp")
     folder = str(tmp_path / "rows")
-    start_to_folder(job_streams.distinct_dispatches(stream), folder, str(tmp_path / "c")).awaitTermination()
+    start(stream, job_streams.dispatch_handler(folder), str(tmp_path / "c")).awaitTermination()
     assert rows(spark.read.parquet(folder), "id", "attempt") == [("x", 1), ("x", 2), ("y", 1)]
 
 
+def test_a_first_dispatch_hours_late_is_kept(spark, tmp_path):
+    for name, at_ in (("x", 10), ("x", 20), ("y", 20.2), ("z", 12), ("w", 21), ("z", 12)):
+        write_json(tmp_path / "in", f"{name}-{next(CLOCK)}", [{"id": name, "attempt": 1, "ts": at(at_ * 3600)}])
+    stream = read_json(spark, tmp_path / "in", "id string, attempt int, ts timestamp")
+    folder = str(tmp_path / "rows")
+    start(stream, job_streams.dispatch_handler(folder), str(tmp_path / "c")).awaitTermination()
+    assert rows(spark.read.parquet(folder), "id") == [("w",), ("x",), ("y",), ("z",)]
+    handler = job_streams.dispatch_handler(folder)
+    handler(spark.createDataFrame([("z", 1, at(0)), ("v", 1, at(5))], "id string, attempt int, ts timestamp"), 99)
+    assert rows(spark.read.parquet(folder).where("batch = 99"), "id") == [("v",)]
+
+
+def test_late_lines_of_ended_runs_are_made_up_for(spark, tmp_path):
+    """Two marks, time moves on by hours, then two more marks and the end: the batch rule sees four."""
+    hour = 3600
+    batches = [
+        ([("r", 1, 1, 10 * hour), ("r", 2, 2, 10.5 * hour)], []),
+        ([("s", 1, 1, 20 * hour)], []),
+        ([("s", 2, 2, 20.25 * hour)], []),
+        ([("r", 3, 3, 12 * hour), ("r", 4, 4, 13 * hour)], [("r", 9 * hour, 20.5 * hour)]),
+    ]
+    durations(spark, tmp_path, batches)
+    closed = spark.read.parquet(str(tmp_path / "rows")).select("run_id", "outcome", "n_marks", "duration_seconds")
+    marks = spark.read.schema(MARKS).json(str(tmp_path / "marks"))
+    ends = spark.read.schema(ENDS).json(str(tmp_path / "ends")).where("run_id is not null")
+    marks = marks.where("run_id is not null")
+    corrected = rows(logs.corrected_durations(closed, marks, ends), "run_id", "n_marks", "duration_seconds")
+    assert ("r", 4, 18_000.0) in corrected
+
+
 def test_replan_builds_on_the_batch_before_and_can_be_repeated(spark, tmp_path):
     waiting = jobs(spark, *[{"id": f"i{n}", "created_at": NOW + timedelta(seconds=n)} for n in range(1, 4)])
     held = claims(spark, ("t", {"A": 1}, None, "i1"))
