@@ -137,22 +137,15 @@ def config_list(configs: DataFrame, *extra: str) -> Column:
 
 
 def type_claims(types: DataFrame, claims: DataFrame) -> DataFrame:
-    """Per job type the configurations ``claimed`` and those ``measured``.
+    """Per job type the configurations ``claimed``.
 
     A type has one claim per configuration, so the arrays stay as short as the configuration
     list, and repeated claims are merged before the shuffle.
     """
-    measured = F.when(F.col("duration_seconds").isNotNull(), F.col("config_key"))
-    held = claims.groupBy("job_id").agg(
-        F.collect_set("config_key").alias("claimed"), F.collect_set(measured).alias("measured")
-    )
+    held = claims.groupBy("job_id").agg(F.collect_set("config_key").alias("claimed"))
     none = F.array().cast("array<string>")
-    return (
-        types.select("job_id")
-        .distinct()
-        .join(held, "job_id", "left")
-        .select("job_id", F.coalesce("claimed", none).alias("claimed"), F.coalesce("measured", none).alias("measured"))
-    )
+    joined = types.select("job_id").distinct().join(held, "job_id", "left")
+    return joined.select("job_id", F.coalesce("claimed", none).alias("claimed"))
 
 
 def open_list(valid: str) -> Column:
@@ -161,21 +154,6 @@ def open_list(valid: str) -> Column:
     return F.filter(valid, lambda c: ~F.array_contains(claimed, c["config_key"]))
 
 
-def fit_list(node_free: DataFrame) -> Column:
-    """Every configuration some node can run now, with that node, smallest first.
-
-    What fits on a node is one of the configurations the nodes can hold, so those are matched
-    once, and a job type only looks its own up in the list.
-    """
-    return config_list(fitting_configs(enumerate_configs(node_free), node_free), "node_id")
-
-
-def first_measured(fits: str) -> Column:
-    """The first entry of the list column ``fits`` whose configuration is in ``measured``."""
-    measured = F.col("measured")
-    return F.get(F.filter(fits, lambda c: F.array_contains(measured, c["config_key"])), F.lit(0))
-
-
 def open_configs(types: DataFrame, configs: DataFrame, claims: DataFrame) -> DataFrame:
     """Per job type the array ``rem`` of its un-profiled configurations, smallest first."""
     held = type_claims(types, claims).withColumn("_valid", config_list(configs))
@@ -244,7 +222,13 @@ def best_config(claims: DataFrame) -> DataFrame:
 
 def available_config(types: DataFrame, claims: DataFrame, node_free: DataFrame) -> DataFrame:
     """J-05. Per type the first measured configuration some node can run now, profiling nodes
-    included; order: fewest GPUs, then key. NULL when nothing fits."""
-    held = type_claims(types, claims).withColumn("_fits", fit_list(node_free))
-    found = held.select("job_id", first_measured("_fits").alias("first"))
-    return found.select("job_id", "first.config_key", "first.node_id")
+    included; order: fewest GPUs, then key. NULL when nothing fits.
+
+    Only configurations that were measured are fitted, each once, whatever else the nodes could run.
+    """
+    measured = claims.where(F.col("duration_seconds").isNotNull())
+    fits = fitting_configs(distinct_configs(measured), node_free).select("config_key", "n_gpus", "node_id")
+    first = F.min(F.struct("n_gpus", "config_key", "node_id")).alias("first")
+    found = measured.select("job_id", "config_key").distinct().join(fits, "config_key").groupBy("job_id").agg(first)
+    wanted = types.select("job_id").distinct()
+    return wanted.join(found, "job_id", "left").select("job_id", "first.config_key", "first.node_id")

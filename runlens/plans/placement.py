@@ -23,8 +23,6 @@ from runlens.operators.claims import claims_per_instance
 from runlens.operators.configs import (
     available_config,
     config_list,
-    first_measured,
-    fit_list,
     fitting_configs,
     open_list,
     type_claims,
@@ -66,10 +64,12 @@ def plan_round(
     blocked = F.array_position(F.transform("rem", lambda c: c["fit_node"].isNull()), True)
     by_type = (
         type_claims(queued, claims)
-        .withColumns({"_valid": config_list(placed, "fit_node"), "_fits": fit_list(free)})
-        .select("job_id", open_list("_valid").alias("rem"), first_measured("_fits").alias("std"))
+        .withColumn("_valid", config_list(placed, "fit_node"))
+        .select("job_id", open_list("_valid").alias("rem"))
         .withColumn("k", F.nullif(blocked, F.lit(0)) - 1)
     )
+    standard = available_config(queued, claims, free).select("job_id", F.struct("config_key", "node_id").alias("std"))
+    by_type = by_type.join(standard, "job_id", "left")
 
     index = F.least("r", "k")
     profile = F.col("_open") & (index < F.size("rem"))
