@@ -55,7 +55,11 @@ _CLUTTER_NAMES = re.compile(
     r"pagination|pager|login|signup|search|skip|copyright)(?:$|[\s_-]|\d)",
     re.I,
 )
+#: Parts of an article whose names end like those of a site's parts.
+_OF_ARTICLE = re.compile(r"(?<!\S)(?:article|post|entry|content|story|page|body|text)[_-](?:header|head|side|menu|search)(?!\S)", re.I)
 _MAIN = {"article", "main"}
+#: Whole class names by which an article element is none.
+_NO_ARTICLE = {"comment", "comments", "reply", "ad", "ads", "advert", "related", "sidebar", "promo", "teaser"}
 _ENDS_PARAGRAPH = {"li", "p", "option", "td", "th", "tr", "dt", "dd"}
 
 MAIN, CLUTTER, OPEN = 0, 1, 2
@@ -71,8 +75,8 @@ def _kind(tag: str, attributes: str) -> int | None:
     if tag in _CLUTTER or role in _CLUTTER_ROLES:
         return CLUTTER
     if tag in _MAIN or role in ("main", "article"):
-        return CLUTTER if _CLUTTER_NAMES.search(names) else MAIN
-    if tag not in ("html", "body") and names != " " and _CLUTTER_NAMES.search(names):
+        return CLUTTER if _NO_ARTICLE & set(names.lower().split()) else MAIN
+    if tag not in ("html", "body") and names != " " and _CLUTTER_NAMES.search(_OF_ARTICLE.sub("", names)):
         return CLUTTER
     return None
 

@@ -198,6 +198,9 @@ PAGES = [
     (10, "https://d.example/[", "<p>cut off &am"),
     (11, "https://e.example/1", "<article>Copy of one</article>"),
     (12, "https://e.example/2", "<article>Copy of one</article>"),
+    (13, "https://f.example/1", "<div class='cookie-banner'>Cookies</div><header>Site</header><article class='post comment-open'>"
+     "<div class='article-header'><h1>Head</h1></div><ul><li>a<li>b</ul><div class='ad'>Buy</div><p>Tail &#8212; &eacute;</p></article>"
+     "<section id='comments'><article>Me too</article></section><aside>More</aside><div role='navigation'>x</div>"),
 ]
 TEXTS = {
     1: "Title & more Bold text here. Next line Unbroken",
@@ -212,6 +215,7 @@ TEXTS = {
     10: "cut off &am",
     11: "Copy of one",
     12: "Copy of one",
+    13: "Head a b Tail — é",
 }
 
 
