@@ -116,7 +116,7 @@ def _frequent(docs: DataFrame, size: int, bits: int, frequent: int) -> np.ndarra
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for (values,) in repeats.gathered((Sets(w, size).values,) for w in slices(batch["text"], lower=True)):
+            for (values,) in repeats.gathered(((Sets(w, size).values,) for w in slices(batch["text"], lower=True)), 2_000_000):
                 found, n = np.unique(values, return_counts=True)
                 often = n >= LEAST_COUNT
                 yield pa.RecordBatch.from_arrays(

@@ -213,7 +213,7 @@ def concatenated(chunks: list[Entries]) -> Entries:
     return tuple(np.concatenate(x) for x in zip(*chunks, strict=True))
 
 
-def gathered(chunks: Iterator[Entries], most: int = 2_000_000) -> Iterator[Entries]:
+def gathered(chunks: Iterator[Entries], most: int = 500_000) -> Iterator[Entries]:
     """Entries of several slices put together, up to about ``most``."""
     kept, n = [], 0
     for chunk in chunks:

@@ -41,7 +41,7 @@ from runlens.llm.words import Words, slices
 WINDOW = 13
 PERIOD = 7
 #: About so many bytes of text meet in one group.
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 #: A word takes about so many bytes: only used to choose how many groups there are.
 WORD_BYTES = 6
 
