@@ -41,7 +41,8 @@ def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     spoilt = spoilt.when(page % 89 == 3, F.substring(record, F.lit(1), (F.col("length") - 1).cast("int")))
     replica = records.where(page % 101 != 7).withColumn("record", spoilt.otherwise(record))
     found = fixity.audit(records, replica)
-    return found.join(records.select("file", "offset", "length", "page_id"), ["file", "offset"])
+    placed = found.join(records.select("file", "offset", "length", "page_id"), ["file", "offset"])
+    return placed.withColumnRenamed("offset", "record_offset")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,7 +49,7 @@ WITH records AS (
 ), placed AS (
     SELECT *, sum(length) OVER (PARTITION BY file ORDER BY page_id) - length AS start FROM records
 )
-SELECT file, CAST(start AS BIGINT) AS "offset", length, page_id,
+SELECT file, CAST(start AS BIGINT) AS record_offset, length, page_id,
     CASE WHEN page_id % 101 = 7 THEN 'missing' ELSE 'changed' END AS kind
 FROM placed WHERE page_id % 101 = 7 OR page_id % 97 = 5 OR page_id % 89 = 3
 """
