@@ -50,7 +50,8 @@ MOST_SMALL = 12
 MARK_BITS = 23
 #: A shingle is frequent from so many documents on.
 FREQUENT = 64
-#: Counts below this within one batch of documents are not sent on.
+#: Shingles are counted so many at a time; counts below the least are not sent on.
+COUNTED = 2_000_000
 LEAST_COUNT = 3
 
 
@@ -115,13 +116,12 @@ def _frequent(docs: DataFrame, size: int, bits: int, frequent: int) -> np.ndarra
     """A bitmap of the shingles that many documents hold, by leading bits."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for (values,) in repeats.gathered(((Sets(w, size).values,) for w in slices(batch["text"], lower=True)), 2_000_000):
-                found, n = np.unique(values, return_counts=True)
-                often = n >= LEAST_COUNT
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found[often].view(np.int64)), pa.array(n[often], pa.int64())], ["shingle", "n"]
-                )
+        sets = ((Sets(w, size).values,) for batch in batches for w in slices(batch["text"], lower=True))
+        for (values,) in repeats.gathered(sets, COUNTED):
+            found, n = np.unique(values, return_counts=True)
+            often = n >= LEAST_COUNT
+            columns = [pa.array(found[often].view(np.int64)), pa.array(n[often], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["shingle", "n"])
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.zeros(1 << bits, bool)
@@ -228,9 +228,8 @@ def _lists(docs: DataFrame, bitmap, mark_bits: int, bits: int, least: int, size:
             # Size of the set and place of the element in its order, in one number.
             return mix(values), sets.signature(1).view(np.int64)[rows], sets.sizes[rows] << 32 | place[listed]
 
-        for batch in batches:
-            for found in repeats.gathered(entries(words) for words in slices(batch["text"], lower=True)):
-                yield _unique(found)
+        chunks = (entries(words) for batch in batches for words in slices(batch["text"], lower=True))
+        return map(_unique, repeats.gathered(chunks))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for entries in batches_of(batches):

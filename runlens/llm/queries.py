@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.llm import chat, decontaminate, fixity, importance, jaccard, mixing, pages, quality, sql, substrings, toxicity
+from runlens.llm.batches import bound_batches
 from runlens.llm.components import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runlens.llm import decontaminate, jaccard, mixing, repeats, substrings, toxicity
+from runlens.llm.batches import bound_batches
 from runlens.llm.components import written
 
 
@@ -36,12 +37,14 @@ def _without(docs: DataFrame, gone: DataFrame, repeated: DataFrame | None = None
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the toxicity model, learned from the labels that are not held out, does not reject."""
+    bound_batches(spark)
     model = toxicity.learned(docs, _table(spark, sf_dir, "labels"))
     return docs.where(toxicity.toxicity(model) < toxicity.THRESHOLD)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document with the smallest id."""
+    bound_batches(spark)
     placed = written(spark, jaccard.jaccard_join(docs).where("doc_id is not null"), "placed")
     gone = placed.where("component_id < doc_id").select("doc_id").distinct()
     repeated = placed.groupBy("doc_id").count().where("count > 1").select("doc_id")
@@ -50,6 +53,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that a smaller id has too; ``n_chars`` follows the text."""
+    bound_batches(spark)
     left = substrings.remove_repeats(docs, carry=True)
     columns = {c: F.col("text") if c == "text" else F.col("row")[c] for c in docs.columns}
     if "n_chars" in columns:
@@ -60,6 +64,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that hold no benchmark item."""
+    bound_batches(spark)
     found = decontaminate.contaminated(docs, _table(spark, sf_dir, "benchmark"))
     return _without(docs, written(spark, found.where("doc_id is not null").select("doc_id").distinct(), "contaminated"))
 

@@ -29,6 +29,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -84,9 +85,13 @@ def _anchors(ids: np.ndarray, words: Words, window: int, period: int) -> repeats
 
 
 def _anchor_batches(batches: Iterator[pa.RecordBatch], window: int, period: int) -> Iterator[repeats.Entries]:
-    for batch in batches:
-        ids = batch["doc_id"].to_numpy(zero_copy_only=False)
-        yield from repeats.gathered(_anchors(ids, words, window, period) for words in slices(batch["text"]))
+    def each() -> Iterator[repeats.Entries]:
+        for batch in batches:
+            ids = batch["doc_id"].to_numpy(zero_copy_only=False)
+            for words in slices(batch["text"]):
+                yield _anchors(ids, words, window, period)
+
+    return repeats.gathered(each())
 
 
 def shared_anchors(docs: DataFrame, bits: int, parts: int, window: int = WINDOW, period: int = PERIOD) -> DataFrame:
@@ -226,8 +231,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
         return _results(final, texts, cut, removed, carry)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        others = repeats.Bitmap(*outside.value)
         for batch in batches:
-            table = pa.Table.from_batches([batch])
+            ids = batch["doc_id"]
+            named_too = pc.and_(ids.is_valid(), pa.array(others.has(pc.fill_null(ids, 0).to_numpy())))
+            table = pa.Table.from_batches([batch.filter(pc.invert(named_too))])
             cut = list(slices(table["text"]))
             yield from _results(final, table, cut, [np.zeros(len(w.row), bool) for w in cut], carry).to_batches()
 
@@ -240,8 +248,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
     held = repeats.bitmap_of(later.select("owners"), marks)
     changed = repeats.by_part(repeats.among(named, held), "doc_id", parts).groupBy("_part")
     changed = changed.cogroup(later.groupBy("part")).applyInArrow(finish, result)
-    same = repeats.among(named, held, inside=False).union(plain.where("doc_id is null"))
-    return changed.union(same.mapInArrow(whole, result))
+    outside = spark.sparkContext.broadcast((held.bits, held.data.tobytes()))
+    return changed.union(plain.mapInArrow(whole, result))
 
 
 def _arrow(ddl: str) -> pa.Schema:
