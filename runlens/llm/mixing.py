@@ -103,6 +103,11 @@ def mix(
     carry: Sequence[str] = (),
 ) -> DataFrame:
     """doc_id, size, source_size, target and taken of every row of (doc_id, source, text), and the columns in ``carry``."""
+    return _mixed(docs, weights, share, seed, carry).drop("spans")
+
+
+def _mixed(docs: DataFrame, weights: Sequence[float], share: float, seed: int, carry: Sequence[str]) -> DataFrame:
+    """The rows of mix() with the spans of words, from 0, that the last pass takes of them."""
     spark = docs.sparkSession
     sized = written(spark, docs.select("doc_id", "source", n_words("text").alias("size"), *carry), "sized")
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
@@ -147,7 +152,7 @@ def mix(
 
 
 def _taken(placed: DataFrame, chosen: DataFrame, block: int, carry: Sequence[str]) -> DataFrame:
-    """Words each document gives: its whole passes, and what of it lies in chosen blocks."""
+    """What each document gives: its whole passes, and the spans of it that lie in chosen blocks."""
     begin = F.col("_end") - F.col("size")
     spans = placed.where("size > 0").select(
         "_row",
@@ -157,21 +162,25 @@ def _taken(placed: DataFrame, chosen: DataFrame, block: int, carry: Sequence[str
         begin.alias("_begin"),
         F.explode(F.sequence(F.floor(begin / block).cast("bigint"), F.floor((F.col("_end") - 1) / block).cast("bigint"))).alias("_block"),
     )
-    inside = F.least(F.col("_end"), (F.col("_block") + 1) * block) - F.greatest(F.col("_begin"), F.col("_block") * block)
-    partly = spans.join(chosen, ["_source", "_shard", "_block"]).groupBy("_row").agg(F.sum(inside).alias("_partly"))
+    first = F.greatest(F.col("_begin"), F.col("_block") * block)
+    last = F.least(F.col("_end"), (F.col("_block") + 1) * block)
+    span = F.struct((first - F.col("_begin")).alias("first"), (last - F.col("_begin")).alias("last"))
+    partly = spans.join(chosen, ["_source", "_shard", "_block"]).groupBy("_row").agg(
+        F.sum(last - first).alias("_partly"), F.sort_array(F.collect_list(span)).alias("spans")
+    )
     taken = F.coalesce(F.col("_passes"), F.lit(0)) * F.col("size") + F.coalesce("_partly", F.lit(0))
-    return placed.join(partly, "_row", "left").select("doc_id", "size", "source_size", "target", taken.alias("taken"), *carry)
+    return placed.join(partly, "_row", "left").select("doc_id", "size", "source_size", "target", taken.alias("taken"), *carry, "spans")
 
 
 def copies(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, seed: int = SEED) -> DataFrame:
-    """The mix itself: a row of docs for every time it is taken, the last one cut to the words that are left of its share.
+    """The mix itself: a row of docs for every time it is taken, the last one cut to the spans of it that were drawn.
 
     Adds mix_copy (from 1), mix_words, mix_source_size and mix_target; ``n_chars``, where docs has it, follows the text.
     """
     spark = docs.sparkSession
     held = written(spark, docs.withColumn("_held", F.monotonically_increasing_id()), "held")
-    shares = mix(held, weights, share, seed, carry=["_held"]).where("taken > 0")
-    shares = shares.select("_held", F.col("size").alias("_size"), "taken", "source_size", "target")
+    shares = _mixed(held, weights, share, seed, ["_held"]).where("taken > 0")
+    shares = shares.select("_held", F.col("size").alias("_size"), "taken", "source_size", "target", "spans")
     copy = F.explode(F.sequence(F.lit(1).cast("bigint"), F.ceil(F.col("taken") / F.col("_size")).cast("bigint")))
     shares = shares.withColumn("mix_copy", copy)
     words = F.least(F.col("_size"), F.col("taken") - (F.col("mix_copy") - 1) * F.col("_size"))
@@ -179,15 +188,23 @@ def copies(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = S
         "_held",
         "mix_copy",
         words.alias("mix_words"),
-        (words < F.col("_size")).alias("_cut"),
+        F.when(words < F.col("_size"), F.col("spans")).alias("_spans"),
         F.col("source_size").alias("mix_source_size"),
         F.col("target").alias("mix_target"),
     )
     out = held.join(shares, "_held")
     pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    text = F.when(F.col("_cut"), F.array_join(F.slice(pieces, F.lit(1), F.col("mix_words").cast("int")), "")).otherwise(F.col("text"))
-    out = out.withColumn("text", text)
+    # The pieces are an argument of the outer function, so that they are cut once and not for every span.
+    drawn = F.transform(
+        F.array(pieces),
+        lambda p: F.flatten(F.transform("_spans", lambda s: F.slice(p, (s["first"] + 1).cast("int"), (s["last"] - s["first"]).cast("int")))),
+    )[0]
+    # The separators before a span that begins inside the text led to a word that is not there.
+    joined = F.array_join(drawn, "")
+    joined = F.when(F.col("_spans")[0]["first"] > 0, F.regexp_replace(joined, r"^[\x20\x09-\x0D]+", "")).otherwise(joined)
+    out = out.withColumn("_cut", F.col("_spans").isNotNull())
+    out = out.withColumn("text", F.when(F.col("_cut"), joined).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.drop("_held", "_cut")
+    return out.drop("_held", "_cut", "_spans")

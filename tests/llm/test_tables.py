@@ -119,6 +119,26 @@ def test_copies_are_the_mix(spark):
     assert sum(r["mix_words"] for r in rows) == taken
 
 
+def test_copies_hold_the_drawn_words(spark):
+    """Cut documents give the words of their drawn blocks, from anywhere in them and in order."""
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(3000)), "", "one" if i else "two", 0) for i in range(4)]
+    docs = frame(spark, rows)
+    heads, spread = 0, set()
+    for seed in range(3):
+        made = mixing.copies(docs, share=0.5, seed=seed).collect()
+        taken = {r["doc_id"]: r["taken"] for r in mixing.mix(docs, share=0.5, seed=seed).collect()}
+        for r in made:
+            at = [int(w.split("w")[1]) for w in words(r["text"])]
+            assert at == sorted(set(at)) and all(w.startswith(f"d{r['doc_id']}w") for w in words(r["text"]))
+            assert len(at) == r["mix_words"] and r["n_chars"] == len(r["text"]) and r["text"] == r["text"].strip()
+            if len(at) < 3000:
+                heads += at == list(range(len(at)))
+                spread.add((r["doc_id"], tuple(at)))
+        assert sum(r["mix_words"] for r in made) == sum(taken.values())
+    assert len(spread) > 4 and heads == 0
+    assert any(max(at) > 2900 for _, at in spread)
+
+
 def turns(spark, rows):
     wide = [(*r, 1, "x", 2) for r in rows]
     return spark.createDataFrame(wide, "conv_id bigint, turn bigint, role string, text string, window int, said string, _place int").repartition(3)
