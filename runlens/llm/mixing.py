@@ -2,10 +2,11 @@
 
 1. Every source gets a target: a share of the whole by weight, at most ``MOST_PASSES`` times its own size; what
    is over goes to the other sources by weight.
-2. The targets are apportioned as blocks of equal tokens: the highest quotients weight / (2k + 1) win. The blocks
-   of a source are apportioned again to its shards, by their sizes.
-3. Within a shard, documents stand in seeded order, one after the other, cut into blocks. A quota of more blocks than
-   the shard has takes all of it and goes on; the last pass takes the blocks that come first in seeded order.
+2. The targets are apportioned as whole words: the highest quotients weight / (2k + 1) win. The words of a source are
+   apportioned again to its shards, by their sizes.
+3. Within a shard, documents stand in seeded order, one after the other, cut into blocks. A quota of more words than
+   the shard has takes all of it and goes on; the last pass takes the blocks that come first in seeded order, the last
+   one of them as far as the quota goes. So the words taken are the quota, at any size of the corpus.
 
 A shard is a part of its source by hash, of about ``SHARD_ROWS`` documents while there are few, and at most
 1 / ``MOST_SHARDS`` of the source when there are many, so no task holds a source. Only tables of one row per
@@ -32,8 +33,9 @@ from runlens.llm.components import written
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_PASSES = 2
-#: The mix is cut into about so many blocks, of LEAST_BLOCK words at least.
-BLOCKS = 1 << 18
+#: Words of a block: BLOCK, or in small shards what makes SHARD_BLOCKS of them, but LEAST_BLOCK at least.
+BLOCK = 128
+SHARD_BLOCKS = 256
 LEAST_BLOCK = 16
 SHARD_ROWS = 2_000
 MOST_SHARDS = 4_096
@@ -113,13 +115,14 @@ def _mixed(docs: DataFrame, weights: Sequence[float], share: float, seed: int, c
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     aimed = written(spark, targets(by_source, weights, share), "targets")
     total = aimed.agg(F.sum("target")).first()[0] or 0.0
-    block = max(LEAST_BLOCK, round(total / BLOCKS))
     # A source's name may be null: from here on a source is its hash, checked to be its own below.
     key = F.struct(F.col("source").isNull(), F.coalesce("source", F.lit("")))
     parties = aimed.withColumn("_source", F.md5(F.to_json(key))).withColumn("weight", F.col("target"))
-    parties = parties.withColumn("seats", F.lit(round(total / block)))
+    # Targets are doubles: their sum may end just beside a half, and must be rounded alike in every run.
+    parties = parties.withColumn("seats", F.lit(int(total + 0.501)).cast("bigint"))
     n_shards = F.greatest(F.lit(1), F.least(F.lit(MOST_SHARDS), F.ceil(F.col("n_docs") / SHARD_ROWS))).cast("int")
     quotas = apportion(parties, [], ["_source"]).withColumn("_shards", n_shards)
+    quotas = quotas.withColumn("quota", F.least(F.col("quota"), MOST_PASSES * F.col("source_size")))
     quotas = written(spark, quotas.select("_source", "source_size", "target", "quota", "_shards"), "quotas")
 
     placed = sized.withColumn("_source", F.md5(F.to_json(key))).join(quotas, "_source")
@@ -133,39 +136,42 @@ def _mixed(docs: DataFrame, weights: Sequence[float], share: float, seed: int, c
         F.sum("size").alias("_words"), F.sum("size").cast("double").alias("weight"), F.first("quota").alias("seats")
     )
     shards = apportion(written(spark, shards, "shards"), ["_source"], ["_shard"])
-    shards = shards.withColumn("_blocks", F.ceil(F.col("_words") / block).cast("bigint")).where("_blocks > 0")
-    limit = F.least(F.col("quota"), MOST_PASSES * F.col("_blocks"))
-    shards = shards.withColumn("_passes", F.floor(limit / F.col("_blocks")).cast("bigint"))
-    shards = written(spark, shards.withColumn("_rest", limit - F.col("_passes") * F.col("_blocks")), "shard-quotas")
+    step = F.greatest(F.lit(LEAST_BLOCK), F.least(F.lit(BLOCK), F.expr(f"_words div {SHARD_BLOCKS}"))).cast("bigint")
+    shards = shards.where("_words > 0").withColumn("_step", step).withColumn("_passes", F.expr("quota div _words"))
+    shards = written(spark, shards.withColumn("_rest", F.col("quota") % F.col("_words")), "shard-quotas")
 
+    last = F.expr("(_words - 1) div _step")
     every = shards.where("_rest > 0").select(
-        "_source", "_shard", "_rest", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)).alias("_block")
+        "_source", "_shard", "_rest", "_step", "_words", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("_block")
     )
-    drawn = F.row_number().over(
-        Window.partitionBy("_source", "_shard").orderBy(F.xxhash64(F.lit(seed + 2), "_source", "_shard", "_block"), "_block")
-    )
-    chosen = every.withColumn("_place", drawn).where("_place <= _rest").select("_source", "_shard", "_block")
-
-    placed = placed.join(shards.select("_source", "_shard", "_passes"), ["_source", "_shard"], "left")
+    every = every.withColumn("_from", F.col("_block") * F.col("_step"))
+    every = every.withColumn("_long", F.least(F.col("_step"), F.col("_words") - F.col("_from")))
+    drawn = Window.partitionBy("_source", "_shard").orderBy(F.xxhash64(F.lit(seed + 2), "_source", "_shard", "_block"), "_block")
+    before = F.sum("_long").over(drawn.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_long")
+    chosen = every.withColumn("_open", F.col("_rest") - before).where("_open > 0")
+    upto = F.col("_from") + F.least("_long", "_open")
+    # The blocks grow with the corpus, while the table that they are made from looks small enough to broadcast.
+    chosen = chosen.select("_source", "_shard", "_block", "_from", upto.alias("_upto")).hint("merge")
+
+    placed = placed.join(shards.select("_source", "_shard", "_passes", "_step", "_rest"), ["_source", "_shard"], "left")
     placed = placed.withColumn("_row", F.monotonically_increasing_id())
-    return _taken(written(spark, placed, "placed"), chosen, block, carry)
+    return _taken(written(spark, placed, "placed"), chosen, carry)
 
 
-def _taken(placed: DataFrame, chosen: DataFrame, block: int, carry: Sequence[str]) -> DataFrame:
+def _taken(placed: DataFrame, chosen: DataFrame, carry: Sequence[str]) -> DataFrame:
     """What each document gives: its whole passes, and the spans of it that lie in chosen blocks."""
     begin = F.col("_end") - F.col("size")
-    spans = placed.where("size > 0").select(
+    spans = placed.where("size > 0 and _rest > 0").withColumn("_begin", begin).select(
         "_row",
         "_source",
         "_shard",
         "_end",
-        begin.alias("_begin"),
-        F.explode(F.sequence(F.floor(begin / block).cast("bigint"), F.floor((F.col("_end") - 1) / block).cast("bigint"))).alias("_block"),
+        "_begin",
+        F.explode(F.expr("sequence(_begin div _step, (_end - 1) div _step)")).alias("_block"),
     )
-    first = F.greatest(F.col("_begin"), F.col("_block") * block)
-    last = F.least(F.col("_end"), (F.col("_block") + 1) * block)
+    first, last = F.greatest("_begin", "_from"), F.least("_end", "_upto")
     span = F.struct((first - F.col("_begin")).alias("first"), (last - F.col("_begin")).alias("last"))
-    partly = spans.join(chosen, ["_source", "_shard", "_block"]).groupBy("_row").agg(
+    partly = spans.join(chosen, ["_source", "_shard", "_block"]).where(first < last).groupBy("_row").agg(
         F.sum(last - first).alias("_partly"), F.sort_array(F.collect_list(span)).alias("spans")
     )
     taken = F.coalesce(F.col("_passes"), F.lit(0)) * F.col("size") + F.coalesce("_partly", F.lit(0))

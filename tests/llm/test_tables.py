@@ -119,6 +119,22 @@ def test_copies_are_the_mix(spark):
     assert sum(r["mix_words"] for r in rows) == taken
 
 
+def test_every_source_meets_its_target_at_any_size(spark, monkeypatch):
+    """A small source beside a large one, and shards whose last block is not full, still take their words."""
+    monkeypatch.setattr(mixing, "BLOCKS", 64, raising=False)
+    monkeypatch.setattr(mixing, "SHARD_ROWS", 50)
+    rng = random.Random(9)
+    rows = [(i, prose(rng, 37 + i % 9), "", "large" if i % 3 else "other", 0) for i in range(1200)]
+    rows += [(2000 + i, prose(rng, 40), "", "tiny", 0) for i in range(3)] + [(3000, "two words", "", "two", 0)]
+    found = mixing.mix(frame(spark, rows)).collect()
+    source, taken, target = {r[0]: r[3] for r in rows}, Counter(), {}
+    for r in found:
+        taken[source[r["doc_id"]]] += r["taken"]
+        target[source[r["doc_id"]]] = r["target"]
+    assert {s: abs(taken[s] - t) <= 1 for s, t in target.items()} == dict.fromkeys(["large", "other", "tiny", "two"], True)
+    assert abs(sum(taken.values()) - sum(target.values())) <= 1
+
+
 def test_copies_hold_the_drawn_words(spark):
     """Cut documents give the words of their drawn blocks, from anywhere in them and in order."""
     rows = [(i, " ".join(f"d{i}w{k}" for k in range(3000)), "", "one" if i else "two", 0) for i in range(4)]
