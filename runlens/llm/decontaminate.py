@@ -5,8 +5,9 @@ Windows of the resulting templates are joined by hash, so a question that was gi
 meets its original. Where a document and an item meet, the slots are checked: along one alignment, every value of
 the item must stand for one value of the document. Only consistent alignments count.
 
-A window with few literal words says little; there the values themselves stay in the hash, so it only meets its
-exact copy. Items shorter than a window are matched as a whole.
+Every window is also joined as it stands, with letters folded, so a verbatim copy meets its item whatever stands around
+it. A template with few literal words says little; such a window only meets its exact copy. Items shorter than a window
+are matched as a whole.
 
 A document holds an item when it has ``MIN_WINDOWS`` of its windows, or all where it has fewer.
 
@@ -53,7 +54,7 @@ _DIGIT = byte_table(b"0123456789")
 _UPPER = byte_table(bytes(range(65, 91)))
 _HOLDERS = mix(np.arange(101, 104, dtype=np.uint64))
 
-HITS = "id bigint, at int, n int, size int, hash bigint, slots array<bigint>"
+HITS = "id bigint, at int, n int, size int, exact boolean, hash bigint, slots array<bigint>"
 
 
 def _hashes(words: list[str]) -> np.ndarray:
@@ -95,21 +96,27 @@ def template(words: Words) -> np.ndarray:
 
 
 class Windows:
-    """The template windows of one size in a slice: first word, hash, and the values in its slots."""
+    """The windows of one size in a slice, exact or as templates: first word, hash, and the values in its slots.
 
-    def __init__(self, words: Words, kind: np.ndarray, size: int, rows: np.ndarray | None = None):
-        self.words, self.kind, self.size = words, kind, size
+    A template without slots, or with few literal words, is left out: it meets no more than the exact window does.
+    """
+
+    def __init__(self, words: Words, kind: np.ndarray, size: int, exact: bool, rows: np.ndarray | None = None):
+        self.words, self.kind, self.size, self.exact = words, kind, size, exact
         n = len(words.row) - size + 1
         at = np.flatnonzero(words.row[: max(n, 0)] == words.row[size - 1 :]) if n > 0 else np.empty(0, np.int64)
-        self.at = at if rows is None else at[rows[words.row[at]]]
+        at = at if rows is None else at[rows[words.row[at]]]
+        if exact:
+            self.at = at
+            self.hashes = words.window_hashes(at, size, size + 1000).view(np.int64)
+            return
+        literal = _counter(kind == 0)
+        literal = literal[at + size] - literal[at]
+        self.at = at[(literal < size) & (literal >= min(LITERAL, size))]
         held = words.hashes
         words.hashes = np.where(kind > 0, _HOLDERS[np.maximum(kind, 1) - 1], held)
-        typed = words.window_hashes(self.at, size, size)
+        self.hashes = words.window_hashes(self.at, size, size).view(np.int64)
         words.hashes = held
-        exact = words.window_hashes(self.at, size, size + 1000)
-        literal = _counter(kind == 0)
-        few = literal[self.at + size] - literal[self.at] < min(LITERAL, size)
-        self.hashes = np.where(few, exact, typed).view(np.int64)
 
     def rows(self, ids: pa.Array, chosen: np.ndarray, counts: np.ndarray | None = None) -> pa.RecordBatch:
         """Chosen windows as rows of HITS."""
@@ -122,10 +129,11 @@ class Windows:
             pa.array(at - self.words.bounds()[row], pa.int32()),
             pa.array(counts[row] if counts is not None else np.zeros(n), pa.int32()),
             pa.array(np.full(n, self.size), pa.int32()),
+            pa.array(np.full(n, self.exact)),
             pa.array(self.hashes[chosen], pa.int64()),
             pa.array(slots, pa.list_(pa.int64())),
         ]
-        return pa.RecordBatch.from_arrays(columns, ["id", "at", "n", "size", "hash", "slots"])
+        return pa.RecordBatch.from_arrays(columns, ["id", "at", "n", "size", "exact", "hash", "slots"])
 
 
 def item_windows(items: DataFrame) -> DataFrame:
@@ -137,9 +145,10 @@ def item_windows(items: DataFrame) -> DataFrame:
                 counts, kind = words.counts(), template(words)
                 sizes = np.where(counts >= LEAST_WORDS, np.minimum(counts, WINDOW), 0)
                 for size in sorted(set(sizes.tolist()) - {0}):
-                    found = Windows(words, kind, size, sizes == size)
-                    if len(found.at):
-                        yield found.rows(batch["id"], np.ones(len(found.at), bool), counts - size + 1)
+                    for exact in (True, False):
+                        found = Windows(words, kind, size, exact, sizes == size)
+                        if len(found.at):
+                            yield found.rows(batch["id"], np.ones(len(found.at), bool), counts - size + 1)
 
     return items.select(F.col("id").cast("bigint").alias("id"), "text").mapInArrow(run, HITS)
 
@@ -156,10 +165,11 @@ def _hits(docs: DataFrame, block: DataFrame) -> DataFrame:
             for words in slices(batch["text"], lower=True, separators=SEPARATORS):
                 kind = template(words)
                 for size, hashes in wanted.value.items():
-                    found = Windows(words, kind, size)
-                    chosen = _member(found.hashes, hashes)
-                    if chosen.any():
-                        yield found.rows(batch["id"], chosen)
+                    for exact in (True, False):
+                        found = Windows(words, kind, size, exact)
+                        chosen = _member(found.hashes, hashes)
+                        if chosen.any():
+                            yield found.rows(batch["id"], chosen)
 
     return docs.mapInArrow(run, HITS)
 
@@ -182,19 +192,21 @@ def _met(docs: DataFrame, block: DataFrame) -> DataFrame:
     """Windows of documents beside the equal windows of a block of items."""
     item = block.select(
         "size",
+        "exact",
         "hash",
         F.col("id").alias("item_id"),
         F.col("at").alias("item_at"),
         F.col("n").alias("n_item_windows"),
         F.col("slots").alias("item"),
     )
-    met = _hits(docs, block).drop("n").join(F.broadcast(item), ["size", "hash"])
+    met = _hits(docs, block).drop("n").join(F.broadcast(item), ["size", "exact", "hash"])
     return met.withColumn("shift", F.col("at") - F.col("item_at"))
 
 
 def _enough(met: DataFrame) -> DataFrame:
     """Documents and items with enough windows on consistent alignments."""
-    pair = F.arrays_zip("item", F.col("slots").alias("doc"))
+    # An exact window has the item's values, whatever kinds its words have in the document.
+    pair = F.arrays_zip("item", F.when(F.col("exact"), F.col("item")).otherwise(F.col("slots")).alias("doc"))
     aligned = met.groupBy(F.col("id").alias("doc_id"), "item_id", "n_item_windows", "shift").agg(
         F.countDistinct("item_at").alias("n"), F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs")
     )

@@ -152,6 +152,15 @@ def test_items_are_found_with_other_values(spark):
     assert found_in(spark, texts) == {(0, 1): False, (1, 1): True, (3, 1): False, (5, 2): False, (6, 3): False}
 
 
+def test_short_items_are_found_inside_sentences(spark):
+    """A verbatim copy meets its item whatever stands before it."""
+    items = [(1, "Which planet is known as the Red Planet?"), (2, "Name the river that runs through the old city of Prague."), (3, "Who wrote Faust there?")]
+    texts = ['he asked, "Which planet is known as the Red Planet?"', "they had to Name the river that runs through the old city of Prague.", "and then - Who wrote Faust there?"]
+    texts += ["which planet is known as the red planet"]
+    found = found_in(spark, texts, items)
+    assert found == {(0, 1): False, (1, 2): False, (2, 3): False, (3, 1): False}
+
+
 def test_blocks_change_nothing(spark):
     docs = frame(spark, [(i, ITEMS[0][1] + " more words", "", "", 0) for i in range(5)] + [(None, ITEMS[0][1], "", "", 0)])
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
