@@ -5,11 +5,15 @@ Windows of the resulting templates are joined by hash, so a question that was gi
 meets its original. Where a document and an item meet, the slots are checked: along one alignment, every value of
 the item must stand for one value of the document. Only consistent alignments count.
 
+A capitalised word at the beginning of a sentence may be a name or not, so windows are hashed with each choice of such
+words as names. Digits with a point or comma inside are one number.
+
 Every window is also joined as it stands, with letters folded, so a verbatim copy meets its item whatever stands around
 it. A template with few literal words says little; such a window only meets its exact copy. Items shorter than a window
 are matched as a whole.
 
-A document holds an item when it has ``MIN_WINDOWS`` of its windows, or all where it has fewer.
+A document holds an item when it has ``MIN_WINDOWS`` of its windows. Where the item has fewer, or fewer that other values
+can meet, those are enough if they are half of its windows.
 
 The items' windows are taken in blocks of bounded size; each block is broadcast and all documents are read against it.
 
@@ -50,11 +54,15 @@ NUMBER_WORDS = (
 
 SEPARATORS = SPACES + PUNCTUATION
 _ENDERS = byte_table(b".!?:\n\r")
+_INSIDE_NUMBER = byte_table(b".,")
 _DIGIT = byte_table(b"0123456789")
 _UPPER = byte_table(bytes(range(65, 91)))
 _HOLDERS = mix(np.arange(101, 104, dtype=np.uint64))
 
-HITS = "id bigint, at int, n int, size int, exact boolean, hash bigint, slots array<bigint>"
+#: Sentence beginnings are dealt in turn to so many classes; every set of classes is tried as names.
+CHOICES = 3
+
+HITS = "id bigint, at int, n int, need int, size int, exact boolean, choice int, hash bigint, slots array<bigint>"
 
 
 def _hashes(words: list[str]) -> np.ndarray:
@@ -73,11 +81,22 @@ def _counter(flags: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(flags)])
 
 
-def template(words: Words) -> np.ndarray:
-    """0 for a literal word, 1 for a number, 2 for a unit, 3 for a name."""
+def read(column: pa.Array) -> Iterator[Words]:
+    """The words of texts, with digits that a point or comma parts as one word."""
+    for words in slices(column, lower=True, separators=SEPARATORS):
+        part = np.zeros(len(words.row), bool)
+        before = words.ends[:-1]
+        part[1:] = (words.row[1:] == words.row[:-1]) & (words.starts[1:] == before + 1)
+        part[1:] &= _INSIDE_NUMBER[words.data[before]] if len(before) else False
+        part[1:] &= _DIGIT[words.data[before - 1]] & _DIGIT[words.data[words.starts[1:]]]
+        yield words.joined(part) if part.any() else words
+
+
+def template(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """0 for a literal word, 1 for a number, 2 for a unit, 3 for a name; and which literal words may be names."""
     kind, n = np.zeros(len(words.row), np.int8), len(words.row)
     if not n:
-        return kind
+        return kind, np.zeros(0, bool)
     digits = _counter(_DIGIT[words.data])
     number = (digits[words.ends] > digits[words.starts]) | _member(words.hashes, _hashes(NUMBER_WORDS))
     follows = np.zeros(n, bool)
@@ -92,7 +111,7 @@ def template(words: Words) -> np.ndarray:
     unit = follows & _member(words.hashes, _hashes(UNITS))
     unit[1:] &= number[:-1]
     kind[unit & ~number] = 2
-    return kind
+    return kind, capital & (kind == 0)
 
 
 class Windows:
@@ -101,11 +120,8 @@ class Windows:
     A template without slots, or with few literal words, is left out: it meets no more than the exact window does.
     """
 
-    def __init__(self, words: Words, kind: np.ndarray, size: int, exact: bool, rows: np.ndarray | None = None):
-        self.words, self.kind, self.size, self.exact = words, kind, size, exact
-        n = len(words.row) - size + 1
-        at = np.flatnonzero(words.row[: max(n, 0)] == words.row[size - 1 :]) if n > 0 else np.empty(0, np.int64)
-        at = at if rows is None else at[rows[words.row[at]]]
+    def __init__(self, words: Words, kind: np.ndarray, size: int, exact: bool, at: np.ndarray, choice: int = 0):
+        self.words, self.kind, self.size, self.exact, self.choice = words, kind, size, exact, choice
         if exact:
             self.at = at
             self.hashes = words.window_hashes(at, size, size + 1000).view(np.int64)
@@ -118,7 +134,7 @@ class Windows:
         self.hashes = words.window_hashes(self.at, size, size).view(np.int64)
         words.hashes = held
 
-    def rows(self, ids: pa.Array, chosen: np.ndarray, counts: np.ndarray | None = None) -> pa.RecordBatch:
+    def rows(self, ids: pa.Array, chosen: np.ndarray, counts: np.ndarray | None = None, need: np.ndarray | None = None) -> pa.RecordBatch:
         """Chosen windows as rows of HITS."""
         at = self.at[chosen]
         row = self.words.row[at]
@@ -128,12 +144,42 @@ class Windows:
             ids.take(pa.array(self.words.first + row)),
             pa.array(at - self.words.bounds()[row], pa.int32()),
             pa.array(counts[row] if counts is not None else np.zeros(n), pa.int32()),
+            pa.array(need[row] if need is not None else np.zeros(n), pa.int32()),
             pa.array(np.full(n, self.size), pa.int32()),
             pa.array(np.full(n, self.exact)),
+            pa.array(np.full(n, self.choice), pa.int32()),
             pa.array(self.hashes[chosen], pa.int64()),
             pa.array(slots, pa.list_(pa.int64())),
         ]
-        return pa.RecordBatch.from_arrays(columns, ["id", "at", "n", "size", "exact", "hash", "slots"])
+        return pa.RecordBatch.from_arrays(columns, ["id", "at", "n", "need", "size", "exact", "choice", "hash", "slots"])
+
+
+def windows(words: Words, size: int, rows: np.ndarray | None = None) -> Iterator[Windows]:
+    """The windows of one size as they stand, and as templates with each choice of sentence beginnings as names."""
+    kind, maybe = template(words)
+    n = len(words.row) - size + 1
+    at = np.flatnonzero(words.row[: max(n, 0)] == words.row[size - 1 :]) if n > 0 else np.empty(0, np.int64)
+    at = at if rows is None else at[rows[words.row[at]]]
+    yield Windows(words, kind, size, True, at)
+    yield Windows(words, kind, size, False, at)
+    turn = np.where(maybe, (np.cumsum(maybe) - 1) % CHOICES, -1)
+    held = [_counter(turn == c) for c in range(CHOICES)]
+    for choice in range(1, 1 << CHOICES):
+        classes = [c for c in range(CHOICES) if choice >> c & 1]
+        asked = np.logical_and.reduce([held[c][at + size] > held[c][at] for c in classes])
+        if asked.any():
+            yield Windows(words, np.where(np.isin(turn, classes), 3, kind), size, False, at[asked], choice)
+
+
+def _needed(words: Words, size: int, counts: np.ndarray) -> np.ndarray:
+    """How many windows a document must have of each row: of those that other values can meet, but half of all at least."""
+    kind, maybe = template(words)
+    at, _ = words.windows(size)
+    literal = _counter((kind == 0) & ~maybe)
+    meets = literal[at + size] - literal[at] >= min(LITERAL, size)
+    open_ = np.bincount(words.row[at[meets]], minlength=words.n)
+    n = np.maximum(counts - size + 1, 0)
+    return np.minimum(MIN_WINDOWS, np.maximum(open_, -(-n // 2)))
 
 
 def item_windows(items: DataFrame) -> DataFrame:
@@ -141,14 +187,14 @@ def item_windows(items: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for words in slices(batch["text"], lower=True, separators=SEPARATORS):
-                counts, kind = words.counts(), template(words)
+            for words in read(batch["text"]):
+                counts = words.counts()
                 sizes = np.where(counts >= LEAST_WORDS, np.minimum(counts, WINDOW), 0)
                 for size in sorted(set(sizes.tolist()) - {0}):
-                    for exact in (True, False):
-                        found = Windows(words, kind, size, exact, sizes == size)
+                    need = _needed(words, size, counts)
+                    for found in windows(words, size, sizes == size):
                         if len(found.at):
-                            yield found.rows(batch["id"], np.ones(len(found.at), bool), counts - size + 1)
+                            yield found.rows(batch["id"], np.ones(len(found.at), bool), counts - size + 1, need)
 
     return items.select(F.col("id").cast("bigint").alias("id"), "text").mapInArrow(run, HITS)
 
@@ -162,11 +208,9 @@ def _hits(docs: DataFrame, block: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for words in slices(batch["text"], lower=True, separators=SEPARATORS):
-                kind = template(words)
+            for words in read(batch["text"]):
                 for size, hashes in wanted.value.items():
-                    for exact in (True, False):
-                        found = Windows(words, kind, size, exact)
+                    for found in windows(words, size):
                         chosen = _member(found.hashes, hashes)
                         if chosen.any():
                             yield found.rows(batch["id"], chosen)
@@ -197,9 +241,11 @@ def _met(docs: DataFrame, block: DataFrame) -> DataFrame:
         F.col("id").alias("item_id"),
         F.col("at").alias("item_at"),
         F.col("n").alias("n_item_windows"),
+        F.col("choice").alias("item_choice"),
+        "need",
         F.col("slots").alias("item"),
     )
-    met = _hits(docs, block).drop("n").join(F.broadcast(item), ["size", "exact", "hash"])
+    met = _hits(docs, block).drop("n", "need").join(F.broadcast(item), ["size", "exact", "hash"])
     return met.withColumn("shift", F.col("at") - F.col("item_at"))
 
 
@@ -207,13 +253,19 @@ def _enough(met: DataFrame) -> DataFrame:
     """Documents and items with enough windows on consistent alignments."""
     # An exact window has the item's values, whatever kinds its words have in the document.
     pair = F.arrays_zip("item", F.when(F.col("exact"), F.col("item")).otherwise(F.col("slots")).alias("doc"))
-    aligned = met.groupBy(F.col("id").alias("doc_id"), "item_id", "n_item_windows", "shift").agg(
-        F.countDistinct("item_at").alias("n"), F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs")
+    # Names at the beginning of sentences may only add: an alignment that they make inconsistent is judged without them.
+    plain = (F.col("choice") == 0) & (F.col("item_choice") == 0)
+    aligned = met.groupBy(F.col("id").alias("doc_id"), "item_id", "n_item_windows", "need", "shift").agg(
+        F.countDistinct("item_at").alias("n"),
+        F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs"),
+        F.countDistinct(F.when(plain, F.col("item_at"))).alias("n_plain"),
+        F.array_distinct(F.flatten(F.collect_set(F.when(plain, pair)))).alias("pairs_plain"),
     )
     consistent = F.size(F.array_distinct(F.col("pairs.item"))) == F.size("pairs")
+    aligned = aligned.withColumn("n", F.when(consistent, F.col("n")).otherwise(F.col("n_plain")))
+    aligned = aligned.withColumn("pairs", F.when(consistent, F.col("pairs")).otherwise(F.col("pairs_plain")))
     changed = F.exists("pairs", lambda p: ~p["item"].eqNullSafe(p["doc"]))
-    held = aligned.where(consistent).groupBy("doc_id", "item_id", "n_item_windows").agg(
+    held = aligned.where(consistent).where("n > 0").groupBy("doc_id", "item_id", "n_item_windows", "need").agg(
         F.sum("n").alias("n_windows"), F.bool_or(changed).alias("changed")
     )
-    enough = F.col("n_windows") >= F.least(F.lit(MIN_WINDOWS), F.col("n_item_windows"))
-    return held.where(enough).select("doc_id", "item_id", "n_windows", "n_item_windows", "changed")
+    return held.where("n_windows >= need").select("doc_id", "item_id", "n_windows", "n_item_windows", "changed")

@@ -100,6 +100,15 @@ class Words:
             total += (self.hashes[at + k] ^ (self.hashes[at + k] >> np.uint64(29))) * key
         return mix(total)
 
+    def joined(self, to_previous: np.ndarray) -> Words:
+        """The same text with some words made one with the word before them in their row."""
+        first = np.flatnonzero(~to_previous)
+        after = np.append(first[1:], len(self.row))
+        hashes = self.hashes[first]
+        several = after - first > 1
+        hashes[several] = _run_hash(self.hashes, first[several], after[several])
+        return Words(self.first, self.n, self.data, self.offsets, self.starts[first], self.ends[after - 1], self.row[first], hashes)
+
     def sequence_hashes(self) -> np.ndarray:
         """A hash of each row's whole sequence of words."""
         bounds = self.bounds()

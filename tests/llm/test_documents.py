@@ -161,6 +161,21 @@ def test_short_items_are_found_inside_sentences(spark):
     assert found == {(0, 1): False, (1, 2): False, (2, 3): False, (3, 1): False}
 
 
+def test_names_at_sentence_beginnings_and_parted_numbers(spark):
+    items = [
+        (1, "Tom had 12 apples. Tom gave 5 apples to Anna. How many apples does Tom have left?"),
+        (2, "A shop sells 950 loaves of bread in the week and gives 4 loaves away. How many loaves does the shop sell?"),
+        (3, "There are green birds in the old tree. The birds sing all day long. The farmer is glad to hear them sing."),
+    ]
+    texts = [
+        "Bill had 31 apples. Bill gave 8 apples to Jane. How many apples does Bill have left?",
+        "A shop sells 1,200 loaves of bread in the week and gives 3.5 loaves away. How many loaves does the shop sell?",
+        "There are green birds in the old tree. Those birds sing all day long. The farmer is glad to hear them sing.",
+        "Bill had 31 apples. Jack gave 8 apples to Jane. How many apples does Mary have left?",
+    ]
+    assert found_in(spark, texts, items) == {(0, 1): True, (1, 2): True, (2, 3): False}
+
+
 def test_blocks_change_nothing(spark):
     docs = frame(spark, [(i, ITEMS[0][1] + " more words", "", "", 0) for i in range(5)] + [(None, ITEMS[0][1], "", "", 0)])
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
