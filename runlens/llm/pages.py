@@ -3,7 +3,8 @@
 1. Each page is cut into lines of text: block tags end a line, and every line knows the elements it stands in. Scripts,
    styles, comments and the head give none.
 2. Lines inside marked parts that are no article (menus, headers, footers, sidebars, forms, notices, adverts and reader
-   comments, by element, role or class name) are dropped. Where a page marks its article, the rest of its lines are
+   comments, by element, role or whole class name) are dropped. An explicit article opens again what only a name
+   closed, but not reader comments; parts that hold articles of others only where the page has no article else. Where a page marks its article, the rest of its lines are
    the main text: neighbours may hold the same article, and then differencing would delete it.
 3. Where nothing marks the article, a page is paired with the page next to it by URL path within its host, the lines of
    both are aligned by longest common subsequence, and lines that both have are deleted: what neighbours share is
@@ -48,11 +49,17 @@ _INLINE = {
 }
 _CLUTTER = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "head", "fieldset"}
 _CLUTTER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
-_CLUTTER_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|notice|notification|"
+_CLUTTER_WORDS = (
+    r"(?:ads?|adverts?|advertisements?|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|notice|notification|"
     r"alert|popup|modal|overlay|newsletter|subscribe|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|widget|footer|"
     r"header|masthead|comments?|commentlist|replies|reply|respond|disqus|share|sharing|social|related|recommended|toolbar|"
-    r"pagination|pager|login|signup|search|skip|copyright)(?:$|[\s_-]|\d)",
+    r"pagination|pager|login|signup|search|skip|copyright)\d*"
+)
+#: Whole class names: a clutter word, where on the site it stands, and what kind of part it is.
+_CLUTTER_NAMES = re.compile(
+    rf"(?<!\S)(?:(?:site|main|global|top|bottom|left|right|primary|secondary|google|user|reader)[_-]+)*{_CLUTTER_WORDS}(?:[_-]+(?:{_CLUTTER_WORDS}|\d+|"
+    r"posts?|articles?|stories|links?|list|items?|buttons?|box|bar|block|container|wrapper|wrap|area|slot|unit|form|panel|"
+    r"section|inner|outer|content|left|right|top|bottom|main|thread|icons?|message|text|to))*(?!\S)",
     re.I,
 )
 #: Parts of an article whose names end like those of a site's parts.
@@ -60,39 +67,66 @@ _OF_ARTICLE = re.compile(r"(?<!\S)(?:article|post|entry|content|story|page|body|
 _MAIN = {"article", "main"}
 #: Whole class names by which an article element is none.
 _NO_ARTICLE = {"comment", "comments", "reply", "ad", "ads", "advert", "related", "sidebar", "promo", "teaser"}
+#: Names of parts that hold articles of others: readers' comments never open again, the rest only without another article.
+_OF_READERS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|replies|reply|respond|disqus)(?:$|[\s_-]|\d)", re.I)
+_OF_OTHERS = re.compile(r"(?:^|[\s_-])(?:related|recommended|sidebar|widget)(?:$|[\s_-]|\d)", re.I)
+_ADVERTS = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:tion)?)(?:$|[\s_-]|\d)", re.I)
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _ENDS_PARAGRAPH = {"li", "p", "option", "td", "th", "tr", "dt", "dd"}
 
 MAIN, CLUTTER, OPEN = 0, 1, 2
 
 
-def _kind(tag: str, attributes: str) -> int | None:
-    """What an element says of the lines in it."""
+class _Wrapper:
+    """An element that is clutter by its name only."""
+
+    def __init__(self, tag: str, names: str):
+        self.tag, self.closed = tag, False
+        self.advert, self.others = bool(_ADVERTS.search(names)), bool(_OF_OTHERS.search(names))
+
+
+def _kind(tag: str, attributes: str, above: int) -> tuple[int | None, str | None]:
+    """What an element says of the lines in it, and the names by which it says so, if by names only."""
     found = {}
     if "=" in attributes:
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     role = found.get("role", "").lower()
     names = f"{found.get('class', '')} {found.get('id', '')}"
     if tag in _CLUTTER or role in _CLUTTER_ROLES:
-        return CLUTTER
+        return CLUTTER, None
     if tag in _MAIN or role in ("main", "article"):
-        return CLUTTER if _NO_ARTICLE & set(names.lower().split()) else MAIN
-    if tag not in ("html", "body") and names != " " and _CLUTTER_NAMES.search(_OF_ARTICLE.sub("", names)):
-        return CLUTTER
-    return None
+        return (CLUTTER, None) if _NO_ARTICLE & set(names.lower().split()) else (MAIN, None)
+    if above == MAIN and tag in _HEADINGS:
+        return None, None
+    if above == MAIN and tag == "section":
+        # Ids of sections are named after what they are about.
+        names = found.get("class", "") + (" comments" if _OF_READERS.fullmatch(found.get("id", "")) else "")
+    if tag not in ("html", "body") and names.strip():
+        matched = " ".join(m[0] for m in _CLUTTER_NAMES.finditer(_OF_ARTICLE.sub("", names)))
+        if matched:
+            return CLUTTER, None if _OF_READERS.search(matched) else matched
+    return None, None
 
 
 def lines_of(html: str | None) -> list[tuple[int, str]]:
     """The lines of a page as (MAIN, CLUTTER or OPEN, text)."""
-    out: list[tuple[int, str]] = []
-    stack: list[tuple[str, int]] = []
+    out: list[tuple[int, str, tuple[_Wrapper, ...]]] = []
+    # Tag, kind, and the wrappers that only a name makes clutter; None where an article may not open again.
+    stack: list[tuple[str, int, tuple[_Wrapper, ...] | None]] = []
+    opened: dict[str, int] = {}
     pieces: list[str] = []
 
     def end_line() -> None:
         text = _SPACE.sub(" ", unescape("".join(pieces))).strip()
         if text:
-            out.append((stack[-1][1] if stack else OPEN, text))
+            out.append((stack[-1][1] if stack else OPEN, text, (stack[-1][2] or ()) if stack else ()))
         pieces.clear()
 
+    def ended(element: tuple) -> None:
+        if element[1] == CLUTTER and element[2] and element[2][-1].tag == element[0]:
+            held = sum(1 for _, k, w in stack if k == CLUTTER and w and element[2][-1] in w)
+            element[2][-1].closed |= not held
+
     html, at = html or "", 0
     lower = None
     while at < len(html):
@@ -109,9 +143,11 @@ def lines_of(html: str | None) -> list[tuple[int, str]]:
         if found[1]:
             if tag not in _INLINE:
                 end_line()
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            opened[tag] = opened.get(tag, 0) - 1
+            if any(t == tag for t, *_ in stack):
+                while stack[-1][0] != tag:
+                    stack.pop()
+                ended(stack.pop())
         elif tag in _RAW:
             if tag not in _INLINE:
                 end_line()
@@ -127,12 +163,27 @@ def lines_of(html: str | None) -> list[tuple[int, str]]:
                 end_line()
             if tag in _ENDS_PARAGRAPH:
                 while stack and stack[-1][0] == tag:
-                    stack.pop()
-            above = stack[-1][1] if stack else OPEN
-            kind = _kind(tag, found[3])
-            stack.append((tag, above if kind is None or above == CLUTTER else kind))
+                    ended(stack.pop())
+            opened[tag] = opened.get(tag, 0) + 1
+            _, above, wrappers = stack[-1] if stack else (None, OPEN, ())
+            kind, names = _kind(tag, found[3], above)
+            if kind == CLUTTER:
+                wrappers = None if names is None or wrappers is None else (*wrappers, _Wrapper(tag, names))
+            elif above == CLUTTER:
+                kind = MAIN if kind == MAIN and wrappers is not None else CLUTTER
+            stack.append((tag, above if kind is None else kind, wrappers))
     end_line()
-    return out
+    plain = any(k == MAIN and not any(w.advert or w.others for w in wrappers) for k, _, wrappers in out)
+
+    def holds(w: _Wrapper) -> bool:
+        """Whether a wrapper keeps its articles closed: one that is not closed itself seems to have lost its end."""
+        if not w.closed:
+            return False
+        if w.advert:
+            return plain or opened.get(w.tag, 0) <= 0
+        return w.others and plain
+
+    return [(CLUTTER if k == MAIN and any(map(holds, wrappers)) else k, t) for k, t, wrappers in out]
 
 
 def shared_lines(own: list[int], other: list[int]) -> list[bool]:

@@ -267,6 +267,27 @@ def test_main_text(spark):
     assert pages.main_text(web(spark, PAGES).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<div class='site has-sidebar'><article>Whole text</article></div>", "Whole text"),
+    ("<div class='layout with-sidebar'><main>Whole text</main></div>", "Whole text"),
+    ("<div class='has-sidebar'><p>Not marked</p></div>", "Not marked"),
+    ("<body><div class='overlay'><div role='article'>Whole text</div></div>", "Whole text"),
+    ("<body><div class='ad'>Buy<article>Whole text</article></body>", "Whole text"),
+    ("<body><div id=page><div class='ad'>Buy<article>Whole text</article></div></body>", "Whole text"),
+    ("<div class='ad'><article>Buy</article></div><article>Whole text</article>", "Whole text"),
+    ("<div class='ad'><article>Buy</article></div><p>Not marked</p>", "Not marked"),
+    ("<div class='sidebar'><div><article>Teaser</article></div></div><article>Whole text</article>", "Whole text"),
+    ("<div class='comments'><article>Me too</article></div><article>Whole text</article>", "Whole text"),
+    ("<aside class=x><article>Side</article></aside><article>Whole text</article>", "Whole text"),
+    ("<article><h2 id='search-algorithms'>Search</h2><section id='related-work'>Work</section><h2 class='section-header'>Head</h2></article>", "Search Work Head"),
+    ("<article>Text<div class='cookie-banner'>Cookies</div><div class='site-footer'>Foot</div><div class='related-posts'>More</div><section id=comments>Me</section></article>", "Text"),
+])
+def test_wrappers_by_name_hide_no_article(html, text):
+    lines = pages.lines_of(html)
+    main = [t for k, t in lines if k == pages.MAIN]
+    assert " ".join(main or [t for k, t in lines if k == pages.OPEN]) == text
+
+
 def test_repeated_pages_each_get_a_row(spark):
     found = pages.main_text(web(spark, [PAGES[0]] * 3 + [(None, None, "<p>x")])).collect()
     assert Counter(r["page_id"] for r in found) == {1: 3, None: 1}
