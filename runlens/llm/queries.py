@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import chat, decontaminate, fixity, importance, jaccard, mixing, pages, quality, sql, substrings, toxicity
+from runlens.llm import cells, chat, decontaminate, fixity, importance, jaccard, mixing, negatives, pages, quality, spelling, sql, substrings, toxicity
 from runlens.llm.batches import bound_batches
 from runlens.llm.components import written
 
@@ -94,6 +94,21 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(docs, good, share)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten hard negatives for every positive of every hundredth embedding."""
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents, some with a letter lost, and the more frequent spelling it belongs to."""
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents")))
+
+
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of near copies of every embedding, and the one that is kept."""
+    return cells.near_copies(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
@@ -105,6 +120,9 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_source_mixing": op9_source_mixing,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_embedding_near_dedup": op13_embedding_near_dedup,
 }
 
 #: Operators 1, 9 and 10 draw by hashes that SQL lacks, 6 reads markup and 7 templates: tests compare them with plain Python.
@@ -114,4 +132,7 @@ ORACLES: dict[str, str] = {
     "op4_substring_dedup": sql.OP4,
     "op5_ngram_jaccard_join": sql.OP5,
     "op8_chat_formatting": sql.OP8,
+    "op11_hard_negatives": sql.OP11,
+    "op12_spelling_variants": sql.OP12,
+    "op13_embedding_near_dedup": sql.OP13,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from runlens.llm import chat, jaccard, quality, substrings
+from runlens.llm import cells, chat, jaccard, negatives, quality, spelling, substrings
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -99,3 +99,48 @@ d AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) ||
   coalesce(string_agg(text, '' ORDER BY place) FILTER (WHERE role = '{chat.LEARNED}'), '') AS loss FROM y GROUP BY conv_id)
 SELECT d.conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, n_windows
 FROM d JOIN f ON f.conv_id IS NOT DISTINCT FROM d.conv_id"""
+
+_ROWS = f"""rows AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor({negatives.SCALE} * CAST(x AS DOUBLE))) AS v FROM embeddings
+ WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+
+OP11 = f"""WITH {_ROWS}, a AS (SELECT * FROM rows WHERE vec_id % 100 = 0),
+s AS (SELECT a.vec_id AS anchor_id, r.vec_id AS id, r.label = a.label AS same, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+ FROM a JOIN rows r ON r.vec_id <> a.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+ QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= {negatives.POSITIVES})
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND {negatives.LOW_PERCENT} * positive_score <= 100 * score AND 100 * score <= {negatives.HIGH_PERCENT} * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)
+QUALIFY row_number() OVER w <= {negatives.NEGATIVES}"""
+
+OP13 = f"""WITH RECURSIVE u AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+ WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id
+ WHERE list_cosine_similarity(a.v, b.v) >= {cells.THRESHOLD}),
+reach AS (SELECT a, b FROM l UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b),
+c AS (SELECT a AS vec_id, min(b) AS least FROM reach GROUP BY a), n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(least, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(least, vec_id)) AS kept
+FROM embeddings LEFT JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)"""
+
+_RUN = f"[A-Za-z\\u00C0-\\u00FF]{{{spelling.LEAST_LENGTH},}}".replace("\\u00C0", "À").replace("\\u00FF", "ÿ")
+_BYTES = "flatten(list_transform(string_split(b, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + unicode(c) // 64, 128 + unicode(c) % 64] END))"
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(range(8), lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, i))"
+
+OP12 = f"""WITH RECURSIVE crc AS MATERIALIZED (SELECT {_CRC_TABLE} AS t),
+runs AS (SELECT doc_id, translate(run, '{UPPER}', '{LOWER}') AS run FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{_RUN}')) AS run FROM documents)),
+each AS (SELECT doc_id, run, count(*) AS n, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS b FROM runs GROUP BY doc_id, run),
+h AS (SELECT run, n, xor(list_reduce({_BYTES}, lambda r, x: xor(r >> 8, t[1 + (xor(r, x) & 255)]), 4294967295), 4294967295) AS h FROM each, crc),
+w AS (SELECT CASE WHEN h % {spelling.ONE_IN} = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w WHERE length(word) >= {spelling.LEAST_LENGTH} GROUP BY word HAVING sum(n) >= {spelling.LEAST_COUNT}),
+less AS MATERIALIZED (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM words, range(1, length(word) + 1) r(i)),
+near AS (SELECT a.word, b.word AS other, b.n FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+ UNION SELECT l.word, w.word, w.n FROM less l JOIN words w ON w.word = l.rest
+ UNION SELECT w.word, l.word, l.n FROM less l JOIN words w ON w.word = l.rest),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-n, other)) AS form, max(n) AS form_n FROM near GROUP BY word),
+f AS MATERIALIZED (SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= {spelling.FORM_TIMES} * words.n THEN form END AS form,
+  CASE WHEN form_n >= {spelling.FORM_TIMES} * words.n THEN form_n END AS form_n FROM words LEFT JOIN best USING (word)),
+walk AS (SELECT word, form AS at FROM f WHERE form IS NOT NULL UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.at WHERE f.form IS NOT NULL),
+root AS (SELECT walk.word, walk.at FROM walk JOIN f ON f.word = walk.at WHERE f.form IS NULL)
+SELECT f.word, form, coalesce(root.at, f.word) AS root, n, n_near, form_n FROM f LEFT JOIN root USING (word)"""
