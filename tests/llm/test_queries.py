@@ -24,7 +24,7 @@ def documents():
 
 def test_all_are_registered():
     assert QUERIES.items() <= queries().items() and ORACLES.items() <= oracle_sql().items()
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
     assert queries()["pipeline"] is corpus_pipeline.run
 
 
