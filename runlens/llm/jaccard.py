@@ -18,7 +18,7 @@ element flips one bit. Two sets differ in as many elements at least as their bit
 far apart cannot link.
 
 Sets that are equal become one class before any of this, so exact copies cost nothing further. Frequent shingles
-are found by counts over all documents and marked in a bitmap of fixed size; they come last in the order that says
+are found by counts over all documents and marked in a bitmap sized by their number; they come last in the order that says
 which shingles list a set. The marks steer the work only: any order gives the same links.
 
 Defined cases: null and empty texts have an empty set and no links; texts with fewer words than a shingle have their
@@ -46,8 +46,8 @@ SHINGLE = 5
 PERCENT = 80
 #: Sets up to this size may be small; the boundary is chosen below it.
 MOST_SMALL = 12
-#: Bits of the bitmap that marks frequent shingles: 1 MB, whatever the data.
-MARK_BITS = 23
+#: Bits of the bitmap that marks frequent shingles, from 1 to 16 MB: eight for each shingle and more.
+LEAST_MARKS, MOST_MARKS = 23, 27
 #: A shingle is frequent from so many documents on.
 FREQUENT = 64
 #: Shingles are counted so many at a time; counts below the least are not sent on.
@@ -112,8 +112,8 @@ def may_link(flips_a: bytes, size_a: int, flips_b: bytes, size_b: int, percent:
     return (size_a + size_b - int((a ^ b).sum())) // 2 >= overlap(size_a, size_b, percent)
 
 
-def _frequent(docs: DataFrame, size: int, bits: int, frequent: int) -> np.ndarray:
-    """A bitmap of the shingles that many documents hold, by leading bits."""
+def _frequent(docs: DataFrame, size: int, frequent: int) -> tuple[int, np.ndarray]:
+    """How many leading bits of a shingle name its mark, and the marks of the shingles that many documents hold."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = ((Sets(w, size).values,) for batch in batches for w in slices(batch["text"], lower=True))
@@ -123,18 +123,10 @@ def _frequent(docs: DataFrame, size: int, bits: int, frequent: int) -> np.ndarra
             columns = [pa.array(found[often].view(np.int64)), pa.array(n[often], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["shingle", "n"])
 
-    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.zeros(1 << bits, bool)
-        for batch in batches:
-            bitmap[batch["shingle"].to_numpy().view(np.uint64) >> np.uint64(64 - bits)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bitmap).tobytes()])], ["bitmap"])
-
     counted = docs.mapInArrow(count, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
-    marked = counted.where(F.col("n") >= frequent).select("shingle").coalesce(8).mapInArrow(marks, "bitmap binary")
-    bitmap = np.zeros(1 << bits >> 3, np.uint8)
-    for row in marked.collect():
-        bitmap |= np.frombuffer(row["bitmap"], np.uint8)
-    return bitmap
+    found = written(docs.sparkSession, counted.where(F.col("n") >= frequent).select("shingle"), "frequent")
+    bits = int(min(MOST_MARKS, max(LEAST_MARKS, np.ceil(np.log2(found.count() + 1)) + 3)))
+    return bits, repeats.union_of_bits(found, lambda batch: batch["shingle"].to_numpy().view(np.uint64) >> np.uint64(64 - bits), bits)
 
 
 def _signed(docs: DataFrame, size: int, most_small: int) -> DataFrame:
@@ -218,8 +210,7 @@ def _lists(docs: DataFrame, bitmap, mark_bits: int, bits: int, least: int, size:
 
         def entries(words: Words) -> repeats.Entries:
             sets = Sets(words, size)
-            at = sets.values >> np.uint64(64 - mark_bits)
-            frequent = (marks[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1
+            frequent = repeats.has_bits(marks, sets.values >> np.uint64(64 - mark_bits))
             order = np.lexsort((sets.values, frequent, sets.rows))
             rows = sets.rows[order]
             place = np.arange(len(rows)) - sets.bounds[rows]
@@ -342,10 +333,11 @@ def jaccard_join(
 
     elements = own.agg(F.sum("size").alias("n")).first()["n"] or 0
     text = docs.where("doc_id is not null").select("text")
-    bitmap = spark.sparkContext.broadcast(_frequent(text, shingle, MARK_BITS, frequent).tobytes())
+    mark_bits, marks = _frequent(text, shingle, frequent)
+    bitmap = spark.sparkContext.broadcast(marks.tobytes())
     least = -(-percent * (limit + 1) // 100)
     bits = repeats.bits_for(elements * (100 - percent) / 100)
-    lists = _lists(text, bitmap, MARK_BITS, bits, least, shingle, percent).distinct()
+    lists = _lists(text, bitmap, mark_bits, bits, least, shingle, percent).distinct()
     lists = lists.join(members.select("sign", "size", "node"), ["sign", "size"]).select("list", "node", "size", "place")
     lists = written(spark, lists, "lists")
     flips = signed.select(F.col("doc_id").alias("node"), "size", "flips")

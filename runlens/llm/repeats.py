@@ -150,27 +150,27 @@ def settled_batch(found: pa.RecordBatch, bits: int, keys: pa.DataType) -> pa.Rec
     return pa.RecordBatch.from_arrays([bucket, none, found["owners"], found["places"]], ["bucket", "keys", "owners", "places"])
 
 
+def has_bits(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which bits of a bitmap's bytes are set."""
+    return (data[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
+
+
 class Bitmap:
     """A set of numbers by hash, of fixed size: it may hold more than was put in, never less."""
 
-    def __init__(self, bits: int, data: bytes | None = None):
-        self.bits = bits
-        self.data = np.zeros(1 << bits >> 3, np.uint8) if data is None else np.frombuffer(data, np.uint8)
-
-    def _at(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = mix(values.view(np.uint64)) >> np.uint64(64 - self.bits)
-        return (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)
+    def __init__(self, bits: int, data: bytes):
+        self.bits, self.data = bits, np.frombuffer(data, np.uint8)
 
-    def add(self, values: np.ndarray) -> None:
-        place, bit = self._at(values)
-        np.bitwise_or.at(self.data, place, bit)
+    @staticmethod
+    def places(values: np.ndarray, bits: int) -> np.ndarray:
+        """The bit of each number."""
+        return mix(values.view(np.uint64)) >> np.uint64(64 - bits)
 
     def has(self, values: np.ndarray) -> np.ndarray:
-        place, bit = self._at(values)
-        return (self.data[place] & bit) != 0
+        return has_bits(self.data, self.places(values, self.bits))
 
 
-#: A bitmap has at most 16 MB; eight of them come to the driver.
+#: A bitmap has at most 16 MB.
 LEAST_BITMAP, MOST_BITMAP = 20, 27
 
 
@@ -178,31 +178,47 @@ def bitmap_bits(values: float) -> int:
     return int(min(MOST_BITMAP, max(LEAST_BITMAP, np.ceil(np.log2(max(values, 1))) + 4)))
 
 
-def bitmap_of(frame: DataFrame, bits: int) -> Bitmap:
-    """A bitmap of the first column, numbers or arrays of them: built in tasks, joined on the driver."""
+def union_of_bits(frame: DataFrame, places: Callable[[pa.RecordBatch], np.ndarray], bits: int) -> np.ndarray:
+    """The bytes of a bitmap in which each batch sets the bits at its ``places``.
+
+    Every task sends the words that it set, equal words are joined in the shuffle, and what reaches the driver is
+    never more than the bitmap.
+    """
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Bitmap(bits)
+        own = np.zeros(1 << bits >> 3, np.uint8)
         for batch in batches:
-            column = batch.column(0)
-            column = column.flatten() if pa.types.is_list(column.type) else column
-            own.add(column.to_numpy(zero_copy_only=False).astype(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array([own.data.tobytes()])], ["bitmap"])
+            at = places(batch)
+            np.bitwise_or.at(own, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        words = own.view(np.int64)
+        some = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(words[some])], ["word", "bits"])
+
+    joined = frame.mapInArrow(fill, "word int, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << bits >> 6, np.int64)
+    out[joined["word"].to_numpy()] = joined["bits"].to_numpy()
+    return out.view(np.uint8)
+
+
+def bitmap_of(frame: DataFrame, bits: int) -> Bitmap:
+    """A bitmap of the first column, numbers or arrays of them."""
+
+    def places(batch: pa.RecordBatch) -> np.ndarray:
+        column = batch.column(0)
+        column = column.flatten() if pa.types.is_list(column.type) else column
+        return Bitmap.places(column.to_numpy(zero_copy_only=False).astype(np.int64), bits)
 
-    out = Bitmap(bits)
-    for row in frame.coalesce(8).mapInArrow(fill, "bitmap binary").collect():
-        out.data |= np.frombuffer(row["bitmap"], np.uint8)
-    return out
+    return Bitmap(bits, union_of_bits(frame, places, bits).tobytes())
 
 
-def among(frame: DataFrame, bitmap: Bitmap, inside: bool = True) -> DataFrame:
-    """The rows whose doc_id is in the bitmap, or those whose doc_id is not."""
+def among(frame: DataFrame, bitmap: Bitmap, inside: bool = True, name: str = "doc_id") -> DataFrame:
+    """The rows whose ``name`` is in the bitmap, or those whose ``name`` is not."""
     shared_map = frame.sparkSession.sparkContext.broadcast((bitmap.bits, bitmap.data.tobytes()))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = Bitmap(*shared_map.value)
         for batch in batches:
-            yield batch.filter(pa.array(marks.has(batch["doc_id"].to_numpy(zero_copy_only=False)) == inside))
+            yield batch.filter(pa.array(marks.has(batch[name].to_numpy(zero_copy_only=False)) == inside))
 
     return frame.mapInArrow(pick, frame.schema)
 
