@@ -4,18 +4,23 @@
    styles, comments and the head give none.
 2. Lines inside marked parts that are no article (menus, headers, footers, sidebars, forms, notices, adverts and reader
    comments, by element, role or whole class name) are dropped. An explicit article opens again what only a name
-   closed, but not reader comments; parts that hold articles of others only where the page has no article else. Where a page marks its article, the rest of its lines are
-   the main text: neighbours may hold the same article, and then differencing would delete it.
-3. Where nothing marks the article, a page is paired with the page next to it by URL path within its host, the lines of
-   both are aligned by longest common subsequence, and lines that both have are deleted: what neighbours share is
-   the site's, not the page's.
-
-Only unmarked lines, as hashes, travel to the neighbour. The order within a host is found by a helper that cuts
-hosts of millions of pages, so no host is a task's own.
+   closed, but not reader comments; parts that hold articles of others only where the page has no article else.
+3. Pages with lines outside articles are put in order of URL path within their host, and each is paired with the nearest
+   one whose lines differ: mirrors and repeated rows share a place in that order. The lines of both are aligned by longest common
+   subsequence, and lines that both have are deleted: what neighbours share is the site's, not the page's. A neighbour that has
+   nearly all of a page is taken for a copy of it, and the neighbour on the other side decides; if that is one too, only lines that
+   both have are deleted.
+4. The page's text is its article where that is at least as long as what differencing leaves outside: an article that is shorter
+   is a card or a teaser, and then the lines left are the text, with articles that no name makes a card. Lines of articles are never
+   deleted for being shared: neighbours may quote or mirror one another.
+
+Only hashes of the lines outside articles travel to neighbours, and only pages that have such lines travel to meet them:
+a bitmap of fixed size tells the others, which are finished where they are read. Every page is cut twice and stored never.
+Hosts are cut into chunks by rows, so no host is one task's.
 
 Defined cases: null and empty html gives an empty text; a null or odd URL is a host of its own kind ("") with the URL as
-its path; pages without a neighbour are judged by marks alone; rows that repeat a page are neighbours of one another;
-truncated markup counts as far as it goes. Extra columns play no part.
+its path; pages without a neighbour are judged by marks alone; rows that repeat a page get the same text; truncated
+markup counts as far as it goes. Extra columns play no part.
 """
 
 from __future__ import annotations
@@ -32,10 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.llm.components import written
+from runlens.llm.repeats import among, bitmap_bits, bitmap_of
 from runlens.plans.ordered import HotGroups, previous, with_ordered
 
-#: A host is cut from so many pages on.
-HOT_HOST = HotGroups(min_rows=1_000_000)
+#: A host is cut from so many outlines on.
+HOT_HOST = HotGroups(min_rows=20_000)
+#: A neighbour that has such a share of a page is a copy of it.
+COPY = 0.9
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -71,6 +79,8 @@ _NO_ARTICLE = {"comment", "comments", "reply", "ad", "ads", "advert", "related",
 _OF_READERS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|replies|reply|respond|disqus)(?:$|[\s_-]|\d)", re.I)
 _OF_OTHERS = re.compile(r"(?:^|[\s_-])(?:related|recommended|sidebar|widget)(?:$|[\s_-]|\d)", re.I)
 _ADVERTS = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:tion)?)(?:$|[\s_-]|\d)", re.I)
+#: Class names of parts that show other pages' articles in short.
+_CARD = re.compile(r"class\s*=\s*[\"']?(?:[^\"'>]*\s)?(?:[\w-]*[_-])?(?:teaser|card|promo|preview|excerpt|tile)s?(?=[\s\"'>]|$)", re.I)
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _ENDS_PARAGRAPH = {"li", "p", "option", "td", "th", "tr", "dt", "dd"}
 
@@ -110,21 +120,28 @@ def _kind(tag: str, attributes: str, above: int) -> tuple[int | None, str | None
 
 def lines_of(html: str | None) -> list[tuple[int, str]]:
     """The lines of a page as (MAIN, CLUTTER or OPEN, text)."""
-    out: list[tuple[int, str, tuple[_Wrapper, ...]]] = []
-    # Tag, kind, and the wrappers that only a name makes clutter; None where an article may not open again.
-    stack: list[tuple[str, int, tuple[_Wrapper, ...] | None]] = []
+    return [(k, t) for k, t, _, _ in placed_lines(html)]
+
+
+def placed_lines(html: str | None) -> list[tuple[int, str, int, bool]]:
+    """The lines of a page as (MAIN, CLUTTER or OPEN, text, number of the article, whether that is a card)."""
+    out: list[tuple[int, str, tuple[_Wrapper, ...], int, bool]] = []
+    # Tag, kind, the wrappers that only a name makes clutter (None where an article may not open again), the article, card.
+    stack: list[tuple[str, int, tuple[_Wrapper, ...] | None, int, bool]] = []
+    articles = 0
     opened: dict[str, int] = {}
     pieces: list[str] = []
 
     def end_line() -> None:
         text = _SPACE.sub(" ", unescape("".join(pieces))).strip()
         if text:
-            out.append((stack[-1][1] if stack else OPEN, text, (stack[-1][2] or ()) if stack else ()))
+            _, kind, wrappers, article, card = stack[-1] if stack else ("", OPEN, (), 0, False)
+            out.append((kind, text, wrappers or (), article, card))
         pieces.clear()
 
     def ended(element: tuple) -> None:
         if element[1] == CLUTTER and element[2] and element[2][-1].tag == element[0]:
-            held = sum(1 for _, k, w in stack if k == CLUTTER and w and element[2][-1] in w)
+            held = sum(1 for _, k, w, *_ in stack if k == CLUTTER and w and element[2][-1] in w)
             element[2][-1].closed |= not held
 
     html, at = html or "", 0
@@ -165,15 +182,20 @@ def lines_of(html: str | None) -> list[tuple[int, str]]:
                 while stack and stack[-1][0] == tag:
                     ended(stack.pop())
             opened[tag] = opened.get(tag, 0) + 1
-            _, above, wrappers = stack[-1] if stack else (None, OPEN, ())
+            _, above, wrappers, article, card = stack[-1] if stack else (None, OPEN, (), 0, False)
             kind, names = _kind(tag, found[3], above)
             if kind == CLUTTER:
                 wrappers = None if names is None or wrappers is None else (*wrappers, _Wrapper(tag, names))
             elif above == CLUTTER:
                 kind = MAIN if kind == MAIN and wrappers is not None else CLUTTER
-            stack.append((tag, above if kind is None else kind, wrappers))
+            if above != MAIN:
+                card = card or bool(found[3]) and _CARD.search(found[3]) is not None
+                if kind == MAIN:
+                    articles += 1
+                    article = articles
+            stack.append((tag, above if kind is None else kind, wrappers, article, card))
     end_line()
-    plain = any(k == MAIN and not any(w.advert or w.others for w in wrappers) for k, _, wrappers in out)
+    plain = any(k == MAIN and not any(w.advert or w.others for w in wrappers) for k, _, wrappers, *_ in out)
 
     def holds(w: _Wrapper) -> bool:
         """Whether a wrapper keeps its articles closed: one that is not closed itself seems to have lost its end."""
@@ -183,7 +205,37 @@ def lines_of(html: str | None) -> list[tuple[int, str]]:
             return plain or opened.get(w.tag, 0) <= 0
         return w.others and plain
 
-    return [(CLUTTER if k == MAIN and any(map(holds, wrappers)) else k, t) for k, t, wrappers in out]
+    return [(CLUTTER if k == MAIN and any(map(holds, wrappers)) else k, t, a, c) for k, t, wrappers, a, c in out]
+
+
+def _hashes(lines: list[tuple[int, str, int, bool]]) -> list[int]:
+    """Hashes of the lines outside articles."""
+    return [crc32(t.encode("utf-8", "replace")) for k, t, *_ in lines if k == OPEN]
+
+
+def text_of(lines: list[tuple[int, str, int, bool]], near: list[list[int]]) -> str:
+    """A page's main text, by its lines and the outlines of its neighbours, the nearest first."""
+    opened = [t for k, t, *_ in lines if k == OPEN]
+    shared, size = [False] * len(opened), sum(map(len, opened))
+    if opened:
+        own = _hashes(lines)
+        both = [shared_lines(own, other) for other in near]
+        pages_own = [f for f in both if sum(len(t) for t, s in zip(opened, f, strict=True) if s) <= COPY * size]
+        if pages_own:
+            shared = pages_own[0]
+        elif len(both) > 1:
+            shared = [all(x) for x in zip(*both, strict=True)]
+    left = iter(shared)
+    kept = [(k, t, a, c) for k, t, a, c in lines if k == MAIN or k == OPEN and not next(left)]
+    sizes: dict[int, int] = {}
+    whole = any(k == MAIN and not c for k, _, _, c in kept)
+    for k, t, a, c in kept:
+        if k == MAIN and not (whole and c):
+            sizes[a] = sizes.get(a, 0) + len(t)
+    outside = sum(len(t) for k, t, *_ in kept if k == OPEN)
+    if sizes and max(sizes.values()) >= outside:
+        return " ".join(t for k, t, *_ in kept if k == MAIN)
+    return " ".join(t for k, t, _, c in kept if k == OPEN or not c)
 
 
 def shared_lines(own: list[int], other: list[int]) -> list[bool]:
@@ -232,52 +284,42 @@ def _address(url: str | None) -> tuple[str, str]:
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of (page_id, url, html)."""
     spark = pages.sparkSession
+    kept = pages.select("page_id", "url", "html", F.xxhash64("page_id", "url", "html").alias("page"))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def outline(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for start in range(0, len(batch), 256):
                 part = batch.iloc[start : start + 256]
-                rows = [lines_of(h) for h in part["html"]]
+                lines = [_hashes(placed_lines(h)) for h in part["html"]]
                 address = [_address(u) for u in part["url"]]
-                yield pd.DataFrame(
-                    {
-                        "page_id": part["page_id"],
-                        "url": part["url"],
-                        "_host": [a[0] for a in address],
-                        "_path": [a[1] for a in address],
-                        "_kinds": [[k for k, _ in r if k != CLUTTER] for r in rows],
-                        "_lines": [[t for k, t in r if k != CLUTTER] for r in rows],
-                        "_open": [[crc32(t.encode("utf-8", "replace")) for k, t in r if k == OPEN] for r in rows],
-                    }
-                )
-
-    kept = pages.select("page_id", "url", "html")
-    ids = kept.schema["page_id"].dataType.simpleString()
-    schema = f"page_id {ids}, url string, _host string, _path string, _kinds array<int>, _lines array<string>, _open array<bigint>"
-    cut_pages = written(spark, kept.mapInPandas(cut, schema).withColumn("_row", F.monotonically_increasing_id()), "pages")
-
-    order = ["_path", "page_id", "_row"]
-    outline = cut_pages.select("_host", *order, "_open")
-    own = F.struct("_row", "_open")
-    paired = with_ordered(outline.withColumn("_own", own), ["_host"], order, {"_previous": previous("_own")}, HOT_HOST)
-    paired = written(spark, paired.select("_row", "_open", F.col("_previous._row").alias("_other"), F.col("_previous._open").alias("_before")), "pairs")
-    # The first page of a host is compared with the one after it.
-    after = paired.where(F.col("_other").isNotNull()).select(F.col("_other").alias("_row"), F.col("_open").alias("_after"))
-    first = paired.where(F.col("_other").isNull()).select("_row").join(after, "_row").select("_row", F.col("_after").alias("_near"))
-    near = paired.where(F.col("_other").isNotNull()).select("_row", F.col("_before").alias("_near")).union(first)
+                found = {"page": part["page"], "host": [a[0] for a in address], "path": [a[1] for a in address], "lines": lines}
+                yield pd.DataFrame(found)[[bool(x) for x in lines]]
+
+    outlines = kept.select("page", "url", "html").mapInPandas(outline, "page bigint, host string, path string, lines array<bigint>")
+    outlines = written(spark, outlines.withColumn("outline", F.xxhash64("host", "lines")), "outlines")
+    places = outlines.groupBy("host", "outline").agg(F.min(F.struct("path", "page")).alias("first"))
+    once = outlines.groupBy("page", "outline").agg(F.min(F.struct("host", "path", "lines")).alias("o")).select("page", "outline", "o.*")
+    placed = places.select("outline", "first.*").join(once.select("page", "outline", "host", "lines"), ["page", "outline"])
+
+    order = ["path", "outline"]
+    own = F.struct("outline", "lines").alias("own")
+    paired = with_ordered(placed.select("host", *order, own), ["host"], order, {"before": previous("own")}, HOT_HOST)
+    paired = written(spark, paired.select("outline", "own", "before"), "pairs")
+    after = paired.where("before is not null").select(F.col("before.outline").alias("outline"), F.col("own.lines").alias("after"))
+    near = paired.join(after, "outline", "left").select("outline", F.array_compact(F.array("before.lines", "after")).alias("near"))
+    # By page: a page has one outline; copies of it share their neighbours.
+    near = written(spark, once.select("page", "outline").join(near, "outline").select("page", "near"), "near")
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = []
-            for kinds, lines, opened, other in zip(batch["_kinds"], batch["_lines"], batch["_open"], batch["_near"], strict=True):
-                if MAIN in kinds:
-                    texts.append(" ".join(t for k, t in zip(kinds, lines, strict=True) if k == MAIN))
-                    continue
-                shared = shared_lines(list(opened), list(other)) if other is not None else [False] * len(opened)
-                texts.append(" ".join(t for t, s in zip(lines, shared, strict=True) if not s))
-            yield pd.DataFrame(
-                {"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]}
-            )
-
-    met = cut_pages.join(near, "_row", "left").select("page_id", "url", "_kinds", "_lines", "_open", "_near")
-    return met.mapInPandas(finish, f"page_id {ids}, url string, text string, n_chars bigint")
+            for start in range(0, len(batch), 256):
+                part = batch.iloc[start : start + 256]
+                nears = [[] for _ in range(len(part))] if "near" not in part else [[] if n is None else [list(x) for x in n] for n in part["near"]]
+                texts = [text_of(placed_lines(h), n) for h, n in zip(part["html"], nears, strict=True)]
+                yield pd.DataFrame({"page_id": part["page_id"], "url": part["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+
+    marks = bitmap_of(near.select("page"), bitmap_bits(near.count()))
+    meets, alone = (among(kept, marks, inside, "page") for inside in (True, False))
+    kind = f"page_id {kept.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars bigint"
+    met = meets.join(near, "page", "left").select("page_id", "url", "html", "near")
+    return alone.select("page_id", "url", "html").mapInPandas(finish, kind).union(met.mapInPandas(finish, kind))

@@ -288,6 +288,55 @@ def test_wrappers_by_name_hide_no_article(html, text):
     assert " ".join(main or [t for k, t in lines if k == pages.OPEN]) == text
 
 
+def text_by_id(spark, rows):
+    return {r["page_id"]: r["text"] for r in pages.main_text(web(spark, rows)).collect()}
+
+
+def test_mirrors_and_repeated_rows_keep_their_text(spark):
+    def page(body):
+        return f"<div>Site name</div><div>{body}</div><div>All rights</div>"
+
+    rows = [
+        (1, "https://m.example/a", page("A whole article on its own")),
+        (2, "https://m.example/a?ref=x", page("A whole article on its own")),
+        (3, "https://m.example/b", page("Something else altogether here")),
+        (4, "https://n.example/a", page("Alone but twice")),
+        (4, "https://n.example/a", page("Alone but twice")),
+        (5, "https://o.example/a", page("Long text that a mirror has too, and a good deal of it, " * 4 + "1")),
+        (6, "https://o.example/b", page("Other things")),
+        (7, "https://o.example/a1", page("Long text that a mirror has too, and a good deal of it, " * 4 + "1") + "<p>seen 5 times</p>"),
+    ]
+    found = text_by_id(spark, rows)
+    assert found[1] == found[2] == "A whole article on its own"
+    assert found[3] == "Something else altogether here"
+    assert found[4] == "Site name Alone but twice All rights"
+    assert found[5].startswith("Long text") or found[5].startswith("Site name Long text")
+    assert found[6] == "Other things" and "Long text" in found[7]
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<div class='teaser'><article>Teaser card</article></div><div class='story'><p>A long story that goes on.</p></div>", "A long story that goes on."),
+    ("<div class=cards><article>One</article><article>Two</article></div><article>The article itself</article><p>x</p>", "One Two The article itself"),
+    ("<article class='post card'>Only a card, but longer</article><p>Short line</p>", "Only a card, but longer"),
+    ("<article>One</article><article>Two</article><div>A long story that goes on.</div>", "One Two A long story that goes on."),
+    ("<article>The whole text of it</article><p>Stray line</p>", "The whole text of it"),
+])
+def test_articles_shorter_than_the_page_do_not_hide_it(spark, html, text):
+    assert text_by_id(spark, [(1, "https://a.example/", html)]) == {1: text}
+
+
+def test_a_very_long_page(spark):
+    lines = [f"line {i} of many" for i in range(60_000)]
+    rows = [(1, "https://l.example/1", "<p>Top</p>" + "".join(f"<p>{x}</p>" for x in lines)), (2, "https://l.example/2", "<p>Top</p><p>Short</p>")]
+    assert text_by_id(spark, rows) == {1: " ".join(lines), 2: "Short"}
+
+
+def test_a_hot_host_is_cut(spark, monkeypatch):
+    monkeypatch.setattr(pages, "HOT_HOST", pages.HotGroups(min_rows=10, chunks=4))
+    rows = [(i, f"https://h.example/{i:03}", f"<p>Site</p><p>Own text {i}</p>") for i in range(120)]
+    assert text_by_id(spark, rows) == {i: f"Own text {i}" for i in range(120)}
+
+
 def test_repeated_pages_each_get_a_row(spark):
     found = pages.main_text(web(spark, [PAGES[0]] * 3 + [(None, None, "<p>x")])).collect()
     assert Counter(r["page_id"] for r in found) == {1: 3, None: 1}
