@@ -12,10 +12,12 @@ Every window is also joined as it stands, with letters folded, so a verbatim cop
 it. A template with few literal words says little; such a window only meets its exact copy. Items shorter than a window
 are matched as a whole.
 
-A document holds an item when it has ``MIN_WINDOWS`` of its windows. Where the item has fewer, or fewer that other values
-can meet, those are enough if they are half of its windows.
+A document holds an item when it has ``MIN_WINDOWS`` different places of the item, however often it says them. Where the
+item has fewer, or fewer that other values can meet, those are enough if they are half of its windows.
 
-The items' windows are taken in blocks of bounded size; each block is broadcast and all documents are read against it.
+The hashes of the items' windows are taken in blocks of bounded size; each block is broadcast and all documents are read
+against it. A document can only hold an item of which it has one of the rarest places, all but as many as it may lack;
+so documents meet items there first, and an instruction that many items begin with joins nothing.
 
 Defined cases: null and empty texts, and items of fewer than ``LEAST_WORDS`` words, match nothing; an item that occurs
 several times is matched under each of its ids; rows that repeat an id count as one document; rows with a null id come
@@ -29,7 +31,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.llm.components import written
@@ -227,17 +229,31 @@ def contaminated(docs: DataFrame, items: DataFrame, block_size: int = BLOCK) ->
     docs = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
     windows = written(spark, item_windows(items.select(F.col("item_id").alias("id"), "text")), "item-windows")
     blocks = max(1, -(-windows.count() // block_size))
-    in_block = F.pmod(F.xxhash64("id", "at"), F.lit(blocks))
-    met = [_met(docs, windows.where(in_block == k)) for k in range(blocks)]
-    return _enough(reduce(DataFrame.union, met))
+    in_block = F.pmod(F.xxhash64("size", "exact", "hash"), F.lit(blocks))
+    hits = [_hits(docs, windows.where(in_block == k)).drop("n", "need") for k in range(blocks)]
+    return _enough(_met(written(spark, reduce(DataFrame.union, hits), "hits"), windows))
 
 
-def _met(docs: DataFrame, block: DataFrame) -> DataFrame:
-    """Windows of documents beside the equal windows of a block of items."""
-    item = block.select(
-        "size",
-        "exact",
-        "hash",
+WINDOW_KEY = ["size", "exact", "hash"]
+
+
+def _rarest(windows: DataFrame) -> DataFrame:
+    """The windows at each item's rarest places: whoever lacks all of them has too few of the others."""
+    common = windows.groupBy(*WINDOW_KEY).agg(F.countDistinct("id").alias("items"))
+    places = windows.join(common, WINDOW_KEY).groupBy("id", "at", "n", "need").agg(F.max("items").alias("items"))
+    order = Window.partitionBy("id", "n", "need").orderBy("items", "at")
+    rare = places.withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("n") - F.col("need") + 1)
+    return windows.join(rare.select("id", "at", "n", "need"), ["id", "at", "n", "need"], "left_semi")
+
+
+def _met(hits: DataFrame, windows: DataFrame) -> DataFrame:
+    """Windows of documents beside the equal windows of the items that they may hold."""
+    spark = hits.sparkSession
+    rare = _rarest(windows).select(*WINDOW_KEY, F.col("id").alias("item_id")).distinct()
+    doc = hits.select(*WINDOW_KEY, "id").distinct()
+    pairs = written(spark, doc.join(rare, WINDOW_KEY).select("id", "item_id").distinct(), "candidates")
+    item = windows.select(
+        *WINDOW_KEY,
         F.col("id").alias("item_id"),
         F.col("at").alias("item_at"),
         F.col("n").alias("n_item_windows"),
@@ -245,7 +261,10 @@ def _met(docs: DataFrame, block: DataFrame) -> DataFrame:
         "need",
         F.col("slots").alias("item"),
     )
-    met = _hits(docs, block).drop("n", "need").join(F.broadcast(item), ["size", "exact", "hash"])
+    wanted = pairs.join(item, "item_id")
+    same = [F.col("w.id").eqNullSafe(F.col("h.id")), *(F.col(f"w.{k}") == F.col(f"h.{k}") for k in WINDOW_KEY)]
+    met = hits.alias("h").join(wanted.alias("w"), reduce(Column.__and__, same))
+    met = met.select("h.id", "h.at", "h.choice", "h.slots", "w.exact", *(f"w.{c}" for c in ("item_id", "item_at", "n_item_windows", "item_choice", "need", "item")))
     return met.withColumn("shift", F.col("at") - F.col("item_at"))
 
 
@@ -256,16 +275,17 @@ def _enough(met: DataFrame) -> DataFrame:
     # Names at the beginning of sentences may only add: an alignment that they make inconsistent is judged without them.
     plain = (F.col("choice") == 0) & (F.col("item_choice") == 0)
     aligned = met.groupBy(F.col("id").alias("doc_id"), "item_id", "n_item_windows", "need", "shift").agg(
-        F.countDistinct("item_at").alias("n"),
+        F.collect_set("item_at").alias("places"),
         F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs"),
-        F.countDistinct(F.when(plain, F.col("item_at"))).alias("n_plain"),
+        F.collect_set(F.when(plain, F.col("item_at"))).alias("places_plain"),
         F.array_distinct(F.flatten(F.collect_set(F.when(plain, pair)))).alias("pairs_plain"),
     )
     consistent = F.size(F.array_distinct(F.col("pairs.item"))) == F.size("pairs")
-    aligned = aligned.withColumn("n", F.when(consistent, F.col("n")).otherwise(F.col("n_plain")))
+    aligned = aligned.withColumn("places", F.when(consistent, F.col("places")).otherwise(F.col("places_plain")))
     aligned = aligned.withColumn("pairs", F.when(consistent, F.col("pairs")).otherwise(F.col("pairs_plain")))
     changed = F.exists("pairs", lambda p: ~p["item"].eqNullSafe(p["doc"]))
-    held = aligned.where(consistent).where("n > 0").groupBy("doc_id", "item_id", "n_item_windows", "need").agg(
-        F.sum("n").alias("n_windows"), F.bool_or(changed).alias("changed")
-    )
+    # A place of the item counts once, however often the document has it.
+    placed = aligned.where(consistent).withColumn("changed", changed).withColumn("place", F.explode("places"))
+    placed = placed.groupBy("doc_id", "item_id", "n_item_windows", "need", "place").agg(F.bool_or("changed").alias("changed"))
+    held = placed.groupBy("doc_id", "item_id", "n_item_windows", "need").agg(F.count(F.lit(1)).alias("n_windows"), F.bool_or("changed").alias("changed"))
     return held.where("n_windows >= need").select("doc_id", "item_id", "n_windows", "n_item_windows", "changed")
