@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.functions import config_key, config_total
@@ -126,57 +126,102 @@ def profiled_configs(claims: DataFrame, completed_only: bool = False) -> DataFra
     return keys.withColumn("gpu_config", F.from_json("config_key", GPU_CONFIG))
 
 
-def config_list(configs: DataFrame, *extra: str) -> Column:
-    """All configurations as one array value, smallest first, for use in any row.
+def rank_configs(configs: DataFrame) -> DataFrame:
+    """Add ``place``, from 0, in the order configurations are profiled: fewest GPUs, then key.
 
-    The list of configurations is bounded by the hardware. As a scalar value it reaches each
-    row without a join.
+    Each GPU count is ranked by itself, and moved up by the configurations of smaller counts.
     """
-    entry = F.struct("n_gpus", "config_key", *extra)
-    return configs.agg(F.sort_array(F.collect_list(entry))).scalar()
+    sizes = configs.groupBy("n_gpus").agg(F.count(F.lit(1)).alias("_n"))
+    # One row per GPU count of the hardware.
+    smaller = Window.orderBy("n_gpus").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("n_gpus", F.coalesce(F.sum("_n").over(smaller), F.lit(0)).alias("_first"))
+    own = F.row_number().over(Window.partitionBy("n_gpus").orderBy("config_key"))
+    ranked = configs.withColumn("_own", own).join(sizes, "n_gpus")
+    return ranked.withColumn("place", F.col("_first") + F.col("_own") - 1).drop("_own", "_first")
 
 
-def type_claims(types: DataFrame, claims: DataFrame) -> DataFrame:
-    """Per job type the configurations ``claimed``.
+def claimed_places(claims: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(job_id, place) of the valid configurations each type has a claim for."""
+    held = claims.select("job_id", "config_key").distinct()
+    return held.join(ranked.select("config_key", "place"), "config_key").select("job_id", "place")
 
-    A type has one claim per configuration, so the arrays stay as short as the configuration
-    list, and repeated claims are merged before the shuffle.
-    """
-    held = claims.groupBy("job_id").agg(F.collect_set("config_key").alias("claimed"))
-    none = F.array().cast("array<string>")
-    joined = types.select("job_id").distinct().join(held, "job_id", "left")
-    return joined.select("job_id", F.coalesce("claimed", none).alias("claimed"))
 
+def open_gaps(types: DataFrame, ranked: DataFrame, held: DataFrame) -> DataFrame:
+    """(job_id, first, next, open_before) for each run of places of a type that nobody claimed.
 
-def open_list(valid: str) -> Column:
-    """The entries of the list column ``valid`` whose configuration is not in ``claimed``."""
-    claimed = F.col("claimed")
-    return F.filter(valid, lambda c: ~F.array_contains(claimed, c["config_key"]))
+    Only what is claimed is sorted: between two claimed places lies a gap from ``first`` up to and without ``next``,
+    and ``open_before`` open places come before it. So the r-th open configuration of a type is found by its
+    gap, and no type ever holds the list of all configurations.
+    """
+    total = ranked.agg(F.count(F.lit(1))).scalar()
+    by_place = Window.partitionBy("job_id").orderBy("place")
+    after = held.select(
+        "job_id",
+        (F.col("place") + 1).alias("first"),
+        F.coalesce(F.lead("place").over(by_place), total).alias("next"),
+        (F.col("place") + 1 - F.row_number().over(by_place)).alias("open_before"),
+    )
+    least = held.groupBy("job_id").agg(F.min("place").alias("_least"))
+    zero = F.lit(0).cast("bigint")
+    wanted = types.select("job_id").distinct()
+    before = wanted.join(least, "job_id", "left").select(
+        "job_id", zero.alias("first"), F.coalesce("_least", total).alias("next"), zero.alias("open_before")
+    )
+    return before.unionByName(after.join(wanted, "job_id", "left_semi")).where("next > first")
 
 
-def open_configs(types: DataFrame, configs: DataFrame, claims: DataFrame) -> DataFrame:
-    """Per job type the array ``rem`` of its un-profiled configurations, smallest first."""
-    held = type_claims(types, claims).withColumn("_valid", config_list(configs))
-    return held.select("job_id", open_list("_valid").alias("rem"))
+def open_places(gaps: DataFrame) -> DataFrame:
+    """(job_id, r, place): the r-th open place, from 0, of every gap. A column ``most`` bounds r per row."""
+    last = F.col("next") - 1
+    if "most" in gaps.columns:
+        gaps = gaps.where("open_before < most")
+        last = F.least(last, F.col("first") + F.col("most") - F.col("open_before") - 1)
+    places = gaps.select("job_id", "first", "open_before", F.explode(F.sequence("first", last)).alias("place"))
+    return places.select("job_id", (F.col("open_before") + F.col("place") - F.col("first")).alias("r"), "place")
 
 
 def unprofiled_configs(types: DataFrame, configs: DataFrame, claims: DataFrame) -> DataFrame:
     """J-04. (job_id, n_gpus, config_key) for every valid configuration without a claim."""
-    return open_configs(types, configs, claims).select("job_id", F.inline("rem"))
+    ranked = rank_configs(configs)
+    found = open_places(open_gaps(types, ranked, claimed_places(claims, ranked)))
+    return found.join(ranked, "place").select("job_id", "n_gpus", "config_key")
 
 
 def next_config(types: DataFrame, configs: DataFrame, claims: DataFrame) -> DataFrame:
     """W-03. The smallest un-profiled configuration per type; types with none are left out."""
-    first = F.get("rem", F.lit(0))
-    rows = open_configs(types, configs, claims).select("job_id", first.alias("first")).where("first IS NOT NULL")
-    return rows.select("job_id", "first.config_key", "first.n_gpus")
+    ranked = rank_configs(configs)
+    gaps = open_gaps(types, ranked, claimed_places(claims, ranked)).where("open_before = 0")
+    first = gaps.groupBy("job_id").agg(F.min("first").alias("place"))
+    return first.join(ranked, "place").select("job_id", "config_key", "n_gpus")
+
+
+def blocked_places(types: DataFrame, placed: DataFrame, claims: DataFrame, held: DataFrame) -> DataFrame:
+    """(job_id, k, k_config) for types whose way is blocked: the first open configuration that no node can take.
+
+    ``placed`` are ranked configurations with a ``fit_node``, ``held`` their claimed places. Among the
+    configurations without a node, the first that a type has not claimed is the first number its claims lack.
+    """
+    unfit = placed.where("fit_node IS NULL").select("config_key", "n_gpus", F.col("place").alias("_place"))
+    unfit = rank_configs(unfit)
+    own = claims.select("job_id", "config_key").distinct().join(unfit.select("config_key", "place"), "config_key")
+    own = own.withColumn("_j", F.row_number().over(Window.partitionBy("job_id").orderBy("place")) - 1)
+    lacks = own.groupBy("job_id").agg(F.coalesce(F.min(F.when(F.col("place") > F.col("_j"), F.col("_j"))), F.count(F.lit(1))).alias("_lacks"))
+    wanted = types.select("job_id").distinct().join(lacks, "job_id", "left")
+    wanted = wanted.select("job_id", F.coalesce("_lacks", F.lit(0)).cast("bigint").alias("place"))
+    first = wanted.join(unfit, "place").select("job_id", F.col("config_key").alias("k_config"), "_place")
+    below = first.join(held, "job_id", "left").groupBy("job_id", "k_config", "_place")
+    below = below.agg(F.count_if(F.col("place") < F.col("_place")).alias("_below"))
+    return below.select("job_id", (F.col("_place") - F.col("_below")).alias("k"), "k_config")
 
 
 def config_grid(types: DataFrame, configs: DataFrame, claims: DataFrame) -> DataFrame:
     """J-06. Every valid configuration of each type with its result; ``is_best`` marks the
     fastest result of the type."""
-    cells = types.select("job_id").distinct().select("job_id", F.explode(config_list(configs)).alias("c"))
-    cells = cells.select("job_id", "c.n_gpus", "c.config_key")
+    ranked = rank_configs(configs)
+    total = ranked.agg(F.count(F.lit(1))).scalar()
+    every = types.select("job_id").distinct().where(total > 0)
+    every = every.select("job_id", F.explode(F.sequence(F.lit(0).cast("bigint"), total - 1)).alias("place"))
+    cells = every.join(ranked, "place").select("job_id", "n_gpus", "config_key")
     results = claims.select("job_id", "config_key", "node_id", "duration_seconds")
     best = best_config(claims).select("job_id", F.col("config_key").alias("_best"))
     return (

@@ -22,10 +22,12 @@ from runlens.operators.capacity import gpu_usage, node_free
 from runlens.operators.claims import claims_per_instance
 from runlens.operators.configs import (
     available_config,
-    config_list,
+    blocked_places,
+    claimed_places,
     fitting_configs,
-    open_list,
-    type_claims,
+    open_gaps,
+    open_places,
+    rank_configs,
     valid_configs,
 )
 from runlens.operators.filters import waiting
@@ -60,31 +62,28 @@ def plan_round(
 
     configs = valid_configs(nodes)
     fits = fitting_configs(configs, free, profiling_only=True).select("config_key", F.col("node_id").alias("fit_node"))
-    placed = configs.select("config_key", "n_gpus").join(fits, "config_key", "left")
-    blocked = F.array_position(F.transform("rem", lambda c: c["fit_node"].isNull()), True)
-    by_type = (
-        type_claims(queued, claims)
-        .withColumn("_valid", config_list(placed, "fit_node"))
-        .select("job_id", open_list("_valid").alias("rem"))
-        .withColumn("k", F.nullif(blocked, F.lit(0)) - 1)
-    )
+    placed = rank_configs(configs.select("config_key", "n_gpus")).join(fits, "config_key", "left")
+    held = claimed_places(claims, placed)
+    types = queued.groupBy("job_id").agg(F.count(F.lit(1)).alias("most"))
+    # No type needs more open configurations than it has waiting jobs.
+    gaps = open_gaps(types, placed, held).join(types, "job_id")
+    rem = open_places(gaps).join(placed, "place").select("job_id", "r", F.struct("config_key", "fit_node").alias("rem"))
     standard = available_config(queued, claims, free).select("job_id", F.struct("config_key", "node_id").alias("std"))
-    by_type = by_type.join(standard, "job_id", "left")
+    by_type = standard.join(blocked_places(types, placed, claims, held), "job_id", "left")
 
-    index = F.least("r", "k")
-    profile = F.col("_open") & (index < F.size("rem"))
-    chosen = F.get("rem", index.cast("int"))
-    return (
-        join_unique(ranked, by_type, ["job_id"], hot, counted=queued)
-        .withColumn("is_profiling_run", F.coalesce(profile, F.lit(False)))
-        .select(
-            "id",
-            "job_id",
-            F.when(F.col("is_profiling_run"), "profiling").otherwise("standard").alias("mode"),
-            F.when(F.col("is_profiling_run"), chosen["config_key"]).otherwise(F.col("std.config_key")).alias("config_key"),
-            F.when(F.col("is_profiling_run"), chosen["fit_node"]).otherwise(F.col("std.node_id")).alias("node_id"),
-            "is_profiling_run",
-        )
+    # Ranks are unique in a type, so no (type, rank) is hot; a blocked type has its one configuration with it.
+    judged = join_unique(ranked, by_type, ["job_id"], hot, counted=queued).join(rem, ["job_id", "r"], "left")
+    blocked = F.coalesce(F.col("r") >= F.col("k"), F.lit(False))
+    profile = F.col("_open") & (blocked | F.col("rem").isNotNull())
+    key = F.when(blocked, F.col("k_config")).otherwise(F.col("rem.config_key"))
+    node = F.when(~blocked, F.col("rem.fit_node"))
+    return judged.withColumn("is_profiling_run", profile).select(
+        "id",
+        "job_id",
+        F.when(profile, "profiling").otherwise("standard").alias("mode"),
+        F.when(profile, key).otherwise(F.col("std.config_key")).alias("config_key"),
+        F.when(profile, node).otherwise(F.col("std.node_id")).alias("node_id"),
+        "is_profiling_run",
     )
 
 
