@@ -233,3 +233,53 @@ def commands(spark: SparkSession, folder: str) -> DataFrame:
         "event_id AS seq",
         "CASE WHEN event_type IN ('signup', 'purchase') THEN 'resume' WHEN event_id % 10 = 7 THEN 'pause' ELSE 'stop' END AS cmd",
     )
+
+
+#: How long a log is silent before its session is over.
+SILENCE = "12 hours"
+
+
+def status_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """Status changes of jobs: the events that are no plain views."""
+    return table(spark, folder, "events").where("event_type <> 'view'").selectExpr(
+        "concat('job-', user_id) AS run_id",
+        "ts AS since",
+        "event_id",
+        "CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'purchase' THEN 'SUCCEEDED' WHEN 'click' THEN 'RUNNING' ELSE 'QUEUED' END AS status",
+    )
+
+
+def node_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs on nodes, one per lineitem, as many days as its quantity."""
+    runs_ = table(spark, folder, "lineitem").selectExpr(
+        "concat('node-', l_suppkey) AS node_id",
+        "l_shipdate AS start",
+        "l_shipdate + make_dt_interval(CAST(l_quantity AS INT)) AS end",
+        "CAST(l_linenumber % 5 AS INT) AS a40",
+        "CAST(l_suppkey % 3 AS INT) AS l40s",
+    )
+    return runs_.select("node_id", "start", "end", _config().alias("gpu_config"))
+
+
+def downtimes(spark: SparkSession, folder: str) -> DataFrame:
+    """Times in which a node was down, one per twentieth order: days, or months for every third."""
+    return table(spark, folder, "orders").where("o_orderkey % 20 = 0").selectExpr(
+        "concat('node-', o_custkey % 100) AS node_id",
+        "o_orderkey AS downtime",
+        "o_orderdate AS start",
+        "o_orderdate + make_dt_interval(CAST(CASE WHEN o_orderkey % 3 = 0 THEN 200 ELSE o_orderkey % 9 END AS INT)) AS end",
+    )
+
+
+def job_versions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Two versions of some columns of fx_jobs: rows gone, rows twice, rows with another status or without a priority."""
+    before = table(spark, folder, "orders").selectExpr(
+        "concat('job-', o_orderkey) AS id", "o_orderstatus AS status", "CAST(substr(o_orderpriority, 1, 1) AS INT) AS priority", "o_orderkey AS _n"
+    )
+    after = before.where("_n % 11 <> 7").selectExpr(
+        "id",
+        "CASE WHEN _n % 5 = 2 THEN 'X' ELSE status END AS status",
+        "CASE WHEN _n % 13 <> 4 THEN priority END AS priority",
+        "explode(sequence(0, CASE WHEN _n % 17 = 3 THEN 1 ELSE 0 END)) AS _copy",
+    )
+    return before.drop("_n"), after.drop("_copy")

@@ -113,3 +113,18 @@ def route_jobs(jobs: DataFrame, nodes: DataFrame) -> DataFrame:
     """J-09. Worker address of each job's node; NULL means the job runs locally."""
     targets = nodes.select(F.col("node_id").alias("assigned_node"), F.col("worker_url").alias("target_url"))
     return join_unique(jobs.select("id", "assigned_node"), targets, ["assigned_node"])
+
+
+def usage_rollup(jobs: DataFrame) -> DataFrame:
+    """A-01 to A-03 at several levels in one pass: GPUs and assignments by node, GPU type and status, by fewer of them, and in all.
+
+    ``level`` is the grouping id: a bit (4, 2, 1 for node, type, status) is set where the column is a total, so a total is told
+    from a NULL. Rows are expanded before one shuffle and summed in each task first.
+    """
+    placed = jobs.where(F.col("assigned_node").isNotNull())
+    each = placed.select("assigned_node", F.explode("assigned_gpu_config").alias("gpu_type", "_n"), "status")
+    node, kind, status = F.col("assigned_node"), F.col("gpu_type"), F.col("status")
+    sets = [[node, kind, status], [node, kind], [node], [kind, status], [kind], [status], []]
+    return each.groupingSets(sets, node, kind, status).agg(
+        F.grouping_id().cast("int").alias("level"), F.sum("_n").alias("gpus"), F.count(F.lit(1)).alias("assignments")
+    )

@@ -489,3 +489,49 @@ ORACLES: dict[str, str] = {
         WHERE status IN ('RUNNING', 'PROFILING') AND 'run-' || substr(id, 1, 8) NOT IN (SELECT name FROM live)
         UNION ALL SELECT id, 'dispatch' FROM fx_jobs WHERE status = 'QUEUED'""",
 }
+
+_VERSIONS = """b AS (SELECT 'job-' || o_orderkey AS id, o_orderstatus AS status, CAST(substr(o_orderpriority, 1, 1) AS INT) AS priority, o_orderkey AS n FROM orders),
+a AS (SELECT id, CASE WHEN n % 5 = 2 THEN 'X' ELSE status END AS status, CASE WHEN n % 13 <> 4 THEN priority END AS priority
+ FROM b, range(0, 2) r(k) WHERE n % 11 <> 7 AND (k = 0 OR n % 17 = 3)),
+diff AS (SELECT change, count(*) AS copies, id, status, priority FROM (
+ SELECT 'removed' AS change, * FROM (SELECT id, status, priority FROM b EXCEPT ALL SELECT id, status, priority FROM a)
+ UNION ALL SELECT 'added', * FROM (SELECT id, status, priority FROM a EXCEPT ALL SELECT id, status, priority FROM b)) GROUP BY ALL)"""
+
+_RUNS_ON_NODES = """r AS (SELECT 'node-' || l_suppkey AS node_id, l_shipdate AS s, l_shipdate + to_days(CAST(l_quantity AS INT)) AS e,
+ CAST(l_linenumber % 5 AS INT) AS a40, CAST(l_suppkey % 3 AS INT) AS l40s FROM lineitem)"""
+
+_SESSIONS = """g AS (SELECT 'job-' || user_id AS run_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new
+ FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+k AS (SELECT *, sum(new) OVER (PARTITION BY run_id ORDER BY ts, new DESC ROWS UNBOUNDED PRECEDING) AS k FROM g),
+sessions AS (SELECT run_id, min(ts) AS session_start, max(ts) AS last_line, count(*) AS n_lines FROM k GROUP BY run_id, k)"""
+
+ORACLES |= {
+    "log_line_status": """WITH c AS (SELECT 'job-' || user_id AS run_id, ts, arg_max(CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'purchase' THEN 'SUCCEEDED'
+  WHEN 'click' THEN 'RUNNING' ELSE 'QUEUED' END, event_id) AS status FROM events WHERE event_type <> 'view' GROUP BY ALL)
+SELECT l.run_id, event_id AS line_no, status FROM (SELECT 'job-' || user_id AS run_id, ts, event_id FROM events) l
+ASOF LEFT JOIN c ON l.run_id = c.run_id AND l.ts >= c.ts""",
+    "runs_in_downtime": f"""WITH {_RUNS_ON_NODES}, d AS (SELECT 'node-' || (o_custkey % 100) AS node_id, o_orderkey AS downtime, o_orderdate AS s,
+  o_orderdate + to_days(CAST(CASE WHEN o_orderkey % 3 = 0 THEN 200 ELSE o_orderkey % 9 END AS INT)) AS e FROM orders WHERE o_orderkey % 20 = 0)
+SELECT r.node_id, downtime, count(*) AS n_runs, sum((epoch(least(r.e, d.e)) - epoch(greatest(r.s, d.s))) / 3600) AS hours
+FROM r JOIN d ON r.node_id = d.node_id AND r.s < d.e AND d.s < r.e WHERE r.s < r.e AND d.s < d.e GROUP BY ALL""",
+    "peak_gpus": f"""WITH {_RUNS_ON_NODES}, t AS (SELECT node_id, 'A40' AS gpu_type, a40 AS n, s, e FROM r UNION ALL SELECT node_id, 'L40S', l40s, s, e FROM r),
+c AS (SELECT node_id, gpu_type, moment, sum(n) AS n FROM (SELECT node_id, gpu_type, s AS moment, n FROM t WHERE n > 0 AND s < e
+  UNION ALL SELECT node_id, gpu_type, e, -n FROM t WHERE n > 0 AND s < e) GROUP BY ALL),
+u AS (SELECT *, CAST(sum(n) OVER (PARTITION BY node_id, gpu_type ORDER BY moment) AS BIGINT) AS used FROM c)
+SELECT node_id, gpu_type, max(used) AS peak, arg_min(moment, (-used, moment)) AS peak_at FROM u GROUP BY ALL""",
+    "log_sessions": f"WITH {_SESSIONS} SELECT * FROM sessions",
+    "stream_log_sessions": f"WITH {_SESSIONS} SELECT * FROM sessions",
+    "stalled_runs": f"""WITH {_SESSIONS}, p AS (SELECT run_id, lag(last_line) OVER w AS stalled_from, session_start AS stalled_to, row_number() OVER w - 1 AS n_stall
+ FROM sessions WINDOW w AS (PARTITION BY run_id ORDER BY session_start)) SELECT * FROM p WHERE n_stall > 0""",
+    "usage_rollup": f"""WITH {JOBS}, e AS (SELECT assigned_node, 'A40' AS gpu_type, a40 AS n, status FROM fx_jobs UNION ALL SELECT assigned_node, 'L40S', l40s, status FROM fx_jobs)
+SELECT assigned_node, gpu_type, status, CAST(grouping(assigned_node, gpu_type, status) AS INT) AS level, CAST(sum(n) AS BIGINT) AS gpus, count(*) AS assignments
+FROM e WHERE n > 0 AND assigned_node IS NOT NULL
+GROUP BY GROUPING SETS ((assigned_node, gpu_type, status), (assigned_node, gpu_type), (assigned_node), (gpu_type, status), (gpu_type), (status), ())""",
+    "job_table_diff": f"WITH {_VERSIONS} SELECT * FROM diff",
+    "job_column_changes": f"""WITH {_VERSIONS}, one AS (SELECT id FROM diff GROUP BY id HAVING coalesce(sum(copies) FILTER (WHERE change = 'removed'), 0) = 1
+  AND coalesce(sum(copies) FILTER (WHERE change = 'added'), 0) = 1),
+p AS (SELECT id, x.status AS s1, y.status AS s2, x.priority AS p1, y.priority AS p2 FROM one JOIN diff x USING (id) JOIN diff y USING (id)
+ WHERE x.change = 'removed' AND y.change = 'added')
+SELECT id, 'status' AS field, s1 AS before, s2 AS after FROM p WHERE s1 IS DISTINCT FROM s2
+UNION ALL SELECT id, 'priority', CAST(p1 AS VARCHAR), CAST(p2 AS VARCHAR) FROM p WHERE p1 IS DISTINCT FROM p2""",
+}

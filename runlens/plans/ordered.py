@@ -42,7 +42,7 @@ SAMPLE_ROWS = 16_384
 
 @dataclass(frozen=True)
 class Ordered:
-    """One computed column: ``kind`` is row_number, previous, running_max or running_sum."""
+    """One computed column: ``kind`` is row_number, previous, last_value, running_max or running_sum."""
 
     kind: str
     column: str | None = None
@@ -56,6 +56,11 @@ def previous(column: str) -> Ordered:
     return Ordered("previous", column)
 
 
+def last_value(column: str) -> Ordered:
+    """The latest value that is not NULL, the row's own included."""
+    return Ordered("last_value", column)
+
+
 def running_max(column: str) -> Ordered:
     return Ordered("running_max", column)
 
@@ -64,8 +69,6 @@ def running_sum(column: str) -> Ordered:
     return Ordered("running_sum", column)
 
 
-
-
 def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], renamed: Sequence[str]) -> Column:
     condition = F.lit(True)
     for key, other in zip(keys, renamed, strict=True):
@@ -207,6 +210,12 @@ def with_ordered(
             parts.totals[total] = F.struct(last.alias("v"))
             parts.carried[carry] = F.lag(total).over(by_chunk)
             parts.joined[name] = F.when(F.col("_local_row") == 1, F.col(carry)["v"]).otherwise(F.col(here))
+        elif spec.kind == "last_value":
+            there = F.when(F.col(spec.column).isNotNull(), F.struct(*order))
+            parts.within[here] = F.last(spec.column, ignorenulls=True).over(so_far)
+            parts.totals[total] = F.max_by(spec.column, there)
+            parts.carried[carry] = F.last(total, ignorenulls=True).over(earlier)
+            parts.joined[name] = F.coalesce(here, carry)
         elif spec.kind == "running_max":
             parts.within[here] = F.max(spec.column).over(so_far)
             parts.totals[total] = F.max(spec.column)

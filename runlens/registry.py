@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from runlens import fixtures as fx
 from runlens import functions as fn
 from runlens import sources
-from runlens.operators import capacity, claims, configs, costs, filters, lifecycle, listing, runs, submissions
+from runlens.operators import capacity, changes, claims, configs, costs, filters, lifecycle, listing, runs, submissions, temporal
 from runlens.plans import placement
 from runlens.plans.ordered import row_number, with_ordered
 from runlens.session import new_folder
@@ -703,4 +703,60 @@ def timeouts(spark, sf):
     return late.withColumn("elapsed_seconds", F.round("elapsed_seconds", 3))
 
 
+# Over time
+
+
+@query
+def log_line_status(spark, sf):
+    """As-of join: every log line with the status its job had then."""
+    lines = fx.log_lines(spark, sf)
+    found = temporal.as_of(lines, fx.status_changes(spark, sf), ["run_id"], "ts", ["status"], tie=["event_id"])
+    return found.select("run_id", "line_no", "status")
+
+
+@query
+def runs_in_downtime(spark, sf):
+    """Interval join: the runs on a node while it was down, and for how long."""
+    met = temporal.overlapping(fx.node_runs(spark, sf), fx.downtimes(spark, sf), ["node_id"])
+    hours = (F.unix_timestamp("to") - F.unix_timestamp("from")) / 3600
+    return met.groupBy("node_id", "downtime").agg(F.count(F.lit(1)).alias("n_runs"), F.sum(hours).alias("hours"))
+
+
+@query
+def peak_gpus(spark, sf):
+    """A-03 over time: the most GPUs of each type in use on a node at once."""
+    runs_ = fx.node_runs(spark, sf).select("node_id", "start", "end", F.explode("gpu_config").alias("gpu_type", "n"))
+    return temporal.peak_use(runs_, ["node_id", "gpu_type"], "n")
+
+
+@query
+def log_sessions(spark, sf):
+    """Session windows: stretches of a run's log without a silence of twelve hours."""
+    return temporal.sessions(fx.log_lines(spark, sf), ["run_id"], "ts", fx.SILENCE)
+
+
+@query
+def stalled_runs(spark, sf):
+    """The silences between a run's sessions."""
+    return temporal.stalls(temporal.sessions(fx.log_lines(spark, sf), ["run_id"], "ts", fx.SILENCE), ["run_id"])
+
+
+@query
+def usage_rollup(spark, sf):
+    """A-01 to A-03 in one pass, by grouping sets."""
+    return capacity.usage_rollup(fx.jobs(spark, sf))
+
+
+@query
+def job_table_diff(spark, sf):
+    """EXCEPT ALL both ways: the rows by which two versions of the jobs table differ."""
+    return changes.table_diff(*fx.job_versions(spark, sf))
+
+
+@query
+def job_column_changes(spark, sf):
+    """The values that changed between two versions of the jobs table."""
+    return changes.column_changes(changes.table_diff(*fx.job_versions(spark, sf)), ["id"])
+
+
 QUERIES.update(streams.QUERIES)

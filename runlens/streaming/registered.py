@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens import fixtures as fx
+from runlens.operators import temporal
 from runlens.session import new_folder
 from runlens.streaming import jobs as job_streams
 from runlens.streaming import logs
@@ -38,15 +39,19 @@ TIMES = {"events": "ts", "lineitem": "l_shipdate", "customer": "c_custkey"}
 FILES = 3
 
 
-def _stream(spark: SparkSession, sf: str, name: str, repeated: bool = False, files: int = FILES) -> DataFrame:
+def _stream(spark: SparkSession, sf: str, name: str, repeated: bool = False, files: int = FILES, closing: bool = False) -> DataFrame:
     """The table as files by time, one micro-batch each. With ``repeated``, the rows of every seventh second or key come
-    once more in a last file: late, and in no order."""
+    once more in a last file: late, and in no order. With ``closing``, a last file holds one row of NULLs, ten years after the others."""
     folder = new_folder(spark, f"arrivals-{name}")
     rows, time = fx.table(spark, sf, name), TIMES[name]
     rows.repartitionByRange(files, time).write.parquet(folder)
     if repeated:
         again = rows.where(F.pmod(F.xxhash64(time), F.lit(7)) == 0).orderBy(F.rand(3)).coalesce(1)
         again.write.mode("append").parquet(folder)
+    if closing:
+        last = (F.max(time) + F.expr("INTERVAL '10' YEAR")).alias(time)
+        end = rows.agg(last).select(*[F.col(c) if c == time else F.lit(None).cast(t).alias(c) for c, t in rows.dtypes])
+        end.coalesce(1).write.mode("append").parquet(folder)
     return spark.readStream.schema(fx.TABLES[name]).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
@@ -153,3 +158,14 @@ def restart_recovery(spark, sf):
         "concat('run-', substr(concat('job-', o_orderkey), 1, 8)) AS name"
     )
     return job_streams.recovery(fx.jobs(spark, sf), live)
+
+
+@query
+def stream_log_sessions(spark, sf):
+    """Session windows on a stream: a last file, years later, lets the watermark pass the end of every session."""
+    rows, checkpoint = _folders(spark, "sessions")
+    lines = _stream(spark, sf, "events", closing=True).selectExpr("concat('job-', user_id) AS run_id", "CAST(ts AS TIMESTAMP) AS ts")
+    found = temporal.sessions(lines.withWatermark("ts", "1 hour"), ["run_id"], "ts", fx.SILENCE)
+    start_to_folder(found, rows, checkpoint).awaitTermination()
+    kept = spark.read.parquet(rows).where("run_id IS NOT NULL")
+    return kept.select("run_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("last_line").cast("timestamp_ntz").alias("last_line"), "n_lines")
