@@ -31,12 +31,19 @@ def distinct_lines_handler(folder: str, key: str = "line_no") -> BatchHandler:
     return first_arrivals_handler(folder, ["run_id", key])
 
 
-def latest_progress_stream(lines: DataFrame) -> DataFrame:
+def latest_progress_stream(lines: DataFrame, idle: str | None = None) -> DataFrame:
     """T-02. Last progress per run, for update mode.
 
-    The last line by time wins, so a late line does not move progress back.
+    The last line by time wins, so a late line does not move progress back. With ``idle`` (``30 days``), the state of a run is
+    kept per stretch of that length and dropped once the newest line of all is so much later; readers take the newest row of a
+    run as before, so no progress is lost. Lines that come later than that are left out.
     """
-    last = epoch_marks(lines).groupBy("run_id").agg(F.max(F.struct(*ORDER, "epoch", "total")).alias("last"))
+    marks = epoch_marks(lines)
+    keys = ["run_id"]
+    if idle:
+        marks = marks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", idle)
+        keys.append(F.window("ts", idle))
+    last = marks.groupBy(*keys).agg(F.max(F.struct(*ORDER, "epoch", "total")).alias("last"))
     text = F.concat(F.col("last.epoch").cast("string"), F.lit("/"), F.col("last.total").cast("string"))
     return last.select("run_id", text.alias("progress"), "last.ts", "last.line_no")
 

@@ -12,7 +12,7 @@ from runlens import fixtures as fx
 from runlens.operators import temporal
 from runlens.session import new_folder
 from runlens.streaming import jobs as job_streams
-from runlens.streaming import logs
+from runlens.streaming import logs, snapshots
 from runlens.streaming.sinks import newest_rows, start, start_to_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,7 +83,7 @@ def stream_epoch_lines(spark, sf):
 def stream_latest_progress(spark, sf):
     """T-02."""
     rows, checkpoint = _folders(spark, "progress")
-    start_to_folder(logs.latest_progress_stream(_lines(spark, sf, repeated=True)), rows, checkpoint, "update").awaitTermination()
+    start_to_folder(logs.latest_progress_stream(_lines(spark, sf, repeated=True), "30 days"), rows, checkpoint, "update").awaitTermination()
     latest = newest_rows(spark.read.parquet(rows), ["run_id"], [F.col("ts"), F.col("line_no")])
     return latest.select("run_id", "progress")
 
@@ -117,11 +117,11 @@ def _changes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def stream_status_counts(spark, sf):
-    """T-06, T-07."""
+    """T-06, T-07. The changes are folded into a snapshot after every second batch."""
     rows, checkpoint = _folders(spark, "changes")
     newest = [F.col("ts"), F.col("event_id")]
-    start(_changes(spark, sf), job_streams.upsert_handler(rows, newest), checkpoint).awaitTermination()
-    return job_streams.live_status_counts(fx.jobs(spark, sf), spark.read.parquet(rows), newest, fx.now())
+    start(_changes(spark, sf), snapshots.latest_handler(rows, ["id"], newest, every=2), checkpoint).awaitTermination()
+    return job_streams.live_status_counts(fx.jobs(spark, sf), snapshots.latest(spark, rows, ["id"], newest), newest, fx.now())
 
 
 @query

@@ -13,7 +13,7 @@ from runlens import fixtures as fx
 from runlens import schemas
 from runlens.operators import runs
 from runlens.streaming import jobs as job_streams
-from runlens.streaming import logs
+from runlens.streaming import logs, snapshots
 from runlens.streaming.sinks import batch_folder, newest_rows, start, start_to_folder
 
 SF = "/root/testdata/sf0.001"
@@ -264,3 +264,39 @@ def test_recovery_runs_once_per_start_and_the_stream_goes_on(spark, tmp_path):
     write_json(tmp_path / "in", "c", [change])
     run()
     assert recovered == [0, 2] and [n for _, n in handled] == [1, 2, 1]
+
+
+def test_a_look_reads_the_changes_since_the_snapshot(spark, tmp_path):
+    """Over forty batches, every look reads one snapshot and fewer batches than a fold takes; replays change nothing."""
+    folder, newest = str(tmp_path / "latest"), [F.col("ts"), F.col("n")]
+    handler = snapshots.latest_handler(folder, ["id"], newest, every=5)
+    expected, seen = {}, []
+    assert snapshots.latest(spark, folder, ["id"], newest) is None
+    for batch in range(40):
+        changes = [(f"k{(batch * 7 + i) % 40}", (batch * 13 + i) % 50, batch * 3 + i) for i in range(3)]
+        for key, ts, n in changes:
+            expected[key] = max(expected.get(key, (-1, -1)), (ts, n))
+        frame = spark.createDataFrame(changes, "id string, ts int, n int")
+        handler(frame, batch)
+        if batch in (4, 17, 34):
+            handler(frame, batch)
+        if batch % 10 == 9 or batch == 17:
+            found = {r["id"]: (r["ts"], r["n"]) for r in snapshots.latest(spark, folder, ["id"], newest).collect()}
+            assert found == expected
+        seen.append(snapshots.rows_to_read(spark, folder))
+    assert max(b for _, b in seen) < 5 and {s for s, _ in seen} == {0, 1}
+    assert len(os.listdir(f"{folder}/changes")) <= 10 and len(os.listdir(f"{folder}/snapshots")) == 2
+
+
+def test_progress_survives_the_end_of_its_state(spark, tmp_path):
+    arrivals, out = tmp_path / "arrivals", str(tmp_path / "progress")
+    days = [[("a", 1, 0, 1), ("b", 2, 0, 1)], [("a", 3, 1, 2)], [("c", 4, 40, 1)], [("c", 5, 90, 3)], [("b", 6, 91, 7)]]
+    for k, day in enumerate(days):
+        write_json(arrivals, str(k), [{"run_id": r, "event_id": n, "ts": at(86400 * d), "line": f"Epoch {e}/9"} for r, n, d, e in day])
+    stream = logs.latest_progress_stream(lines(spark, arrivals), "10 days")
+    query = start_to_folder(stream, out, str(tmp_path / "checkpoint"), "update")
+    query.awaitTermination()
+    latest = newest_rows(spark.read.parquet(out), ["run_id"], [F.col("ts"), F.col("line_no")])
+    assert rows(latest, "run_id", "progress") == [("a", "2/9"), ("b", "7/9"), ("c", "3/9")]
+    kept = [s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]]
+    assert kept[-1] < 4
