@@ -283,3 +283,8 @@ def job_versions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
         "explode(sequence(0, CASE WHEN _n % 17 = 3 THEN 1 ELSE 0 END)) AS _copy",
     )
     return before.drop("_n"), after.drop("_copy")
+
+
+def run_values(spark: SparkSession, folder: str) -> DataFrame:
+    """The figure that each event of a run reports."""
+    return table(spark, folder, "events").selectExpr("concat('job-', user_id) AS run_id", "event_id", "ts", "event_type", "value")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.plans.ordered import DEFAULT, HotGroups, last_value, previous, row_number, running_sum, with_ordered
+from runlens.plans.ordered import DEFAULT, HotGroups, cut_hot_groups, last_value, previous, row_number, running_sum, with_ordered
 
 #: Intervals up to so long are of the lowest level, in seconds.
 BASE_SECONDS = 3600
@@ -118,3 +119,25 @@ def stalls(found: DataFrame, keys: Sequence[str], hot: HotGroups = DEFAULT) -> D
     placed = with_ordered(found, keys, ["session_start"], {"stalled_from": previous("last_line"), "_place": row_number()}, hot)
     placed = placed.where("stalled_from IS NOT NULL")
     return placed.select(*keys, "stalled_from", F.col("session_start").alias("stalled_to"), (F.col("_place") - 1).alias("n_stall"))
+
+
+def rolling(rows: DataFrame, keys: Sequence[str], time: str, seconds: int, columns: dict[str, Column], hot: HotGroups = DEFAULT) -> DataFrame:
+    """Add aggregates over the ``seconds`` up to and with each row's ``time`` (a RANGE frame), ties included.
+
+    Large groups are cut into chunks by time. A chunk also gets the rows before it that its frames reach, for the window only,
+    so a hot group is worked on in many tasks. Rows without a time get aggregates over such rows alone.
+    """
+    keys = list(keys)
+    width = seconds * 1_000_000
+    placed = rows.withColumn("_at", _micros(time))
+    cut = cut_hot_groups(placed, keys, ["_at"], hot)
+    names = [f"_of_{k}" for k in keys]
+    begins = cut.where("_is_hot").groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("_chunk").alias("_to"))
+    # At most a row for each chunk of a hot group.
+    begins = F.broadcast(begins.agg(F.min("_at").alias("_begins")))
+    match = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)])
+    reach = (F.col("_chunk") < F.col("_to")) & (F.col("_at") >= F.col("_begins") - width)
+    before = cut.where("_is_hot").join(begins, match & reach).drop(*names, "_chunk", "_begins").withColumnRenamed("_to", "_chunk")
+    both = cut.withColumn("_own", F.lit(True)).unionByName(before.withColumn("_own", F.lit(False)))
+    frame = Window.partitionBy(*keys, "_chunk").orderBy("_at").rangeBetween(-width, Window.currentRow)
+    return both.withColumns({n: c.over(frame) for n, c in columns.items()}).where("_own").select(*rows.columns, *columns)

@@ -535,3 +535,11 @@ p AS (SELECT id, x.status AS s1, y.status AS s2, x.priority AS p1, y.priority AS
 SELECT id, 'status' AS field, s1 AS before, s2 AS after FROM p WHERE s1 IS DISTINCT FROM s2
 UNION ALL SELECT id, 'priority', CAST(p1 AS VARCHAR), CAST(p2 AS VARCHAR) FROM p WHERE p1 IS DISTINCT FROM p2""",
 }
+
+ORACLES |= {
+    "rolling_values": """SELECT 'job-' || user_id AS run_id, event_id, count(*) OVER w AS n_before, avg(value) OVER w AS mean, max(value) OVER w AS most
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 12 HOUR PRECEDING AND CURRENT ROW)""",
+    "value_sketches": """SELECT event_type, count(*) AS n_merged, count(DISTINCT user_id) AS n_runs, true AS quantile_within, true AS count_within
+FROM events GROUP BY event_type""",
+    "value_quantiles": "SELECT event_type, quantile_cont(value, 0.95) AS quantile_value, count(DISTINCT user_id) AS n_distinct FROM events GROUP BY event_type",
+}

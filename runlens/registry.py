@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from runlens import fixtures as fx
 from runlens import functions as fn
 from runlens import sources
-from runlens.operators import capacity, changes, claims, configs, costs, filters, lifecycle, listing, runs, submissions, temporal
+from runlens.operators import capacity, changes, claims, configs, costs, filters, lifecycle, listing, runs, sketches, submissions, temporal
 from runlens.plans import placement
 from runlens.plans.ordered import row_number, with_ordered
 from runlens.session import new_folder
@@ -759,4 +759,39 @@ def job_column_changes(spark, sf):
     return changes.column_changes(changes.table_diff(*fx.job_versions(spark, sf)), ["id"])
 
 
+@query
+def rolling_values(spark, sf):
+    """RANGE frame: of every event, the mean and the most of its run's values in the twelve hours up to it."""
+    rows = fx.run_values(spark, sf)
+    figures = {"n_before": F.count(F.lit(1)), "mean": F.avg("value"), "most": F.max("value")}
+    return temporal.rolling(rows, ["run_id"], "ts", 12 * 3600, figures).select("run_id", "event_id", *figures)
+
+
+@query
+def value_sketches(spark, sf):
+    """Stored sketches per day, merged over all days: whether they keep to their error against exact figures."""
+    rows = fx.run_values(spark, sf)
+    stored = new_folder(spark, "sketches")
+    sketches.daily_sketches(rows, ["event_type"], "ts", "value", "run_id").write.parquet(stored)
+    found = sketches.estimates(sketches.merged(spark.read.parquet(stored), ["event_type"]), ["event_type"], 0.95)
+    both = rows.join(found.withColumnRenamed("n", "n_merged"), "event_type")
+    value = F.col("quantile_value")
+    exact = both.groupBy("event_type", "n_merged").agg(
+        F.avg((F.col("value") < value).cast("double")).alias("_below"),
+        F.avg((F.col("value") <= value).cast("double")).alias("_upto"),
+        F.countDistinct("run_id").alias("n_runs"),
+        F.first("n_distinct").alias("_runs"),
+    )
+    near = (F.col("_below") - sketches.RANK_ERROR <= 0.95) & (F.col("_upto") + sketches.RANK_ERROR >= 0.95)
+    count = F.abs(F.col("_runs") - F.col("n_runs")) <= F.ceil(F.col("n_runs") * sketches.COUNT_ERROR)
+    return exact.select("event_type", "n_merged", "n_runs", near.alias("quantile_within"), count.alias("count_within"))
+
+
+@query
+def value_quantiles(spark, sf):
+    """The exact figures that the sketches estimate."""
+    rows = fx.run_values(spark, sf)
+    return rows.groupBy("event_type").agg(F.percentile("value", 0.95).alias("quantile_value"), F.countDistinct("run_id").alias("n_distinct"))
+
+
 QUERIES.update(streams.QUERIES)

@@ -5,8 +5,9 @@ from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
-from runlens.operators import capacity, changes, temporal
+from runlens.operators import capacity, changes, sketches, temporal
 from runlens.plans.ordered import HotGroups
 
 T0 = datetime(2026, 1, 1)
@@ -128,3 +129,34 @@ def test_totals_are_told_from_nulls(spark):
     assert found[(None, None, None, 6)] == (1, 1) and found[(None, None, "RUNNING", 6)] == (7, 3)
     plan = rolled._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Expand") == 1 and plan.count("Join") == 0
+
+
+@pytest.mark.parametrize("hot", [HotGroups(), CUT])
+def test_rolling_equals_the_plain_window(spark, hot):
+    rng = random.Random(6)
+    rows = [(rng.choice(["hot"] * 6 + ["b", None]), i, at(rng.randrange(400)) if i % 30 else None, rng.randrange(100)) for i in range(300)]
+    frame = spark.createDataFrame(rows, "k string, i int, t timestamp, v int")
+    found = temporal.rolling(frame, ["k"], "t", 1800, {"n": F.count(F.lit(1)), "most": F.max("v"), "total": F.sum("v")}, hot)
+    for r in found.collect():
+        near = [v for k, _, t, v in rows if k == r["k"] and (t is r["t"] is None or t and r["t"] and r["t"] - timedelta(minutes=30) <= t <= r["t"])]
+        assert (r["n"], r["most"], r["total"]) == (len(near), max(near), sum(near))
+    assert found.count() == 300
+
+
+def test_a_hot_group_rolls_in_many_tasks(spark):
+    rows = spark.range(2000).selectExpr("'hot' AS k", "timestamp_seconds(id * 60) AS t", "id AS v")
+    found = temporal.rolling(rows, ["k"], "t", 600, {"n": F.count(F.lit(1))}, HotGroups(min_rows=100, max_groups=4, chunks=16))
+    assert found.where("v >= 10 AND n <> 11").count() == 0 and found.count() == 2000
+
+
+def test_merged_sketches_keep_to_their_error(spark):
+    rows = spark.range(200_000).selectExpr("id % 3 AS k", "timestamp_seconds(id * 60) AS t", "pow(id % 9973, 1.5) AS v", "concat('r', id % 20011) AS run")
+    daily = sketches.daily_sketches(rows, ["k"], "t", "v", "run")
+    whole = sketches.estimates(sketches.merged(daily, ["k"]), ["k"], 0.95).collect()
+    at_once = {r["k"]: r for r in sketches.estimates(sketches.daily_sketches(rows.withColumn("t", F.lit(T0)), ["k"], "t", "v", "run"), ["k"], 0.95).collect()}
+    for r in whole:
+        own = rows.where(F.col("k") == r["k"])
+        rank = own.where(F.col("v") <= r["quantile_value"]).count() / r["n"]
+        distinct = own.select("run").distinct().count()
+        assert abs(rank - 0.95) <= sketches.RANK_ERROR and abs(r["n_distinct"] - distinct) <= sketches.COUNT_ERROR * distinct
+        assert r["n_distinct"] == pytest.approx(at_once[r["k"]]["n_distinct"], rel=0.01) and r["n"] == at_once[r["k"]]["n"]
