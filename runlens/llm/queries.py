@@ -90,7 +90,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's importance for the good ones, and whether the draw keeps it."""
     docs = table(spark, sf_dir, "documents")
-    good, share = importance.good_texts(docs, table(spark, sf_dir, "labels"))
+    good, share = importance.good_docs(table(spark, sf_dir, "labels"))
     return importance.resample(docs, good, share)
 
 

@@ -1,13 +1,16 @@
 """Toxicity, quality rules, decontamination and importance resampling."""
 
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from llm.brute import awkward, figures, frame, prose
+from llm.brute import FOLD, awkward, figures, frame, prose, words
 from pyspark.sql import functions as F
 
 from runlens.llm import decontaminate, importance, quality, toxicity
+from runlens.llm.words import slices
 
 
 def labelled(spark, rows):
@@ -176,6 +179,69 @@ def test_names_at_sentence_beginnings_and_parted_numbers(spark):
     assert found_in(spark, texts, items) == {(0, 1): True, (1, 2): True, (2, 3): False}
 
 
+def test_a_place_counts_once(spark):
+    """A phrase said again and again is one place; an item held in two halves is held."""
+    item = "every stone of this old bridge was carried up from some quarry far below the hills that frame our quiet valley"
+    w = item.split()
+    texts = [" and then ".join([" ".join(w[:8])] * 6), f"{' '.join(w[:12])} x y z {' '.join(w[8:])}", " ".join(w[:12]) + " q " + " ".join(w[:12])]
+    assert found_in(spark, texts, [(1, item)]) == {(1, 1): False}
+
+
+def test_a_shared_instruction_joins_nothing(spark, monkeypatch):
+    rng = random.Random(11)
+    start = "read the text below with care and then answer"
+
+    def plain(n):
+        return " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+
+    items = [(k, f"{start} {plain(12)}") for k in range(60)]
+    texts = [f"{start} {plain(40)}", f"{plain(9)} {items[7][1]}", items[7][1]]
+    joined = []
+    met = decontaminate._met
+    monkeypatch.setattr(decontaminate, "_met", lambda *a: (joined.append(met(*a)), joined[-1])[1])
+    assert found_in(spark, texts, [*items, (100, items[7][1])]) == {(d, i): False for d in (1, 2) for i in (7, 100)}
+    assert joined[0].where("id = 0").count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_changed_items_against_plain_templates(spark, seed):
+    """Lower-case items with numbers: what is held is decided by comparing templates window by window."""
+    rng = random.Random(seed)
+    vocabulary = [f"v{chr(97 + k)}" for k in range(26)]
+
+    def text(n):
+        return [str(rng.randrange(100, 999)) if rng.random() < 0.15 else rng.choice(vocabulary) for _ in range(n)]
+
+    items = [text(rng.randrange(8, 25)) for _ in range(12)]
+    docs = []
+    for _ in range(60):
+        w = list(rng.choice(items))
+        new = {x: str(rng.randrange(100, 999)) for x in set(w) if x.isdigit()}
+        w = [new.get(x, x) if rng.random() < 0.95 else "other" for x in w]
+        docs.append(text(rng.randrange(0, 6)) + w[rng.randrange(0, 4) :] + text(rng.randrange(0, 6)))
+
+    def template(w):
+        return ["#" if x.isdigit() else x for x in w]
+
+    def held(doc, item):
+        places, n = set(), len(item) - 7
+        open_ = sum(1 for i in range(n) if sum(not x.isdigit() for x in item[i : i + 8]) >= 5)
+        for shift in range(-len(item), len(doc)):
+            own, values, good = set(), set(), True
+            for i in range(n):
+                a, b = item[i : i + 8], doc[i + shift : i + shift + 8] if i + shift >= 0 else []
+                literal = sum(not x.isdigit() for x in a)
+                if a == b or (template(a) == template(b) and 5 <= literal < 8):
+                    own.add(i)
+                    values |= {(x, y) for x, y in zip(a, b, strict=True) if x.isdigit()}
+            good = len({x for x, _ in values}) == len(values)
+            places |= own if good else set()
+        return len(places) >= min(6, max(open_, -(-n // 2))) and len(places) > 0
+
+    found = found_in(spark, [" ".join(d) for d in docs], [(k, " ".join(i)) for k, i in enumerate(items)])
+    assert set(found) == {(d, k) for d, x in enumerate(docs) for k, i in enumerate(items) if held(x, i)} and found
+
+
 def test_blocks_change_nothing(spark):
     docs = frame(spark, [(i, ITEMS[0][1] + " more words", "", "", 0) for i in range(5)] + [(None, ITEMS[0][1], "", "", 0)])
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
@@ -193,7 +259,7 @@ def test_the_draw_prefers_the_target(spark):
         rows.append((i, prose(rng, 60) if good else " ".join(f"j{rng.randrange(60)}##" for _ in range(60)), "", "", 0))
         labels.append((i, int(good)))
     docs = frame(spark, rows)
-    good, share = importance.good_texts(docs, labelled(spark, labels[:200]))
+    good, share = importance.good_docs(labelled(spark, labels[:200]))
     assert share == 0.75
     found = importance.resample(docs, good, share)
     kept = {r["doc_id"] for r in found.where("kept").collect()}
@@ -204,13 +270,46 @@ def test_the_draw_prefers_the_target(spark):
 
 def test_weights_equal_brute_force(spark):
     docs = frame(spark, awkward())
-    target, raw = importance.model(docs.limit(20)), importance.model(docs)
+    target, raw = importance.models(docs, 1 << 14, np.arange(20))
     ratio = importance.log_ratio(target, raw)
     n_words = sum(figures(t)[0] for _, t, *_ in awkward())
     n_pairs = sum(max(0, figures(t)[0] - 1) for _, t, *_ in awkward())
     assert raw.sum() == n_words + n_pairs
     assert np.exp(ratio) @ ((raw + 1) / (raw + 1).sum()) == pytest.approx(1)
 
+    # Every weight, by counting n-grams in dictionaries; buckets are only looked up.
+    def grams(text):
+        w = words((text or "").translate(FOLD))
+        return w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+
+    (every,) = slices(pa.array([" ".join(words(t or "")) for _, t, *_ in awkward()]), lower=True, most=1 << 30)
+    buckets, at = {}, 0
+    for _, text, *_ in awkward():
+        w = words((text or "").translate(FOLD))
+        pairs = every.window_hashes(np.arange(at, at + len(w) - 1), 2, 5) if len(w) > 1 else []
+        buckets |= {x: int(h >> np.uint64(50)) for x, h in zip(w, every.hashes[at : at + len(w)], strict=True)}
+        buckets |= {f"{a} {b}": int(h >> np.uint64(50)) for a, b, h in zip(w, w[1:], pairs, strict=False)}
+        at += len(w)
+    n, good = Counter(), Counter()
+    for doc, text, *_ in awkward():
+        n.update(buckets[g] for g in grams(text))
+        if doc is not None and doc < 20:
+            good.update(buckets[g] for g in grams(text))
+    size, total, wins = 1 << 14, sum(n.values()), sum(good.values())
+    expected = []
+    for doc, text, *_ in awkward():
+        logs = []
+        for g in grams(text):
+            prior = (n[buckets[g]] + 1) / (total + size)
+            logs.append(np.log((good[buckets[g]] + size * prior) / (wins + size)) - np.log(prior))
+        expected.append((doc, len(logs), round(sum(logs) / max(len(logs), 1) * min(len(logs), 200), 6)))
+    found = [(r["doc_id"], r["n_grams"], round(r["log_weight"], 6)) for r in importance.importance(docs, ratio).collect()]
+    assert sorted(found, key=repr) == sorted(expected, key=repr)
+
+
+def test_models_grow_with_the_documents():
+    assert [importance.buckets_for(n) for n in (0, 256_410, 10**7, 10**10)] == [1 << 16, 1 << 16, 1 << 18, 1 << 20]
+
 
 @pytest.mark.parametrize("keep", [0, 1, 7, 500, 999, 1000])
 def test_the_threshold_is_the_kth_highest(spark, keep):
@@ -226,7 +325,7 @@ def test_the_threshold_is_the_kth_highest(spark, keep):
 
 def test_importance_of_edge_cases(spark):
     docs = frame(spark, awkward())
-    good, share = importance.good_texts(docs, labelled(spark, []))
+    good, share = importance.good_docs(labelled(spark, []))
     assert share == 1.0
     found = importance.resample(docs, good, 0.5).collect()
     assert len(found) == len(awkward()) and abs(sum(r["kept"] for r in found) - len(found) / 2) <= 2
