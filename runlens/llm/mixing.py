@@ -140,8 +140,11 @@ def _mixed(docs: DataFrame, weights: Sequence[float], share: float, seed: int, c
     shards = shards.where("_words > 0").withColumn("_step", step).withColumn("_passes", F.expr("quota div _words"))
     shards = written(spark, shards.withColumn("_rest", F.col("quota") % F.col("_words")), "shard-quotas")
 
+    # A shard is one row here and thousands of blocks below: the rows are spread before they grow, by the keys of the
+    # window over them, and into a fixed number of parts, as adaptive execution would merge rows that look few.
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     last = F.expr("(_words - 1) div _step")
-    every = shards.where("_rest > 0").select(
+    every = shards.where("_rest > 0").repartition(n_parts, "_source", "_shard").select(
         "_source", "_shard", "_rest", "_step", "_words", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("_block")
     )
     every = every.withColumn("_from", F.col("_block") * F.col("_step"))

@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runlens.llm.components import written
+
 #: The classifier is fitted on so many labelled rows at most, chosen by the hash of their id.
 TRAINING_ROWS = 20_000
 MAX_PATTERNS = 20_000
@@ -227,4 +229,6 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def learned(docs: DataFrame, labels: DataFrame) -> Model:
-    return fit(training_rows(docs, labels, ~is_held_out(F.col("doc_id"))))
+    """The model of a corpus. The bounded training rows are written once: fitting reads them several times."""
+    rows = training_rows(docs, labels, ~is_held_out(F.col("doc_id")))
+    return fit(written(docs.sparkSession, rows, "training"))
