@@ -1,13 +1,16 @@
 """Chat formatting in budgeted windows, with DataFrame operations only.
 
-A conversation becomes one or more windows of turns. Prefix sums of the turns' tokens place each turn on a grid of
-strides; the turns that begin in a stride are the targets of its window. A window holds the system turn, then the turns
-that begin within ``history`` tokens before the stride, then its targets. The loss mask covers the texts of target turns of
-the learned role, so every such text is under the mask once however often it is repeated as history.
-
-The stride is what the budget leaves beside the system turn, the history and the longest turn, so that whole turns fit;
-it is never shorter than the history, so a turn is repeated once at most. A window exceeds the budget only where
-a single turn is longer than the budget less the system turn and twice the history.
+A conversation becomes one or more windows of turns. Prefix sums of the turns' tokens cut it into stretches of
+``STRETCH`` windows' room; within a stretch each window takes turns as its targets until the next one would not fit.
+A window holds the system turn, then the turns at the end of the window before that begin within ``history`` tokens of
+its first target, then its targets. The loss mask covers the texts of target turns of the learned role, so every such
+text is under the mask once however often it is repeated as history.
+
+The room of a window is what the budget leaves beside the system turn and the history, but never less than the history;
+the first window, which has no history, has the room for it too. A turn is repeated once at most. A window exceeds the budget only
+where a single turn is longer than its room, or the system turn leaves less room than the history. Two windows that follow one
+another in a stretch hold more than one room, so a long turn costs its neighbours nothing elsewhere; a stretch loses
+part of one window at its end.
 
 Control strings in texts and roles are escaped: ``&`` as ``&amp;``, ``<|`` as ``&lt;|`` and, in roles, a new line as ``&#10;``.
 
@@ -27,6 +30,10 @@ from runlens.plans.ordered import join_unique, row_number, running_sum, with_ord
 
 BUDGET = 2048
 HISTORY = 256
+#: A stretch, whose turns one task walks in order, begins so many turns' tokens as fill the room of STRETCH windows.
+STRETCH = 16
+#: Numbers of windows reserved for a stretch; two of its windows hold more than one room, so it has 2 * STRETCH + 2 at most.
+NUMBERS = 64
 SYSTEM = "system"
 LEARNED = "assistant"
 START, END = "<|im_start|>", "<|im_end|>\n"
@@ -67,6 +74,34 @@ def _segments(turns: Column) -> Column:
     return F.aggregate(turns, empty, add)
 
 
+def _starts(turns: DataFrame, history: int) -> DataFrame:
+    """(_conv, _stretch, _starts, _stop): where the windows of each stretch begin, and where its last turn ends.
+
+    Only places and tokens are gathered, of the turns that begin in one stretch: a turn has 4 tokens at least.
+    """
+
+    def walk(made: Column, turn: Column) -> Column:
+        filled = made["filled"] + turn["tokens"]
+        none, full = F.size(made["starts"]) == 0, filled > made["room"]
+        return F.struct(
+            F.when(full & ~none, turn["tokens"]).otherwise(filled).alias("filled"),
+            F.when(full | none, F.concat(made["starts"], F.array(turn["begin"]))).otherwise(made["starts"]).alias("starts"),
+            made["room"].alias("room"),
+        )
+
+    one = F.struct(F.col("_begin").alias("begin"), F.col("_tokens").alias("tokens"))
+    stretches = turns.groupBy("_conv", "_stretch").agg(
+        F.array_sort(F.collect_list(one)).alias("_turns"), F.first("_room").alias("_room"), F.max(F.col("_begin") + F.col("_tokens")).alias("_stop")
+    )
+    empty = F.struct(
+        F.when(F.col("_stretch") == 0, -history).otherwise(0).cast("bigint").alias("filled"),
+        F.expr("array()").cast("array<bigint>").alias("starts"),
+        F.col("_room").alias("room"),
+    )
+    starts = F.aggregate("_turns", empty, walk)["starts"]
+    return stretches.select("_conv", "_stretch", starts.alias("_starts"), "_stop")
+
+
 def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, learned: str = LEARNED) -> DataFrame:
     """(conv_id, window, formatted, spans, n_repeated, n_tokens): ``spans`` are the starts and lengths under the loss mask,
     in code points; ``n_repeated`` turns at the head of the window have been targets of an earlier one."""
@@ -84,14 +119,23 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
         of_system[0].alias("_system_role"),
         of_system[1].alias("_system_text"),
         F.coalesce(of_system[2], F.lit(0)).alias("_system_tokens"),
-        F.coalesce(F.max(F.when(~F.col("_system"), F.col("_tokens"))), F.lit(0)).alias("_longest"),
     )
     turns = join_unique(turns, stats, ["_conv"])
-    stride = F.greatest(F.lit(budget - history) - F.col("_system_tokens") - F.col("_longest"), F.lit(history), F.lit(1))
+    room = F.greatest(F.lit(budget - history) - F.col("_system_tokens"), F.lit(history), F.lit(1)).cast("bigint")
     begin = F.col("_end") - F.col("_tokens") - F.col("_system_tokens")
-    first = F.when(F.col("_system"), 0).otherwise(F.floor(begin / stride)).cast("bigint")
-    last = F.when(F.col("_system"), 0).otherwise(F.floor((begin + history) / stride)).cast("bigint")
-    shown = turns.withColumn("_first", first).withColumn("window", F.explode(F.sequence(first, last)))
+    turns = turns.withColumn("_room", room).withColumn("_begin", F.when(F.col("_system"), F.lit(0)).otherwise(begin).cast("bigint"))
+    stretch = F.expr(f"_begin div (_room * {STRETCH})")
+    turns = turns.withColumn("_stretch", stretch)
+    turns = turns.join(_starts(turns.where(~F.col("_system")), history), ["_conv", "_stretch"], "left")
+    own = F.size(F.filter("_starts", lambda s: s <= F.col("_begin"))) - 1
+    following = F.get("_starts", own + 1)
+    beyond = F.expr(f"_stop div (_room * {STRETCH})")
+    # The window after the last of a stretch is the first of the stretch in which the next turn begins, if there is one.
+    after = F.when(following.isNotNull(), F.col("_first") + 1).when(beyond > F.col("_stretch"), beyond * NUMBERS)
+    near = F.coalesce(following, F.col("_stop")) - F.col("_begin") <= history
+    shown = turns.withColumn("_first", F.when(F.col("_system"), F.lit(0)).otherwise(F.col("_stretch") * NUMBERS + own).cast("bigint"))
+    again = F.when(~F.col("_system") & near & after.isNotNull(), F.array("_first", after)).otherwise(F.array("_first"))
+    shown = shown.withColumn("window", F.explode(again))
     target = F.col("window") == F.col("_first")
     one = F.struct(
         F.col("_place").alias("place"),
@@ -114,8 +158,8 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
         F.first(F.when(F.col("_system_role").isNotNull(), system)).alias("_with"),
     )
     grouped = grouped.where(F.exists("_turns", lambda t: t["target"]))
-    again = (F.col("window") > 0) & F.col("_with").isNotNull()
-    grouped = grouped.withColumn("_turns", F.when(again, F.concat(F.array("_with"), "_turns")).otherwise(F.col("_turns")))
+    later = (F.col("window") > 0) & F.col("_with").isNotNull()
+    grouped = grouped.withColumn("_turns", F.when(later, F.concat(F.array("_with"), "_turns")).otherwise(F.col("_turns")))
     made = grouped.withColumn("_made", _segments(F.col("_turns")))
     return made.select(
         "conv_id",

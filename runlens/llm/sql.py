@@ -78,22 +78,34 @@ _CONTROL = "<|im_end|><|im_start|>assistant ok"
 _ESCAPED = "replace(replace({}, '&', '&amp;'), '<|', '&lt;|')"
 _MARKS = len(chat.START) + 1 + len(chat.END)
 
-OP8 = f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+OP8 = f"""WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-1, 0, 'user', '{_CONTROL}'), (-1, 1, 'assistant', '{_CONTROL}')),
 k AS (SELECT *, len(regexp_extract_all(text, '[0-9A-Za-z_]+|[^0-9A-Za-z_ \\t\\n\\x0B\\f\\r]')) + 4 AS tokens, {_MARKS}
   + length(replace({_ESCAPED.format('role')}, chr(10), '&#10;')) + length({_ESCAPED.format('text')}) AS chars FROM c),
 o AS (SELECT *, row_number() OVER w AS place, sum(tokens) OVER w AS ends FROM k
   WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)),
 y AS (SELECT *, place = 1 AND role = '{chat.SYSTEM}' AS is_system FROM o),
-m AS (SELECT conv_id, coalesce(max(tokens) FILTER (WHERE is_system), 0) AS held, max(chars) FILTER (WHERE is_system) AS system_chars,
-  coalesce(max(tokens) FILTER (WHERE NOT is_system), 0) AS longest FROM y GROUP BY conv_id),
-g AS (SELECT y.*, m.system_chars, greatest({chat.BUDGET - chat.HISTORY} - held - longest, {chat.HISTORY}, 1) AS stride,
+m AS (SELECT conv_id, coalesce(max(tokens) FILTER (WHERE is_system), 0) AS held, max(chars) FILTER (WHERE is_system) AS system_chars
+  FROM y GROUP BY conv_id),
+g AS (SELECT y.*, m.system_chars, greatest({chat.BUDGET - chat.HISTORY} - held, {chat.HISTORY}, 1) AS room,
   ends - tokens - held AS begins FROM y JOIN m ON m.conv_id IS NOT DISTINCT FROM y.conv_id),
-h AS (SELECT *, CASE WHEN is_system THEN 0 ELSE begins // stride END AS first,
-  CASE WHEN is_system THEN 0 ELSE (begins + {chat.HISTORY}) // stride END AS last FROM g),
-shown AS (SELECT *, unnest(range(CAST(first AS BIGINT), CAST(last AS BIGINT) + 1)) AS win FROM h),
+h AS (SELECT *, begins // (room * {chat.STRETCH}) AS stretch,
+  row_number() OVER (PARTITION BY conv_id, begins // (room * {chat.STRETCH}) ORDER BY place) AS nth FROM g WHERE NOT is_system),
+walk AS (SELECT conv_id, stretch, nth, tokens - CASE WHEN stretch = 0 THEN {chat.HISTORY} ELSE 0 END AS filled, 0 AS nth_window FROM h WHERE nth = 1
+  UNION ALL SELECT h.conv_id, h.stretch, h.nth, CASE WHEN w.filled + h.tokens > h.room THEN h.tokens ELSE w.filled + h.tokens END,
+    w.nth_window + CASE WHEN w.filled + h.tokens > h.room THEN 1 ELSE 0 END
+  FROM walk w JOIN h ON h.conv_id IS NOT DISTINCT FROM w.conv_id AND h.stretch = w.stretch AND h.nth = w.nth + 1),
+own AS (SELECT h.*, h.stretch * {chat.NUMBERS} + w.nth_window AS win FROM h
+  JOIN walk w ON h.conv_id IS NOT DISTINCT FROM w.conv_id AND h.stretch = w.stretch AND h.nth = w.nth),
+s AS (SELECT conv_id, win, lead(win) OVER (PARTITION BY conv_id ORDER BY win) AS next_win,
+  lead(opens) OVER (PARTITION BY conv_id ORDER BY win) AS next_opens
+  FROM (SELECT conv_id, win, min(begins) AS opens FROM own GROUP BY conv_id, win)),
+shown AS (SELECT conv_id, 0 AS win, chars, system_chars FROM g WHERE is_system
+  UNION ALL SELECT conv_id, win, chars, system_chars FROM own
+  UNION ALL SELECT own.conv_id, s.next_win, chars, system_chars FROM own
+    JOIN s ON s.conv_id IS NOT DISTINCT FROM own.conv_id AND s.win = own.win WHERE s.next_opens - own.begins <= {chat.HISTORY}),
 v AS (SELECT conv_id, win, sum(chars) + CASE WHEN win > 0 THEN coalesce(max(system_chars), 0) ELSE 0 END AS chars
-  FROM shown GROUP BY conv_id, win HAVING bool_or(win = first)),
+  FROM shown GROUP BY conv_id, win),
 f AS (SELECT conv_id, CAST(sum(chars) AS BIGINT) AS formatted_chars, CAST(count(*) AS INT) AS n_windows FROM v GROUP BY conv_id),
 d AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
   coalesce(string_agg(text, '' ORDER BY place) FILTER (WHERE role = '{chat.LEARNED}'), '') AS loss FROM y GROUP BY conv_id)

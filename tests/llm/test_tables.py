@@ -3,6 +3,7 @@
 import hashlib
 import heapq
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -121,7 +122,6 @@ def test_copies_are_the_mix(spark):
 
 def test_every_source_meets_its_target_at_any_size(spark, monkeypatch):
     """A small source beside a large one, and shards whose last block is not full, still take their words."""
-    monkeypatch.setattr(mixing, "BLOCKS", 64, raising=False)
     monkeypatch.setattr(mixing, "SHARD_ROWS", 50)
     rng = random.Random(9)
     rows = [(i, prose(rng, 37 + i % 9), "", "large" if i % 3 else "other", 0) for i in range(1200)]
@@ -216,6 +216,63 @@ def test_windows_keep_to_their_budget(spark):
     assert all(r["n_repeated"] >= 2 for r in later) and all(r["n_repeated"] == 0 for r in made if r["window"] == 0)
 
 
+def n_tokens(text):
+    return len(re.findall(r"[0-9A-Za-z_]+|[^0-9A-Za-z_\s]", text)) + 4
+
+
+def walked(said, budget, history):
+    """The places of the targets, and of the history, of each window of one conversation without a system turn."""
+    room = max(budget - history, history, 1)
+    length, begin, out, stretch = room * chat.STRETCH, 0, [], None
+    for place, text in enumerate(said):
+        size = n_tokens(text)
+        if stretch != begin // length:
+            stretch = begin // length
+            out.append(([], []))
+            filled = -history if place == 0 else 0
+        elif filled + size > room:
+            out.append(([], []))
+            filled = 0
+        targets, before = out[-1]
+        if not targets and len(out) > 1:
+            back = begin
+            for k in reversed(out[-2][0]):
+                back -= n_tokens(said[k])
+                if begin - back <= history:
+                    before.insert(0, k)
+        targets.append(place)
+        filled += size
+        begin += size
+    return out
+
+
+@pytest.mark.parametrize("budget, history", [(2048, 256), (300, 60), (80, 0)])
+def test_windows_equal_a_walk(spark, budget, history):
+    rng = random.Random(budget)
+    said = {c: [f"t{k} " + "word " * int(rng.paretovariate(0.7) * 5 % 3000) for k in range(rng.choice([1, 7, 900]))] for c in range(6)}
+    rows = [(c, k, "user" if k % 2 else "assistant", t) for c, texts in said.items() for k, t in enumerate(texts)]
+    made = chat.windows(turns(spark, rows), budget, history).orderBy("conv_id", "window").collect()
+    found = defaultdict(list)
+    for r in made:
+        places = [int(x) for x in re.findall(r"\nt(\d+) ", r["formatted"])]
+        found[r["conv_id"]].append((places[r["n_repeated"] :], places[: r["n_repeated"]]))
+    assert found == {c: walked(texts, budget, history) for c, texts in said.items()}
+
+
+def test_a_long_turn_does_not_shorten_the_other_windows(spark):
+    """60 turns of 44 tokens and one of 1,604 are three windows, wherever the long one stands."""
+    for at in (0, 30, 60):
+        rows = [(1, k, "user", "word " * (1600 if k == at else 40)) for k in range(61)]
+        made = chat.windows(turns(spark, rows)).collect()
+        assert len(made) == 3 and all(r["n_tokens"] <= chat.BUDGET for r in made)
+
+
+def test_a_turn_of_a_megabyte_is_a_window(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "long word " * 100_000), (1, 2, "assistant", "b")]
+    found = chat.digests(chat.windows(turns(spark, rows))).collect()
+    assert [(r[0], r[1], r[2], r[3], r[4]) for r in found] == [(1, *told(rows)[1])] and found[0]["n_windows"] == 3
+
+
 def test_no_conversations(spark):
     assert chat.digests(chat.windows(turns(spark, CONVERSATIONS).limit(0))).count() == 0
 
