@@ -543,3 +543,5 @@ FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL
 FROM events GROUP BY event_type""",
     "value_quantiles": "SELECT event_type, quantile_cont(value, 0.95) AS quantile_value, count(DISTINCT user_id) AS n_distinct FROM events GROUP BY event_type",
 }
+
+ORACLES |= {"log_table_lines": ORACLES["stored_run_logs"], "log_table_guard": ORACLES["guarded_run_logs"]}

@@ -4,14 +4,17 @@ A plain window sends every row of a group to one task. Here the largest groups a
 chunks of consecutive rows, the window runs per (group, chunk), and each chunk is corrected
 with what the chunks before it add up to.
 
-* Which groups: the ``max_groups`` largest of those with at least ``min_rows`` rows. Any group
-  left whole is either small, or holds less than ``1 / max_groups`` of all rows.
-* Where to cut: at quantiles of the full order, ties included, read off about ``SAMPLE_ROWS`` rows
-  of the group. The cuts only steer the distribution of work; the results are exact wherever they
-  fall. The rows are chosen by hash and sorted, so every evaluation of the plan, a retried
-  task's included, cuts in the same places.
-* What is broadcast: cuts and corrections, at most ``max_groups`` x (``chunks`` + 1) rows,
-  however large the data is.
+* Which groups: those with at least ``min_rows`` rows; of more than ``MAX_GROUPS`` such groups the
+  largest, so a group left whole is small or holds less than 1/65,536 of all rows.
+* Into how many chunks: one for ``min_rows / 4`` rows, or for 1/262,144 of the rows of all hot groups
+  if that is more, and at most ``MAX_CHUNKS`` in one group.
+* Where to cut: at quantiles of the full order, ties included, read off a sample of the group: 64
+  rows a chunk, ``SAMPLE_ROWS`` at least. The cuts only steer the distribution of work; the results are
+  exact wherever they fall. The rows are chosen by hash and sorted, so every evaluation of the plan, a
+  retried task's included, cuts in the same places. A row finds its chunk in two steps of at most
+  ``STEP`` cuts, so it never meets the whole list of a large group.
+* What is broadcast: cuts and corrections, at most one per chunk: two in 1/262,144 of the rows, four
+  a group, so below 524,288 of them however large the data is.
 
 Without a large group the extra work is one count per group: adaptive execution drops the
 rest of the plan once that count comes back empty.
@@ -27,17 +30,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 
+#: Bounds of what is broadcast, whatever the data: groups cut, chunks of them all together, and of one.
+MAX_GROUPS, ALL_CHUNKS, MAX_CHUNKS = 1 << 16, 1 << 18, 1 << 12
+#: Cuts that a row is compared with at a time.
+STEP = 64
+SAMPLE_ROWS = 16_384
+
+
 @dataclass(frozen=True)
 class HotGroups:
-    """When a group is cut, and into how many chunks."""
+    """When a group is cut, and into how many chunks; by its rows unless ``chunks`` says it."""
 
     min_rows: int = 4_000_000
-    max_groups: int = 1024
-    chunks: int = 128
+    max_groups: int = MAX_GROUPS
+    chunks: int | None = None
 
 
 DEFAULT = HotGroups()
-SAMPLE_ROWS = 16_384
 
 
 @dataclass(frozen=True)
@@ -77,14 +86,20 @@ def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], renamed: Seque
 
 
 def largest_groups(df: DataFrame, keys: Sequence[str], names: Sequence[str], hot: HotGroups) -> DataFrame:
-    """The hot groups' keys, as ``names``, with their ``_rows``: at most ``max_groups`` rows."""
-    return (
+    """The hot groups' keys, as ``names``, with their ``_rows`` and ``_chunks``: at most ``max_groups`` rows."""
+    largest = (
         df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)])
         .agg(F.count(F.lit(1)).alias("_rows"))
         .where(F.col("_rows") >= hot.min_rows)
         .orderBy(F.desc("_rows"), *names)
         .limit(hot.max_groups)
     )
+    if hot.chunks:
+        return largest.withColumn("_chunks", F.lit(hot.chunks))
+    # The limit has left one partition of bounded size, so this sum moves nothing.
+    share = F.sum("_rows").over(Window.partitionBy(F.lit(0))) / ALL_CHUNKS
+    chunks = F.ceil(F.col("_rows") / F.greatest(share, F.lit(hot.min_rows / 4)))
+    return largest.withColumn("_chunks", F.least(F.greatest(chunks, F.lit(2)), F.lit(MAX_CHUNKS)).cast("int"))
 
 
 def join_unique(
@@ -98,7 +113,7 @@ def join_unique(
     """Left or inner join to a table with one row per key, when some keys may hold much of
     ``left``.
 
-    Rows of a hot key are spread over ``chunks`` parts, and its one partner is repeated for each
+    Rows of a hot key are spread over its ``_chunks`` parts, and its one partner is repeated for each
     part. NULL keys match nothing and may be hot too. Spark splits skewed joins itself, but not
     where an aggregate gives one side of the join. ``counted`` may be a cheaper frame to count
     the keys in; it need only hold every hot key.
@@ -106,19 +121,19 @@ def join_unique(
     keys = list(keys)
     names = [f"_hot_{i}" for i in range(len(keys))]
     largest = largest_groups(left if counted is None else counted, keys, names, hot).drop("_rows")
-    largest = F.broadcast(largest.withColumn("_is_hot", F.lit(True)))
+    largest = F.broadcast(largest)
     hashable = [f.name for f in left.schema if "map<" not in f.dataType.simpleString()]
-    spread = F.when(F.col("_is_hot"), F.pmod(F.xxhash64(*hashable), F.lit(hot.chunks)))
+    spread = F.pmod(F.xxhash64(*hashable), F.col("_chunks"))
     first = F.lit(0).cast("bigint")
     one = left.join(largest, _same(left, largest, keys, names), "left").withColumn("_part", F.coalesce(spread, first))
-    parts = F.when(F.col("_is_hot"), F.sequence(first, F.lit(hot.chunks - 1).cast("bigint"))).otherwise(F.array(first))
+    parts = F.coalesce(F.sequence(first, F.col("_chunks").cast("bigint") - 1), F.array(first))
     other = right.join(largest, _same(right, largest, keys, names), "left").withColumn("_part", F.explode(parts))
-    return one.drop("_is_hot", *names).join(other.drop("_is_hot", *names), [*keys, "_part"], how).drop("_part")
+    return one.drop("_chunks", *names).join(other.drop("_chunks", *names), [*keys, "_part"], how).drop("_part")
 
 
-def _number_passed(cuts: str, value: Column, chunks: int) -> Column:
-    """How many of the ascending ``cuts`` the value has reached, by halving the range."""
-    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range(chunks.bit_length()))])
+def _number_passed(cuts: str, value: Column) -> Column:
+    """How many of the fewer than ``STEP`` ascending ``cuts`` the value has reached, by halving the range; none of NULL."""
+    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range((STEP - 1).bit_length()))])
 
     def take(passed: Column, step: Column) -> Column:
         return passed + F.when(F.get(cuts, passed + step - 1) <= value, step).otherwise(0)
@@ -140,26 +155,32 @@ def cut_hot_groups(
     names = [f"_hot_{i}" for i in range(len(keys))]
     largest = largest_groups(source, keys, names, hot)
     narrow = source.select(*keys, F.struct(*order).alias("_at"), F.xxhash64(*order).alias("_spread"))
-    places = F.sequence(F.lit(1), F.lit(hot.chunks - 1))
+    sample = F.greatest(F.lit(SAMPLE_ROWS), F.col("_chunks") * 64)
+    places = F.sequence(F.lit(1), F.col("_chunks") - 1)
     cuts = (
         narrow.join(F.broadcast(largest), _same(narrow, largest, keys, names))
-        .where(F.pmod("_spread", F.greatest(F.floor(F.col("_rows") / SAMPLE_ROWS), F.lit(1))) == 0)
-        .groupBy(*names)
+        .where(F.pmod("_spread", F.greatest(F.floor(F.col("_rows") / sample), F.lit(1))) == 0)
+        .groupBy(*names, "_chunks")
         .agg(F.sort_array(F.collect_list("_at")).alias("_seen"))
         .select(
             *names,
             F.array_distinct(
-                F.transform(places, lambda i: F.get("_seen", F.floor(i * F.size("_seen") / hot.chunks).cast("int")))
+                F.transform(places, lambda i: F.get("_seen", F.floor(i * F.size("_seen") / F.col("_chunks")).cast("int")))
             ).alias("_cuts"),
         )
     )
-    marked = df.join(F.broadcast(cuts), _same(df, cuts, keys, names), "left")
-    passed = _number_passed("_cuts", F.struct(*order), hot.chunks)
-    return (
-        marked.withColumn("_chunk", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(passed))
-        .withColumn("_is_hot", F.col("_cuts").isNotNull())
-        .drop("_cuts", "_rows", *names)
-    )
+    # Every STEP-th cut decides a stretch, and the cuts within that stretch the chunk.
+    wide = cuts.select(*names, F.filter("_cuts", lambda c, i: (i + 1) % STEP == 0).alias("_wide"))
+    stretches = F.sequence(F.lit(0), F.floor(F.size("_cuts") / STEP).cast("int"))
+    within = F.transform(stretches, lambda i: F.slice("_cuts", i * STEP + 1, F.lit(STEP - 1)))
+    near = cuts.select(*names, F.posexplode(within).alias("_near_of", "_near"))
+    value = F.struct(*order)
+    marked = df.join(F.broadcast(wide), _same(df, wide, keys, names), "left")
+    marked = marked.select(*[df[c] for c in df.columns], F.col("_wide").isNotNull().alias("_is_hot"), _number_passed("_wide", value).alias("_stretch"))
+    found = _same(marked, near, keys, names) & (marked["_stretch"] == near["_near_of"])
+    marked = marked.join(F.broadcast(near), found, "left")
+    chunk = F.col("_stretch") * STEP + _number_passed("_near", value)
+    return marked.select(*[marked[c] for c in df.columns], chunk.alias("_chunk"), "_is_hot")
 
 
 @dataclass

@@ -534,19 +534,18 @@ def stored_claims(spark, sf):
 
 @query
 def stored_inventory(spark, sf):
-    """R-01. The inventory written as a settings file and read back."""
+    """R-01. The inventory written as one JSON object per node and read back."""
     path = new_folder(spark, "inventory")
     node = F.struct(
-        "node_pos",
+        F.col("node_pos").alias("position"),
         F.col("node_id").alias("id"),
         F.col("is_for_profiling").alias("isForProfiling"),
         "cost",
         F.col("worker_url").alias("workerUrl"),
         "resources",
     )
-    listed = F.transform(F.array_sort(F.collect_list(node)), lambda n: n.dropFields("node_pos"))
-    fx.nodes(spark, sf).agg(F.to_json(listed).alias("value")).write.text(path)
-    nodes = capacity.node_gpu_total(sources.read_nodes(spark, f"{path}/*.txt"))
+    fx.nodes(spark, sf).select(F.to_json(node).alias("value")).write.text(path)
+    nodes = capacity.node_gpu_total(sources.read_node_lines(spark, path))
     return nodes.select("node_id", "node_pos", "is_for_profiling", F.round("cost", 6).alias("cost"), "worker_url", "total_gpus")
 
 
@@ -587,15 +586,15 @@ def stored_submissions(spark, sf):
     return checked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("command")).cast("bigint").alias("n_words"))
 
 
-def _stored_logs(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
-    """fx_log with ids for its jobs and lines numbered per job, appended to folders in two parts."""
+def _stored_logs(spark: SparkSession, sf: str, write=sources.write_run_logs) -> tuple[DataFrame, str]:
+    """fx_log with ids for its jobs and lines numbered per job, appended in two parts."""
     path = new_folder(spark, "logs")
     hashed = F.md5("run_id")
     parts = [F.substring(hashed, start, size) for start, size in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     log = fx.log(spark, sf).drop("line_no").withColumn("job_id", F.concat_ws("-", *parts))
     log = with_ordered(log, ["job_id"], ["ts", "event_id"], {"line_no": row_number()})
     for append, part in enumerate((F.col("line_no") <= 3, F.col("line_no") > 3)):
-        sources.write_run_logs(log.where(part), path, append)
+        write(log.where(part), path, append)
     return log, path
 
 
@@ -617,6 +616,24 @@ def guarded_run_logs(spark, sf):
     return kept.withColumn("is_kept", F.lit(True)).union(refused.withColumn("is_kept", F.lit(False)))
 
 
+@query
+def log_table_lines(spark, sf):
+    """R-05, R-07. As stored_run_logs, from one table with a manifest; only buckets of the jobs asked for are opened."""
+    log, path = _stored_logs(spark, sf, sources.append_log_table)
+    known = log.where("line_no = 1 and event_id % 2 = 0").select(F.col("job_id").alias("id"))
+    return sources.read_log_table(spark, path, jobs=known)
+
+
+@query
+def log_table_guard(spark, sf):
+    """R-06. As guarded_run_logs, decided by the manifest."""
+    _, path = _stored_logs(spark, sf, sources.append_log_table)
+    limit = 600
+    kept = sources.read_log_table(spark, path, max_bytes=limit).groupBy("job_id").agg(F.count(F.lit(1)).alias("n_lines"))
+    refused = sources.refused_in_table(spark, path, limit).select("job_id", F.lit(0).cast("bigint").alias("n_lines"))
+    return kept.withColumn("is_kept", F.lit(True)).union(refused.withColumn("is_kept", F.lit(False)))
+
+
 # Run logs
 
 

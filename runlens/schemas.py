@@ -60,6 +60,9 @@ NODES_FILE = T.ArrayType(
     )
 )
 
+#: A node of an inventory by lines, as DDL.
+NODE_LINE = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in NODES_FILE.elementType) + ", position bigint"
+
 NODES = T.StructType(
     [
         T.StructField("node_id", T.StringType()),

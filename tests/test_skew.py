@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from runlens.operators import lifecycle, runs
+from runlens.plans import ordered
 from runlens.plans.ordered import (
     HotGroups,
     cut_hot_groups,
@@ -162,3 +163,34 @@ def test_plan_round_with_hot_types(spark):
     cut = plan_round(*tables, hot=HotGroups(min_rows=5, max_groups=10, chunks=4)).collect()
     whole = plan_round(*tables).collect()
     assert sorted(map(repr, cut)) == sorted(map(repr, whole)) and len(whole) == 259
+
+
+def test_many_hot_groups_are_all_cut(spark):
+    """5,000 hot groups: none is left whole, and the number of their chunks follows their rows."""
+    rows = spark.range(200_000).select("id", (F.col("id") % 5_000).alias("key"), F.xxhash64("id").alias("at"))
+    cut = cut_hot_groups(rows, ["key"], ["at", "id"], HotGroups(min_rows=40))
+    sizes = cut.groupBy("key", "_chunk").count().groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("count").alias("most"))
+    assert sizes.where("n = 4 AND most <= 12").count() == 5_000
+
+
+def test_a_large_group_is_cut_in_two_steps(spark):
+    """More chunks than one step tells apart, still in order and of like size, and the columns right."""
+    rows = spark.range(60_000).select("id", F.when(F.col("id") % 3 == 0, F.col("id") % 900).otherwise(-1).alias("key"), F.xxhash64("id").alias("at"))
+    hot = HotGroups(min_rows=400)
+    cut = cut_hot_groups(rows, ["key"], ["at", "id"], hot).where("key = -1")
+    chunks = cut.groupBy("_chunk").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("low"), F.max("at").alias("high")).orderBy("_chunk").collect()
+    assert len(chunks) == 400 and max(c["n"] for c in chunks) <= 300
+    assert all(one["high"] < other["low"] for one, other in zip(chunks, chunks[1:]))
+    order = Window.partitionBy("key").orderBy("at", "id")
+    ours = with_ordered(rows, ["key"], ["at", "id"], {"n": row_number(), "before": previous("id")}, hot)
+    plain = rows.select("*", F.row_number().over(order).cast("bigint").alias("n"), F.lag("id").over(order).alias("before"))
+    assert ours.exceptAll(plain).count() == 0 and ours.count() == 60_000
+
+
+def test_chunks_stay_within_their_bounds(spark, monkeypatch):
+    """However many rows there are, a group has at most MAX_CHUNKS chunks, and all together about ALL_CHUNKS."""
+    monkeypatch.setattr(ordered, "MAX_CHUNKS", 32)
+    monkeypatch.setattr(ordered, "ALL_CHUNKS", 64)
+    rows = spark.range(4_000).select(F.when(F.col("id") < 3_000, F.lit(0)).otherwise(F.col("id") % 5).alias("key"))
+    found = {r["_k"]: r["_chunks"] for r in ordered.largest_groups(rows, ["key"], ["_k"], HotGroups(min_rows=4)).collect()}
+    assert found == {0: 32, **dict.fromkeys(range(1, 5), 4)}
