@@ -11,8 +11,8 @@ with what the chunks before it add up to.
 * Where to cut: at quantiles of the full order, ties included, read off a sample of the group: 64
   rows a chunk, ``SAMPLE_ROWS`` at least. The cuts only steer the distribution of work; the results are
   exact wherever they fall. The rows are chosen by hash and sorted, so every evaluation of the plan, a
-  retried task's included, cuts in the same places. A row finds its chunk in two steps of at most
-  ``STEP`` cuts, so it never meets the whole list of a large group.
+  retried task's included, cuts in the same places. A row finds its chunk by halving the list of its
+  group's cuts.
 * What is broadcast: cuts and corrections, at most one per chunk: two in 1/262,144 of the rows, four
   a group, so below 524,288 of them however large the data is.
 
@@ -32,8 +32,6 @@ from pyspark.sql.types import BooleanType
 
 #: Bounds of what is broadcast, whatever the data: groups cut, chunks of them all together, and of one.
 MAX_GROUPS, ALL_CHUNKS, MAX_CHUNKS = 1 << 16, 1 << 18, 1 << 12
-#: Cuts that a row is compared with at a time.
-STEP = 64
 SAMPLE_ROWS = 16_384
 
 
@@ -131,9 +129,9 @@ def join_unique(
     return one.drop("_chunks", *names).join(other.drop("_chunks", *names), [*keys, "_part"], how).drop("_part")
 
 
-def _number_passed(cuts: str, value: Column) -> Column:
-    """How many of the fewer than ``STEP`` ascending ``cuts`` the value has reached, by halving the range; none of NULL."""
-    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range((STEP - 1).bit_length()))])
+def _number_passed(cuts: str, value: Column, chunks: int) -> Column:
+    """How many of the ascending ``cuts``, fewer than ``chunks``, the value has reached, by halving the range."""
+    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range((chunks - 1).bit_length()))])
 
     def take(passed: Column, step: Column) -> Column:
         return passed + F.when(F.get(cuts, passed + step - 1) <= value, step).otherwise(0)
@@ -169,18 +167,13 @@ def cut_hot_groups(
             ).alias("_cuts"),
         )
     )
-    # Every STEP-th cut decides a stretch, and the cuts within that stretch the chunk.
-    wide = cuts.select(*names, F.filter("_cuts", lambda c, i: (i + 1) % STEP == 0).alias("_wide"))
-    stretches = F.sequence(F.lit(0), F.floor(F.size("_cuts") / STEP).cast("int"))
-    within = F.transform(stretches, lambda i: F.slice("_cuts", i * STEP + 1, F.lit(STEP - 1)))
-    near = cuts.select(*names, F.posexplode(within).alias("_near_of", "_near"))
-    value = F.struct(*order)
-    marked = df.join(F.broadcast(wide), _same(df, wide, keys, names), "left")
-    marked = marked.select(*[df[c] for c in df.columns], F.col("_wide").isNotNull().alias("_is_hot"), _number_passed("_wide", value).alias("_stretch"))
-    found = _same(marked, near, keys, names) & (marked["_stretch"] == near["_near_of"])
-    marked = marked.join(F.broadcast(near), found, "left")
-    chunk = F.col("_stretch") * STEP + _number_passed("_near", value)
-    return marked.select(*[marked[c] for c in df.columns], chunk.alias("_chunk"), "_is_hot")
+    marked = df.join(F.broadcast(cuts), _same(df, cuts, keys, names), "left")
+    passed = _number_passed("_cuts", F.struct(*order), hot.chunks or MAX_CHUNKS)
+    return (
+        marked.withColumn("_chunk", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(passed))
+        .withColumn("_is_hot", F.col("_cuts").isNotNull())
+        .drop("_cuts", *names)
+    )
 
 
 @dataclass

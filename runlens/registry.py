@@ -616,10 +616,14 @@ def guarded_run_logs(spark, sf):
     return kept.withColumn("is_kept", F.lit(True)).union(refused.withColumn("is_kept", F.lit(False)))
 
 
+def _write_table(lines: DataFrame, path: str, append: int) -> None:
+    sources.append_log_table(lines, path, append, buckets=16)
+
+
 @query
 def log_table_lines(spark, sf):
     """R-05, R-07. As stored_run_logs, from one table with a manifest; only buckets of the jobs asked for are opened."""
-    log, path = _stored_logs(spark, sf, sources.append_log_table)
+    log, path = _stored_logs(spark, sf, _write_table)
     known = log.where("line_no = 1 and event_id % 2 = 0").select(F.col("job_id").alias("id"))
     return sources.read_log_table(spark, path, jobs=known)
 
@@ -627,7 +631,7 @@ def log_table_lines(spark, sf):
 @query
 def log_table_guard(spark, sf):
     """R-06. As guarded_run_logs, decided by the manifest."""
-    _, path = _stored_logs(spark, sf, sources.append_log_table)
+    _, path = _stored_logs(spark, sf, _write_table)
     limit = 600
     kept = sources.read_log_table(spark, path, max_bytes=limit).groupBy("job_id").agg(F.count(F.lit(1)).alias("n_lines"))
     refused = sources.refused_in_table(spark, path, limit).select("job_id", F.lit(0).cast("bigint").alias("n_lines"))
