@@ -178,12 +178,8 @@ def bitmap_bits(values: float) -> int:
     return int(min(MOST_BITMAP, max(LEAST_BITMAP, np.ceil(np.log2(max(values, 1))) + 4)))
 
 
-def union_of_bits(frame: DataFrame, places: Callable[[pa.RecordBatch], np.ndarray], bits: int) -> np.ndarray:
-    """The bytes of a bitmap in which each batch sets the bits at its ``places``.
-
-    Every task sends the words that it set, equal words are joined in the shuffle, and what reaches the driver is
-    never more than the bitmap.
-    """
+def bits_set(frame: DataFrame, places: Callable[[pa.RecordBatch], np.ndarray], bits: int) -> DataFrame:
+    """The words of a bitmap, and their bits, that each task sets at the ``places`` of its batches."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(1 << bits >> 3, np.uint8)
@@ -194,12 +190,30 @@ def union_of_bits(frame: DataFrame, places: Callable[[pa.RecordBatch], np.ndarra
         some = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(words[some])], ["word", "bits"])
 
-    joined = frame.mapInArrow(fill, "word int, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    return frame.mapInArrow(fill, "word int, bits bigint")
+
+
+def union_of_bits(frame: DataFrame, places: Callable[[pa.RecordBatch], np.ndarray], bits: int) -> np.ndarray:
+    """The bytes of a bitmap in which each batch sets the bits at its ``places``.
+
+    Every task sends the words that it set, equal words are joined in the shuffle, and what reaches the driver is
+    never more than the bitmap.
+    """
+    joined = bits_set(frame, places, bits).groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(1 << bits >> 6, np.int64)
     out[joined["word"].to_numpy()] = joined["bits"].to_numpy()
     return out.view(np.uint8)
 
 
+def owners_of(found: DataFrame) -> DataFrame:
+    """The owners in rows of FOUND, all entries of one owner in one task.
+
+    Entries are found by key, so most tasks hold some of almost every owner. A bitmap of them as they lie sends each
+    owner's word once a task; of these it sends no more words than there are owners, however many tasks there are.
+    """
+    return found.select("part", "owners").repartition("part").select("owners")
+
+
 def bitmap_of(frame: DataFrame, bits: int) -> Bitmap:
     """A bitmap of the first column, numbers or arrays of them."""
 

@@ -241,11 +241,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
 
     marks = repeats.bitmap_bits(everywhere)
     anchors = written(spark, anchors, "anchors")
-    holders = repeats.among(named.select("doc_id", "text"), repeats.bitmap_of(anchors.select("owners"), marks))
+    holders = repeats.among(named.select("doc_id", "text"), repeats.bitmap_of(repeats.owners_of(anchors), marks))
     holders = repeats.by_part(holders, "doc_id", parts).groupBy("_part")
     sent = holders.cogroup(anchors.groupBy("part")).applyInArrow(around, repeats.ENTRIES)
     later = written(spark, repeats.meet(sent, repeats.later, parts, bits), "later")
-    held = repeats.bitmap_of(later.select("owners"), marks)
+    held = repeats.bitmap_of(repeats.owners_of(later), marks)
     changed = repeats.by_part(repeats.among(named, held), "doc_id", parts).groupBy("_part")
     changed = changed.cogroup(later.groupBy("part")).applyInArrow(finish, result)
     outside = spark.sparkContext.broadcast((held.bits, held.data.tobytes()))

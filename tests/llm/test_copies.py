@@ -6,8 +6,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from llm.brute import awkward, classes, frame, prose, repeats, words
+from pyspark.sql import functions as F
 
 from runlens.llm import jaccard, substrings
+from runlens.llm import repeats as keyed
 from runlens.llm.components import components
 from runlens.llm.words import slices
 
@@ -72,6 +74,37 @@ def test_carried_rows_keep_every_column(spark):
     assert set(found[0]["row"].asDict()) == set(docs.columns) - {"text"}
 
 
+@pytest.mark.parametrize("tasks", [4, 32])
+def test_each_owner_is_marked_by_one_task(spark, tasks):
+    """Every task holds entries of every owner: what they send follows the owners, not the owners of each task."""
+    found = spark.range(0, tasks * 600, 1, tasks).select((F.col("id") % 600).alias("owner"))
+    found = found.select((F.col("owner") % 7).cast("int").alias("part"), F.array("owner").alias("owners"), F.array(F.lit(0)).alias("places"))
+    owners = np.arange(600)
+    marks = keyed.bitmap_of(keyed.owners_of(found), 20)
+    assert marks.has(owners).all()
+    assert keyed.bitmap_of(found.select("owners"), 20).data.tobytes() == marks.data.tobytes()
+    sent = keyed.bits_set(keyed.owners_of(found), lambda batch: keyed.Bitmap.places(batch.column(0).flatten().to_numpy(), 20), 20)
+    assert sent.count() <= len(owners)
+
+
+def test_words_sent_for_bitmaps_follow_the_documents(spark, monkeypatch):
+    """Copies of one text, read in many tasks: neither bitmap takes more words than there are documents."""
+    rng, counts, bits_set = random.Random(17), [], keyed.bits_set
+
+    def counted(frame, places, bits):
+        sent = bits_set(frame, places, bits)
+        counts.append(sent.count())
+        return sent
+
+    monkeypatch.setattr(keyed, "bits_set", counted)
+    text = prose(rng, 400, 9999)
+    rows = [(i, f"{prose(rng, 5, 9999)} {text}", "", "", 0) for i in range(300)]
+    found = substrings.remove_repeats(frame(spark, rows, 24)).collect()
+    expected = repeats(rows)
+    assert all(tuple(r)[1:] == expected[rows[r["doc_id"]][:2]] for r in found) and len(found) == 300
+    assert len(counts) == 2 and 0 < min(counts) and max(counts) <= 300
+
+
 def test_empty_tables(spark):
     docs = frame(spark, awkward()).limit(0)
     assert substrings.remove_repeats(docs).count() == 0
