@@ -1,15 +1,21 @@
 """Readers and writers."""
 
+import gzip
+import itertools
 import json
+import uuid
 from datetime import UTC, datetime
 
+import pytest
 from helpers import jobs, rows
 from pyspark.sql import functions as F
 
 from runlens import sources
 from runlens.operators.submissions import validate_submissions
+from runlens.sources import readers, writers
 
 A, B = "0f8fad5b-d9cb-469f-a165-70867728950e", "7c9e6679-7425-40de-944b-e07fc1f90ae7"
+LINE = "job_id string, line_no bigint, line string"
 
 
 def test_inventory_has_aliases_defaults_and_order(spark, tmp_path):
@@ -133,6 +139,103 @@ def test_no_log_is_refused_in_silence(spark, tmp_path):
     assert rows(sources.log_sizes(spark, path)) == [(A, 93), (B, 6)]
 
 
+def most_tasks(spark, run):
+    """The most tasks of a stage that ``run`` starts, and what it gives."""
+    context = spark.sparkContext
+    context.setJobGroup(group := uuid.uuid4().hex, "test")
+    given = run()
+    context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    return max(s.numTasks for s in stages if s), given
+
+
+def many_logs(spark, path):
+    ids = [F.substring(F.md5(F.col("id").cast("string")), at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    lines = spark.range(2000).withColumn("id", F.col("id") % 1000)
+    lines = lines.select(F.concat_ws("-", *ids).alias("job_id"), F.lit(1).cast("bigint").alias("line_no"), F.lit("ü").alias("line"))
+    for append in range(2):
+        sources.write_run_logs(lines, path, append)
+
+
+def test_a_log_of_many_costs_one_file_an_append(spark, tmp_path):
+    """No checksum file beside it, which cost three processes each. Logs are listed and read by few tasks."""
+    path = str(tmp_path / "logs")
+    many_logs(spark, path)
+    assert len(list(tmp_path.rglob("part-*"))) == 2000 and not list(tmp_path.rglob(".part-*"))
+    assert [f.name for f in (tmp_path / "logs").iterdir() if not f.name.startswith("job_id=")] == ["_SUCCESS"]
+    tasks, read = most_tasks(spark, lambda: sources.read_run_logs(spark, path).groupBy("line_no", "line").count().collect())
+    assert tasks <= 16 * spark.sparkContext.defaultParallelism < 1000
+    assert sorted(map(tuple, read)) == [(n, "ü", 1000) for n in (1, 2, 3, 4)]
+
+
+def test_sinks_write_the_same_folders(spark, tmp_path, monkeypatch):
+    """Written by tasks or by Spark's writer, odd ids, NULLs and bytes that are no text included. A second write adds to them."""
+    odd = [None, "", "a/b=c", "x y%{z}^", "ü", *map(chr, range(1, 32)), A]
+    lines = spark.createDataFrame([(j, n, None if n == 3 else f"{n}") for j in odd for n in range(5)], LINE)
+    lines = lines.union(spark.range(1).selectExpr(f"'{B}'", "7L", "CAST(X'66FF0A80' AS STRING)"))
+    for name, mounted in (("tasks", writers.mounted_path), ("spark", lambda *_: None)):
+        monkeypatch.setattr(writers, "mounted_path", mounted)
+        for append in (0, 0, 1):
+            sources.write_run_logs(lines.repartition(3), f"file://{tmp_path}/{name}", append, chunk=2)
+    written = []
+    for name in ("tasks", "spark"):
+        files = sorted((str(f.parent.relative_to(tmp_path / name)), f.read_bytes()) for f in (tmp_path / name).rglob("part-*"))
+        # NULL and "" are one folder, and may be one file or two there.
+        written.append([(folder, b"".join(c for _, c in group)) for folder, group in itertools.groupby(files, key=lambda f: f[0])])
+    assert written[0] == written[1] and len(written[0]) == 2 * (3 * (len(odd) - 1) + 1)
+
+
+def test_a_failed_append_leaves_nothing(spark, tmp_path):
+    path = str(tmp_path / "logs")
+    lines = spark.range(100).selectExpr(f"'{A}' AS job_id", "id AS line_no", "IF(id = 99, raise_error('no'), 'x') AS line")
+    with pytest.raises(Exception, match="no"):
+        sources.write_run_logs(lines, path, 0, chunk=10)
+    assert list((tmp_path / "logs").iterdir()) == []
+
+
+BYTES = [b"", b"\n", b"a", b"a\n\n", b"a\r\nb\rc\n\rd", b"\xef\xbb\xbfa\n\xef\xbb\xbfb", b"\xef\xbb\xbf", b"\xff\xfe\n\xc3", "ü\u2028\x85x\n".encode()]
+
+
+@pytest.mark.parametrize("whole", (0, 4, 1 << 20))
+def test_files_read_whole_and_by_lines_agree(spark, tmp_path, monkeypatch, whole):
+    """Every kind of line end, with files of a log read as one value, by lines, and some of them packed."""
+    monkeypatch.setattr(readers, "WHOLE_FILE", whole)
+    (tmp_path / A).mkdir()
+    for n, content in enumerate(BYTES):
+        (tmp_path / A / f"part-{n}.txt").write_bytes(content)
+        (tmp_path / A / f"part-{n}.txt.gz").write_bytes(gzip.compress(content))
+    files = sorted((tmp_path / A).iterdir())
+    expected = [bytes(r[0]) for f in files for r in spark.read.text(str(f)).selectExpr("CAST(value AS BINARY)").collect()]
+    found = sources.read_run_logs(spark, str(tmp_path)).selectExpr("line_no", "CAST(line AS BINARY)")
+    assert [(n, bytes(v)) for n, v in sorted(map(tuple, found.collect()))] == [*enumerate(expected, 1)]
+    size = sum(f.stat().st_size for f in files)
+    assert sources.read_run_logs(spark, str(tmp_path), max_bytes=size).count() == len(expected)
+    assert sources.read_run_logs(spark, str(tmp_path), max_bytes=size - 1).count() == 0
+
+
+def test_a_log_in_two_places_is_one(spark, tmp_path):
+    """Files of the same name below two folders of the same job: every line once."""
+    for root in "xy":
+        (tmp_path / root / A).mkdir(parents=True)
+        (tmp_path / root / A / "output.log").write_text(f"{root}1\n{root}2\n")
+    assert rows(sources.read_run_logs(spark, str(tmp_path))) == [(A, 1, "x1"), (A, 2, "x2"), (A, 3, "y1"), (A, 4, "y2")]
+
+
+def test_large_files_are_numbered_across_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "WHOLE_FILE", 1000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 20_000)
+    try:
+        for append, lines in enumerate((20, 20_000, 30)):
+            frame = spark.range(lines).selectExpr(f"'{A}' AS job_id", "id AS line_no", f"concat('{append} ', id) AS line")
+            sources.write_run_logs(frame, str(tmp_path), append)
+        found = sources.read_run_logs(spark, str(tmp_path), jobs=jobs(spark, {"id": A})).orderBy("line_no").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r["line"] for r in found] == [f"{a} {n}" for a, lines in enumerate((20, 20_000, 30)) for n in range(lines)]
+    assert [r["line_no"] for r in found] == [*range(1, 20_051)]
+
+
 def test_wrong_types_are_errors(spark, tmp_path):
     path = tmp_path / "posted.json"
     base = {"job_id": "t", "dockerImage": "i"}
