@@ -169,6 +169,16 @@ def test_a_log_of_many_costs_one_file_an_append(spark, tmp_path):
     assert sorted(map(tuple, read)) == [(n, "ü", 1000) for n in (1, 2, 3, 4)]
 
 
+def test_sizes_of_many_logs_are_few_tasks(spark, tmp_path):
+    path = str(tmp_path / "logs")
+    many_logs(spark, path)
+    tasks, refused = most_tasks(spark, lambda: sources.refused_logs(spark, path, 11).groupBy("bytes").count().collect())
+    assert tasks <= 16 * spark.sparkContext.defaultParallelism < 1000
+    assert list(map(tuple, refused)) == [(12, 1000)]
+    tasks, kept = most_tasks(spark, lambda: sources.read_run_logs(spark, path, max_bytes=11).collect())
+    assert tasks <= 16 * spark.sparkContext.defaultParallelism and kept == []
+
+
 def test_sinks_write_the_same_folders(spark, tmp_path, monkeypatch):
     """Written by tasks or by Spark's writer, odd ids, NULLs and bytes that are no text included. A second write adds to them."""
     odd = [None, "", "a/b=c", "x y%{z}^", "ü", *map(chr, range(1, 32)), A]
